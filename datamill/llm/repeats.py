@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -344,6 +345,16 @@ def cut_spans(df: DataFrame) -> DataFrame:
     return append_columns(df, ["text", "spans"], added, make).drop("spans", "text")
 
 
+def readable(kept):
+    """A text from the bytes left of one, without what is left of characters that were cut."""
+
+    @F.pandas_udf(T.StringType())
+    def decoded(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    return decoded(kept)
+
+
 def remove_repeats(documents: DataFrame, columns: list[str], cell_runs: int = CELL_RUNS) -> DataFrame:
     """``columns`` of ``documents`` (doc_id, text) but the text, and n_bytes, n_removed, n_spans, kept."""
     table = numbered(documents, columns)
