@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datamill.plans import core
+from datamill.plans import core, evaluating
 from datamill.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "core"]
+__all__ = ["ORACLE_SQL", "QUERIES", "core", "evaluating"]
