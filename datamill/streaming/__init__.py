@@ -1 +1 @@
-
+"""Incremental work on growing tables."""
