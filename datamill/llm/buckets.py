@@ -25,7 +25,8 @@ PAIRS_AT_ONCE = 1 << 20
 def cells(rows: DataFrame, key: str, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``rows`` (bucket, centre boolean, ...) with ``cell``; rows of large buckets once for each cell they are in.
 
-    A centre of a split bucket also goes to the columns as a guest of the others.
+    A centre of a split bucket also goes to the columns as a guest of the others. Centres
+    of one cell are compared with each other only where that is ``mutual``, on the diagonal.
     """
     large = (
         rows.groupBy("bucket").count().where(F.col("count") > cell_rows)
@@ -34,17 +35,19 @@ def cells(rows: DataFrame, key: str, cell_rows: int = CELL_ROWS) -> DataFrame:
     dealt = rows.join(large, "bucket", "left")
     own = F.pmod(F.hash(key), F.col("grid"))
     span = F.sequence(F.lit(0), F.col("grid") - 1)
-    role = lambda centre, cell: F.struct(F.lit(centre).alias("centre"), cell.alias("cell"))
+    role = lambda centre, cell: F.struct(
+        F.lit(centre).alias("centre"), cell.alias("cell"), (F.floor(cell / F.col("grid")) == cell % F.col("grid")).alias("mutual")
+    )
     as_guest = F.transform(span, lambda i: role(False, i * F.col("grid") + own))
     as_centre = F.transform(span, lambda j: role(True, own * F.col("grid") + j))
     # In the cells of its own row and column a centre is there as a centre, which serves as a guest too.
     beside = F.filter(as_guest, lambda x: x["cell"] != own * F.col("grid") + own)
     centre = F.concat(as_centre, beside)
-    whole = F.array(F.struct(F.col("centre"), F.lit(0).alias("cell")))
+    whole = F.array(F.struct(F.col("centre"), F.lit(0).alias("cell"), F.lit(True).alias("mutual")))
     kinds = F.when(F.col("grid").isNull(), whole).when(F.col("centre"), centre).otherwise(as_guest)
     others = [c for c in rows.columns if c not in ("bucket", "centre")]
     return dealt.select("bucket", F.explode(kinds).alias("__k"), *others).select(
-        "bucket", F.col("__k.centre").alias("centre"), F.col("__k.cell").alias("cell"), *others
+        "bucket", F.col("__k.centre").alias("centre"), F.col("__k.cell").alias("cell"), F.col("__k.mutual").alias("mutual"), *others
     )
 
 
@@ -60,7 +63,8 @@ def compare_in_cells(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, starts in whole_cells(batches, names):
             for i, j in pairs_of(columns["centre"], starts):
-                out = compare(columns, i, j)
+                meet = columns["mutual"][i] | ~columns["centre"][j]
+                out = compare(columns, i[meet], j[meet])
                 if out is not None and out.num_rows:
                     yield out
 

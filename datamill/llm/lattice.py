@@ -98,27 +98,25 @@ def unit_vectors(flat: np.ndarray) -> np.ndarray:
 
 
 def replicate(nodes: DataFrame) -> DataFrame:
-    """(bucket, centre, tab, node, n, label, vector): each node in its home cells and the probed ones."""
+    """(bucket, centre, tab, node, n, label, vector): each node in its home cells and the probed ones. Vectors are of one length."""
 
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             node, n, label = (batch.column(i).to_numpy() for i in range(3))
             vectors = batch.column(3)
-            sizes = np.diff(vectors.offsets.to_numpy())
-            flat, first = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()[:-1]
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                for part in np.array_split(rows, -(-len(rows) // 512)):
-                    x = flat[first[part][:, None] + np.arange(size)]
-                    keys = cells_of(unit_vectors(x), label[part])
-                    raw = [v.tobytes() for v in x]
-                    for t in range(TABLES):
-                        which = np.repeat(np.arange(len(part)), 1 + PROBES)
-                        centre = np.tile(np.arange(1 + PROBES) == 0, len(part))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys[:, t].ravel()), pa.array(centre), pa.array(np.full(len(which), t, np.int32)), pa.array(node[part][which]), pa.array(n[part][which]), pa.array(label[part][which]), pa.array([raw[i] for i in which], pa.binary())],
-                            names=["bucket", "centre", "tab", "node", "n", "label", "vector"],
-                        )
+            every = vectors.values.to_numpy(zero_copy_only=False).reshape(len(node), -1)
+            for part in np.array_split(np.arange(len(node)), -(-len(node) // 512)):
+                keys = cells_of(unit_vectors(every[part]), label[part])
+                raw = [v.tobytes() for v in every[part]]
+                which = np.repeat(np.arange(len(part)), 1 + PROBES)
+                centre = np.tile(np.arange(1 + PROBES) == 0, len(part))
+                for t in range(TABLES):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[:, t].ravel()), pa.array(centre), pa.array(np.full(len(which), t, np.int32)), pa.array(node[part][which]), pa.array(n[part][which]), pa.array(label[part][which]), pa.array([raw[i] for i in which], pa.binary())],
+                        names=["bucket", "centre", "tab", "node", "n", "label", "vector"],
+                    )
 
     schema = "bucket long, centre boolean, tab int, node long, n long, label long, vector binary"
     return nodes.select("node", "n", F.col("label").cast("long"), "embedding").mapInArrow(run, schema)
@@ -128,10 +126,16 @@ def found_links(nodes: DataFrame, kind: type, least: float = LEAST_COSINE, cell_
     """(node, links, other): parts of each node's number of links (other is null), and links that connect the same nodes."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "links", "other")])
 
+    longest = nodes.agg(F.max(F.size("embedding"))).first()[0] or 1
+    element = nodes.schema["embedding"].dataType.elementType
+    filler = F.array_repeat(F.lit(0).cast(element), F.lit(longest) - F.size("embedding"))
+    # Vectors of different lengths count as ones of different labels; shorter ones are filled up with zeros.
+    nodes = nodes.select("node", "n", (F.col("label").cast("long") * (1 << 20) + F.size("embedding")).alias("label"), F.concat("embedding", filler).alias("embedding"))
+
     def compare(columns, i, j):
         node, raw = columns["node"], columns["vector"]
         size = raw.shape[1] // np.dtype(kind).itemsize
-        keep = node[i] != node[j]
+        keep = (node[i] != node[j]) & (columns["label"][i] == columns["label"][j])
         i, j = i[keep], j[keep]
         hits = [np.zeros(0, bool)]
         for a in range(0, len(i), PAIRS_A_STEP):

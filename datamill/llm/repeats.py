@@ -358,5 +358,5 @@ def readable(kept):
 def remove_repeats(documents: DataFrame, columns: list[str], cell_runs: int = CELL_RUNS) -> DataFrame:
     """``columns`` of ``documents`` (doc_id, text) but the text, and n_bytes, n_removed, n_spans, kept."""
     table = numbered(documents, columns)
-    found = repeated_spans(table, cell_runs).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = repeated_spans(table.where("doc_id is not null"), cell_runs).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return cut_spans(table.join(found, ["doc_id", "copy"], "left")).drop("copy")
