@@ -46,7 +46,7 @@ def joined_source(source: Column) -> Column:
 
 def notebooks(spark: SparkSession, path: str) -> DataFrame:
     """One row for each notebook: content (text, fenced code, outputs), title, code blocks, cells, kernel. What isn't JSON has _error."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source_path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), "value")
     return parsed_notebooks(raw)
 
 
@@ -71,7 +71,7 @@ def parsed_notebooks(raw: DataFrame) -> DataFrame:
 
 def markdown_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row for each Markdown file with components: title of the raw text, cleaned content, code blocks, front matter, images."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("file_name"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_name").alias("file_name"), "value")
     cleaned = raw.withColumn("clean", text.clean_jsx(F.col("value")))
     return cleaned.select(
         "source_path", text.title(F.col("value")).alias("title"), text.replace_images(F.col("clean"), F.col("file_name")).alias("content"),
@@ -100,7 +100,7 @@ def sample_lines(spark: SparkSession, path: str) -> DataFrame:
 def benchmark_samples(spark: SparkSession, path: str) -> DataFrame:
     """Samples of benchmark files: a list, or a list under samples or data. ``hard``: the file's name says so."""
     item = f"struct<{SAMPLES.replace(' string', ':string')}>"
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.contains(F.lower("_metadata.file_name"), F.lit("hard")).alias("hard"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.contains(F.lower("_metadata.file_name"), F.lit("hard")).alias("hard"))
     named = F.from_json("value", f"struct<samples:array<{item}>,data:array<{item}>>")
     listed = F.from_json("value", f"array<{item}>")
     return raw.select("hard", F.explode(F.coalesce(named["samples"], named["data"], listed)).alias("s")).select("hard", "s.*")
@@ -124,7 +124,7 @@ def dataset_splits(spark: SparkSession, folder: str, splits: list[str]) -> DataF
 
 def result_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, metric, value) of result files, flat or under ``overall``; files that aren't JSON are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     body = F.from_json("value", "struct<metrics:map<string,string>>")["metrics"]
     nested = F.from_json(F.try_element_at(body, F.lit("overall")), "map<string,string>")
     rows = raw.withColumn("m", F.coalesce(nested, body)).where("m is not null")
