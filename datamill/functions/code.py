@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datamill.functions.binding import let
 from datamill.functions.text import LANGUAGES, NOT_NAMES
 from datamill.operators.decisions import strip
 
@@ -98,7 +99,7 @@ def fresh_lines(code: Column, test: Column) -> Column:
     """A test's text without the import lines that the code has."""
     had = F.regexp_extract_all(code, F.lit(r"(?m)^(?:from|import)\s+.+$"), F.lit(0))
     imports = lambda x: F.startswith(strip(x), F.lit("from ")) | F.startswith(strip(x), F.lit("import "))
-    return F.array_join(F.filter(F.split(test, "\n"), lambda x: ~(imports(x) & F.array_contains(had, strip(x)))), "\n")
+    return let(had, lambda h: F.array_join(F.filter(F.split(test, "\n"), lambda x: ~(imports(x) & F.array_contains(h, strip(x)))), "\n"))
 
 
 def test_call(test: Column, name: Column) -> Column:
@@ -119,9 +120,12 @@ def executable(code: Column, test: Column, name: Column) -> Column:
 
 def error_message(stderr: Column) -> Column:
     """The last error line of a traceback, for failed assertions with the statement; else the text's end."""
-    lines = F.transform(F.split(stderr, "\n"), strip)
+    return let(F.transform(F.split(stderr, "\n"), strip), lambda lines: _error_of(stderr, lines))
+
+
+def _error_of(stderr: Column, lines: Column) -> Column:
     is_error = lambda x: F.exists(F.array(*map(F.lit, ERRORS)), lambda e: F.startswith(x, e)) | F.contains(x, F.lit("Error:"))
-    places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: is_error(F.get(lines, i)))
+    places = F.filter(F.transform(lines, lambda x, i: F.when(is_error(x), i)), lambda i: i.isNotNull())
     last = F.try_element_at(places, F.lit(-1))
     line = F.get(lines, last)
     # Statements at most nine lines above the error, nearest first.
@@ -146,12 +150,12 @@ def without_warnings(stderr: Column) -> Column:
 
 def indented(body: Column, spaces: int) -> Column:
     """A block's lines shifted so that the least indented one has ``spaces``; blank lines are empty."""
-    lines = F.split(F.replace(body, F.lit("\t"), F.lit("    ")), "\n")
     depth = lambda x: F.length(F.regexp_extract(x, r"^( *)", 1))
-    filled = F.filter(lines, lambda x: strip(x) != "")
-    least = F.coalesce(F.array_min(F.transform(filled, depth)), F.lit(0))
-    shift = lambda x: F.concat(F.lit(" " * spaces), F.substr(x, least + 1))
-    return F.array_join(F.transform(lines, lambda x: F.when(strip(x) == "", "").otherwise(shift(x))), "\n")
+    blank = lambda x: strip(x) == ""
+    lines = F.split(F.replace(body, F.lit("\t"), F.lit("    ")), "\n")
+    least = F.coalesce(F.array_min(F.transform(F.filter(lines, lambda x: ~blank(x)), depth)), F.lit(0))
+    moved = lambda n: F.transform(lines, lambda x: F.when(blank(x), "").otherwise(F.concat(F.lit(" " * spaces), F.substr(x, n + 1))))
+    return F.array_join(let(least, moved), "\n")
 
 
 def completed(stub: Column, body: Column) -> Column:
@@ -159,7 +163,8 @@ def completed(stub: Column, body: Column) -> Column:
     lines = F.split(stub, "\n")
     at = F.array_position(F.transform(lines, strip), "pass").cast("int")
     depth = F.length(F.regexp_extract(F.get(lines, at - 1), r"^( *)", 1))
-    put = F.array_join(F.transform(F.split(indented(body, 0), "\n"), lambda x: F.when(x == "", "").otherwise(F.concat(F.repeat(F.lit(" "), depth), x))), "\n")
+    shifted = lambda n: F.transform(F.split(indented(body, 0), "\n"), lambda x: F.when(x == "", "").otherwise(F.concat(F.repeat(F.lit(" "), n), x)))
+    put = F.array_join(let(depth, shifted), "\n")
     whole = F.concat(F.slice(lines, 1, at - 1), F.array(put), F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0))))
     appended = F.concat(stub, F.lit("\n\n"), indented(body, 4))
     return F.when(at > 0, F.array_join(whole, "\n")).otherwise(appended)

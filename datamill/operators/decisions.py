@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from datamill.functions.binding import let
+
 #: What the responses are asked to contain, and the reasons given where they don't.
 NO_EXPLANATION = "Model provided decision without explanation"
 NO_REASON = "No reason provided"
@@ -66,7 +68,10 @@ def chunk_decision(response: Column) -> Column:
 
 def image_decision(response: Column) -> Column:
     """struct(decision, reason) of an image's response, lenient: any line with "dec" decides, then how it starts, then which word is there more often."""
-    lines = lines_of(response, keep_blank=True)
+    return let(lines_of(response, keep_blank=True), lambda lines: _image_decision(response, lines))
+
+
+def _image_decision(response: Column, lines: Column) -> Column:
     low = F.lower(strip(response))
     decides = lambda x: F.contains(F.lower(x), F.lit("dec"))
     value = lambda x: F.lower(F.when(F.contains(x, F.lit(":")), after_colon(x)).otherwise(x))

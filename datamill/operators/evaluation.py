@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datamill.functions.binding import let
 from datamill.operators.decisions import strip
 from datamill.operators.stats import ratio
 
@@ -82,19 +83,13 @@ def tokens(text: Column) -> Column:
 
 def gram_list(words: Column, n: int) -> Column:
     """All runs of n words, joined by a separator that no word holds."""
-    count = F.size(words) - (n - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), "\x1f"))
-    return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))
 
+    def runs(w: Column) -> Column:
+        count = F.size(w) - (n - 1)
+        joined = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), "\x1f"))
+        return F.when(count > 0, joined).otherwise(F.array().cast("array<string>"))
 
-def clipped_matches(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays: what stays of ``a`` when ``b`` is taken from it, subtracted.
-
-    Counted by sorting: equal elements are runs, and a run counts as often as it has partners.
-    """
-    in_a, in_b = F.array_distinct(a), b
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    return F.aggregate(F.array_intersect(in_a, in_b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    return let(words, runs)
 
 
 def bleu(df: DataFrame, key: list[str], prediction: str, reference: str, n: int = 4) -> DataFrame:
@@ -104,13 +99,9 @@ def bleu(df: DataFrame, key: list[str], prediction: str, reference: str, n: int
     """
     words = df.select(*key, tokens(F.col(prediction)).alias("p"), tokens(F.col(reference)).alias("r"))
     sized = words.withColumns({"np": F.size("p").cast("long"), "nr": F.size("r").cast("long")}).withColumn("m", F.least(F.lit(n).cast("long"), "np", "nr"))
-    parts = []
-    for k in range(1, n + 1):
-        for side in ("p", "r"):
-            parts.append(sized.where(F.col("m") >= k).select(*key, F.lit(k).alias("k"), F.lit(side).alias("side"), F.explode(gram_list(F.col(side), k)).alias("gram")))
-    grams = parts[0]
-    for more in parts[1:]:
-        grams = grams.unionByName(more)
+    marked = lambda side, k: F.transform(gram_list(F.col(side), k), lambda g: F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), g.alias("gram")))
+    every = F.concat(*[marked(side, k) for k in range(1, n + 1) for side in ("p", "r")])
+    grams = sized.select(*key, "m", F.explode(every).alias("g")).where(F.col("g.k") <= F.col("m")).select(*key, "g.*")
     counts = grams.groupBy(*key, "k", "gram").agg(F.count_if(F.col("side") == "p").alias("cp"), F.count_if(F.col("side") == "r").alias("cr"))
     hits = counts.groupBy(*key, "k").agg(F.sum(F.least("cp", "cr")).alias("hit"), F.sum("cp").alias("all"))
     score = hits.groupBy(*key).agg(F.min("hit").alias("least"), F.sum(F.log(F.col("hit") / F.col("all"))).alias("logs"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from datamill.functions import code, text
+from datamill.functions.binding import let
 from datamill.operators import chunking, dedup, formats
 from datamill.plans import views
 from datamill.plans.registry import query
@@ -220,8 +221,10 @@ def q91(spark, sf_dir):
 @query("ext_contamination", "SELECT b.item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def ext_contamination(spark, sf_dir):
     """Benchmark items that occur word for word in documents. Joined on eight-word runs at word starts, then verified."""
-    runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(t, i, 8), " ")))
-    items = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", " ").alias("w"))
+    runs = lambda words: let(
+        words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))
+    )
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", "[ \n]").alias("w"))
     keyed = items.select("item_id", "item", F.xxhash64(F.array_join(F.slice("w", 2, 8), " ")).alias("h"))
     rows = documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(runs(F.split(F.col("text"), "[ \n]")))).alias("h"))
     pairs = rows.join(keyed, "h").select("doc_id", "item_id", "item").distinct()
