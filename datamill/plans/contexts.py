@@ -68,13 +68,38 @@ def q43(spark, sf_dir):
     return context.chunk_statistics(ids, "source", "text", "code", "images")
 
 
-@query("q86_quality_ladder")
+def starts_sql(x: str, leads: list[str]) -> str:
+    return "(" + " OR ".join(f"starts_with({x}, '{w}')" for w in leads) + ")"
+
+
+STRIPPED = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    "q86_quality_ladder",
+    f"""WITH {CHUNKS_SQL}, v_lines AS (SELECT *, list_filter(string_split(lower(coalesce(code, '')), chr(10)), lambda x: {STRIPPED} <> '') AS lines FROM v_rich)
+  SELECT doc_id, chunk_id, CASE WHEN code IS NOT NULL AND image_id IS NULL AND len(lines) > 0 AND len(list_filter(lines, lambda x: {starts_sql(STRIPPED, text.IMPORT_LEADS)})) > 0.7::DOUBLE * len(lines) THEN 'low'
+  WHEN contains(lower(text), 'table of contents') THEN 'low' WHEN image_id IS NULL AND ({" OR ".join(f"contains(left(lower(text), 200), '{w}')" for w in text.SETUP_WORDS)}) THEN 'low'
+  WHEN image_id IS NOT NULL AND code IS NOT NULL THEN 'high' WHEN length(text) >= 1000 AND (code IS NOT NULL OR image_id IS NOT NULL) THEN 'high' ELSE 'medium' END AS quality FROM v_lines""",
+)
 def q86(spark, sf_dir):
     rows = chunks(spark, sf_dir)
     return rows.select("doc_id", "chunk_id", text.chunk_quality(F.col("text"), F.col("code"), F.size("images")).alias("quality"))
 
 
-@query("q87_context_build")
+def without_code_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({x}, '(?s)```.*?```', '', 'g'), '\n{{3,}}', repeat(chr(10), 2), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    "q87_context_build",
+    f"""WITH {CHUNKS_SQL}, v_near AS (SELECT doc_id, chunk_id, text, {without_code_sql("right(coalesce(lag(text) OVER w, ''), 800)")} AS before, {without_code_sql("left(coalesce(lead(text) OVER w, ''), 800)")} AS after,
+  string_agg(code, repeat(chr(10), 2)) OVER (PARTITION BY doc_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM v_rich WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_id)),
+  v_built AS (SELECT doc_id, chunk_id, concat_ws(repeat(chr(10), 2), CASE WHEN before <> '' THEN '[Previous Context]' || chr(10) || before END,
+  '[Main Content]' || chr(10) || """ + r"regexp_replace(regexp_replace(regexp_replace(text, '\[IMAGE:[^\]]*\]', '', 'g'), '\n{3,}', repeat(chr(10), 2), 'g'), '^\s+|\s+$', '', 'g')" + """,
+  CASE WHEN after <> '' THEN '[Next Context]' || chr(10) || after END, CASE WHEN earlier IS NOT NULL THEN '[Prior Code Context]' || chr(10) || '```python' || chr(10) || earlier || chr(10) || '```' END) AS c FROM v_near)
+  SELECT doc_id, chunk_id, length(c) AS n_chars, md5(c) AS digest FROM v_built""",
+)
 def q87(spark, sf_dir):
     rows = context.with_accumulated_code(context.with_neighbours(chunks(spark, sf_dir), "doc_id", "chunk_id", "text"), "doc_id", "chunk_id", "code")
     built = text.chunk_context(F.col("text"), F.col("previous_text"), F.col("next_text"), F.col("accumulated_code"))
@@ -141,23 +166,69 @@ def chosen(spark, sf_dir, scored):
     return allocation.allocate(scored, allocation.targets(n // 2, SHARES, IMAGE_SHARES))
 
 
-@query("q47_allocate")
+def allocation_sql(part: int, weight: float, tag: str = "") -> str:
+    """CTEs that end in v_sel6: six passes over the pools in order of scarcity, each after the usage of those before."""
+    rows = "(VALUES " + ", ".join(f"('{t}', {i}, {SHARES[t]}::DOUBLE, {IMAGE_SHARES[t]}::DOUBLE)" for i, t in enumerate(allocation.TYPES)) + ") v(question_type, type_ord, share, image_share)"
+    code_base = "CASE WHEN code IS NOT NULL THEN 0.5::DOUBLE + least(length(code) / 400, 0.3::DOUBLE) WHEN length(text) >= 200 THEN 0.2::DOUBLE ELSE 0::DOUBLE END"
+    qa_base = "CASE WHEN length(text) >= 50 THEN 0.3::DOUBLE + least(length(text) / 1000, 0.3::DOUBLE) ELSE 0::DOUBLE END"
+    kinds = ", ".join(f"'{k}'" for k in allocation.QA_IMAGES)
+    out = f"""v_cand{tag} AS (SELECT * FROM (SELECT doc_id || '#' || chunk_id AS chunk_key, doc_id, chunk_id, question_type, type_ord, image_ord, image_id, CASE WHEN question_type = 'qa' THEN
+    least({qa_base} + CASE WHEN image_id IS NULL THEN 0::DOUBLE WHEN image_type IN ({kinds}) THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN n > 1 THEN 0.1::DOUBLE ELSE 0::DOUBLE END, 1.0::DOUBLE)
+    WHEN image_id IS NOT NULL AND image_type <> 'circuit' THEN 0::DOUBLE ELSE least({code_base} + CASE WHEN image_id IS NOT NULL THEN 0.3::DOUBLE ELSE 0::DOUBLE END, 1.0::DOUBLE) END AS score
+    FROM (SELECT doc_id, chunk_id, text, code, 0 AS image_ord, image_id, image_type, n FROM v_counted WHERE image_id IS NOT NULL UNION ALL
+      SELECT doc_id, chunk_id, text, code, CASE WHEN image_id IS NULL THEN 0 ELSE 1 END, NULL, NULL, n FROM v_counted), {rows}) WHERE score >= 0.05::DOUBLE),
+  v_goal{tag} AS (SELECT question_type, type_ord, CAST(floor(t * share) AS BIGINT) AS of_type, CAST(floor(floor(t * share) * image_share) AS BIGINT) AS with_image FROM (SELECT count(*) // {part} AS t FROM documents), {rows}),
+  v_pool{tag} AS (SELECT *, row_number() OVER (ORDER BY size / target, type_ord, NOT mm) AS place FROM (SELECT g.question_type, g.type_ord, mm, CASE WHEN mm THEN g.with_image ELSE g.of_type - g.with_image END AS target,
+    (SELECT count(*) FROM v_cand{tag} c WHERE c.question_type = g.question_type AND (c.image_id IS NOT NULL) = mm) AS size FROM v_goal{tag} g, (VALUES (true), (false)) b(mm)) WHERE target > 0),
+  v_sel{tag}0 AS (SELECT *, score AS adjusted FROM v_cand{tag} WHERE false)"""
+    for k in range(1, 7):
+        last = f"v_sel{tag}{k - 1}"
+        out += f""",
+  v_sel{tag}{k} AS (SELECT * FROM {last} UNION ALL SELECT * EXCLUDE (goal) FROM (SELECT c.*, score * greatest(0.1::DOUBLE, 1 - (0.5::DOUBLE * coalesce(tu, 0) + 0.3::DOUBLE * coalesce(cu, 0) + 0.2::DOUBLE * coalesce(iu, 0)) * {weight}::DOUBLE) AS adjusted, p.target AS goal
+    FROM v_cand{tag} c JOIN v_pool{tag} p ON p.place = {k} AND c.question_type = p.question_type AND (c.image_id IS NOT NULL) = p.mm
+    LEFT JOIN (SELECT chunk_key, question_type, count(*) AS tu FROM {last} GROUP BY ALL) t ON c.chunk_key = t.chunk_key AND c.question_type = t.question_type
+    LEFT JOIN (SELECT chunk_key, count(*) AS cu FROM {last} GROUP BY ALL) u ON c.chunk_key = u.chunk_key
+    LEFT JOIN (SELECT image_id, count(*) AS iu FROM {last} WHERE image_id IS NOT NULL GROUP BY ALL) i ON c.image_id = i.image_id)
+    QUALIFY row_number() OVER (ORDER BY adjusted DESC, doc_id, chunk_id, type_ord, image_ord) <= goal)"""
+    return out
+
+
+COUNTED_SQL = CHUNKS_SQL + ", v_counted AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM v_rich WHERE length(text) > 0)"
+
+
+@query(
+    "q47_allocate",
+    f"WITH {COUNTED_SQL}, {allocation_sql(2, 0.5)} SELECT chunk_key, question_type, image_id, round(score, 9) AS score, round(adjusted, 9) AS adjusted FROM v_sel6",
+)
 def q47(spark, sf_dir):
     rows = chosen(spark, sf_dir, scored_candidates(spark, sf_dir))
     return rows.select("chunk_key", "question_type", "image_id", F.round("score", 9).alias("score"), F.round("adjusted", 9).alias("adjusted"))
 
 
-@query("q48_allocation_metrics")
+@query(
+    "q48_allocation_metrics",
+    f"""WITH {COUNTED_SQL}, {allocation_sql(2, 0.5)} SELECT count(*) AS selected, count(image_id) AS with_image, count(DISTINCT chunk_key) AS chunks, count(DISTINCT image_id) AS images,
+  round_even(count(DISTINCT chunk_key)::DOUBLE / (SELECT count(DISTINCT chunk_key) FROM v_cand), 6) AS chunk_coverage, round_even(count(DISTINCT image_id)::DOUBLE / (SELECT count(DISTINCT image_id) FROM v_cand), 6) AS image_coverage,
+  round_even(count(*)::DOUBLE / count(DISTINCT chunk_key), 6) AS avg_reuse FROM v_sel6""",
+)
 def q48(spark, sf_dir):
     scored = scored_candidates(spark, sf_dir)
     totals = scored.agg(F.count_distinct("chunk_key"), F.count_distinct("image_id")).first()
     return allocation.allocation_metrics(chosen(spark, sf_dir, scored), *totals)
 
 
-@query("q49_diversity_sweep")
+SWEEP = [0.0, 0.4, 1.0]
+
+
+@query(
+    "q49_diversity_sweep",
+    f"WITH {COUNTED_SQL}, " + ", ".join(allocation_sql(4, w, f"_{i}_") for i, w in enumerate(SWEEP)) + " " + " UNION ALL ".join(
+        f"SELECT count(*) AS selected, count(DISTINCT chunk_key) AS chunks, count(DISTINCT image_id) AS images, {w}::DOUBLE AS weight FROM v_sel_{i}_6" for i, w in enumerate(SWEEP)
+    ),
+)
 def q49(spark, sf_dir):
     n = read_table(spark, sf_dir, "documents").count()
-    return allocation.diversity_sweep(scored_candidates(spark, sf_dir), allocation.targets(n // 4, SHARES, IMAGE_SHARES), [0.0, 0.4, 1.0])
+    return allocation.diversity_sweep(scored_candidates(spark, sf_dir), allocation.targets(n // 4, SHARES, IMAGE_SHARES), SWEEP)
 
 
 @query(

@@ -128,7 +128,18 @@ def q32a(spark, sf_dir):
     return responses(spark, sf_dir).select("conv_id", "turn", decisions.chunk_decision(F.col("response")).alias("d")).select("conv_id", "turn", "d.decision", "d.reason")
 
 
-@query("q32b_image_decision")
+VALUE_SQL = f"lower(CASE WHEN contains(x, ':') THEN {AFTER_SQL} ELSE x END)"
+
+
+@query(
+    "q32b_image_decision",
+    f"""WITH {RESPONSES_SQL}, v_lines AS (SELECT *, lower({strip_sql('response')}) AS low, [{strip_sql('x')} FOR x IN string_split({strip_sql('response')}, chr(10))] AS lines FROM v_responses), v_said AS (SELECT *,
+  {last_sql(f"[CASE WHEN contains(lower(x), 'dec') THEN CASE WHEN contains({VALUE_SQL}, 'yes') THEN 'yes' WHEN contains({VALUE_SQL}, 'no') THEN 'no' END END FOR x IN lines]")} AS said,
+  {last_sql(f"[CASE WHEN NOT contains(lower(x), 'dec') AND contains(lower(x), 'reason') THEN CASE WHEN contains(x, ':') THEN {AFTER_SQL} ELSE lines[i + 1] END END FOR x, i IN lines]")} AS given,
+  (length(low) - length(replace(low, 'yes', ''))) // 3 - (length(low) - length(replace(low, 'no', ''))) // 2 AS more FROM v_lines),
+  v_found AS (SELECT *, coalesce(said, CASE WHEN starts_with(low, 'yes') THEN 'yes' WHEN starts_with(low, 'no') THEN 'no' WHEN more > 0 THEN 'yes' WHEN more < 0 THEN 'no' END) AS found FROM v_said)
+  SELECT conv_id, turn, coalesce(found, 'no') AS decision, CASE WHEN found IS NULL THEN 'Unclear response format' ELSE coalesce(given, 'No reason provided') END AS reason FROM v_found""",
+)
 def q32b(spark, sf_dir):
     return responses(spark, sf_dir).select("conv_id", "turn", decisions.image_decision(F.col("response")).alias("d")).select("conv_id", "turn", "d.decision", "d.reason")
 
@@ -406,7 +417,14 @@ def q89(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("source").agg(F.sum(n).alias("tokens"), F.max(n).alias("most"))
 
 
-@query("q90_auto_fence")
+CODE_SHARE_SQL = f"len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches({strip_sql('x')}, {quoted(code.CODE_LINE)}))) > 0.7::DOUBLE * len(string_split(t, chr(10)))"
+
+
+@query(
+    "q90_auto_fence",
+    f"""SELECT doc_id, python, md5(CASE WHEN {CODE_SHARE_SQL} AND python THEN '```python' || chr(10) || {strip_sql('t')} || chr(10) || '```' ELSE t END) AS digest FROM (SELECT doc_id, t, {any_sql('t', code.PYTHON_SIGNS)} AS python
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'import numpy' || chr(10) || 'x = 1' || chr(10) || chr(10) || 'return x' || chr(10) || left(text, 20) ELSE text END AS t FROM documents))""",
+)
 def q90(spark, sf_dir):
     said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("import numpy\nx = 1\n\nreturn x\n"), F.substring("text", 1, 20))).otherwise(F.col("text"))
     return documents(spark, sf_dir).select("doc_id", code.looks_like_python(said).alias("python"), F.md5(code.auto_fenced(said)).alias("digest"))
