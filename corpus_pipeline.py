@@ -23,7 +23,7 @@ from datamill.llm.simhash import near_duplicates
 from datamill.tables import materialize, read_table
 
 #: Documents with a lower probability of quality are rejected.
-LEAST_QUALITY = 0.5
+LEAST_QUALITY = 0.3
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ WIDTH, VECTOR, FILTERS, HIDDEN = 8, 4, 16, 16
 BLOCK, CHUNK_BLOCKS, CHUNK_STEP = 64, 8, 4
 CHUNK = BLOCK * CHUNK_BLOCKS
 #: Training: passes, documents a step, chunks of a document looked at in one step.
-EPOCHS, DOCS_PER_STEP, CHUNKS_PER_STEP, RATE = 10, 48, 6, 0.01
+EPOCHS, DOCS_PER_STEP, CHUNKS_PER_STEP, RATE = 16, 48, 6, 0.01
 
 Params = dict[str, np.ndarray]
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents of each class that a classifier is fitted on, at most.
-ROWS_PER_CLASS = 1500
+ROWS_PER_CLASS = 2000
 
 
 def fold(folds: int):
