@@ -1,9 +1,9 @@
 """A character n-gram linear classifier with naive Bayes log-count ratios, for toxicity.
 
 Features are the byte n-grams of the lower-cased text, present or not, hashed to
-2^18 numbers. Spark counts over all training rows in how many documents of each
-class a feature occurs; its log-count ratio scales it. A logistic regression on
-the scaled features is fitted on a bounded sample of labelled rows. Features
+2^18 numbers. Spark counts over a bounded sample of labelled rows in how many
+documents of each class a feature occurs; its log-count ratio scales it. A
+logistic regression on the scaled features is fitted on the same rows. Features
 whose ratio is near zero carry no weight, so that a long clean text isn't judged
 by its length. A null text is the empty one: no features, the score of the bias.
 """
@@ -20,7 +20,10 @@ from pyspark.sql import types as T
 
 from datamill.llm._arrow import append_columns, list_array, small_batches, texts_of
 from datamill.llm.labelled import floats, sample_ids
+from datamill.tables import materialize
 
+#: Labelled documents of each class that the classifier is fitted on, at most.
+ROWS_PER_CLASS = 3000
 ORDERS = (4, 5, 6)
 BITS = 18
 #: Smoothing of the document counts, and the least absolute log-count ratio of a feature that is used.
@@ -47,13 +50,13 @@ class Features:
         return np.flatnonzero(self.seen)
 
 
-def class_counts(documents: DataFrame, train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of each class with each feature (2 x 2^BITS), and documents of each class.
+def class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of each class with each feature (2 x 2^BITS), and documents of each class, of ``sample`` (text, y).
 
     Tasks count their own documents, Spark sums the counts up: at most 2^BITS rows come to the driver.
     """
-    small_batches(documents)
-    rows = documents.select("doc_id", "text").join(train, "doc_id").select("text", "y")
+    small_batches(sample)
+    rows = sample.select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, held, n = Features(), np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
@@ -81,9 +84,8 @@ def log_ratios(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(ratio) >= LEAST_RATIO, ratio, 0.0)
 
 
-def sample_features(documents: DataFrame, train: DataFrame, used: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The used features of each row of the bounded sample, and its labels."""
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample_ids(train)), "doc_id")
+def sample_features(sample: DataFrame, used: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The used features of each row of the sample (doc_id, text, y), and its labels."""
 
     def make():
         features = Features()
@@ -95,7 +97,7 @@ def sample_features(documents: DataFrame, train: DataFrame, used: np.ndarray) ->
 
         return work
 
-    table = append_columns(rows, ["text"], T.StructType([T.StructField("features", T.ArrayType(T.IntegerType()))]), make)
+    table = append_columns(sample, ["text"], T.StructType([T.StructField("features", T.ArrayType(T.IntegerType()))]), make)
     got = table.select("doc_id", "y", "features").orderBy("doc_id", "features").toArrow()
     return [np.array(x, np.int64) for x in got["features"].to_pylist()], got["y"].to_numpy()
 
@@ -125,9 +127,11 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tup
 
 
 def fit(documents: DataFrame, train: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights of all 2^BITS features, and the bias."""
-    ratio = log_ratios(*class_counts(documents, train))
-    rows, y = sample_features(documents, train, ratio != 0)
+    """Weights of all 2^BITS features, and the bias. What is broadcast are the ids of the bounded sample."""
+    chosen = F.broadcast(sample_ids(train, ROWS_PER_CLASS))
+    sample = materialize(documents.select("doc_id", "text").join(chosen, "doc_id"), "sample")
+    ratio = log_ratios(*class_counts(sample))
+    rows, y = sample_features(sample, ratio != 0)
     return fit_weights(rows, y, ratio)
 
 
