@@ -26,6 +26,25 @@ def shuffle_key(key: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
 
 
+def numbered(df: DataFrame, strata: list[str], key: str, seed: str, digits: int = 3) -> DataFrame:
+    """``df`` with ``_n``, the size of a row's stratum, and ``_r``, its position in it by digest.
+
+    A stratum may hold a third of all rows, so none is sorted as a whole: rows are numbered
+    inside ranges of their digest's first digits, and the ranges' counts give where each begins.
+    """
+    names = [f"_k{i}" for i in range(len(strata))]
+    dealt = df.withColumn("_h", shuffle_key(key, seed)).withColumn("_g", F.substring("_h", 1, digits))
+    counts = dealt.groupBy(*[F.col(c).alias(k) for c, k in zip(strata, names)], F.col("_g").alias("_range")).agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select(*names, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"), F.sum("_c").over(whole).alias("_n"))
+    same = F.col("_g") == F.col("_range")
+    for c, k in zip(strata, names):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    inside = Window.partitionBy(*strata, "_g").orderBy("_h", key)
+    return dealt.join(begins, same).withColumn("_r", F.col("_b") + F.row_number().over(inside)).drop("_h", "_g", "_range", "_b", *names)
+
+
 def stratified_split(
     df: DataFrame, key: str, strata: tuple[str, ...] = STRATA, train: float = 0.7, validation: float = 0.15, seed: str = "42:", total: int | None = None
 ) -> DataFrame:
@@ -37,8 +56,7 @@ def stratified_split(
     total = df.count() if total is None else total
     if total < 3:
         return df.withColumn("split", F.lit("train"))
-    by = Window.partitionBy(*strata) if total >= 10 else Window.partitionBy(F.lit(0))
-    placed = df.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy(shuffle_key(key, seed), key)))
+    placed = numbered(df, list(strata) if total >= 10 else [], key, seed)
     if total < 10:
         tr, va = F.lit(max(1, int(total * train))), F.lit(max(1, int(total * validation)))
         split = F.when(F.col("_r") <= tr, "train").when(F.col("_r") <= tr + va, "validation").otherwise("test")
