@@ -20,40 +20,44 @@ SENTINEL = 0
 
 
 class Shard:
-    """The transform of some strings. order: row to text position; symbols: byte + 1 or the sentinel."""
+    """The transform of some strings. order: row to text position; before: the byte before each suffix; first: is there none?"""
 
     def __init__(self, texts: list[np.ndarray], depth: int):
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        self.starts = np.concatenate([[0], ends[:-1]]) if len(texts) else np.zeros(0, np.int64)
-        self.symbols = np.full(int(ends[-1]) if len(texts) else 0, SENTINEL, np.uint16)
-        for text, start in zip(texts, self.starts):
-            self.symbols[start : start + len(text)] = text
-            self.symbols[start : start + len(text)] += 1
-        self.order = sorted_suffixes(self.symbols, depth)
-        self.before = self.symbols[self.order - 1]  # position 0 wraps to the last sentinel
-        self.step = np.empty(len(self.order), np.int64)
-        self.step[np.argsort(self.before, kind="stable")] = np.arange(len(self.order))
+        lengths = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(lengths + 1)
+        self.starts = ends - lengths - 1
+        size = int(ends[-1]) if len(texts) else 0
+        inside = np.ones(size, bool)
+        inside[ends - 1] = False
+        data = np.zeros(size, np.uint8)
+        data[inside] = np.concatenate(texts) if texts else data
+        self.order = sorted_suffixes(np.where(inside, data.astype(np.uint16) + 1, SENTINEL), depth)
+        self.before = data[self.order - 1]  # position 0 wraps to the last sentinel
+        self.first = ~inside[self.order - 1]
+        # Rows of the suffixes that begin with the symbol before: sentinels come first, then bytes, each in order of row.
+        self.step = np.empty(size, np.int32)
+        self.step[np.argsort(np.where(self.first, SENTINEL, self.before.astype(np.uint16) + 1), kind="stable")] = np.arange(size, dtype=np.int32)
 
 
 def sorted_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Positions by their next ``depth`` symbols at least, equal ones in text order."""
+    """Positions by their next ``depth`` symbols at least; equal ones in any order."""
     n = len(symbols)
     wide = np.concatenate([symbols.astype(np.uint64), np.zeros(8, np.uint64)])
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | wide[k : n + k]
-    known, order = 7, np.argsort(key, kind="stable")
-    while True:
+    known, order = 7, np.argsort(key)
+    while known < depth and n:
         ranked = key[order]
-        new = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])]) if n else np.zeros(0, np.int64)
-        if known >= depth or (n and new[-1] == n - 1) or not n:
-            return order
-        rank = np.empty(n + known, np.uint64)
+        new = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]])).astype(np.uint64)
+        if new[-1] == n - 1:
+            break
+        rank = np.zeros(n + known, np.uint64)
         rank[order] = new
-        rank[n:] = 0
         key = (rank[:n] << np.uint64(32)) | rank[known : n + known]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         known *= 2
+    return order
 
 
 def repeated_intervals(shards: list[Shard], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,22 +66,30 @@ def repeated_intervals(shards: list[Shard], length: int) -> tuple[np.ndarray, np
     Equal strings have the same interval. The shards' depth must be ``length`` at least.
     """
     base = np.concatenate([[0], np.cumsum([len(s.order) for s in shards])])
-    before = np.concatenate([s.before for s in shards])
-    step = np.concatenate([s.step + b for s, b in zip(shards, base)])
-    row, interval = np.arange(base[-1]), np.zeros(base[-1], np.int64)
-    for _ in range(length):
-        symbol = before[row]
-        going = symbol != SENTINEL
-        row, interval, symbol = row[going], interval[going], symbol[going]
-        turn = np.argsort(symbol, kind="stable")
-        row, interval, symbol = step[row[turn]], interval[turn], symbol[turn]
-        new = np.ones(len(row) + 1, bool)
-        new[1:-1] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
-        shared = ~(new[:-1] & new[1:])
-        interval = np.cumsum(new[:-1])[shared]
-        row = row[shared]
+    before, first = np.concatenate([s.before for s in shards]), np.concatenate([s.first for s in shards])
+    step = np.concatenate([s.step + np.int32(b) for s, b in zip(shards, base)])
+    row, interval = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
+    if length % 2:
+        row, interval = refined(row, interval, before, first, step)
+    # Two symbols a round: that before a row, and that before the row it steps to.
+    pair, outside, leap = (before[step].astype(np.uint16) << np.uint16(8)) | before, first | first[step], step[step]
+    for _ in range(length // 2):
+        row, interval = refined(row, interval, pair, outside, leap)
         if not len(row):
             break
     shard = np.searchsorted(base, row, "right") - 1
     order = np.concatenate([s.order for s in shards])
     return shard, order[row], interval
+
+
+def refined(row: np.ndarray, interval: np.ndarray, symbol: np.ndarray, outside: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One round: rows dealt out stably by the symbols before them, and the intervals that are left of more than one row."""
+    inside = ~outside[row]
+    row, interval = row[inside], interval[inside]
+    dealt = symbol[row]
+    turn = np.argsort(dealt, kind="stable")
+    row, interval, dealt = step[row[turn]], interval[turn], dealt[turn]
+    new = np.ones(len(row) + 1, bool)
+    new[1:-1] = (dealt[1:] != dealt[:-1]) | (interval[1:] != interval[:-1])
+    shared = ~(new[:-1] & new[1:])
+    return row[shared], np.cumsum(new[:-1], dtype=np.int32)[shared]

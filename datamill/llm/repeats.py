@@ -45,7 +45,7 @@ GRAM = 24
 #: Runs that a task holds before it settles copies among them.
 RUNS_HELD = 400_000
 #: Runs of an anchor that are compared in one cell, and bytes of text in a shard and in a merge.
-CELL_RUNS, SHARD_BYTES, MERGE_BYTES = 8192, 1 << 19, 1 << 21
+CELL_RUNS, SHARD_BYTES, MERGE_BYTES = 8192, 1 << 16, 1 << 18
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
