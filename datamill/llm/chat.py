@@ -15,7 +15,7 @@ Trees of a first turn that very many conversations share are dealt over several
 packs, each of which writes the shared turns once. Conversations that are equal
 are formatted once. Turns are in order of (turn, role, text), null first; null
 roles and texts are empty. Rows that repeat are turns of their own. Rows of a null
-conv_id are one conversation.
+conv_id are one conversation. A conversation is held by one task, as a document is.
 """
 
 from __future__ import annotations
