@@ -198,3 +198,23 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.write_records(df, f"{tmp_path}/j", "split")
     assert spark.read.json(f"{tmp_path}/j").count() == 3
     assert json.loads(writers.summary_json(df, F.count("*").alias("n")).first()[0]) == {"n": 3}
+
+
+def test_shards_and_trees(spark, tmp_path):
+    import pytest
+
+    spark.createDataFrame([(1,)], "id long").write.parquet(f"{tmp_path}/train-0.parquet")
+    rows = files.dataset_splits(spark, str(tmp_path), ["train", "test"]).collect()
+    assert [(r["id"], r["split"]) for r in rows] == [(1, "train")]
+    with pytest.raises(ValueError):
+        files.dataset_splits(spark, str(tmp_path), ["validation"])
+    nodes = spark.createDataFrame([(1, None, 0), (2, 1, 1), (3, 1, 0), (4, 2, 0), (5, None, 1)], "id long, parent long, ord long")
+    assert [r["id"] for r in files.toc_paths(nodes).orderBy("path").collect()] == [1, 3, 2, 4, 5]
+
+
+def test_images_that_stay(spark):
+    image = "struct<image_id:string,transcription:string,resolved_path:string>"
+    docs = spark.createDataFrame([(1, [("a", "t", "p"), ("b", "t", "p"), ("c", None, "p"), ("d", "t", "p")]), (2, [])], f"id long, images array<{image}>")
+    decided = spark.createDataFrame([("a", "yes"), ("b", "no"), ("d", None)], "image_id string, decision string")
+    got = {r["id"]: [i["image_id"] for i in r["images"]] for r in decisions.image_filter(docs, decided, "id").collect()}
+    assert got == {1: ["a", "d"], 2: []}
