@@ -224,6 +224,14 @@ def spoken_label(path: tuple[str, ...]) -> int:
     return int(any(w in CONTENT for w in path))
 
 
+def terse(text: str, path: tuple[str, ...], linked: int, rng: np.random.Generator) -> list[Block]:
+    """A block as it is, or sometimes its first words, or those several times."""
+    if rng.random() < 0.6:
+        return [(text, path, linked)]
+    short = " ".join(text.split()[: rng.integers(1, 6)])
+    return [(short, path, min(linked, len(short)))] * int(rng.choice([1, 1, 2, 8]))
+
+
 def varied(blocks: list[Block], pool: list[Block], rng: np.random.Generator) -> list[Block]:
     """A page like this one with other container names and with boilerplate put in."""
     wrap = sorted(CONTENT)[rng.integers(len(CONTENT))]
@@ -234,6 +242,9 @@ def varied(blocks: list[Block], pool: list[Block], rng: np.random.Generator) ->
             tag = ("div", wrap) if rng.random() < 0.9 else (wrap,)
             path = tuple(y for w in path for y in (tag if w == "article" else (w,)))
         out.append((text, path, linked))
+    if rng.random() < 0.4:
+        # Articles also hold short lines, and the same line many times over.
+        out = [b for text, path, linked in out for b in terse(text, path, linked, rng)]
     if not pool or rng.random() < 0.25:
         return out
     for _ in range(rng.integers(1, 4)):
