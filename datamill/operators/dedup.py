@@ -2,17 +2,27 @@
 
 Fuzzy removal scans in order and drops a row when some kept earlier row is similar
 enough by the standard library's matcher, on lower-case text. Pairs come from exact
-upper bounds in ``exact`` mode (none is lost: lengths and character counts bound the
-ratio), or from shared sampled 12-grams in ``blocked`` mode, which is approximate.
+upper bounds in ``exact`` mode, or from shared sampled 12-grams in ``blocked`` mode,
+which is approximate.
+
+``exact`` loses no pair. The matcher's blocks cover theta / 2 of both texts together,
+and every block holds a character that is rare in the earlier text (from 200 characters
+on the matcher starts from those only). So there are few blocks, and of all stretches of
+``s`` characters of the earlier text only so many lie outside of them. A stretch is
+named by its rarest gram; the rarest names that stand for more stretches than can be
+lost include one that the later text has too. Earlier texts for which that says nothing
+(short ones, mainly) meet all later ones that lengths and character counts allow.
 """
 
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +31,12 @@ from datamill.tables import materialize
 
 THETA = 0.85
 GRAM, SAMPLED = 12, 16
+#: Characters of a stretch and of the grams in it; an earlier text takes the longest that its bounds allow.
+STRETCHES = ((16, 12), (8, 6))
+#: The matcher drops popular characters of earlier texts from this length on.
+AUTOJUNK = 200
+#: Texts that tell which grams are rare, and counters for them. Any counts give the same pairs, good ones fewer candidates.
+RARITY_ROWS, COUNTERS = 1000, 1 << 20
 
 
 def drop_copies(df: DataFrame, content: str, order: str) -> DataFrame:
@@ -46,25 +62,159 @@ def lowered(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("i"), F.lower(F.coalesce(text, F.lit(""))).alias("t")).withColumn("n", F.length("t"))
 
 
-def profiled(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(i, t, n, counts): lower-case text, its length and character counts."""
-    rows = lowered(df, key, text)
-    characters = rows.select("i", F.explode(F.split("t", "")).alias("c")).where("c <> ''").groupBy("i", "c").agg(F.count("*").cast("int").alias("k"))
-    counts = characters.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("counts"))
-    return rows.join(counts, "i", "left").withColumn("counts", F.coalesce("counts", F.create_map().cast("map<string,int>")))
+@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
+def character_counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([dict(Counter(t)) for t in texts], dtype="object")
 
 
-def exact_pairs(rows: DataFrame, theta: float) -> DataFrame:
-    """Pairs (i < j) that the bounds don't exclude, with their texts; lengths are joined by bands of a geometric scale."""
+def most_blocks(text: str, theta: float) -> float:
+    """How many blocks the matcher can find at most between this text and a later one that is similar.
+
+    Between two blocks a character of one text is left over, at most (1 - theta) of both texts together;
+    from ``AUTOJUNK`` characters on, each block also holds one that isn't popular in this text.
+    """
+    n = len(text)
+    left = 1 + (1 - theta) * 2 * n / theta
+    if n < AUTOJUNK:
+        return left
+    return min(left, sum(k for k in Counter(text).values() if k <= n // 100 + 1))
+
+
+def gram_hashes(text: str, gram: int) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(len(codes) - gram + 1, 0)
+    h = np.zeros(n, np.uint64)
+    for k in range(gram):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + codes[k : n + k]
+    return h ^ (h >> np.uint64(32))
+
+
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def stretch_names(text: str, stretch: int, gram: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different names of a text's stretches, rarest first, and how many stretches each stands for."""
+    h = gram_hashes(text, gram)
+    n = len(text) - stretch + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rank = (counts[counter_of(h)].astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+    names = rank[:n].copy()
+    for k in range(1, stretch - gram + 1):
+        np.minimum(names, rank[k : n + k], out=names)
+    return np.unique(names, return_counts=True)
+
+
+def most_lost(n: int, blocks: float, stretch: int, theta: float) -> float:
+    """How many stretches of an earlier text of ``n`` characters lie in no block, at most; all of them where nothing is sure."""
+    all_ = n - stretch + 1
+    inside = n * theta / (2 - theta) - (stretch - 1) * blocks  # a later text has theta / (2 - theta) of its length at least
+    return all_ - max(inside, 0)
+
+
+def stretch_of(n: int, blocks: float, theta: float) -> int:
+    """Which of ``STRETCHES`` an earlier text goes by, or -1."""
+    return next((k for k, (s, _) in enumerate(STRETCHES) if most_lost(n, blocks, s, theta) < n - s), -1)
+
+
+def profiled(df: DataFrame, key: str, text: str, theta: float) -> DataFrame:
+    """(i, t, n, kind, blocks): lower-case text, its length, which stretches it goes by as the earlier one, blocks at most."""
+
+    @F.pandas_udf(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("blocks", T.DoubleType())]))
+    def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            blocks = [float(most_blocks(t, theta)) for t in texts]
+            yield pd.DataFrame({"kind": pd.Series([stretch_of(len(t), b, theta) for t, b in zip(texts, blocks)], dtype="int32"), "blocks": pd.Series(blocks, dtype="float64")})
+
+    return lowered(df, key, text).withColumn("_p", bounds("t")).select("i", "t", "n", "_p.kind", "_p.blocks")
+
+
+def rarity(rows: DataFrame) -> list[np.ndarray]:
+    """For each of ``STRETCHES``, in how many of some texts each gram occurs, by hash."""
+    out = [np.zeros(COUNTERS, np.uint32) for _ in STRETCHES]
+    for row in rows.select("t").limit(RARITY_ROWS).toLocalIterator():
+        for counts, (_, gram) in zip(out, STRETCHES):
+            counts[np.unique(counter_of(gram_hashes(row["t"], gram)))] += 1
+    return out
+
+
+def named(rows: DataFrame, counts, kinds: list[int], theta: float, earlier: bool) -> DataFrame:
+    """(i, n, kind, name) of texts as the later ones, or as the earlier ones with the names that they are sought by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarities = counts.value
+        for batch in batches:
+            for i, t, own, blocks in zip(*(batch.column(c) for c in ("i", "t", "kind", "blocks"))):
+                text = t.as_py()
+                for kind in [own.as_py()] if earlier else kinds:
+                    stretch, gram = STRETCHES[kind]
+                    names, stands = stretch_names(text, stretch, gram, rarities[kind])
+                    if earlier:
+                        lost = most_lost(len(text), blocks.as_py(), stretch, theta) + 1e-6
+                        names = names[: int(np.searchsorted(np.cumsum(stands), lost, "right")) + 1]
+                    if len(names):
+                        m = len(names)
+                        columns = [pa.array([i.as_py()] * m, batch.column("i").type), pa.array(np.full(m, len(text), np.int32)), pa.array(np.full(m, kind, np.int32)), pa.array(names.view(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["i", "n", "kind", "name"])
+
+    chosen = rows.where("kind >= 0") if earlier else rows
+    schema = T.StructType([rows.schema["i"], T.StructField("n", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("name", T.LongType())])
+    return chosen.select("i", "t", "kind", "blocks").mapInArrow(run, schema)
+
+
+def alike_in_length(theta: float) -> Column:
+    return 2 * F.least("a.n", "b.n") >= theta * (F.col("a.n") + F.col("b.n"))
+
+
+def named_pairs(rows: DataFrame, theta: float) -> DataFrame:
+    """Pairs (i < j) of an earlier text with those later ones that have one of the names that it is sought by."""
+    kinds = [r["kind"] for r in rows.where("kind >= 0").select("kind").distinct().collect()]
+    counts = rows.sparkSession.sparkContext.broadcast(rarity(rows))
+    a, b = named(rows, counts, kinds, theta, True).alias("a"), named(rows, counts, kinds, theta, False).alias("b")
+    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.i") < F.col("b.i")) & alike_in_length(theta))
+    return met.select(F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct()
+
+
+def bounded_pairs(rows: DataFrame, theta: float) -> DataFrame:
+    """Pairs (i < j) that lengths and character counts allow, for earlier texts without names; lengths are joined by bands of a geometric scale."""
     step = 2 / theta - 1  # the longer of two similar texts is at most so many times as long
+    nameless = rows.where("kind < 0")
+    longest = nameless.agg(F.max("n")).first()[0]
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int")
-    banded = rows.withColumn("band", band)
-    near = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    a, b = banded.alias("a"), near.alias("b")
-    joined = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.i") < F.col("b.i")))
-    total = F.col("a.n") + F.col("b.n")
-    bounded = joined.where((2 * F.least("a.n", "b.n") >= theta * total) & (2 * character_overlap(F.col("a.counts"), F.col("b.counts")) >= theta * total))
-    return bounded.select(F.col("a.i").alias("i"), F.col("b.i").alias("j"), F.col("a.t").alias("ti"), F.col("b.t").alias("tj"))
+    banded = lambda df: df.select("i", "n", character_counts("t").alias("counts"), band.alias("band"))
+    later = rows.where(F.col("n") <= step * (longest or 0) + 1)
+    near = banded(later).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    a, b = banded(nameless).alias("a"), near.alias("b")
+    joined = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.i") < F.col("b.i")) & alike_in_length(theta))
+    common = 2 * character_overlap(F.col("a.counts"), F.col("b.counts")) >= theta * (F.col("a.n") + F.col("b.n"))
+    return joined.where(common).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"))
+
+
+def with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    return pairs.join(rows.select("i", F.col("t").alias("ti")), "i").join(rows.select(F.col("i").alias("j"), F.col("t").alias("tj")), "j").select("i", "j", "ti", "tj")
+
+
+def exact_pairs(rows: DataFrame, theta: float) -> DataFrame:
+    """Pairs (i < j) that the bounds don't exclude, with their texts."""
+    return with_texts(named_pairs(rows, theta).unionByName(bounded_pairs(rows, theta)), rows)
+
+
+@F.pandas_udf(T.BooleanType())
+def may_match(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether enough grams of the earlier text (first) occur in the later one for a ratio of theta (third)."""
+    for earlier, later, thetas in batches:
+        held, blocks, out = {}, {}, []
+        for a, b, theta in zip(earlier, later, thetas):
+            for t in (a, b):
+                if t not in held:
+                    held[t] = np.unique(gram_hashes(t, 6), return_counts=True)
+            if a not in blocks:
+                blocks[a] = most_blocks(a, theta)
+            (x, k), (y, _) = held[a], held[b]
+            out.append(int(k[np.isin(x, y, assume_unique=True)].sum()) >= theta * (len(a) + len(b)) / 2 - 5 * blocks[a] - 1e-6)
+        yield pd.Series(out, dtype="bool")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -90,8 +240,7 @@ def blocked_pairs(rows: DataFrame, share: float = 0.3) -> DataFrame:
     keyed = sampled.select("i", F.size("g").alias("m"), F.explode("g").alias("h"))
     a, b = keyed.alias("a"), keyed.alias("b")
     shared = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.i") < F.col("b.i"))).groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.count("*").alias("k"), F.min(F.least("a.m", "b.m")).alias("least"))
-    pairs = shared.where(F.col("k") >= share * F.col("least")).select("i", "j")
-    return pairs.join(rows.select("i", F.col("t").alias("ti")), "i").join(rows.select(F.col("i").alias("j"), F.col("t").alias("tj")), "j").select("i", "j", "ti", "tj")
+    return with_texts(shared.where(F.col("k") >= share * F.col("least")).select("i", "j"), rows)
 
 
 def greedy_kept(nodes: DataFrame, hits: DataFrame) -> DataFrame:
@@ -113,8 +262,8 @@ def greedy_kept(nodes: DataFrame, hits: DataFrame) -> DataFrame:
 def drop_similar(df: DataFrame, key: str, text: str, theta: float = THETA, mode: str = "exact") -> DataFrame:
     """``df`` without rows that are similar to a kept earlier one; order and identity are ``key``."""
     first = df.withColumn("_t", F.lower(F.coalesce(text, F.lit("")))).groupBy(F.sha2("_t", 256).alias("_d")).agg(F.min(key).alias(key)).select(key)
-    prepare = profiled if mode == "exact" else lowered
-    rows = materialize(prepare(df.join(first, key, "left_semi"), key, text), "profiles")
-    pairs = exact_pairs(rows, theta) if mode == "exact" else blocked_pairs(rows)
+    texts = df.join(first, key, "left_semi")
+    rows = materialize(profiled(texts, key, text, theta) if mode == "exact" else lowered(texts, key, text), "profiles")
+    pairs = exact_pairs(rows, theta).where(may_match("ti", "tj", F.lit(theta))) if mode == "exact" else blocked_pairs(rows)
     hits = pairs.repartition(F.col("i"), F.col("j")).where(match_ratio(F.col("tj"), F.col("ti")) >= theta).select("i", "j")
     return df.join(greedy_kept(rows, hits).withColumnRenamed("i", key), key, "left_semi")

@@ -22,7 +22,7 @@ def documents(spark, sf_dir):
 
 @query("q58_fuzzy_dedup")
 def q58(spark, sf_dir):
-    return dedup.drop_similar(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text", mode="blocked").select("doc_id")
+    return dedup.drop_similar(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", "text").select("doc_id")
 
 
 @query("q59_exact_dedup", "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)")
