@@ -39,7 +39,7 @@ def q60(spark, sf_dir):
 
 
 def programs(spark, sf_dir):
-    body = F.concat(F.lit("import os\n\ndef f_"), F.col("doc_id").cast("string"), F.lit('(x, y=1):\n    """'), F.translate(F.substring("text", 1, 40), '"\\\n', "   "), F.lit('"""\n    return x + y\n'))
+    body = F.concat(F.lit("import os\n\ndef f_"), F.col("doc_id").cast("string"), F.lit('(x, y=1):\n    """'), F.translate("text", '"\\\n', "   "), F.lit('"""\n    return x + y\n'))
     return documents(spark, sf_dir).select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(body).alias("program"))
 
 

@@ -268,8 +268,10 @@ def q37(spark, sf_dir):
 SNIPPETS = ["qc.c_if (1)", "from qiskit.opflow import X", "res.quasi_dists", "import numpy", "x = eval ('1') # eval", "os.system('ls')", "'''import socket'''", "print(circuit)", "q.index.x", "qc.qasm ()"]
 
 
-def with_snippet(spark, sf_dir):
-    return documents(spark, sf_dir).withColumn("t", F.concat(F.substring("text", 1, 200), F.lit("\n"), F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % 10).cast("int") + 1)))
+def with_snippet(spark, sf_dir, said=None):
+    """Texts (``said``, or their first 200 characters as in ``SNIPPET_SQL``) with a line of code."""
+    said = F.substring("text", 1, 200) if said is None else said
+    return documents(spark, sf_dir).withColumn("t", F.concat(said, F.lit("\n"), F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % 10).cast("int") + 1)))
 
 
 SNIPPET_SQL = "SELECT doc_id, text, left(text, 200) || chr(10) || [" + ", ".join(map(quoted, SNIPPETS)) + "][CAST(doc_id % 10 AS INTEGER) + 1] AS t FROM documents"
@@ -278,7 +280,7 @@ SNIPPET_SQL = "SELECT doc_id, text, left(text, 200) || chr(10) || [" + ", ".join
 @query("q38_outdated_calls")
 def q38(spark, sf_dir):
     t = F.col("t")
-    return with_snippet(spark, sf_dir).select("doc_id", rules.first_message(t, rules.OUTDATED).alias("message"), rules.first_message(t, rules.OUTDATED_IN_TESTS).alias("in_tests"))
+    return with_snippet(spark, sf_dir, F.col("text")).select("doc_id", rules.first_message(t, rules.OUTDATED).alias("message"), rules.first_message(t, rules.OUTDATED_IN_TESTS).alias("in_tests"))
 
 
 def any_sql(column: str, patterns: list[str]) -> str:
