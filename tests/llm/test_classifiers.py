@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from plain import network_score
 from pyspark.sql import functions as F
 
 from datamill.llm import bytecnn, toxicity
@@ -31,6 +32,20 @@ def test_network_tells_shouting_from_prose_anywhere_in_a_text():
     assert ((long >= 0) & (long <= 1)).all()
 
 
+def test_network_scores_each_text_alone(spark):
+    clean, y, rnd = texts(60, 12)
+    data = [*clean, "", "é" * 3000, "x", "Ab c" * 16, "y" * 64, "z" * 57, "long " * 4000, clean[0], *(c[:k] for k, c in enumerate(clean))]
+    params = bytecnn.fit(clean, np.array(y), epochs=2)
+    score = bytecnn.scores(params, data)
+    assert np.abs(score - [network_score(params, t) for t in data]).max() < 1e-8
+    assert (bytecnn.scores(params, data[::-1])[::-1] == score).all() and (np.array([bytecnn.scores(params, [t])[0] for t in data]) == score).all()
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(data)] + [(900, None, 1), (0, data[0], 1), (0, data[0], 1)], "doc_id long, text string, score int")
+    for parts in (1, 7):
+        rows = bytecnn.add_scores(df.repartition(parts, "doc_id"), params).collect()
+        assert len(rows) == len(data) + 3 and all(r["score"] == (score[r["doc_id"]] if r["doc_id"] < 900 else score[60]) for r in rows)
+    assert bytecnn.add_scores(df.where("doc_id < 0"), params).count() == 0
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in bytecnn.new_params().items()}
