@@ -8,10 +8,13 @@ replicated to each anchor within covering radius plus threshold, 1 + 1, so it
 meets every fingerprint that it links with at that one's anchor. What meets is
 compared in full.
 
-A null or wordless text has fingerprint zero and links like any other. Rows with
-equal fingerprints are one node, whatever their number; a doc_id that repeats
-with different texts is a node of each of its fingerprints, and a null doc_id has
-no number to be reached by: it takes the component of its fingerprint, or null.
+A null or wordless text has fingerprint zero and links like any other; texts of any
+length are read in whole. A fingerprint is one node of the graph, whatever the number
+of its rows (copies, ties, repeated rows), so each row gets the component of its own
+fingerprint: the smallest doc_id that any row of the component has. A doc_id with
+several texts may be in several components. A row without a doc_id takes part like
+any other; a component of such rows alone has component_id null. An empty table gives
+an empty one; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -94,7 +97,7 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def replicate(nodes: DataFrame) -> DataFrame:
-    """(bucket, centre, fp, node): each node (fp, node) at all its anchors in both halves."""
+    """(bucket, centre, fp): each fingerprint at all its anchors in both halves."""
 
     def run(batches):
         for batch in batches:
@@ -104,32 +107,52 @@ def replicate(nodes: DataFrame) -> DataFrame:
                 index, anchor, near = anchors(value)
                 bucket = (anchor | np.uint64(half << 32)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), pa.array(near), batch.column(0).take(pa.array(index)), batch.column(1).take(pa.array(index))],
-                    names=["bucket", "centre", "fp", "node"],
+                    [pa.array(bucket), pa.array(near), batch.column(0).take(pa.array(index))], names=["bucket", "centre", "fp"]
                 )
 
-    return nodes.select("fp", "node").mapInArrow(run, "bucket long, centre boolean, fp long, node long")
+    return nodes.select("fp").mapInArrow(run, "bucket long, centre boolean, fp long")
 
 
 def near_links(nodes: DataFrame, threshold: int = THRESHOLD, cell_rows: int = buckets.CELL_ROWS) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of nodes within ``threshold`` bits."""
+    """Links (a, b) of fingerprints whose components are those of all pairs of ``nodes`` (fp) within ``threshold`` bits."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def compare(columns, i, j):
-        fp, node = columns["fp"].view(np.uint64), columns["node"]
-        hit = (np.bitwise_count(fp[i] ^ fp[j]) <= threshold) & (i != j)
-        a, b = buckets.star_links(node[i[hit]], node[j[hit]])
+        fp = columns["fp"]
+        hit = (np.bitwise_count(fp.view(np.uint64)[i] ^ fp.view(np.uint64)[j]) <= threshold) & (i != j)
+        a, b = buckets.star_links(fp[i[hit]], fp[j[hit]])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return buckets.compare_in_cells(buckets.cells(replicate(nodes), "fp", cell_rows), compare, schema)
 
 
+def fingerprint_groups(nodes: DataFrame, cell_rows: int = buckets.CELL_ROWS) -> DataFrame:
+    """(fp, linked) of each fingerprint of ``nodes`` (fp, no repeats) that links with another: its component's smallest one."""
+    return connected_components(near_links(nodes, cell_rows=cell_rows)).select(F.col("node").alias("fp"), F.col("component").alias("linked"))
+
+
 def near_duplicates(documents: DataFrame, cell_rows: int = buckets.CELL_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of ``documents`` (doc_id, text)."""
     marked = materialize(add_fingerprints(documents.select(F.col("doc_id").cast("long"), "text")).drop("text"), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    groups = connected_components(near_links(nodes, cell_rows=cell_rows))
-    named = nodes.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    linked = materialize(nodes.join(fingerprint_groups(nodes, cell_rows), "fp"), "linked")
+    smallest = linked.groupBy("linked").agg(F.min("least").alias("component_id"))
+    named = nodes.join(linked.join(smallest, "linked").select("fp", "component_id"), "fp", "left").select(
+        "fp", F.coalesce("component_id", "least").alias("component_id")
+    )
     return marked.join(named, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(documents: DataFrame, cell_rows: int = buckets.CELL_ROWS) -> DataFrame:
+    """``documents`` with one row of each component: the one of the smallest (doc_id, hash of the row), null doc_ids last."""
+    rows = documents.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
+    marked = materialize(add_fingerprints(rows.select("doc_id", "__row", "text")).drop("text"), "fingerprints")
+    nodes = materialize(marked.select("fp").distinct(), "nodes")
+    grouped = marked.join(fingerprint_groups(nodes, cell_rows), "fp", "left").select("doc_id", "__row", F.coalesce("linked", "fp").alias("group"))
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("f")).select(
+        F.col("f.doc_id").alias("first_id"), F.col("f.__row").alias("first_row")
+    )
+    chosen = rows.join(first, rows["doc_id"].eqNullSafe(first["first_id"]) & (rows["__row"] == first["first_row"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "__row"]).select(*documents.columns)

@@ -15,16 +15,21 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if hashes and 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(fingerprints):
-    label = {k: k for k, _ in fingerprints}
+def brute_components(rows):
+    """The smallest doc_id of each row's component; rows are (doc_id, fingerprint)."""
+    label = {f: f for _, f in rows}
     changed = True
     while changed:
         changed = False
-        for a, x in fingerprints:
-            for b, y in fingerprints:
-                if bin(x ^ y).count("1") <= 3 and label[a] < label[b]:
-                    label[b], changed = label[a], True
-    return label
+        for x in label:
+            for y in label:
+                if bin(x ^ y).count("1") <= 3 and label[x] < label[y]:
+                    label[y], changed = label[x], True
+    least = {}
+    for doc_id, f in rows:
+        if doc_id is not None:
+            least[label[f]] = min(doc_id, least.get(label[f], doc_id))
+    return [(doc_id, f"{f:016x}", least.get(label[f])) for doc_id, f in rows]
 
 
 def test_anchors_cover():
@@ -52,14 +57,17 @@ def test_groups_match_brute_force_even_in_split_buckets(spark):
             words[rnd.randrange(60)] = rnd.choice(["x", "yy", "zzz"])
         rows.append((i, " ".join(words), "s"))
     rows += [(200, None, "s"), (201, "", "s"), (201, "", "s"), (202, "  ", None)]
+    # Null doc_ids take part, and a doc_id with texts that have nothing in common connects nothing.
+    rows += [(None, rows[7][1], "s"), (3, "a text of its own that nothing else is like", "s"), (None, "nor is this one like any other text", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     want = brute_components([(i, brute_fingerprint(t)) for i, t, _ in rows])
     for cell in (buckets.CELL_ROWS, 7):
         got = simhash.near_duplicates(df, cell_rows=cell).collect()
-        assert len(got) == len(rows)
-        assert {r["doc_id"]: r["component_id"] for r in got} == want
-        assert all(len(r["fingerprint"]) == 16 for r in got)
+        assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["fingerprint"], r["component_id"])) for r in got)
+        kept = simhash.one_of_each_group(df, cell_rows=cell).collect()
+        assert {r["doc_id"] for r in kept} == {w[2] for w in want}
     assert simhash.near_duplicates(df.where("doc_id < 0")).count() == 0
+    assert simhash.one_of_each_group(df.where("doc_id < 0")).count() == 0
 
 
 def test_components(spark):
