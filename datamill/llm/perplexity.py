@@ -1,175 +1,214 @@
-"""A modified Kneser-Ney character model counted by Spark, and text rules.
-
-Text is read as symbols from an alphabet of 64 (letters without case, a few signs,
-classes for the rest), so an n-gram of up to four symbols is a number below 2^24:
-the model can never outgrow that, however large the corpus is. Spark counts the
-n-grams of the highest order over all documents; continuation counts of lower
-orders follow from those. The model is sorted arrays of n-gram numbers with their
-log probabilities and back-off weights, read by binary search.
+"""A modified Kneser-Ney model of each language, counted and estimated by Spark.
+
+Symbols are the bytes of UTF-8 as they stand, so any script and case is told apart;
+an n-gram of ``ORDER`` bytes is a number, which is its exact hash. Every byte of a text
+is predicted, the first ones after spaces. Spark counts the n-grams of each language
+over all documents (tasks sum up their own first); what is gathered grows with the
+corpus, without a bound. Lower orders use continuation counts. Discounts, interpolation
+weights and probabilities are joins and sums over those tables, from whole-number
+counts, so that reruns agree.
+
+The result is one row for each n-gram that occurs: (lang, gram, log_p). Every n-gram of
+a document that was counted is in it, so scoring needs no back-off. Tasks hold it as
+arrays sorted by hash, read by binary search. A model of at most ``BROADCAST_ROWS``
+rows is broadcast; beyond that each block of documents is sent just the rows it needs.
+
+A null language is a language of its own; a null text is the empty one, which has no
+bytes and perplexity 1 (log 0).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datamill.llm._arrow import slices, small_batches, texts_of
+from datamill.tables import materialize
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-SIGNS = " .,;:!?'\"-#*$%&|<>()"
+ORDER, BYTE = 5, 8
+#: Rows of a model (12 bytes each) that may be broadcast; different n-grams that a task holds; characters in a block.
+BROADCAST_ROWS, GRAMS_HELD, BLOCK_CHARS = 1 << 23, 1 << 22, 1 << 24
 
+Arrays = dict[str, tuple[np.ndarray, np.ndarray]]
 
-def _alphabet() -> np.ndarray:
-    """The symbol of each UTF-8 byte or code point below 2^16: 0 for white space, then letters, signs, classes."""
-    table = np.empty(1 << 16, np.uint8)
-    code = np.arange(1 << 16)
-    table[:] = 50 + code % 14  # other code points, by their number
-    table[:128] = 49
-    for c in map(chr, range(128)):
-        if c.isspace() or c in "\x1c\x1d\x1e\x1f":
-            table[ord(c)] = 0
-        elif c.isalpha():
-            table[ord(c)] = 1 + ord(c.lower()) - ord("a")
-        elif c.isdigit():
-            table[ord(c)] = 27
-        elif c in SIGNS:
-            table[ord(c)] = 28 + SIGNS.index(c)
-    return table
 
+def language(lang: Column) -> Column:
+    """A key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
-ALPHABET = _alphabet()
 
-
-def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the texts one after another, each led by ORDER - 1 white spaces; the length of each."""
-    lead = " " * (ORDER - 1)
-    led = [lead + t for t in texts]
-    code = np.frombuffer("".join(led).encode("utf-32-le", "replace"), np.uint32)
-    return ALPHABET[code & np.uint32(0xFFFF)], np.array([len(t) for t in led], np.int64)
-
-
-def grams(symbols: np.ndarray) -> np.ndarray:
-    """The number of the n-gram of ORDER symbols that ends at each symbol from the ORDER-th on."""
-    g = symbols[: len(symbols) - ORDER + 1].astype(np.uint32)
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the n-gram that ends at each byte of the texts, one text after another; bytes of each text."""
+    lead = b" " * (ORDER - 1)
+    parts = [t.encode("utf-8", "replace") for t in texts]
+    lengths = np.array([len(p) for p in parts], np.int64)
+    data = np.frombuffer(b"".join(x for p in parts for x in (lead, p)) + lead, np.uint8)
+    places = np.arange(lengths.sum()) + np.repeat(np.arange(len(parts)) * (ORDER - 1), lengths)
+    gram = data[: len(data) - ORDER + 1].astype(np.int64)
     for k in range(1, ORDER):
-        g = (g << np.uint32(BITS)) | symbols[k : len(symbols) - ORDER + 1 + k]
-    return g
-
-
-def own(lengths: np.ndarray) -> np.ndarray:
-    """Which of the n-grams of joined texts lie within one text."""
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    return text[: len(text) - ORDER + 1] == text[ORDER - 1 :]
-
-
-def gram_counts(texts: DataFrame, column: str = "text") -> DataFrame:
-    """(gram, n): how often each n-gram of ORDER symbols occurs in all texts. Tasks count, Spark sums up."""
-    small_batches(texts)
+        gram = (gram << BYTE) | data[k : len(data) - ORDER + 1 + k]
+    return gram[places], lengths
+
+
+def summed(gram: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate(gram), return_inverse=True)
+    return key, np.bincount(at, np.concatenate(n), len(key)).astype(np.int64)
+
+
+def task_counts(batches: Iterator[tuple[list[str], list[str]]]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, n-grams, counts) of a task's texts; a language may come several times."""
+    held: dict[str, list] = {}
+    size = 0
+    for langs, texts in batches:
+        for lang in sorted(set(langs)):
+            mine = [t for k, t in zip(langs, texts) if k == lang]
+            for a, b in slices(mine):
+                found = np.unique(grams(mine[a:b])[0], return_counts=True)
+                parts = held.setdefault(lang, [])
+                parts.append(found)
+                size += len(found[0])
+                if size > 2 * GRAMS_HELD:
+                    for k in held:
+                        held[k] = [summed(*map(list, zip(*held[k])))]
+                    size = sum(len(x[0][0]) for x in held.values())
+                    if size > GRAMS_HELD:
+                        yield from ((k, *x[0]) for k, x in held.items())
+                        held, size = {}, 0
+    for lang, parts in held.items():
+        yield lang, *summed(*map(list, zip(*parts)))
+
+
+def gram_counts(documents: DataFrame) -> DataFrame:
+    """(lang, gram, n): how often each n-gram occurs in each language of ``documents`` (lang, text)."""
+    small_batches(documents)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << (ORDER * BITS), np.int64)
+        for lang, gram, n in task_counts((b.column(0).to_pylist(), texts_of(b.column(1))) for b in batches):
+            for k in range(0, len(gram), 1 << 18):
+                part = slice(k, k + (1 << 18))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram[part]), pa.string()), pa.array(gram[part]), pa.array(n[part])], names=["lang", "gram", "n"])
+
+    rows = documents.select(language(F.col("lang")).alias("lang"), "text").mapInArrow(count, "lang string, gram long, n long")
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def suffix(gram: Column, k: int) -> Column:
+    """The number of the last ``k`` bytes of an n-gram."""
+    return gram.bitwiseAND((1 << (k * BYTE)) - 1)
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, gram, log_p) of every n-gram of ``counts`` (lang, gram, n)."""
+    gram = F.col("gram")
+    # Continuation counts: an n-gram of k bytes counts once for each different byte before it.
+    longer = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), suffix(gram, k + 1).alias("longer"), suffix(gram, k).alias("gram")) for k in range(1, ORDER)]))
+    lower = counts.select("lang", longer.alias("x")).select("lang", "x.*").distinct().groupBy("k", "lang", "gram").agg(F.count("*").alias("n"))
+    levels = materialize(counts.select(F.lit(ORDER).alias("k"), "lang", "gram", "n").unionByName(lower), "levels")
+    seen = levels.groupBy("k", "lang").agg(*[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).alias(f"n{i}") for i in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    discount = lambda i: F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.1)), F.lit(i - 0.05 * i))
+    discounts = seen.select("k", "lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
+    kinds = [F.col("n") == 1, F.col("n") == 2, F.col("n") >= 3]
+    context = levels.withColumn("context", F.shiftright("gram", BYTE))
+    totals = context.groupBy("k", "lang", "context").agg(F.sum("n").alias("total"), *[F.count_if(x).alias(f"c{i}") for i, x in enumerate(kinds, 1)])
+    spare = sum((F.col(f"c{i}") * F.col(f"d{i}") for i in (2, 3)), F.col("c1") * F.col("d1"))
+    weights = totals.join(discounts, ["k", "lang"]).select("k", "lang", "context", "total", "d1", "d2", "d3", (spare / F.col("total")).alias("back"))
+    own = (F.col("n") - F.when(kinds[0], F.col("d1")).when(kinds[1], F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
+    terms = materialize(context.join(weights, ["k", "lang", "context"]).select("k", "lang", "gram", own.alias("own"), "back"), "terms")
+    of = lambda k: terms.where(F.col("k") == k).select("lang", F.col("gram").alias(f"gram{k}"), F.col("own").alias(f"own{k}"), F.col("back").alias(f"back{k}"))
+    rows = of(ORDER).withColumnRenamed(f"gram{ORDER}", "gram")
+    p = F.lit(1.0 / (1 << BYTE))
+    for k in range(1, ORDER):
+        rows = rows.withColumn(f"gram{k}", suffix(F.col("gram"), k)).join(of(k), ["lang", f"gram{k}"])
+    for k in range(1, ORDER + 1):
+        p = F.col(f"own{k}") + F.col(f"back{k}") * p
+    return rows.select("lang", "gram", F.log(p).alias("log_p"))
+
+
+def sorted_arrays(lang: list[str], gram: np.ndarray, log_p: np.ndarray) -> Arrays:
+    """For each language the n-grams in order, and their log probabilities."""
+    names = np.array(lang, object)
+    out = {}
+    for one in sorted(set(lang)):
+        mine = np.flatnonzero(names == one)
+        mine = mine[np.argsort(gram[mine])]
+        out[one] = gram[mine], log_p[mine].astype(np.float32)
+    return out
+
+
+def log_perplexities(model: Arrays, langs: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(mean of -log p over its bytes, bytes) of each text."""
+    value, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for lang in sorted(set(langs)):
+        mine = np.array([i for i, k in enumerate(langs) if k == lang])
+        some = [texts[i] for i in mine]
+        for a, b in slices(some):
+            gram, lengths = grams(some[a:b])
+            size[mine[a:b]] = lengths
+            if len(gram):
+                keys, logs = model[lang]
+                logs = np.append(logs[np.searchsorted(keys, gram)], np.float32(0)).astype(np.float64)
+                sums = np.add.reduceat(logs, np.cumsum(lengths) - lengths)
+                value[mine[a:b]] = np.where(lengths > 0, -sums / np.maximum(lengths, 1), 0.0)
+    return np.round(value, 9), size
+
+
+Score = Callable[[Arrays, pa.RecordBatch], pa.RecordBatch]
+
+
+def scored(documents: DataFrame, model: DataFrame, score: Score, schema: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``score(arrays, batch)`` over all ``documents`` (lang, text, ...; lang as ``language`` gives it)."""
+    small_batches(documents)
+    if model.count() <= broadcast_rows:
+        table = model.toArrow()
+        arrays = sorted_arrays(table["lang"].to_pylist(), table["gram"].to_numpy(), table["log_p"].to_numpy())
+        shared = documents.sparkSession.sparkContext.broadcast(arrays)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return (score(shared.value, batch) for batch in batches)
+
+        return documents.mapInArrow(run, schema)
+    return scored_in_blocks(documents, model, score, schema)
+
+
+def scored_in_blocks(documents: DataFrame, model: DataFrame, score: Score, schema: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The same for a model of any size: blocks of documents meet the rows of the model that they need."""
+    from pyspark.sql import types as T
+
+    names = documents.columns
+    blocked_schema = T.StructType([*documents.schema.fields, T.StructField("__block", T.LongType())])
+    lang_at, text_at = names.index("lang"), names.index("text")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            ids = []
+            for text in texts_of(batch.column(text_at)):
+                if held >= block_chars:
+                    block, held = block + 1, 0
+                held += len(text)
+                ids.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], names=[*names, "__block"])
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = texts_of(batch.column(0))
-            for a, b in slices(rows):
-                symbols, lengths = symbols_of(rows[a:b])
-                found, n = np.unique(grams(symbols)[own(lengths)], return_counts=True)
-                held[found] += n
-        at = np.flatnonzero(held)
-        for k in range(0, len(at), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 18)]), pa.array(held[at[k : k + (1 << 18)]])], names=["gram", "n"])
-
-    return texts.select(column).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Sorted n-grams of each order with log probabilities; back-off weights of contexts."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        order = np.argsort(gram)
-        key, count = gram[order].astype(np.int64), n[order].astype(np.int64)
-        self.keys, self.logs, self.contexts, self.backs = [], [], [], []
-        tables = [(key, count)]
-        for k in range(ORDER - 1, 0, -1):  # continuation counts: different symbols before an n-gram
-            suffix = tables[-1][0] & ((1 << (k * BITS)) - 1)
-            tables.append(np.unique(suffix, return_counts=True))
-        lower = None
-        for k, (key, count) in enumerate(reversed(tables), 1):
-            lower = self._add_order(k, key, count, lower)
-
-    def _add_order(self, k: int, key: np.ndarray, count: np.ndarray, lower) -> None:
-        """Interpolated probabilities of one order, from those below it."""
-        discount = discounts(count)[np.minimum(count, 3)]
-        if k == 1:
-            total = count.sum()
-            share = np.maximum(count - discount, 0) / max(total, 1)
-            rest = discount.sum() / max(total, 1)
-            p = share + rest / SYMBOLS
-            self.floor = np.log(max(rest / SYMBOLS, 1e-9))
-        else:
-            context, first, each = np.unique(key >> BITS, return_index=True, return_counts=True)
-            total = np.add.reduceat(count, first) if len(key) else count
-            back = (np.add.reduceat(discount, first) if len(key) else discount) / np.maximum(total, 1)
-            at = np.repeat(np.arange(len(context)), each)
-            below = np.exp(self._look(key & ((1 << ((k - 1) * BITS)) - 1), k - 1))
-            p = np.maximum(count - discount, 0) / total[at] + back[at] * below
-            self.contexts.append(context)
-            self.backs.append(np.log(np.maximum(back, 1e-12)).astype(np.float32))
-        self.keys.append(key)
-        self.logs.append(np.log(np.maximum(p, 1e-12)).astype(np.float32))
-
-    def _look(self, key: np.ndarray, k: int) -> np.ndarray:
-        """Log probabilities of n-grams of order k, backing off where one was never seen."""
-        keys = self.keys[k - 1]
-        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-        hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-        out = np.full(len(key), self.floor)
-        out[hit] = self.logs[k - 1][at[hit]]
-        miss = np.flatnonzero(~hit)
-        if k > 1 and len(miss):
-            rest = self._look(key[miss] & ((1 << ((k - 1) * BITS)) - 1), k - 1)
-            contexts, context = self.contexts[k - 2], key[miss] >> BITS
-            c = np.minimum(np.searchsorted(contexts, context), max(len(contexts) - 1, 0))
-            known = contexts[c] == context if len(contexts) else np.zeros(len(miss), bool)
-            out[miss] = rest + np.where(known, self.backs[k - 2][c] if len(contexts) else 0, 0)
-        return out
-
-
-class Scorer:
-    """Looks n-grams up in a model; a table of the numbers in use keeps it from sorting them."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.known = np.zeros(1 << (ORDER * BITS), bool)
-        self.value = np.zeros(1 << (ORDER * BITS), np.float32)
-
-    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of log probabilities, number of symbols) of each text."""
-        total, n = np.zeros(len(texts)), np.array([len(t) for t in texts], np.int64)
-        for a, b in slices(texts):
-            symbols, lengths = symbols_of(texts[a:b])
-            if len(symbols) < ORDER:
-                continue
-            gram = grams(symbols)
-            fresh = gram[~self.known[gram]]
-            if len(fresh):
-                fresh = np.unique(fresh)
-                self.value[fresh] = self.model._look(fresh.astype(np.int64), ORDER)
-                self.known[fresh] = True
-            logs = np.append(np.where(own(lengths), self.value[gram], 0), 0.0)
-            first = np.minimum(np.cumsum(lengths) - lengths, len(logs) - 1)
-            sums = np.add.reduceat(logs.astype(np.float64), first)
-            total[a:b] = np.where(lengths > ORDER - 1, sums, 0)
-        return total, n
-
-
-def discounts(count: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more."""
-    n = [max(int((count == k).sum()), 1) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [0.0] + [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
-    return np.clip(np.array(d), [0, 0.1, 0.1, 0.1], [0, 0.95, 1.9, 2.9])
+            blocks, langs, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist(), texts_of(batch.column(2))
+            for block in np.unique(blocks):
+                mine = np.flatnonzero(blocks == block)
+                for lang, gram, _ in task_counts(iter([([langs[i] for i in mine], [texts[i] for i in mine])])):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), block)), pa.array([lang] * len(gram), pa.string()), pa.array(gram)], names=["__block", "lang", "gram"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        arrays = sorted_arrays(right["lang"].to_pylist(), right["gram"].to_numpy(), right["log_p"].to_numpy())
+        batches = [b for b in left.select(names).combine_chunks().to_batches() if b.num_rows]
+        return pa.Table.from_batches([score(arrays, b) for b in batches])
+
+    blocked = materialize(documents.mapInArrow(number, blocked_schema), "blocks")
+    wanted = blocked.select("__block", "lang", "text").mapInArrow(needed, "__block long, lang string, gram long").distinct()
+    sent = wanted.join(model, ["lang", "gram"]).select("__block", "lang", "gram", "log_p")
+    return blocked.groupBy("__block").cogroup(sent.groupBy("__block")).applyInArrow(meet, schema)

@@ -9,4 +9,4 @@ from datamill.tables import read_table
 
 
 def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(read_table(spark, sf_dir, "documents")).drop("lang", "n_chars")
+    return judged(read_table(spark, sf_dir, "documents"))

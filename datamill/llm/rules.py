@@ -1,23 +1,31 @@
 """Quality rules: counts over whole texts, and perplexity bands of each language.
 
-A document fails the base rules or has a perplexity outside its language's band.
-The bands are Tukey's far fences around the quartiles of log perplexity of all
-documents that pass the base rules, widened for short texts, whose perplexity
-varies more. A language is what the table says; null is a language of its own.
-Null texts have no words and fail. Repeated rows each get their result.
+A document fails the base rules, or its perplexity is outside its language's band. The
+log perplexity's distance from the language's median, times the square root of the
+text's bytes (a mean over n bytes varies by 1 / sqrt(n)), is compared with Tukey's
+fences: ``FENCE`` interquartile ranges below the lower and above the upper quartile.
+Median and quartiles are those of all documents of the language that pass the base
+rules, found by counting them in narrow ranges of value, so that no group is sorted
+and reruns agree; a quantile is the first range that reaches its share.
+
+A language is what the table says; null is a language of its own. Null and wordless
+texts have no words and fail. Long texts are read in whole. Repeated rows each count
+and each get the result; equal texts of a language get equal results. Tables without
+rows give none, and columns other than doc_id, lang and text are not looked at. Where
+a language's quartiles lie closer than ``LEAST_SPREAD`` (few or equal documents), that
+is their distance.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from datamill.llm._arrow import append_columns, texts_of
 from datamill.llm.labelled import floats
-from datamill.llm.perplexity import Model, Scorer, gram_counts
+from datamill.llm.perplexity import BROADCAST_ROWS, Arrays, gram_counts, kneser_ney, language, log_perplexities, scored
+from datamill.llm._arrow import texts_of
 from datamill.tables import materialize
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -25,9 +33,8 @@ SYMBOL = b"#*$%&|<>"
 WINDOW = 5
 #: Fewest words, and most words in repeated windows of each hundred.
 LEAST_WORDS, MOST_REPEATED = 10, 20
-#: Interquartile ranges between a quartile and its fence, and the spread that a text of one symbol may add.
-FENCE, SHORT_SPREAD = 3.0, 4.0
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+#: Interquartile ranges between a quartile and its fence, and the least range.
+FENCE, LEAST_SPREAD = 1.5, 0.5
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -51,13 +58,14 @@ def repeated_words(words: list[bytes]) -> int:
         return 0
     number: dict[bytes, int] = {}
     codes = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(words))
-    window = np.zeros(n, np.uint64)
     if len(number) < 4096:  # five numbers fit in 60 bits
+        window = np.zeros(n, np.uint64)
         for k in range(WINDOW):
             window = (window << np.uint64(12)) | codes[k : n + k]
-    else:
-        for k in range(WINDOW):
-            window = (window ^ (window >> np.uint64(29))) * _MUL + codes[k : n + k] + np.uint64(1)
+    else:  # numbers of different windows of two, four and five words
+        two = numbered_pairs(codes[:-1], codes[1:])
+        four = numbered_pairs(two[:-2], two[2:])
+        window = numbered_pairs(four[:n], codes[4:])
     order = np.argsort(window)
     ranked = window[order]
     same = ranked[1:] == ranked[:-1]
@@ -73,45 +81,52 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(inside) > 0).sum())
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-
+def numbered_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal pairs of numbers below 2^32 get equal numbers, different ones different numbers."""
+    return np.unique((a << np.uint64(32)) | b, return_inverse=True)[1].astype(np.uint64)
 
-def measured(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, the base counts, log_ppl, n_chars) of each row; the model's size is bounded by its alphabet."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    added = T.StructType([T.StructField(c, T.LongType()) for c in (*COUNTS, "n_chars")] + [T.StructField("log_ppl", T.DoubleType())])
 
-    def make():
-        scorer = Scorer(shared.value)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURED = "doc_id {id}, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", n_bytes long, log_ppl double"
 
-        def work(columns):
-            texts = texts_of(columns[0])
-            counts = np.array([base_counts(t) for t in texts], np.int64).reshape(len(texts), len(COUNTS))
-            total, n = scorer.totals(texts)
-            return [*(pa.array(c) for c in counts.T.copy()), pa.array(n), floats(-total / np.maximum(n, 1))]
 
-        return work
+def measured_batch(model: Arrays, batch: pa.RecordBatch) -> pa.RecordBatch:
+    langs, texts = batch.column(1).to_pylist(), texts_of(batch.column(2))
+    counts = np.array([base_counts(t) for t in texts], np.int64).reshape(len(texts), len(COUNTS))
+    log_ppl, size = log_perplexities(model, langs, texts)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), *(pa.array(c) for c in counts.T.copy()), pa.array(size), floats(log_ppl)],
+        names=["doc_id", "lang", *COUNTS, "n_bytes", "log_ppl"],
+    )
 
-    return append_columns(documents.select("doc_id", "lang", "text"), ["text"], added, make).drop("text")
 
+def quantiles(rows: DataFrame, narrow: Column, wide, shares: dict[str, float]) -> DataFrame:
+    """One row for each lang with a column for each of ``shares``.
 
-def corpus_model(documents: DataFrame) -> Model:
-    """The model of all texts; its n-grams, at most 2^24, come to the driver."""
-    table = gram_counts(documents).toArrow()
-    return Model(table["gram"].to_numpy(), table["n"].to_numpy())
+    ``narrow`` is the number of a value's range, ``wide`` turns that back; a language has few ranges, whatever its rows.
+    """
+    counted = rows.groupBy("lang", narrow.cast("long").alias("at")).count()
+    upto = Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("count").over(upto)).withColumn("all", F.sum("count").over(Window.partitionBy("lang")))
+    first = [F.min(F.when(F.col("upto") >= F.col("all") * share, F.col("at"))) for share in shares.values()]
+    return ranked.groupBy("lang").agg(*[wide(x).alias(name) for name, x in zip(shares, first)])
 
 
-def judged(documents: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, log_ppl of each row of ``documents`` (doc_id, lang, text)."""
-    rows = materialize(measured(documents, corpus_model(documents)), "measured").withColumn(
+def judged(documents: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, log_ppl, distance of each row of ``documents`` (doc_id, lang, text)."""
+    table = documents.select("doc_id", language(F.col("lang")).alias("lang"), "text")
+    model = materialize(kneser_ney(materialize(gram_counts(documents.select("lang", "text")), "grams")), "model")
+    schema = MEASURED.format(id=documents.schema["doc_id"].dataType.simpleString())
+    rows = materialize(scored(table, model, measured_batch, schema, broadcast_rows), "measured").withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
-    quartiles = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.75)), 10000)
-    bands = rows.where("not base_failed").groupBy("lang").agg(quartiles.alias("q")).select(
-        F.col("lang").alias("band_lang"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high")
-    )
-    slack = FENCE * (F.col("high") - F.col("low")) + SHORT_SPREAD / F.sqrt(F.greatest("n_chars", F.lit(1)))
-    inside = F.col("log_ppl").between(F.col("low") - slack, F.col("high") + slack)
-    return rows.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left").select(
-        "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"), "log_ppl", "lang", "n_chars"
+    good = rows.where("not base_failed")
+    middle = quantiles(good, F.round(F.col("log_ppl") * 1e5), lambda x: x / 1e5, {"middle": 0.5})
+    distance = (F.col("log_ppl") - F.col("middle")) * F.sqrt(F.col("n_bytes").cast("double"))
+    good = good.join(middle, "lang").withColumn("distance", distance)
+    bands = quantiles(good, F.round(F.asinh("distance") * 1e3), lambda x: F.sinh(x / 1e3), {"low": 0.25, "high": 0.75})
+    slack = FENCE * F.greatest(F.col("high") - F.col("low"), F.lit(LEAST_SPREAD))
+    inside = F.col("distance").between(F.col("low") - slack, F.col("high") + slack)
+    return rows.join(middle.join(bands, "lang"), "lang", "left").withColumn("distance", distance).select(
+        "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"), "log_ppl", "distance"
     )

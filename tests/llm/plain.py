@@ -18,3 +18,33 @@ def network_score(params, text):
         hidden.append(np.maximum(pooled @ p["dense"] + p["dense_bias"], 0))
     both = np.concatenate([np.mean(hidden, axis=0), np.max(hidden, axis=0)])
     return 1 / (1 + np.exp(-(both @ p["out"] + p["out_bias"][0])))
+
+
+def kneser_ney_logs(texts, order=5):
+    """Mean -log p of each byte of each text, by a model of these texts: dictionaries, straight from the formulas."""
+    led = [b" " * (order - 1) + (t or "").encode("utf-8", "replace") for t in texts]
+    counts = {k: {} for k in range(1, order + 1)}
+    for data in led:
+        for i in range(len(data) - order + 1):
+            g = data[i : i + order]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        for g in {g[-k - 1 :] for g in counts[order]}:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    discount, totals, spare = {}, {}, {}
+    for k, table in counts.items():
+        n = [max(1, sum(c == i for c in table.values())) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        discount[k] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), 0.95 * i) for i in (1, 2, 3)]
+        for g, c in table.items():
+            totals[g[:-1], k] = totals.get((g[:-1], k), 0) + c
+            spare[g[:-1], k] = spare.get((g[:-1], k), 0.0) + discount[k][min(c, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        c = counts[k][g]
+        return (c - discount[k][min(c, 3) - 1]) / totals[g[:-1], k] + spare[g[:-1], k] / totals[g[:-1], k] * p(g[1:])
+
+    return [sum(-np.log(p(d[i : i + order])) for i in range(len(d) - order + 1)) / max(1, len(d) - order + 1) for d in led]

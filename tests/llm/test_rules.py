@@ -1,9 +1,8 @@
-import math
 import random
 import re
-from collections import Counter
 
 import numpy as np
+from plain import kneser_ney_logs
 
 from datamill.llm import perplexity, rules
 
@@ -21,33 +20,61 @@ def brute(text):
 def test_base_counts():
     rnd = random.Random(5)
     for _ in range(300):
-        text = "".join(rnd.choice(["a ", "b ", "é#", "\n", "\n", "\t", "|x ", " ", "\x1c"]) for _ in range(rnd.randint(0, 120)))
+        text = "".join(rnd.choice(["a ", "b ", "é#", "\n", "\n", "\t", "|x ", " ", "\x1c"]) for _ in range(rnd.randint(0, 120)))
         assert rules.base_counts(text) == brute(text)
     many = " ".join(map(str, range(5000))) + " " + " ".join(map(str, range(100, 110)))
     assert rules.base_counts(many) == brute(many)
 
 
-def test_model_is_a_distribution_and_prefers_what_it_saw():
-    counts = Counter()
-    for text in ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"] * 3:
-        symbols, _ = perplexity.symbols_of([text])
-        counts.update(perplexity.grams(symbols).tolist())
-    model = perplexity.Model(np.array(list(counts)), np.array(list(counts.values())))
-    for context in (0, int(next(iter(counts))) >> 6, 12345):
-        grams = (np.arange(64) | (context << 6)) & ((1 << 24) - 1)
-        assert math.isclose(np.exp(model._look(grams.astype(np.int64), 4)).sum(), 1.0, rel_tol=0.02)
-    total, n = perplexity.Scorer(model).totals(["the cat sat", "zxq jvk wqz", ""])
-    assert total[0] / n[0] > total[1] / n[1] and total[2] == 0
-
-
-def test_tables(spark):
-    rnd = random.Random(6)
-    words = ["the", "cat", "sat", "near", "old", "trees", "while", "birds", "sang", "loudly", "again"]
-    rows = [(i, " ".join(rnd.choice(words) for _ in range(60)), "en") for i in range(150)]
-    rows += [(900, None, "en"), (901, "", None), (902, "".join(chr(rnd.randrange(33, 126)) + " " * (k % 4 == 0) for k in range(900)), "en"), (903, "few words", "en"), (0, rows[0][1], "en"), (904, "one two three " * 40, "en")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as kept")
+EN = "the cat sat near old trees while birds sang loudly again over green hills and rivers".split()
+RU = "старый кот сидел возле дома пока птицы громко пели над рекой и лесом снова".split()
+
+
+def corpus(seed):
+    rnd = random.Random(seed)
+    prose = lambda words, n: " ".join(rnd.choice(words) for _ in range(n))
+    rows = [(i, prose(EN, rnd.randint(40, 90)), "en") for i in range(150)] + [(200 + i, prose(RU, rnd.randint(40, 90)), "ru") for i in range(120)]
+    junk = [
+        (900, " ".join("".join(chr(rnd.randrange(33, 126)) for _ in range(6)) for _ in range(80)), "en"),
+        (901, " ".join("".join(rnd.sample(w, len(w))) for w in prose(EN, 90).split()), "en"),
+        (902, prose(EN, 80).upper(), "en"),
+        (903, " ".join("".join(rnd.sample(w, len(w))) for w in prose(RU, 90).split()), "ru"),
+        (904, prose(EN, 80), "ru"),
+        (905, " ".join(f"{w}{'cat ' * (k % 3)}the" for k, w in enumerate(prose(["the", "cat"], 60).split())), "en"),
+    ]
+    return rows, junk, prose
+
+
+def test_perplexity_equals_a_plain_model(spark):
+    rows, junk, _ = corpus(3)
+    rows += [*junk, (950, None, "en"), (951, "", None), (952, "few words", None), (953, "é", "ru"), (0, rows[0][1], "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = {}
+    for lang in {r[2] for r in rows}:
+        mine = [r for r in rows if r[2] == lang]
+        want |= {r[0]: x for r, x in zip(mine, kneser_ney_logs([r[1] for r in mine]))}
+    first = None
+    for most in (perplexity.BROADCAST_ROWS, 0):  # broadcast, and in blocks
+        got = rules.judged(df, broadcast_rows=most).collect()
+        assert len(got) == len(rows) and all(abs(r["log_ppl"] - want[r["doc_id"]]) < 1e-5 for r in got)
+        plain = sorted(map(repr, got))
+        assert first in (None, plain)
+        first = plain
+    model = perplexity.kneser_ney(perplexity.gram_counts(df))
+    blocks = perplexity.scored_in_blocks(df.selectExpr("doc_id", "coalesce('=' || lang, '') as lang", "text"), model, rules.measured_batch, rules.MEASURED.format(id="bigint"), block_chars=500)
+    assert {r["doc_id"]: r["log_ppl"] for r in blocks.collect()} == {r["doc_id"]: r["log_ppl"] for r in got}
+
+
+def test_verdicts(spark):
+    rows, junk, prose = corpus(6)
+    rows += [(960, None, "en"), (961, "", None), (962, "few words", "en"), (0, rows[0][1], "en"), (963, "one two three " * 40, "en"), (964, prose(EN, 4000), None)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").selectExpr("*", "1 as kept", "2 as log_ppl")
     got = {r["doc_id"]: r for r in rules.judged(df).collect()}
-    assert all(got[i]["kept"] for i in range(150) if not got[i]["base_failed"])
-    assert not any(got[i]["kept"] for i in (900, 901, 902, 903, 904))
-    assert got[900]["n_words"] == 0 and not got[902]["base_failed"]
+    clean = [got[r[0]]["kept"] for r in rows if r[0] < 900 and not got[r[0]]["base_failed"]]
+    assert np.mean(clean) > 0.97
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in (900, 901, 902, 903, 904))
+    assert all(got[i]["distance"] > 0 for i in (900, 901, 902, 903, 904))
+    assert not got[905]["kept"] and (got[905]["base_failed"] or got[905]["distance"] < 0)
+    assert not any(got[i]["kept"] for i in (960, 961, 962, 963)) and got[964]["n_words"] == 4000
+    assert got[960]["n_words"] == 0 and got[960]["log_ppl"] == 0
     assert rules.judged(df.where("doc_id < 0")).count() == 0
