@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from datamill.llm._arrow import small_batches
-from datamill.llm.chat import gathered, packs, read_pack
+from datamill.llm.chat import PACK, PackReader, gathered, packs, with_trunks
 from datamill.tables import materialize, read_table
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -26,22 +26,29 @@ def read_back(written: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, nodes, leaves in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for pack, text, nodes, leaves, above in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                reader = PackReader(pack, text, nodes, above)
                 for leaf in leaves:
-                    formatted, loss, turns = read_pack(text, nodes, leaf["node"])
+                    formatted, loss, turns = reader.read(leaf["node"])
                     said = "".join(f"{role}\n{t}\n" for role, t in turns)
                     rows.append((leaf["conv_key"], len(turns), sha(said), len(loss), sha(loss), len(formatted)))
             columns = list(zip(*rows)) or [[]] * 6
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-    return written.select("text", "nodes", "leaves").mapInArrow(run, DIGESTS)
+    return with_trunks(written).select("pack", "text", "nodes", "leaves", "above").mapInArrow(run, DIGESTS)
 
 
-def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    added = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], given.schema)
+def digested(conversations: DataFrame, pack: int = PACK) -> DataFrame:
+    """conv_id and DIGESTS, without the key, of each of ``conversations``, and of conversation -1, which is added."""
+    given = conversations.select("conv_id", "turn", "role", "text")
+    added = given.sparkSession.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], given.schema)
     small_batches(given)
-    turns = materialize(gathered(given.unionByName(added)), "turns")
-    digests = read_back(packs(turns.select("conv_key", "turns")))
+    # Rows that the table may hold for conversation -1 are a conversation of their own.
+    turns = materialize(gathered(given).unionByName(gathered(added)), "turns")
+    digests = read_back(materialize(packs(turns, pack), "packs"))
     return turns.select("conv_id", "conv_key").join(digests, "conv_key").drop("conv_key")
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digested(read_table(spark, sf_dir, "conversations"))
