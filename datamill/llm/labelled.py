@@ -36,9 +36,9 @@ def sample_ids(train: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> DataFr
 
 
 def sample_texts(documents: DataFrame, train: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of the sample, in order of doc_id; its number of rows bounds what is broadcast and collected."""
+    """Texts and labels of the sample, one text of each doc_id, in order; its number of rows bounds what is broadcast and collected."""
     chosen = F.broadcast(sample_ids(train, rows_per_class))
-    rows = documents.select("doc_id", "text").join(chosen, "doc_id").orderBy("doc_id", "text").toArrow()
+    rows = documents.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).orderBy("doc_id").toArrow()
     return [t or "" for t in rows.column("text").to_pylist()], rows.column("y").to_numpy()
 
 

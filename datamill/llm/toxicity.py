@@ -1,11 +1,18 @@
 """A character n-gram linear classifier with naive Bayes log-count ratios, for toxicity.
 
-Features are the byte n-grams of the lower-cased text, present or not, hashed to
-2^18 numbers. Spark counts over a bounded sample of labelled rows in how many
-documents of each class a feature occurs; its log-count ratio scales it. A
-logistic regression on the scaled features is fitted on the same rows. Features
-whose ratio is near zero carry no weight, so that a long clean text isn't judged
-by its length. A null text is the empty one: no features, the score of the bias.
+Features are the n-grams of 4 to 6 characters (code points) of the lower-cased text
+between two spaces, present or not, hashed to 2^21 numbers. Spark counts over a bounded
+sample of labelled rows (``ROWS_PER_CLASS``) in how many documents of each class a
+feature occurs; its log-count ratio scales it. Only features with a clear ratio that
+several documents have count, so that a long clean text doesn't add up chance ones. A
+logistic regression on the scaled features is fitted on the same rows, classes of equal
+weight. Its margins are turned into probabilities by a scale and a shift that are fitted
+on margins of rows left out of the fit (five parts in turn).
+
+A null text is the empty one: no features, the score of the bias. Texts are read in
+whole. Equal texts and repeated rows get equal scores; of a sampled doc_id with several
+rows the smallest text counts; a column of the output's name gives way. An empty table
+stays empty; without two classes of labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -18,36 +25,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datamill.llm._arrow import append_columns, list_array, small_batches, texts_of
+from datamill.llm._arrow import append_columns, list_array, slices, small_batches, texts_of
 from datamill.llm.labelled import floats, sample_ids
 from datamill.tables import materialize
 
 #: Labelled documents of each class that the classifier is fitted on, at most.
 ROWS_PER_CLASS = 3000
 ORDERS = (4, 5, 6)
-BITS = 18
-#: Smoothing of the document counts, and the least absolute log-count ratio of a feature that is used.
-ALPHA, LEAST_RATIO = 1.0, 1.5
-ROUNDS, RATE, DECAY = 300, 0.5, 1e-4
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Features:
-    """The set of features of one text at a time, as sorted numbers."""
-
-    def __init__(self):
-        self.seen = np.zeros(1 << BITS, bool)
-
-    def of(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8).astype(np.uint64)
-        self.seen[:] = False
-        for n in ORDERS:
-            if len(data) >= n:
-                gram = np.full(len(data) - n + 1, n, np.uint64)
-                for k in range(n):
-                    gram = (gram << np.uint64(8)) | data[k : len(data) - n + 1 + k]
-                self.seen[(gram * MIX) >> np.uint64(64 - BITS)] = True
-        return np.flatnonzero(self.seen)
+BITS = 21
+#: Smoothing of the document counts; the least absolute log-count ratio of a feature that is used, the least share of
+#: one class that has it, and the fewest documents.
+ALPHA, LEAST_RATIO, LEAST_SHARE, LEAST_DOCUMENTS = 1.0, 1.5, 0.02, 4
+ROUNDS, RATE, DECAY = 200, 0.5, 1e-3
+PARTS = 5
+STEP, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+Model = tuple[np.ndarray, float]
+
+
+def hashed_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: the number of every n-gram of the texts, and the text that it is in."""
+    parts = [" " + t.lower() + " " for t in texts]
+    code = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    text = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    h = (code + np.uint64(1)) * MIX
+    for n in range(2, max(ORDERS) + 1):
+        if len(code) < n:
+            return
+        h = (h[: len(code) - n + 1] * STEP + code[n - 1 :] + np.uint64(n)) * MIX
+        if n in ORDERS:
+            own = text[: len(h)] == text[n - 1 :]
+            yield (h[own] >> np.uint64(64 - BITS)).astype(np.int64), text[: len(h)][own]
+
+
+def features_of(texts: list[str], used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of the different features (those ``used``, or all) of each text, in order."""
+    pairs = [np.zeros(0, np.int64)]
+    for gram, text in hashed_grams(texts):
+        if used is not None:
+            some = np.flatnonzero(used[gram])
+            gram, text = gram[some], text[some]
+        pairs.append((text << BITS) | gram)
+    both = np.unique(np.concatenate(pairs))
+    return both >> BITS, both & ((1 << BITS) - 1)
 
 
 def class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -59,10 +79,10 @@ def class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = sample.select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, held, n = Features(), np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
+        held, n = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
         for batch in batches:
             for text, y in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-                held[y][features.of(text)] += 1
+                held[y][features_of([text])[1]] += 1
                 n[y] += 1
         at = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays(
@@ -78,20 +98,20 @@ def class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratios(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log(p / q) of the smoothed shares of class 1 and class 0 with each feature; 0 where it is small."""
+    """log(p / q) of the smoothed shares of class 1 and class 0 with each feature; 0 where the feature isn't used."""
     share = (counts + ALPHA) / (n + 2 * ALPHA)[:, None]
     ratio = np.log(share[1] / share[0])
-    return np.where(np.abs(ratio) >= LEAST_RATIO, ratio, 0.0)
+    often = ((counts >= LEAST_SHARE * n[:, None]).any(axis=0)) & (counts.sum(axis=0) >= LEAST_DOCUMENTS)
+    return np.where((np.abs(ratio) >= LEAST_RATIO) & often, ratio, 0.0)
 
 
 def sample_features(sample: DataFrame, used: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """The used features of each row of the sample (doc_id, text, y), and its labels."""
 
     def make():
-        features = Features()
-
         def work(columns):
-            found = [x[used[x]] for x in map(features.of, texts_of(columns[0]))]
+            texts = texts_of(columns[0])
+            found = [features_of([t], used)[1] for t in texts]
             values = np.concatenate(found) if found else np.zeros(0, np.int64)
             return [list_array(values.astype(np.int32), np.array([len(x) for x in found], np.int64), pa.int32())]
 
@@ -106,7 +126,7 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tup
     """Weights of the features (their ratio times what logistic regression learns) and the bias."""
     if len(np.unique(y)) < 2:
         return np.zeros_like(ratio), 0.0
-    flat = np.concatenate(rows)
+    flat = np.concatenate([np.zeros(0, np.int64), *rows])
     names, column = np.unique(flat, return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     value = ratio[flat]
@@ -126,27 +146,58 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> tup
     return out, float(bias)
 
 
-def fit(documents: DataFrame, train: DataFrame) -> tuple[np.ndarray, float]:
+def scale_of(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Factor and shift that turn margins into log odds, classes of equal weight; by Newton's method with a slight pull to (1, 0)."""
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    x, v = np.stack([margin, np.ones(len(margin))]), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(v @ x, -30, 30)))
+        gradient = x @ (weight * (p - y)) + (v - [1.0, 0.0])
+        v = v - np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + np.eye(2), gradient)
+    return float(max(v[0], 0.0)), float(v[1])
+
+
+def fit_sample(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Model:
+    """Weights and bias whose margins are log odds."""
+    if len(np.unique(y)) < 2:
+        return np.zeros_like(ratio), 0.0
+    part, left_out = np.arange(len(y)) % PARTS, np.zeros(len(y))
+    for k in range(PARTS):
+        inside = np.flatnonzero(part != k)
+        weights, bias = fit_weights([rows[i] for i in inside], y[inside], ratio)
+        for i in np.flatnonzero(part == k):
+            left_out[i] = weights[rows[i]].sum() + bias
+    weights, bias = fit_weights(rows, y, ratio)
+    factor, shift = scale_of(left_out, y)
+    return weights * factor, bias * factor + shift
+
+
+def fit(documents: DataFrame, train: DataFrame) -> Model:
     """Weights of all 2^BITS features, and the bias. What is broadcast are the ids of the bounded sample."""
     chosen = F.broadcast(sample_ids(train, ROWS_PER_CLASS))
-    sample = materialize(documents.select("doc_id", "text").join(chosen, "doc_id"), "sample")
+    one = documents.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    sample = materialize(one, "sample")
     ratio = log_ratios(*class_counts(sample))
     rows, y = sample_features(sample, ratio != 0)
-    return fit_weights(rows, y, ratio)
+    return fit_sample(rows, y, ratio)
 
 
-def add_scores(df: DataFrame, model: tuple[np.ndarray, float], text: str = "text", output: str = "score") -> DataFrame:
-    """``df`` with each whole text's probability. The weights have a fixed size and are broadcast."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def margins(model: Model, texts: list[str]) -> np.ndarray:
+    weights, bias = model
+    used = weights != 0
+    out = np.full(len(texts), bias)
+    for a, b in slices(texts):
+        text, feature = features_of(texts[a:b], used)
+        out[a:b] += np.bincount(text, weights[feature], b - a)
+    return out
 
-    def make():
-        weights, bias = shared.value
-        features = Features()
 
-        def work(columns):
-            margin = np.array([weights[features.of(t)].sum() + bias for t in texts_of(columns[0])])
-            return [floats(1 / (1 + np.exp(-np.clip(margin, -30, 30))))]
+def add_scores(df: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
+    """``df`` with each whole text's probability. The weights have a fixed size and are broadcast."""
+    weights, bias = model
+    shared = df.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
 
-        return work
+    def make():
+        return lambda columns: [floats(np.round(1 / (1 + np.exp(-np.clip(margins(shared.value, texts_of(columns[0])), -30, 30))), 9))]
 
     return append_columns(df, [text], T.StructType([T.StructField(output, T.DoubleType())]), make)
