@@ -52,16 +52,17 @@ def cells(rows: DataFrame, key: str, cell_rows: int = CELL_ROWS) -> DataFrame:
 
 
 def compare_in_cells(
-    dealt: DataFrame, compare: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch | None], schema: T.StructType
+    dealt: DataFrame, compare: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], pa.RecordBatch | None], schema: T.StructType, uneven: tuple[str, ...] = ()
 ) -> DataFrame:
     """Run ``compare(columns, i, j)`` on the pairs (centre i, other row j) of each cell.
 
-    A task reads its cells in order and holds one cell and one batch at a time.
+    A task reads its cells in order and holds one cell and one batch at a time. Binary columns are matrices of
+    bytes; those named in ``uneven``, whose values differ in length, are objects.
     """
     names = dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, starts in whole_cells(batches, names):
+        for columns, starts in whole_cells(batches, names, uneven):
             for i, j in pairs_of(columns["centre"], starts):
                 meet = columns["mutual"][i] | ~columns["centre"][j]
                 out = compare(columns, i[meet], j[meet])
@@ -71,21 +72,25 @@ def compare_in_cells(
     return dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, schema)
 
 
-def column_values(column: pa.Array) -> np.ndarray:
+def column_values(column: pa.Array, uneven: bool) -> np.ndarray:
     """Numbers as they are; binary values of one length as a matrix of bytes."""
+    if uneven:
+        out = np.empty(len(column), object)
+        out[:] = column.to_pylist()
+        return out
     if pa.types.is_binary(column.type):
         return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
     return column.to_numpy(zero_copy_only=False)
 
 
-def whole_cells(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+def whole_cells(batches: Iterator[pa.RecordBatch], names: list[str], uneven: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
     """Blocks of whole cells (columns; start of each cell, and the end) from sorted batches."""
     held: list[dict[str, np.ndarray]] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = {n: column_values(batch.column(i)) for i, n in enumerate(names)}
+        columns = {n: column_values(batch.column(i), n in uneven) for i, n in enumerate(names)}
         bucket, cell = columns["bucket"], columns["cell"]
         edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1
         if held and last != (bucket[0], cell[0]):

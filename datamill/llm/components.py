@@ -14,12 +14,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates the large-star and small-star steps until each node points at
     the smallest node of its component. A step is a minimum for each node (summed
     up before the shuffle) and a join that Spark can split where a node has very
-    many links. Links may repeat, may go either way and may be loops; null ends
+    many links. Nodes may be of any type that has an order. Links may repeat, may go either way and may be loops; null ends
     and loops are left out. No links: an empty table.
     """
     edges = materialize(
         links.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct(),
         "edges",
     )
