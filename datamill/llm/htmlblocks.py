@@ -1,21 +1,26 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes the sequence of its blocks: runs of text between tags that break
-lines, each with the path of open tags (names, classes, ids, roles) that it is in.
-A bidirectional LSTM in numpy reads, for each block, the hashed path, hashed words
-and a few measures, and says of every block in the light of the whole page
-whether it belongs to the article.
-
-No table has labels for blocks, so the network learns from pages of the table
-itself: blocks are labelled by the names in their paths (``CONTENT``, ``OTHER``)
-where those speak, and training pages are varied: container names are exchanged
-for others of their kind and boilerplate blocks of other pages are put in, so
-that forms, notices, sidebars and reader comments are known even where the
-sampled pages have none.
-
-Null and empty pages have no blocks and an empty text. Unclosed tags, comments and
-stray closing tags are read as browsers read them, near enough. Repeated rows give
-repeated results.
+lines, each with the path of open tags (names, classes, ids, roles) that it is in and
+the box (the innermost element that holds blocks) it stands in. A bidirectional LSTM in
+numpy reads, for each block, the hashed path, hashed words and a few measures, also of
+its box, and says of every block in the light of the whole page whether it belongs to
+the article.
+
+No table has labels for blocks, so the network learns from pages of the table itself
+that speak for themselves: blocks are labelled by the names in their paths (``CONTENT``,
+``OTHER``), and blocks whose paths say nothing are left out of the loss. Training pages
+are varied: most lose their telling names (containers become neutral elements with
+random names, the labels stay), so that the network has to tell an article by its
+blocks, their boxes and their neighbours; others have names exchanged for others of
+their kind; boilerplate blocks of other pages are put in. A page in neutral containers
+is read the same way.
+
+Null and empty pages have no blocks and an empty text. Unclosed tags, comments, stray
+closing tags and odd quotes are read as browsers read them, near enough. Pages of any
+length are read in whole; memory follows the longest page alone. Repeated rows and ties
+give repeated results, a column of the output's name gives way, and a table without
+rows, or without a page that speaks for itself, gives empty results.
 """
 
 from __future__ import annotations
@@ -30,47 +35,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datamill.llm._arrow import append_columns, texts_of
+from datamill.llm._arrow import append_columns, slices, texts_of
 
+#: What follows a tag's name: attributes with quoted, unquoted or no value, as HTML reads them.
+ATTRIBUTES = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
+#: Comments; elements whose content is no text of the page; tags; declarations.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|textarea|select|noembed|noframes)(?=[\s/>]){ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    rf"|<svg(?=[\s/>]){ATTRIBUTES}(?:(?<=/)>|>.*?(?:</svg\s*>|\Z))|<(/?)([a-z][^\s/>]*)({ATTRIBUTES})>|<[!?][^>]*>",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-SPACE = re.compile(r"\s+")
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+")
+SPACE, PARTS = re.compile(r"\s+"), re.compile(r"[-_]+")
 #: Tags that stay within a line, and tags without an end.
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Names in a path that speak for or against a block.
 CONTENT = frozenset("article main content post entry story body-text post-content entry-content article-body main-content".split())
 OTHER = frozenset(
-    "head title nav header footer aside form button ad ads advert advertisement banner sponsor promo menu navbar breadcrumb breadcrumbs sidebar side "
+    "head nav header footer aside form button ad ads advert advertisement banner sponsor promo menu navbar breadcrumb breadcrumbs sidebar side "
     "widget cookie cookies notice alert popup modal newsletter subscribe login search comment comments reply replies respond discussion disqus share "
-    "social related recommended pagination pager tags copyright legal".split()
+    "social related recommended pagination pager tags copyright legal noscript".split()
 )
-PATH_BITS, WORD_BITS, MEASURES = 64, 32, 5
+#: Elements that are blocks of text and not boxes of such, and telling names that are elements.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption table thead tbody tfoot tr td th caption address details summary".split())
+ELEMENTS = frozenset("article main nav header footer aside".split())
+#: Telling names that stay when a page is made neutral: there is no other element for these.
+KEPT_NAMES = frozenset("head form button noscript".split())
+PATH_BITS, WORD_BITS, MEASURES = 1024, 32, 11
 INPUT, HIDDEN = PATH_BITS + WORD_BITS + MEASURES, 16
-#: Training: pages sampled, their blocks at most in one step's pages, passes, step size.
-PAGES, EPOCHS, PAGES_A_STEP, RATE = 300, 12, 16, 0.02
+#: What a name on a block's path counts for, beside measures of about 1.
+NAME = 3.0
+#: Training: pages sampled, passes, pages a step, step size.
+PAGES, EPOCHS, PAGES_A_STEP, RATE = 200, 32, 8, 0.015
+#: Blocks (with filling) that are labelled at a time, but at least one page.
+BLOCKS_AT_ONCE = 1 << 15
 
-Block = tuple[str, tuple[str, ...], int]  # text, path, characters inside links
+Block = tuple[str, tuple[str, ...], int, int]  # text, path, characters inside links, box
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     held: list[str] = []
     path: tuple[str, ...] = ()
-    linked = depth = at = 0
+    linked = depth = at = box = 0
 
     def flush():
         nonlocal held, linked
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                out.append((text, path, min(linked, len(text))))
+                out.append((text, path, min(linked, len(text)), box))
         held, linked = [], 0
 
     for m in TOKEN.finditer(page):
@@ -103,16 +120,30 @@ def blocks_of(page: str) -> list[Block]:
                         break
                     if stack[k][0] not in INLINE:
                         break
-            stack.append((tag, (tag, *(w for n in NAMES.findall(m[4] or "") for w in n.strip("\"'").lower().split()))))
+            stack.append((tag, (tag, *names_of(m[4])), m.start()))
         depth = sum(s[0] == "a" for s in stack)
         if tag not in INLINE:
             path = tuple(w for s in stack if s[0] not in INLINE for w in s[1])
+            box = next((s[2] for s in reversed(stack) if s[0] not in INLINE and s[0] not in TEXTUAL), -1)
     if at < len(page):
         held.append(page[at:])
     flush()
     return out
 
 
+def names_of(attributes: str) -> list[str]:
+    """The words of a tag's class, id and role, in lower case; of compound ones (``cookie-notice``) the parts too."""
+    if not attributes or attributes.isspace():
+        return []
+    found = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name in ("class", "id", "role") and m[2]:
+            found.setdefault(name, m[2].strip("\"'").lower())  # the first of a name counts
+    words = [w for value in found.values() for w in value.split()]
+    return [x for w in words for x in dict.fromkeys((w, *filter(None, PARTS.split(w))))]
+
+
 _HASHED: dict[str, int] = {}
 
 
@@ -128,15 +159,23 @@ def hashed(word: str, size: int) -> int:
 def features_of(blocks: list[Block]) -> np.ndarray:
     """One row for each block."""
     x = np.zeros((len(blocks), INPUT), np.float32)
-    for i, (text, path, linked) in enumerate(blocks):
+    sizes, counts, heads = {}, {}, set()
+    for text, path, linked, box in blocks:
+        sizes[box] = sizes.get(box, 0) + len(text) - linked
+        counts[box] = counts.get(box, 0) + 1
+        if path and path[-1] == "h1":
+            heads.add(box)
+    whole = max(1, sum(sizes.values()))
+    for i, (text, path, linked, box) in enumerate(blocks):
         for w in path:
-            x[i, hashed(w, PATH_BITS)] = 1
+            x[i, hashed(w, PATH_BITS)] = NAME
         words = text.split()
         codes = np.bincount([hashed(w, WORD_BITS) for w in words], minlength=WORD_BITS)
         x[i, PATH_BITS : PATH_BITS + WORD_BITS] = np.sqrt(codes / len(words))
         x[i, PATH_BITS + WORD_BITS :] = (
             min(len(words), 400) ** 0.5 / 10, linked / len(text), sum(text.count(c) for c in ".,;!?") / len(words),
-            i / max(1, len(blocks) - 1), 1.0,
+            i / max(1, len(blocks) - 1), 1.0, sizes[box] / whole, min(counts[box], 50) ** 0.5 / 5, box in heads,
+            i > 0 and blocks[i - 1][3] == box, i + 1 < len(blocks) and blocks[i + 1][3] == box, len(path) > 0 and path[-1] in TEXTUAL,
         )
     return x
 
@@ -145,10 +184,11 @@ def new_params(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     p = {}
     for way in ("f", "b"):
-        p[way + "x"] = (rng.standard_normal((INPUT, 4 * HIDDEN)) * 0.15).astype(np.float32)
+        p[way + "x"] = (rng.standard_normal((INPUT, 4 * HIDDEN)) * 0.1).astype(np.float32)
         p[way + "h"] = (rng.standard_normal((HIDDEN, 4 * HIDDEN)) * 0.2).astype(np.float32)
         p[way + "c"] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(np.float32)
     p["out"] = (rng.standard_normal(2 * HIDDEN) * 0.2).astype(np.float32)
+    p["own"] = np.zeros(INPUT, np.float32)
     p["bias"] = np.zeros(1, np.float32)
     return p
 
@@ -157,8 +197,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def run_way(p: dict, way: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (time, page, HIDDEN) of one direction, and what its gradient needs. x: (time, page, INPUT)."""
+def run_way(p: dict, way: str, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+    """Hidden states (time, page, HIDDEN) of one direction, and what its gradient needs (``keep``). x: (time, page, INPUT)."""
     steps, pages = x.shape[:2]
     z_x = x.reshape(-1, INPUT) @ p[way + "x"] + p[way + "c"]
     z_x = z_x.reshape(steps, pages, 4 * HIDDEN)
@@ -172,7 +212,8 @@ def run_way(p: dict, way: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndar
         new_c = f * c + i * g
         tc = np.tanh(new_c)
         m = mask[t][:, None]
-        kept.append((t, h, c, i, f, o, g, tc, m))
+        if keep:
+            kept.append((t, h, c, i, f, o, g, tc, m))
         h, c = np.where(m, o * tc, h), np.where(m, new_c, c)
         out[t] = h
     return out, kept
@@ -203,98 +244,151 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def label_pages(p: dict, pages: list[np.ndarray], at_once: int = 64) -> list[np.ndarray]:
+def label_pages(p: dict, pages: list[np.ndarray], at_once: int = BLOCKS_AT_ONCE) -> list[np.ndarray]:
     """The probability of each block of each page to belong to the article."""
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
     some = sorted((k for k, x in enumerate(pages) if len(x)), key=lambda k: len(pages[k]))
-    for a in range(0, len(some), at_once):
-        ids = some[a : a + at_once]
+    while some:
+        ids = [some.pop()]
+        while some and (len(ids) + 1) * len(pages[ids[0]]) <= at_once:
+            ids.append(some.pop())
         x, mask = padded([pages[k] for k in ids])
-        both = np.concatenate([run_way(p, "f", x, mask)[0], run_way(p, "b", x, mask)[0]], axis=2)
-        prob = sigmoid(both @ p["out"] + p["bias"][0])
+        both = np.concatenate([run_way(p, way, x, mask, keep=False)[0] for way in ("f", "b")], axis=2)
+        prob = sigmoid(both @ p["out"] + x @ p["own"] + p["bias"][0])
         for n, k in enumerate(ids):
             out[k] = prob[: len(pages[k]), n]
     return out
 
 
 def spoken_label(path: tuple[str, ...]) -> int:
-    """1 where a path speaks for the article, else 0. What is inside comments, forms and the like is not."""
+    """1 where a path speaks for the article, 0 where it speaks against it (as comments or forms in it do), else -1."""
     if any(w in OTHER for w in path):
         return 0
-    return int(any(w in CONTENT for w in path))
+    return 1 if any(w in CONTENT for w in path) else -1
+
+
+Labelled = tuple[Block, int]
+
 
+def neutral(page: list[Labelled], rng: np.random.Generator, hidden: frozenset[str]) -> list[Labelled]:
+    """The page without some telling names: elements become ``div``, other names a random one each, or none."""
+    names: dict[str, tuple[str, ...]] = {}
 
-def terse(text: str, path: tuple[str, ...], linked: int, rng: np.random.Generator) -> list[Block]:
+    def other(w: str) -> tuple[str, ...]:
+        if w in KEPT_NAMES or w not in hidden:
+            return (w,)
+        if w not in names:
+            drawn = (f"k{rng.integers(1 << 30)}",) if rng.random() < 0.6 else ()
+            names[w] = (("div" if rng.random() < 0.7 else "section"), *drawn) if w in ELEMENTS else drawn
+        return names[w]
+
+    return [((text, tuple(y for w in path for y in other(w)), linked, box), label) for (text, path, linked, box), label in page]
+
+
+def terse(block: Block, rng: np.random.Generator) -> list[Block]:
     """A block as it is, or sometimes its first words, or those several times."""
     if rng.random() < 0.6:
-        return [(text, path, linked)]
+        return [block]
+    text, path, linked, box = block
     short = " ".join(text.split()[: rng.integers(1, 6)])
-    return [(short, path, min(linked, len(short)))] * int(rng.choice([1, 1, 2, 8]))
-
-
-def varied(blocks: list[Block], pool: list[Block], rng: np.random.Generator) -> list[Block]:
-    """A page like this one with other container names and with boilerplate put in."""
-    wrap = sorted(CONTENT)[rng.integers(len(CONTENT))]
-    swap = rng.random() < 0.5
-    out = []
-    for text, path, linked in blocks:
-        if swap and "article" in path:
-            tag = ("div", wrap) if rng.random() < 0.9 else (wrap,)
-            path = tuple(y for w in path for y in (tag if w == "article" else (w,)))
-        out.append((text, path, linked))
+    return [(short, path, min(linked, len(short)), box)] * int(rng.choice([1, 1, 2, 8]))
+
+
+def renamed(page: list[Labelled], rng: np.random.Generator) -> list[Labelled]:
+    """The page with another name of its kind for its article."""
+    name = sorted(CONTENT)[rng.integers(len(CONTENT))]
+    new = ("div", name) if rng.random() < 0.9 else (name,)
+    return [((text, tuple(y for w in path for y in (new if w in ("article", "main") else (w,))), linked, box), label) for (text, path, linked, box), label in page]
+
+
+def with_boilerplate(page: list[Labelled], pages: list[list[Block]], rng: np.random.Generator, named: bool) -> list[Labelled]:
+    """The page with a box of blocks of other pages under a name that speaks against it, perhaps with a heading of its own.
+
+    Where the name will not be seen (``named``), the box stands outside the article and mostly holds links or short lines.
+    """
+    name = sorted(OTHER)[rng.integers(len(OTHER))]
+    inside = next((p[: p.index(w) + 1] for (_, p, _, _), _ in page for w in p if w in CONTENT), ("html", "body"))
+    outer = ("html", "body") if not named or rng.random() < 0.6 else inside
+    tag = () if name in ELEMENTS or name in KEPT_NAMES else ("div",) if rng.random() < 0.7 else ("section",)
+    path, leaf = (*outer, *tag, name), [("p",), (), ("ul", "li"), ("div",)][rng.integers(4)]
+    linked = rng.random() < (0.3 if named else 0.5)
+    brief = not named and rng.random() < 0.8
+    box = -2 - int(rng.integers(1 << 30))
+    added = []
+    for k in range(rng.integers(1, 7)):
+        source = pages[rng.integers(len(pages))]
+        text = source[rng.integers(len(source))][0]
+        heading = k == 0 and rng.random() < 0.4
+        if heading or brief or rng.random() < 0.3:
+            text = " ".join(text.split()[: rng.integers(1, 7)])
+        added.append(((text, (*path, f"h{rng.integers(2, 5)}") if heading else path + leaf, len(text) if linked and not heading else 0, box), 0))
+    borders = [k for k in range(len(page) + 1) if k in (0, len(page)) or page[k][0][3] != page[k - 1][0][3]]
+    at = int(rng.integers(len(page) + 1)) if named and rng.random() < 0.3 else borders[rng.integers(len(borders))]
+    return page[:at] + added + page[at:]
+
+
+def varied(blocks: list[Block], pages: list[list[Block]], rng: np.random.Generator) -> list[Labelled]:
+    """A page like this one, with labels."""
+    page = [(b, spoken_label(b[1])) for b in blocks]
+    way = rng.random()
+    named = way < 0.7
     if rng.random() < 0.4:
         # Articles also hold short lines, and the same line many times over.
-        out = [b for text, path, linked in out for b in terse(text, path, linked, rng)]
-    if not pool or rng.random() < 0.25:
-        return out
-    for _ in range(rng.integers(1, 4)):
-        name = sorted(OTHER)[rng.integers(len(OTHER))]
-        outer = ("html", "body") if rng.random() < 0.6 else next((p[: p.index(w) + 1] for _, p, _ in out for w in p if w in CONTENT), ("html", "body"))
-        path = (*outer, *(() if rng.random() < 0.3 else ("div",)), name, *(("p",) if rng.random() < 0.6 else ()))
-        at = int(rng.integers(0, len(out) + 1))
-        added = [(pool[rng.integers(len(pool))][0], path, 0) for _ in range(rng.integers(1, 5))]
-        out[at:at] = [(t, p, len(t) if rng.random() < 0.3 else 0) for t, p, _ in added]
-    return out
+        page = [(t, label) for b, label in page for t in terse(b, rng)]
+    if rng.random() < 0.3:
+        # Some articles are in several boxes.
+        page = [((*b[:3], b[3] * 8 + int(rng.integers(2)) + 1) if label == 1 else b, label) for b, label in page]
+    if rng.random() < 0.8:
+        for _ in range(rng.choice([1, 1, 2, 3, 4])):
+            page = with_boilerplate(page, pages, rng, named)
+    if way < 0.4:
+        return renamed(page, rng) if way < 0.2 else page
+    return neutral(page, rng, CONTENT if named else CONTENT | OTHER)
 
 
 def fit(pages: list[str], epochs: int = EPOCHS, seed: int = 5) -> dict[str, np.ndarray]:
-    """Fit the labeller on sampled pages and variations of them, by Adam."""
+    """Fit the labeller on variations of those of the sampled pages that speak for themselves, by Adam."""
     p, rng = new_params(seed), np.random.default_rng(seed)
-    read = [b for b in map(blocks_of, pages) if b]
-    pool = [b for page in read for b in page][:20000]
+    read = [b for b in map(blocks_of, pages) if any(spoken_label(x[1]) == 1 for x in b)]
+    if not read:
+        return p | {"out": p["out"] * 0, "bias": p["bias"] - 1}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for epoch in range(epochs):
-        rate = RATE * (1 - epoch / epochs) + 1e-3
+        rate = RATE * (1 - epoch / epochs) + 5e-4
         order = rng.permutation(len(read))
         for a in range(0, len(order), PAGES_A_STEP):
-            chosen = [varied(read[k], pool, rng) for k in order[a : a + PAGES_A_STEP]]
-            x, mask = padded([features_of(b) for b in chosen])
+            chosen = [varied(read[k], read, rng) for k in order[a : a + PAGES_A_STEP]]
+            x, mask = padded([features_of([b for b, _ in page]) for page in chosen])
             y = np.zeros(mask.shape, np.float32)
-            for k, b in enumerate(chosen):
-                y[: len(b), k] = [spoken_label(path) for _, path, _ in b]
+            for k, page in enumerate(chosen):
+                y[: len(page), k] = [label for _, label in page]
             step += 1
-            for k, g in gradients(p, x, mask, y).items():
+            for k, g in gradients(p, x, mask, np.maximum(y, 0), (y >= 0) & mask).items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                # The weights of single names count on few blocks of a step; they move faster.
+                p[k] -= (rate * (4 if k == "own" else 1) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return p
 
 
-def gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict:
+def gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray, counts: np.ndarray) -> dict:
+    """Gradients of the mean log loss over the blocks that count."""
     (f, kept_f), (b, kept_b) = run_way(p, "f", x, mask), run_way(p, "b", x, mask)
     both = np.concatenate([f, b], axis=2)
-    d = ((sigmoid(both @ p["out"] + p["bias"][0]) - y) * mask / max(1, mask.sum())).astype(np.float32)
+    d = ((sigmoid(both @ p["out"] + x @ p["own"] + p["bias"][0]) - y) * counts / max(1, counts.sum())).astype(np.float32)
     d_both = d[:, :, None] * p["out"]
     out = back_way(p, "f", x, kept_f, d_both[:, :, :HIDDEN]) | back_way(p, "b", x, kept_b, d_both[:, :, HIDDEN:])
-    return out | {"out": np.einsum("tph,tp->h", both, d), "bias": d.sum(keepdims=True).reshape(1)}
+    return out | {"out": np.einsum("tph,tp->h", both, d), "own": np.einsum("tpi,tp->i", x, d), "bias": d.sum(keepdims=True).reshape(1)}
 
 
 def sample_pages(pages: DataFrame, rows: int = PAGES) -> list[str]:
-    """``rows`` pages at most, those with the smallest hashes of their page_id."""
-    chosen = pages.select("page_id", "url").orderBy(F.xxhash64("page_id"), "page_id", "url").limit(rows).select("page_id").distinct()
-    got = pages.join(F.broadcast(chosen), "page_id").select("page_id", "html").orderBy("page_id", "html").toArrow()
+    """``rows`` pages at most that may speak for themselves: those with the smallest hashes of their page_id, one of each."""
+    speaks = "(?i)(<(article|main)[\\s>/])|((class|id|role)\\s*=[^>]*(" + "|".join(sorted(CONTENT)) + "))"
+    usable = pages.where(F.col("page_id").isNotNull() & F.col("html").rlike(speaks))
+    chosen = usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
+    got = usable.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").toArrow()
     return texts_of(got["html"].combine_chunks())
 
 
@@ -303,9 +397,12 @@ def extract(pages: DataFrame, params: dict[str, np.ndarray], html: str = "html",
 
     def make():
         def work(columns: list[pa.Array]) -> list[pa.Array]:
-            read = [blocks_of(t) for t in texts_of(columns[0])]
-            found = label_pages(params, [features_of(b) for b in read])
-            return [pa.array(["\n".join(b[0] for b, y in zip(page, prob) if y >= 0.5) for page, prob in zip(read, found)], pa.string())]
+            pages, out = texts_of(columns[0]), []
+            for a, b in slices(pages):
+                read = [blocks_of(t) for t in pages[a:b]]
+                found = label_pages(params, [features_of(x) for x in read])
+                out += ["\n".join(x[0] for x, y in zip(page, prob) if y >= 0.5) for page, prob in zip(read, found)]
+            return [pa.array(out, pa.string())]
 
         return work
 

@@ -1,3 +1,10 @@
+import random
+import re
+import tracemalloc
+
+import numpy as np
+import pytest
+
 from datamill.llm import htmlblocks as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
@@ -6,42 +13,110 @@ of <i>text</i><br><p>Second&nbsp;one</p>%s</article><footer>&copy; us</footer>""
 
 
 def pages(n):
-    return [PAGE % "".join(f"<p>Line {k} of page {i}, with words.</p>" for k in range(i % 7)) for i in range(n)]
+    rnd = random.Random(2)
+    line = lambda: " ".join(rnd.choice("some words that make up lines of text on pages, and more of them.".split()) for _ in range(rnd.randint(3, 30)))
+    return [PAGE % "".join(f"<p>{line()}</p>" for k in range(i % 7)) for i in range(n)]
 
 
 def test_blocks():
     blocks = h.blocks_of(PAGE % "")
     assert [b[0] for b in blocks] == ["T", "A", "B", "Buy & win", "Big news", "First <line>, of text", "Second one", "© us"]
     assert blocks[3][1] == ("html", "body", "div", "ad") and blocks[6][1] == ("html", "body", "article", "p")
-    assert h.blocks_of("") == [] and h.blocks_of("plain <b") == [("plain <b", (), 0)]
+    assert blocks[4][3] == blocks[5][3] == blocks[6][3] != blocks[3][3]
+    assert h.blocks_of("") == [] and [b[0] for b in h.blocks_of("plain <b")] == ["plain <b"]
     assert [b[0] for b in h.blocks_of("a<script>x</script>b<!-- c")] == ["ab"]
 
 
-def test_labeller_learns_article_blocks(spark):
-    params = h.fit(pages(60), epochs=14)
-    unseen = PAGE % '<p>More text here.</p><div class="comments"><p>nice post</p></div>'
-    rows = [(1, PAGE % "", "x"), (2, None, "x"), (3, "", "x"), (4, unseen, "x"), (1, PAGE % "", "x")]
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<p title=it's>Hello there</p>", ["Hello there"]),
+        ("<p title=\"a > b\" x='c > d'>one</p><p a=1/>two", ["one", "two"]),
+        ('<p title="open>rest</p>', ["rest"]),
+        ("<p\nclass = k >x<br/>y</p >z", ["x", "y", "z"]),
+        ("a<svg/>b<svg><text>no</text></svg>c<iframe src=x>no</iframe>", ["abc"]),
+        ("1 < 2 and 3 > 2 &amp;lt; <3", ["1 < 2 and 3 > 2 &lt; <3"]),
+        ("<noscript>on</noscript><script type='x'>if (a<b) '</p>'</script >end", ["on", "end"]),
+        ("<div>" * 5000 + "deep" + "</div>" * 5000, ["deep"]),
+    ],
+)
+def test_markup_is_read_as_browsers_do(page, blocks):
+    assert [b[0] for b in h.blocks_of(page)] == blocks
+
+
+def test_names():
+    assert h.names_of(" class='A b' data-x=\"class=no\" id=c role class=again") == ["a", "b", "c"]
+    assert h.names_of("") == []
+
+
+@pytest.fixture(scope="module")
+def params():
+    return h.fit(pages(80))
+
+
+def text_of(params, page):
+    read = h.blocks_of(page)
+    return [b[0] for b, y in zip(read, h.label_pages(params, [h.features_of(read)])[0]) if y >= 0.5]
+
+
+def word_list(page):
+    return [b[0] for b in h.blocks_of(page) if h.spoken_label(b[1]) == 1]
+
+
+def test_articles_in_elements_without_names(params):
+    rnd = random.Random(5)
+    for page in pages(40):
+        want = word_list(page)
+        shown = re.sub(r"<(/?)(nav|article|footer)>", lambda m: f"<{m[1]}div" + ("" if m[1] else f" class=x{rnd.randrange(10**6)}") + ">", page).replace('"ad"', f'"y{rnd.randrange(10**6)}"')
+        assert word_list(shown) == [] and text_of(params, shown) == want == text_of(params, page)
+
+
+def test_what_is_not_the_article(params):
+    extra = (
+        '<div class="comments"><p>nice post, thanks for that.</p><p>me too</p></div><form><p>your name</p><button>send</button></form>'
+        '<aside><p>read this as well</p></aside>'
+    )
+    for page in pages(20):
+        assert text_of(params, page.replace("<footer>", extra + "<footer>")) == word_list(page)
+        assert text_of(params, page.replace("</article>", '<div class="comments"><p>nice post</p></div></article>')) == word_list(page)
+
+
+def test_tables(spark, params):
+    rows = [(1, PAGE % "", "x"), (2, None, "x"), (3, "", "x"), (None, PAGE % "", "x"), (1, PAGE % "", "x")]
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
-    got = {r["page_id"]: r["text"] for r in h.extract(df, params).collect()}
-    assert got[1] == "Big news\nFirst <line>, of text\nSecond one" and got[2] == got[3] == ""
-    assert got[4].startswith(got[1] + "\nMore text here.") and "Buy" not in got[4]
+    got = h.extract(df, params).collect()
+    assert len(got) == 5 and {r["text"] for r in got if r["page_id"] in (1, None)} == {"Big news\nFirst <line>, of text\nSecond one"}
+    assert {r["text"] for r in got if r["page_id"] in (2, 3)} == {""}
     assert h.extract(df.where("page_id < 0"), params).count() == 0
+    assert h.sample_pages(df) == [PAGE % ""] and h.sample_pages(df.where("page_id = 2")) == []
+    silent = h.fit([])
+    assert [r["text"] for r in h.extract(df.where("page_id = 3 or page_id = 1"), silent).collect()] == ["", "", ""]
 
 
-def test_gradients():
-    import numpy as np
+def test_a_very_long_page_takes_little_memory(params):
+    page = PAGE % "".join(f"<p>Paragraph {k} of a long page, with words.</p>" for k in range(100_000))
+    short = pages(30)
+    tracemalloc.start()
+    read = [h.blocks_of(p) for p in [page, *short]]
+    found = h.label_pages(params, [h.features_of(b) for b in read])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6 and (found[0] >= 0.5).sum() > 39_000
+    assert all(np.allclose(a, b) for a, b in zip(found[1:], h.label_pages(params, [h.features_of(b) for b in read[1:]])))
 
+
+def test_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in h.new_params().items()}
     x, mask = rng.standard_normal((4, 2, h.INPUT)), np.array([[1, 1], [1, 1], [1, 0], [1, 0]], bool)
-    y = rng.integers(0, 2, (4, 2)).astype(float)
+    y, counts = rng.integers(0, 2, (4, 2)).astype(float), np.array([[1, 1], [0, 1], [1, 0], [1, 0]], bool)
 
     def loss(q):
         both = np.concatenate([h.run_way(q, "f", x, mask)[0], h.run_way(q, "b", x, mask)[0]], axis=2)
         z = both @ q["out"] + q["bias"][0]
-        return (np.log1p(np.exp(-z * (2 * y - 1))) * mask).sum() / mask.sum()
+        return (np.log1p(np.exp(-z * (2 * y - 1))) * counts).sum() / counts.sum()
 
-    g = h.gradients(p, x, mask, y)
+    g = h.gradients(p, x, mask, y, counts)
     for name, at in (("out", 3), ("fx", (5, 9)), ("bx", (7, 40)), ("fh", (2, 20)), ("bh", (3, 3)), ("fc", 17), ("bias", 0)):
         up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
         up[name][at] += 1e-4
