@@ -9,24 +9,31 @@ the input.
    anchor: together they are a *run*, the text from the first string's start to
    the last one's end. Equal strings have the same anchor bytes, so they meet
    where their anchors meet.
-2. Runs of equal anchor and equal text (64-bit hashes of each) are copies: all but
+2. Runs of equal text (BLAKE2b digests of 128 bits of their bytes) are copies: all but
    the earliest are repeats as a whole. Tasks settle this among their own runs
    before anything is shuffled, so a passage that a third of all documents hold
    is shuffled once a task.
 3. What is left are anchors with several different runs. Their texts are fetched
-   and gathered by anchor; large anchors become a grid of cells, so that any two
-   runs meet in a cell. In a cell, shards of runs get their Burrows-Wheeler
-   transforms, which are merged by interleave refinement; the intervals of depth
-   ``LENGTH`` are the repeats, and all but the earliest string of each is marked.
-
-Null texts are empty, and documents shorter than ``LENGTH`` lose nothing. Rows that
-repeat both doc_id and text are one document and get one result. Different texts
-under one doc_id are told apart, and ordered, by a hash of the text. A null doc_id
-never matches its spans again, so such rows stay whole.
+   and gathered by anchor. Where more than ``CELL_RUNS`` meet, they are dealt again by
+   longer contexts: of a string that two runs share, one half at least of what goes
+   beyond the anchor lies left of it or right of it, so the runs that agree in so many
+   bytes on one side meet again; and so on, until few meet or the whole string is known.
+   The rows grow in proportion to the runs, never with their pairs.
+4. In a cell, shards of runs get their Burrows-Wheeler transforms, which are merged by
+   interleave refinement; the intervals of depth ``LENGTH`` are the repeats, and all but
+   the earliest string of each is marked.
+
+Null texts are empty, and documents shorter than ``LENGTH`` lose nothing. Texts of any
+length are read in whole, in pieces that overlap by a string. Rows that repeat both
+doc_id and text are one document and get one result. Different texts under one doc_id
+are told apart, and ordered, by a hash of the text. A null doc_id is in no order with
+others, so such rows stay whole and take nothing from others. Empty tables stay empty;
+columns named as an output give way.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +51,10 @@ LENGTH = 100
 GRAM = 24
 #: Runs that a task holds before it settles copies among them.
 RUNS_HELD = 400_000
-#: Runs of an anchor that are compared in one cell, and bytes of text in a shard and in a merge.
+#: Runs that are compared in one cell, and bytes of text in a shard and in a merge.
 CELL_RUNS, SHARD_BYTES, MERGE_BYTES = 8192, 1 << 16, 1 << 18
+#: Bytes of a text that are read at a time, and bits that number the places in them.
+PIECE_BYTES, PLACE_BITS = 1 << 22, 24
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -81,35 +90,65 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def pieces(texts: list[bytes], size: int = PIECE_BYTES) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Texts, and parts of long ones, some at a time: (text, start of the part in it, bytes). Every string is in one part."""
+    held, total = ([], [], []), 0
+    for i, text in enumerate(texts):
+        for start in range(0, max(1, len(text) - LENGTH + 1), size):
+            part = text[start : start + size + LENGTH - 1]
+            for x, y in zip(held, (i, start, part)):
+                x.append(y)
+            total += len(part)
+            if total >= size:
+                yield held
+                held, total = ([], [], []), 0
+    if held[0]:
+        yield held
+
+
 def runs_of(parts: list[bytes]) -> dict[str, np.ndarray]:
-    """The runs of some documents: index, start and number of strings but one; anchor and text hashes."""
+    """The runs of some parts of texts: index, start, number of strings but one, place of the anchor; anchor hash, digest."""
     data, starts, lengths = joined_bytes(parts)
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return {"doc": none, "start": none, "more": none, "anchor": none, "text": none}
-    hashes = gram_hashes(data, LENGTH, [GRAM, LENGTH])
-    grams, whole = hashes[GRAM], hashes[LENGTH]
-    low = np.uint64((1 << max(24, int(len(data)).bit_length())) - 1)
+        return {"doc": none, "start": none, "more": none, "at": none, "anchor": none, "text": none, "text2": none}
+    grams = gram_hashes(data, LENGTH, [GRAM])[GRAM]
+    low = np.uint64((1 << PLACE_BITS) - 1)
     place = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), LENGTH - GRAM + 1) & low
     doc = np.repeat(np.arange(len(parts)), lengths)[: len(place)]
     fits = np.arange(len(place)) + LENGTH <= (starts + lengths)[doc]
-    first = np.flatnonzero(fits & np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
-    stop = np.flatnonzero(fits & np.concatenate([(place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | ~fits[1:], [True]]))
-    more = stop - first
-    shape = (more.astype(np.uint64) << np.uint64(8)) | (place[first] - first.astype(np.uint64))
-    text = _mix(_mix(whole[first], whole[stop], _ODD[0]), shape, _ODD[1])
-    return {"doc": doc[first], "start": first - starts[doc[first]], "more": more, "anchor": grams[place[first].astype(np.int64)].view(np.int64), "text": text.view(np.int64)}
+    other = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(fits & np.concatenate([[True], other]))
+    stop = np.flatnonzero(fits & np.concatenate([other | ~fits[1:], [True]]))
+    whole = data.tobytes()
+    digests = b"".join(hashlib.blake2b(whole[a : b + LENGTH], digest_size=16).digest() for a, b in zip(first.tolist(), stop.tolist()))
+    text = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    anchor = place[first].astype(np.int64)
+    return {
+        "doc": doc[first], "start": first - starts[doc[first]], "more": stop - first, "at": anchor - first,
+        "anchor": grams[anchor].view(np.int64), "text": text[:, 0].copy(), "text2": text[:, 1].copy(),
+    }
 
 
 PLACE = ("doc_id", "copy", "start")
-RUN = T.StructType([T.StructField(n, k) for n, k in (
-    ("anchor", T.LongType()), ("text", T.LongType()), ("doc_id", T.LongType()), ("copy", T.IntegerType()), ("start", T.IntegerType()), ("more", T.IntegerType()), ("marked", T.BooleanType()),
-)])
+KINDS = {
+    "anchor": (T.LongType(), np.int64), "text": (T.LongType(), np.int64), "text2": (T.LongType(), np.int64), "doc_id": (T.LongType(), np.int64),
+    "copy": (T.IntegerType(), np.int32), "start": (T.IntegerType(), np.int32), "more": (T.IntegerType(), np.int32), "at": (T.IntegerType(), np.int32),
+    "marked": (T.BooleanType(), bool),
+}
+RUN = T.StructType([T.StructField(n, k) for n, (k, _) in KINDS.items()])
+#: What tells the texts of runs apart.
+TEXT = ("anchor", "text", "text2")
+
 
+def run_batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(columns[n]).astype(k)) for n, (_, k) in KINDS.items()], names=RUN.names)
 
-def run_batch(anchor, text, doc_id, copy, start, more, marked) -> pa.RecordBatch:
-    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, bool)
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(k)) for x, k in zip((anchor, text, doc_id, copy, start, more, marked), kinds)], names=RUN.names)
+
+def span_batch(doc_id, copy, start, size) -> pa.RecordBatch:
+    """Marked spans, spread over partitions."""
+    none = np.zeros(len(doc_id), np.int64)
+    return run_batch({"anchor": doc_id * 31 + start, "text": start, "text2": none, "doc_id": doc_id, "copy": copy, "start": start, "more": size, "at": none, "marked": np.ones(len(doc_id), bool)})
 
 
 def merged_spans(doc_id, copy, start, end) -> tuple[np.ndarray, ...]:
@@ -129,16 +168,17 @@ def merged_spans(doc_id, copy, start, end) -> tuple[np.ndarray, ...]:
 def settle(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """The earliest of each set of copies among the runs held, unmarked; the others as marked spans."""
     r = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-    order = np.lexsort((r["start"], r["copy"], r["doc_id"], r["text"], r["anchor"]))
+    order = np.lexsort([r[k] for k in (*PLACE[::-1], *TEXT[::-1])])
     r = {k: v[order] for k, v in r.items()}
-    same = np.concatenate([[False], (r["anchor"][1:] == r["anchor"][:-1]) & (r["text"][1:] == r["text"][:-1])])
-    again = same & np.concatenate([[False], np.logical_and.reduce([r[k][1:] == r[k][:-1] for k in PLACE])])
+    equal = lambda names: np.concatenate([[False], np.logical_and.reduce([r[k][1:] == r[k][:-1] for k in names])])
+    same = equal(TEXT)
+    again = same & equal(PLACE)
     r, same = {k: v[~again] for k, v in r.items()}, same[~again]
     doc_id, copy, start, end = merged_spans(*(r[k][same] for k in ("doc_id", "copy", "start")), (r["start"] + r["more"] + LENGTH)[same])
     if len(doc_id):
-        yield run_batch(doc_id * 31 + start, start, doc_id, copy, start, end - start, np.ones(len(doc_id), bool))
+        yield span_batch(doc_id, copy, start, end - start)
     kept = {k: v[~same] for k, v in r.items()}
-    yield run_batch(kept["anchor"], kept["text"], kept["doc_id"], kept["copy"], kept["start"], kept["more"], np.zeros(len(kept["anchor"]), bool))
+    yield run_batch(kept | {"marked": np.zeros(len(kept["anchor"]), bool)})
 
 
 def document_runs(documents: DataFrame) -> DataFrame:
@@ -147,12 +187,14 @@ def document_runs(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int32)
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(2).to_pylist()]
-            for a, b in slices(texts):
-                r = runs_of(texts[a:b])
-                doc = r.pop("doc") + a
-                held.append({k: v.astype(np.int32) if k in ("start", "more") else v for k, v in r.items()} | {"doc_id": ids[doc], "copy": copies[doc].astype(np.int32)})
+            for which, begun, parts in pieces(texts):
+                r = runs_of(parts)
+                part = r.pop("doc")
+                doc, start = np.array(which)[part], np.array(begun)[part] + r["start"]
+                narrow = {k: r[k].astype(np.int32) for k in ("more", "at")}
+                held.append(r | narrow | {"start": start.astype(np.int32), "doc_id": ids[doc], "copy": copies[doc]})
                 n += len(doc)
                 if n >= RUNS_HELD:
                     yield from settle(held)
@@ -173,23 +215,23 @@ def resolve_copies(runs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[str, np.ndarray] | None = None  # the last first-of-its-text, if it isn't out yet
-        before: tuple = (None,) * 5
+        before: tuple = (None,) * (len(TEXT) + len(PLACE))
         for batch in batches:
             c = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(names)}
             marked = c["marked"]
             if marked.any():
-                yield run_batch(*(c[n][marked] for n in names))
+                yield run_batch({n: c[n][marked] for n in names})
                 c = {n: v[~marked] for n, v in c.items()}
             if not len(c["anchor"]):
                 continue
-            as_before = [np.concatenate([[c[n][0] == b], c[n][1:] == c[n][:-1]]) for n, b in zip(("anchor", "text", *PLACE), before)]
-            before = tuple(c[n][-1] for n in ("anchor", "text", *PLACE))
-            same_text = as_before[0] & as_before[1]
+            as_before = [np.concatenate([[c[n][0] == b], c[n][1:] == c[n][:-1]]) for n, b in zip((*TEXT, *PLACE), before)]
+            before = tuple(c[n][-1] for n in (*TEXT, *PLACE))
+            same_text = np.logical_and.reduce(as_before[: len(TEXT)])
             again = np.logical_and.reduce(as_before)
             c, same_text = {n: v[~again] for n, v in c.items()}, same_text[~again]
             if same_text.any():
                 d = {n: v[same_text] for n, v in c.items()}
-                yield run_batch(d["anchor"], d["text"], d["doc_id"], d["copy"], d["start"], d["more"] + LENGTH, np.ones(len(d["anchor"]), bool))
+                yield run_batch(d | {"more": d["more"] + LENGTH, "marked": np.ones(len(d["anchor"]), bool)})
             first = {n: v[~same_text] for n, v in c.items()}
             if last is not None:
                 first = {n: np.concatenate([last[n], first[n]]) for n in names}
@@ -207,46 +249,80 @@ def resolve_copies(runs: DataFrame) -> DataFrame:
             if done:
                 out[0] = False  # it went out earlier
             if out.any():
-                yield run_batch(*(first[n][out] for n in names))
+                yield run_batch({n: first[n][out] for n in names})
             last = {n: v[-1:] for n, v in first.items()} | {"out": np.array([bool(near[-1])])}
 
-    return runs.repartition("anchor").sortWithinPartitions("anchor", "text", "doc_id", "copy", "start").mapInArrow(run, RUN)
+    return runs.repartition("anchor").sortWithinPartitions(*TEXT, *PLACE).mapInArrow(run, RUN)
 
 
 def with_texts(runs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The unmarked runs with their bytes: (anchor, doc_id, copy, start, bytes), read beside each document."""
-    wanted = runs.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("anchor", "start", "more")).alias("runs"))
+    """The unmarked runs with their bytes: (bucket, doc_id, copy, start, at, bytes), read beside each document. A bucket is an anchor."""
+    wanted = runs.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("anchor", "start", "more", "at")).alias("runs"))
     small_batches(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             fields = lists.values
-            anchor, start, more = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            anchor, start, more, at = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(4))
             ends = lists.offsets.to_numpy()
             doc = np.repeat(np.arange(len(lists)), np.diff(ends))
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(3).to_pylist()]
             cut = [texts[d][s : s + m + LENGTH] for d, s, m in zip(doc, start, more)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(start), pa.array(cut, pa.binary())],
-                names=["anchor", "doc_id", "copy", "start", "bytes"],
+                [pa.array(anchor), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(start), pa.array(at), pa.array(cut, pa.binary())],
+                names=["bucket", "doc_id", "copy", "start", "at", "bytes"],
             )
 
     joined = wanted.join(documents.select("doc_id", "copy", "text"), ["doc_id", "copy"]).select("doc_id", "copy", "runs", "text")
-    return joined.mapInArrow(run, "anchor long, doc_id long, copy int, start int, bytes binary")
+    return joined.mapInArrow(run, "bucket long, doc_id long, copy int, start int, at int, bytes binary")
+
 
+DEALT = ("bucket", "doc_id", "copy", "start", "at", "bytes")
 
-def deal(runs: DataFrame, cell_runs: int = CELL_RUNS) -> DataFrame:
-    """``runs`` with ``cell``: runs of an anchor with more than ``cell_runs`` go to all cells of their part of a grid."""
-    large = runs.groupBy("anchor").count().where(F.col("count") > cell_runs).select(
-        "anchor", F.ceil(F.col("count") * 2 / cell_runs).cast("int").alias("grid")
-    )
-    own = F.pmod(F.xxhash64("doc_id", "copy", "start"), F.col("grid")).cast("int")
-    lines = F.transform(
-        F.sequence(F.lit(0), F.col("grid") - 1), lambda i: F.least(i, F.col("own")) * F.col("grid") + F.greatest(i, F.col("own"))
-    )
-    dealt = runs.join(large, "anchor", "left").withColumn("own", own)
-    return dealt.withColumn("cell", F.explode(F.when(F.col("grid").isNull(), F.array(F.lit(0))).otherwise(lines))).select(*runs.columns, "cell")
+
+def deal(runs: DataFrame, cell_runs: int = CELL_RUNS) -> tuple[DataFrame, DataFrame | None]:
+    """(runs in buckets of at most ``cell_runs``, SPAN rows of what larger buckets came down to) of ``runs`` (DEALT, a written table).
+
+    All runs of a bucket agree in ``left`` bytes before the anchor and ``right`` after it; a string that some share has
+    from ``left`` to LENGTH - GRAM - ``right`` bytes before the anchor.
+    """
+    here = runs.withColumn("left", F.lit(0)).withColumn("right", F.lit(0))
+    small, known = [], []
+    while True:
+        hot = here.groupBy("bucket").count().where(F.col("count") > cell_runs).select("bucket")
+        hot = materialize(hot, "hot")
+        if hot.isEmpty():
+            small.append(here.select(*DEALT))
+            break
+        small.append(here.join(hot, "bucket", "left_anti").select(*DEALT))
+        half = F.ceil((LENGTH - GRAM - F.col("left") - F.col("right")) / 2).cast("int")
+        more_left, more_right = F.col("left") + half, LENGTH - GRAM - F.col("left") - half + 1
+        before = F.substring("bytes", F.col("at") - more_left + 1, half)
+        after = F.substring("bytes", F.col("at") + GRAM + F.col("right") + 1, more_right - F.col("right"))
+        side = lambda name, left, right, context: F.struct(
+            F.xxhash64("bucket", F.lit(name), context).alias("bucket"), left.cast("int").alias("left"), right.cast("int").alias("right")
+        )
+        ways = F.array(
+            F.when(F.col("at") >= more_left, side("left", more_left, F.col("right"), before)),
+            F.when(F.length("bytes") - F.col("at") - GRAM >= more_right, side("right", F.col("left"), more_right, after)),
+        )
+        split = here.join(hot, "bucket", "left_semi").withColumn("way", F.explode(F.filter(ways, lambda x: x.isNotNull())))
+        split = materialize(split.select(F.col("way.bucket").alias("bucket"), *DEALT[1:], F.col("way.left").alias("left"), F.col("way.right").alias("right")), "contexts")
+        whole = F.col("left") + F.col("right") == LENGTH - GRAM
+        known.append(split.where(whole))
+        here = split.where(~whole)
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    return union(small), known_strings(union(known)) if known else None
+
+
+def known_strings(rows: DataFrame) -> DataFrame:
+    """SPAN rows of the strings, one for each row, that have an earlier equal."""
+    begin = F.col("at") - F.col("left")
+    strings = rows.select("doc_id", "copy", (F.col("start") + begin).alias("start"), F.substring("bytes", begin + 1, F.lit(LENGTH)).alias("string"))
+    place = F.struct("doc_id", "copy", "start")
+    first = strings.groupBy("string").agg(F.min(place).alias("first"))
+    return strings.join(first, "string").where(place > F.col("first")).select("doc_id", "copy", "start", (F.col("start") + LENGTH).cast("int").alias("end"))
 
 
 SPAN = "doc_id long, copy int, start int, end int"
@@ -285,14 +361,14 @@ def merge_cells(dealt: DataFrame) -> DataFrame:
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for anchor, doc_id, copy, start, data, cell in zip(*columns):
-                if size >= MERGE_BYTES and (anchor, cell) != last:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for bucket, doc_id, copy, start, data in zip(*columns):
+                if size >= MERGE_BYTES and bucket != last:
                     yield spans_of(held)
                     held, size = [], 0
                 held.append((doc_id, copy, start, data))
                 size += len(data)
-                last = (anchor, cell)
+                last = bucket
         if held:
             yield spans_of(held)
 
@@ -302,7 +378,7 @@ def merge_cells(dealt: DataFrame) -> DataFrame:
         kinds = (np.int64, np.int32, np.int32, np.int32)
         return pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(found, kinds)], names=["doc_id", "copy", "start", "end"])
 
-    return dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell").mapInArrow(run, SPAN)
+    return dealt.select("bucket", "doc_id", "copy", "start", "bytes").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, SPAN)
 
 
 def repeated_spans(documents: DataFrame, cell_runs: int = CELL_RUNS) -> DataFrame:
@@ -310,7 +386,9 @@ def repeated_spans(documents: DataFrame, cell_runs: int = CELL_RUNS) -> DataFram
     resolved = materialize(resolve_copies(document_runs(documents)), "runs")
     copies = resolved.where("marked").select("doc_id", "copy", "start", (F.col("start") + F.col("more")).alias("end"))
     several = with_texts(resolved.where("not marked"), documents)
-    return copies.unionByName(merge_cells(deal(materialize(several, "contexts"), cell_runs)))
+    small, known = deal(materialize(several, "contexts"), cell_runs)
+    spans = copies.unionByName(merge_cells(small))
+    return spans.unionByName(known) if known is not None else spans
 
 
 def numbered(documents: DataFrame, columns: list[str]) -> DataFrame:
