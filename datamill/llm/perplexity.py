@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from datamill.llm._arrow import slices, small_batches, texts_of
 from datamill.tables import materialize
 
 ORDER, BYTE = 5, 8
 #: Rows of a model (12 bytes each) that may be broadcast; different n-grams that a task holds; characters in a block.
-BROADCAST_ROWS, GRAMS_HELD, BLOCK_CHARS = 1 << 23, 1 << 22, 1 << 24
+BROADCAST_ROWS, GRAMS_HELD, BLOCK_CHARS = 1 << 22, 1 << 22, 1 << 24
 
 Arrays = dict[str, tuple[np.ndarray, np.ndarray]]
 
@@ -178,8 +179,6 @@ def scored(documents: DataFrame, model: DataFrame, score: Score, schema: str, br
 
 def scored_in_blocks(documents: DataFrame, model: DataFrame, score: Score, schema: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The same for a model of any size: blocks of documents meet the rows of the model that they need."""
-    from pyspark.sql import types as T
-
     names = documents.columns
     blocked_schema = T.StructType([*documents.schema.fields, T.StructField("__block", T.LongType())])
     lang_at, text_at = names.index("lang"), names.index("text")

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datamill.llm._arrow import texts_of
 from datamill.llm.labelled import floats
 from datamill.llm.perplexity import BROADCAST_ROWS, Arrays, gram_counts, kneser_ney, language, log_perplexities, scored
-from datamill.llm._arrow import texts_of
 from datamill.tables import materialize
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -121,10 +121,10 @@ def judged(documents: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFr
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
     good = rows.where("not base_failed")
-    middle = quantiles(good, F.round(F.col("log_ppl") * 1e5), lambda x: x / 1e5, {"middle": 0.5})
+    middle = quantiles(good, F.round(F.col("log_ppl") * 1e4), lambda x: x / 1e4, {"middle": 0.5})
     distance = (F.col("log_ppl") - F.col("middle")) * F.sqrt(F.col("n_bytes").cast("double"))
     good = good.join(middle, "lang").withColumn("distance", distance)
-    bands = quantiles(good, F.round(F.asinh("distance") * 1e3), lambda x: F.sinh(x / 1e3), {"low": 0.25, "high": 0.75})
+    bands = quantiles(good, F.round(F.asinh("distance") * 500), lambda x: F.sinh(x / 500), {"low": 0.25, "high": 0.75})
     slack = FENCE * F.greatest(F.col("high") - F.col("low"), F.lit(LEAST_SPREAD))
     inside = F.col("distance").between(F.col("low") - slack, F.col("high") + slack)
     return rows.join(middle.join(bands, "lang"), "lang", "left").withColumn("distance", distance).select(
