@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datamill.functions.binding import let
 from datamill.tables import materialize
 
 THETA = 0.85
@@ -267,3 +268,35 @@ def drop_similar(df: DataFrame, key: str, text: str, theta: float = THETA, mode:
     pairs = exact_pairs(rows, theta).where(may_match("ti", "tj", F.lit(theta))) if mode == "exact" else blocked_pairs(rows)
     hits = pairs.repartition(F.col("i"), F.col("j")).where(match_ratio(F.col("tj"), F.col("ti")) >= theta).select("i", "j")
     return df.join(greedy_kept(rows, hits).withColumnRenamed("i", key), key, "left_semi")
+
+
+def contained_items(items: DataFrame, documents: DataFrame, run: int = 8) -> DataFrame:
+    """(doc_id, item_id) where a document's text (doc_id, text) contains an item's (item_id, text) word for word.
+
+    The words inside an item, all but its first and last, stand in the document between blanks or line feeds. They meet
+    by a hash of the first of those, ``run`` at most; lengths that no item has are not looked at. Items of one or two
+    words meet by all substrings of their length. What meets is verified. Empty items are in no document.
+    """
+    apart = "[ \n]"
+    listed = items.where("text <> ''").select("item_id", F.col("text").alias("item"), F.split("text", apart).alias("w"))
+    inner = F.least(F.size("w") - 2, F.lit(run))
+    keyed = listed.withColumn("n", F.when(inner > 0, inner).otherwise(-F.length("item"))).withColumn(
+        "h", F.when(inner > 0, F.xxhash64(F.array_join(F.expr(f"slice(w, 2, greatest(least(size(w) - 2, {run}), 0))"), " "))).otherwise(F.xxhash64("item"))
+    ).drop("w")
+    # At most ``run`` numbers of words, and the lengths of items of one or two words.
+    lengths = [r["n"] for r in keyed.select("n").distinct().collect()]
+    texts = documents.select("doc_id", "text")
+    words, chars = [n for n in lengths if n > 0], [-n for n in lengths if n < 0]
+    none = F.array().cast("array<struct<n:int,h:bigint>>")
+
+    def runs_of(size: Column, n: int, label: int, piece) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
+        return F.when(size >= n, F.transform(starts, lambda i: F.struct(F.lit(label).alias("n"), F.xxhash64(piece(i)).alias("h")))).otherwise(none)
+
+    found = let(F.split("text", apart), lambda w: F.flatten(F.array(
+        none, *[runs_of(F.size(w), n, n, lambda i, n=n: F.array_join(F.slice(w, i, n), " ")) for n in words],
+        *[runs_of(F.length("text"), n, -n, lambda i, n=n: F.substr("text", i, F.lit(n))) for n in chars],
+    )))
+    rows = texts.select("doc_id", F.explode(F.array_distinct(found)).alias("x")).select("doc_id", "x.n", "x.h")
+    pairs = rows.join(keyed, ["n", "h"]).select("doc_id", "item_id", "item").distinct()
+    return pairs.join(texts, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()

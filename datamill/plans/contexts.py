@@ -15,13 +15,13 @@ from datamill.tables import materialize, read_table
 def chunks(spark, sf_dir):
     """Lines as chunks; every third holds itself as code, and those of every fourth document an image."""
     return views.chunks(spark, sf_dir).select(
-        "doc_id", "chunk_id", "text", F.when(F.col("chunk_id") % 3 == 0, F.array(F.substring("text", 1, 150))).otherwise(F.array().cast("array<string>")).alias("code"),
+        "doc_id", "chunk_id", "text", F.when(F.col("chunk_id") % 3 == 0, F.array("text")).otherwise(F.array().cast("array<string>")).alias("code"),
         F.when(F.col("doc_id") % 4 == 0, F.array(F.struct(F.concat(F.lit("img_"), (F.col("doc_id") % 16).cast("string")).alias("image_id"), F.element_at(F.array(F.lit("circuit"), F.lit("chart"), F.lit("decorative")), (F.col("chunk_id") % 3).cast("int") + 1).alias("image_type"))))
         .otherwise(F.array().cast("array<struct<image_id:string,image_type:string>>")).alias("images"),
     )
 
 
-CHUNKS_SQL = """v_rich AS (SELECT *, CASE WHEN chunk_id % 3 = 0 THEN left(text, 150) END AS code, CASE WHEN doc_id % 4 = 0 THEN 'img_' || (doc_id % 16) END AS image_id,
+CHUNKS_SQL = """v_rich AS (SELECT *, CASE WHEN chunk_id % 3 = 0 THEN text END AS code, CASE WHEN doc_id % 4 = 0 THEN 'img_' || (doc_id % 16) END AS image_id,
   CASE WHEN doc_id % 4 = 0 THEN ['circuit', 'chart', 'decorative'][CAST(chunk_id % 3 AS INTEGER) + 1] END AS image_type FROM v_chunks)"""
 
 
@@ -43,9 +43,9 @@ def q42(spark, sf_dir):
     return rows.select("doc_id", "chunk_id", F.size("accumulated_code").cast("long").alias("n"), F.md5(F.array_join("accumulated_code", "|")).alias("digest"))
 
 
-@query("q77_renumber", "SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id DESC) - 1 AS new_id FROM v_chunks WHERE chunk_id % 2 = 0")
+@query("q77_renumber", "SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id DESC) - 1 AS new_id FROM v_chunks")
 def q77(spark, sf_dir):
-    rows = views.chunks(spark, sf_dir).where("chunk_id % 2 = 0").withColumn("order", -F.col("chunk_id"))
+    rows = views.chunks(spark, sf_dir).withColumn("order", -F.col("chunk_id"))
     return context.renumbered(rows, "doc_id", "order").select("doc_id", "chunk_id", "new_id")
 
 
@@ -233,11 +233,11 @@ def q49(spark, sf_dir):
 
 @query(
     "q50_block_merge",
-    """SELECT doc_id, md5(string_agg(content, '|' ORDER BY page, y, kind, ord)) AS digest, count(*) AS n FROM (SELECT doc_id, chunk_id % 3 AS page, length(text) % 50 AS y, 0 AS kind, chunk_id AS ord, left(text, 40) AS content FROM v_chunks
+    """SELECT doc_id, md5(string_agg(content, '|' ORDER BY page, y, kind, ord)) AS digest, count(*) AS n FROM (SELECT doc_id, chunk_id % 3 AS page, length(text) % 50 AS y, 0 AS kind, chunk_id AS ord, text AS content FROM v_chunks
   UNION ALL SELECT page_id, page_id % 3, page_id % 50, 1, 0, url FROM pages) GROUP BY doc_id""",
 )
 def q50(spark, sf_dir):
-    texts = views.chunks(spark, sf_dir).select("doc_id", (F.col("chunk_id") % 3).alias("page"), (F.length("text") % 50).cast("long").alias("y"), F.col("chunk_id").alias("ord"), F.substring("text", 1, 40).alias("content"))
+    texts = views.chunks(spark, sf_dir).select("doc_id", (F.col("chunk_id") % 3).alias("page"), (F.length("text") % 50).cast("long").alias("y"), F.col("chunk_id").alias("ord"), F.col("text").alias("content"))
     images = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), (F.col("page_id") % 3).alias("page"), (F.col("page_id") % 50).alias("y"), F.lit(0).cast("long").alias("ord"), F.col("url").alias("content"))
     return context.merged_blocks(texts, images, "doc_id").select("doc_id", F.md5(F.array_join("blocks", "|")).alias("digest"), F.size("blocks").cast("long").alias("n"))
 

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from datamill.functions import code, text
-from datamill.functions.binding import let
 from datamill.operators import chunking, dedup, formats
 from datamill.plans import views
 from datamill.plans.registry import query
+from datamill.plans.texts import quoted
 from datamill.sources import files
 from datamill.streaming import incremental
 from datamill.tables import read_table, shared_dir
@@ -67,63 +67,105 @@ def q63(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(code.indented(body, 4)).alias("digest"))
 
 
-@query("q63b_function_completion", r"""SELECT doc_id, 'def f(x):' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '    y = 1' || chr(10) || '    if y:' || chr(10) || '    return ' || doc_id || chr(10) || '    pass' ELSE chr(10) || '    if y:' || chr(10) || '    return ' || doc_id END AS program FROM documents""")
+STRIP_SQL = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    "q63b_function_completion",
+    r"""SELECT doc_id, md5('def f(x):' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '    y = 1' || chr(10) || body || chr(10) || '    pass' ELSE chr(10) || body END) AS digest FROM (
+  SELECT doc_id, array_to_string([CASE WHEN regexp_replace(x, '^\s+|\s+$', '', 'g') = '' THEN '' ELSE '    ' || substr(x, least_depth + 1) END FOR x IN lines], chr(10)) AS body FROM (
+  SELECT doc_id, lines, coalesce(list_min([length(regexp_extract(x, '^( *)', 1)) FOR x IN lines IF regexp_replace(x, '^\s+|\s+$', '', 'g') <> '']), 0) AS least_depth FROM (
+  SELECT doc_id, string_split(replace(replace(text, chr(10), chr(10) || '  '), chr(9), '    '), chr(10)) AS lines FROM documents)))""",
+)
 def q63b(spark, sf_dir):
+    """Stubs with and without a line to replace, completed by whole texts."""
     stub = F.when(F.col("doc_id") % 2 == 0, "def f(x):\n    y = 1\n    pass\n    pass").otherwise("def f(x):")
-    return documents(spark, sf_dir).select("doc_id", code.completed(stub, F.concat(F.lit("if y:\nreturn "), F.col("doc_id").cast("string"))).alias("program"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(code.completed(stub, F.replace("text", F.lit("\n"), F.lit("\n  ")))).alias("digest"))
 
 
-STDERR = {0: "Traceback\n  File \"a\", line 1\n    x\nassert f(1) == 2\nmore\nAssertionError", 1: "Traceback\nValueError: no", 2: "", 3: "odd end", 4: "UserWarning: x\nCustomError: y\ntail"}
+#: What a run wrote before and after a whole text.
+STDERR = [("", "\nassert f(1) == 2\nmore\nAssertionError"), ("Traceback\n", "\nValueError: no"), ("", ""), ("odd\n", " end"), ("UserWarning: x\n", "\nCustomError: y\ntail")]
+STDERR_SQL = "CASE doc_id % 5 " + " ".join(f"WHEN {k} THEN " + " || ".join([quoted(a), "text", quoted(b)]) for k, (a, b) in enumerate(STDERR)) + " END"
+RUNS_SQL = f"""SELECT doc_id, CAST(lang <> 'en' AS INTEGER) AS exit_code, CASE WHEN doc_id % 3 = 0 THEN text || 'TEST_PASSED' || chr(10) ELSE text END AS stdout, {STDERR_SQL} AS stderr, doc_id % 11 = 0 AS timed_out FROM documents"""
 
 
 def runs(spark, sf_dir):
-    out = F.lit("")
-    for k, v in STDERR.items():
-        out = F.when(F.col("event_id") % 5 == k, v).otherwise(out)
-    return read_table(spark, sf_dir, "events").select(
-        "event_id", F.when(F.col("event_type") == "purchase", 0).otherwise(1).alias("exit_code"), F.when(F.col("event_id") % 3 == 0, "TEST_PASSED\n").otherwise("").alias("stdout"),
-        out.alias("stderr"), (F.col("event_id") % 11 == 0).alias("timed_out"),
+    """Outcomes of runs that wrote whole texts."""
+    out = F.lit(None).cast("string")
+    for k, (before, after) in enumerate(STDERR):
+        out = F.when(F.col("doc_id") % 5 == k, F.concat(F.lit(before), "text", F.lit(after))).otherwise(out)
+    return documents(spark, sf_dir).select(
+        "doc_id", (F.col("lang") != "en").cast("int").alias("exit_code"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("TEST_PASSED\n"))).otherwise(F.col("text")).alias("stdout"),
+        out.alias("stderr"), (F.col("doc_id") % 11 == 0).alias("timed_out"),
     )
 
 
-MESSAGES_SQL = "CASE event_id % 5 WHEN 0 THEN 'AssertionError at: assert f(1) == 2' WHEN 1 THEN 'ValueError: no' WHEN 2 THEN 'Unknown error' WHEN 3 THEN 'odd end' ELSE 'CustomError: y' END"
+IS_ERROR_SQL = "(" + " OR ".join([f"starts_with(lines[i], '{e}')" for e in code.ERRORS] + ["contains(lines[i], 'Error:')"]) + ")"
+#: CTEs that end in v_said: the error message of each run.
+SAID_SQL = f"""v_runs AS ({RUNS_SQL}), v_lines AS (SELECT *, [{STRIP_SQL.format('x')} FOR x IN string_split(stderr, chr(10))] AS lines FROM v_runs),
+  v_last AS (SELECT *, list_max(list_filter(generate_series(1, len(lines)), lambda i: {IS_ERROR_SQL})) AS last FROM v_lines),
+  v_assert AS (SELECT *, list_max(list_filter(generate_series(greatest(last - 9, 2), last - 1), lambda i: starts_with(lines[i], 'assert '))) AS above FROM v_last),
+  v_said AS (SELECT *, CASE WHEN coalesce(stderr, '') = '' THEN 'Unknown error' WHEN last IS NULL THEN {STRIP_SQL.format('right(stderr, 500)')}
+    WHEN starts_with(lines[last], 'AssertionError') AND above IS NOT NULL THEN lines[last] || ' at: ' || lines[above] ELSE lines[last] END AS said FROM v_assert)"""
 
 
-@query("q64_error_extract", f"SELECT event_id, replace({MESSAGES_SQL}, 'AssertionError at', 'AssertionError at') AS error FROM events")
+@query("q64_error_extract", f"WITH {SAID_SQL} SELECT doc_id, said AS error FROM v_said")
 def q64(spark, sf_dir):
-    return runs(spark, sf_dir).select("event_id", code.error_message(F.col("stderr")).alias("error"))
+    return runs(spark, sf_dir).select("doc_id", code.error_message(F.col("stderr")).alias("error"))
 
 
 @query(
     "q93_exec_outcome",
-    f"""SELECT event_id, event_type = 'purchase' AND event_id % 3 = 0 AND event_id % 11 <> 0 AS success, CASE WHEN event_id % 11 = 0 THEN 'Timeout' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN NULL
-  WHEN event_type = 'purchase' THEN 'Test did not complete' ELSE {MESSAGES_SQL} END AS error FROM events""",
+    f"""WITH {SAID_SQL} SELECT doc_id, ok AND NOT timed_out AS success, CASE WHEN timed_out THEN 'Timeout' WHEN ok THEN NULL WHEN exit_code = 0 THEN 'Test did not complete' ELSE said END AS error
+  FROM (SELECT *, exit_code = 0 AND contains(stdout, 'TEST_PASSED') AS ok FROM v_said)""",
 )
 def q93(spark, sf_dir):
-    rows = runs(spark, sf_dir).select("event_id", code.outcome(F.col("exit_code"), F.col("stdout"), F.col("stderr"), F.col("timed_out")).alias("o"))
-    return rows.select("event_id", "o.success", "o.error")
+    rows = runs(spark, sf_dir).select("doc_id", code.outcome(F.col("exit_code"), F.col("stdout"), F.col("stderr"), F.col("timed_out")).alias("o"))
+    return rows.select("doc_id", "o.success", "o.error")
 
 
-@query("q93b_warning_filter", "SELECT event_id, CASE event_id % 5 WHEN 4 THEN 'CustomError: y' || chr(10) || 'tail' WHEN 1 THEN 'Traceback' || chr(10) || 'ValueError: no' WHEN 3 THEN 'odd end' ELSE '' END AS stderr FROM events WHERE event_id % 5 > 0")
+@query(
+    "q93b_warning_filter",
+    "SELECT doc_id, md5(" + STRIP_SQL.format("array_to_string([x FOR x IN string_split(stderr, chr(10)) IF NOT (" + " OR ".join(f"contains(x, '{w}')" for w in code.WARNINGS) + ")], chr(10))") + f") AS digest FROM ({RUNS_SQL})",
+)
 def q93b(spark, sf_dir):
-    return runs(spark, sf_dir).where("event_id % 5 > 0").select("event_id", code.without_warnings(F.col("stderr")).alias("stderr"))
+    return runs(spark, sf_dir).select("doc_id", F.md5(code.without_warnings(F.col("stderr"))).alias("digest"))
 
 
 @query(
     "q88_combine",
-    r"""SELECT doc_id, 'import os' || chr(10) || 'def g(): pass' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'def check(candidate):' || chr(10) || '    assert candidate(' || doc_id || ')' || chr(10) || 'check(g)'
-  ELSE 'import re' || chr(10) || 'def test_it(): assert g()' || chr(10) || 'test_it()' END || chr(10) || chr(10) || 'print("TEST_PASSED")' || chr(10) AS program FROM documents""",
+    rf"""WITH v_parts AS (SELECT doc_id, 'import os' || chr(10) || text || chr(10) || 'def g(): pass' AS code, 'import os' || chr(10) || CASE WHEN doc_id % 2 = 0
+    THEN 'def check(candidate):' || chr(10) || text || chr(10) || '    assert candidate(1)' ELSE 'import re' || chr(10) || text || chr(10) || 'def test_it(): assert g()' END AS test FROM documents),
+  v_had AS (SELECT *, regexp_extract_all(code, '(?m)^(?:from|import)\s+.+$') AS had FROM v_parts)
+  SELECT doc_id, md5(code || chr(10) || chr(10) || array_to_string([x FOR x IN string_split(test, chr(10)) IF NOT ((starts_with({STRIP_SQL.format('x')}, 'from ') OR starts_with({STRIP_SQL.format('x')}, 'import '))
+    AND list_contains(had, {STRIP_SQL.format('x')}))], chr(10)) || CASE WHEN regexp_matches(test, 'def\s+check\s*\(') THEN CASE WHEN regexp_matches(test, 'check\s*\(\s*g\s*\)') THEN '' ELSE chr(10) || 'check(g)' END
+    WHEN regexp_matches(test, 'def\s+(test_\w+)\s*\(') THEN chr(10) || regexp_extract(test, 'def\s+(test_\w+)\s*\(', 1) || '()' ELSE '' END || chr(10) || chr(10) || 'print("TEST_PASSED")' || chr(10)) AS digest FROM v_had""",
 )
 def q88(spark, sf_dir):
-    test = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("import os\ndef check(candidate):\n    assert candidate("), F.col("doc_id").cast("string"), F.lit(")"))).otherwise("import os\nimport re\ndef test_it(): assert g()")
-    return documents(spark, sf_dir).select("doc_id", code.executable(F.lit("import os\ndef g(): pass"), test, F.lit("g")).alias("program"))
+    """Programs and tests around whole texts, put together."""
+    program = F.concat(F.lit("import os\n"), "text", F.lit("\ndef g(): pass"))
+    checked = F.concat(F.lit("import os\ndef check(candidate):\n"), "text", F.lit("\n    assert candidate(1)"))
+    test = F.when(F.col("doc_id") % 2 == 0, checked).otherwise(F.concat(F.lit("import os\nimport re\n"), "text", F.lit("\ndef test_it(): assert g()")))
+    return documents(spark, sf_dir).select("doc_id", F.md5(code.executable(program, test, F.lit("g"))).alias("digest"))
+
+
+PUT_SQL = "substr(answer, 1, instr(answer, {0}) - 1) || {1} || substr(answer, instr(answer, {0}) + length({0}))"
+NEW_SQL, BLOCK_SQL = "'```python' || chr(10) || 'NEW' || chr(10) || '```'", "'```' || chr(10) || old || chr(10) || '```'"
 
 
-@query("q82_answer_code", r"SELECT doc_id, 'a ```python' || chr(10) || 'NEW' || chr(10) || '``` b ' || source AS replaced, CASE WHEN doc_id % 2 = 0 THEN 'x = ' || doc_id ELSE 'say ' || source END AS cleaned FROM documents")
+@query(
+    "q82_answer_code",
+    rf"""WITH v_answers AS (SELECT doc_id, 'a ```' || chr(10) || text || chr(10) || '``` b ' || source AS answer, {STRIP_SQL.format('text')} AS old,
+    {STRIP_SQL.format("CASE WHEN doc_id % 2 = 0 THEN '  ```python' || chr(10) || text || chr(10) || '```' || chr(10) ELSE ' say ' || text END")} AS whole FROM documents)
+  SELECT doc_id, md5(CASE WHEN old = '' THEN answer WHEN contains(answer, {BLOCK_SQL}) THEN {PUT_SQL.format(BLOCK_SQL, NEW_SQL)} ELSE {PUT_SQL.format('old', "'NEW'")} END) AS replaced,
+    md5(CASE WHEN starts_with(whole, '```') AND ends_with(whole, '```') AND regexp_extract(whole, '(?s)^```(?:python)?\s*\n(.*?)```$', 1) <> '' THEN
+      {STRIP_SQL.format(r"regexp_extract(whole, '(?s)^```(?:python)?\s*\n(.*?)```$', 1)")} ELSE whole END) AS cleaned FROM v_answers""",
+)
 def q82(spark, sf_dir):
-    answer = F.concat(F.lit("a ```\nold = "), F.col("doc_id").cast("string"), F.lit("\n``` b "), "source")
-    whole = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  ```python\nx = "), F.col("doc_id").cast("string"), F.lit("\n```\n"))).otherwise(F.concat(F.lit(" say "), "source"))
-    return documents(spark, sf_dir).select("doc_id", code.replace_main_code(answer, F.lit("NEW")).alias("replaced"), code.clean_answer(whole).alias("cleaned"))
+    """Answers whose code is a whole text."""
+    answer = F.concat(F.lit("a ```\n"), "text", F.lit("\n``` b "), "source")
+    whole = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  ```python\n"), "text", F.lit("\n```\n"))).otherwise(F.concat(F.lit(" say "), "text"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(code.replace_main_code(answer, F.lit("NEW"))).alias("replaced"), F.md5(code.clean_answer(whole)).alias("cleaned"))
 
 
 @query("q65_resumable_batch", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
@@ -206,27 +248,19 @@ def q81(spark, sf_dir):
 
 @query(
     "q91_path_resolution",
-    """SELECT page_id, arg_min(candidate, prio) AS resolved FROM (SELECT page_id, prio, candidate FROM (SELECT page_id, 'img/' || page_id % 40 AS ref FROM pages), (VALUES (0, ''), (1, '.avif'), (2, '.svg'), (3, '.png'), (4, '.jpg'), (5, '.jpeg'), (6, '.gif')) e(prio, ext),
-  (SELECT 'img/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.svg' ELSE '.gif' END AS candidate FROM part WHERE p_partkey < 30) f WHERE f.candidate = ref || ext) GROUP BY page_id""",
+    """SELECT page_id, arg_min(candidate, prio) AS resolved FROM (SELECT page_id, prio, candidate FROM (SELECT page_id, 'img/' || page_id AS ref FROM pages), (VALUES (0, ''), (1, '.avif'), (2, '.svg'), (3, '.png'), (4, '.jpg'), (5, '.jpeg'), (6, '.gif')) e(prio, ext),
+  (SELECT 'img/' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.svg' ELSE '.gif' END AS candidate FROM part) f WHERE f.candidate = ref || ext) GROUP BY page_id""",
 )
 def q91(spark, sf_dir):
-    listed = read_table(spark, sf_dir, "part").where("p_partkey < 30").select(
+    listed = read_table(spark, sf_dir, "part").select(
         F.concat(F.lit("img/"), F.col("p_partkey").cast("string"), F.element_at(F.array(F.lit(".png"), F.lit(".svg"), F.lit(".gif")), (F.col("p_partkey") % 3).cast("int") + 1)).alias("candidate")
     )
-    refs = read_table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("img/"), (F.col("page_id") % 40).cast("string")).alias("ref"))
+    refs = read_table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("img/"), F.col("page_id").cast("string")).alias("ref"))
     tried = refs.select("page_id", F.posexplode(F.transform(F.array(*map(F.lit, text.EXTENSIONS)), lambda e: F.concat("ref", e))).alias("prio", "candidate"))
     return tried.join(listed, "candidate").groupBy("page_id").agg(F.min_by("candidate", "prio").alias("resolved"))
 
 
 @query("ext_contamination", "SELECT b.item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def ext_contamination(spark, sf_dir):
-    """Benchmark items that occur word for word in documents. Joined on eight-word runs at word starts, then verified."""
-    runs = lambda words: let(
-        words, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 8), " ")))
-    )
-    items = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.split("text", "[ \n]").alias("w"))
-    keyed = items.select("item_id", "item", F.xxhash64(F.array_join(F.slice("w", 2, 8), " ")).alias("h"))
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(runs(F.split(F.col("text"), "[ \n]")))).alias("h"))
-    pairs = rows.join(keyed, "h").select("doc_id", "item_id", "item").distinct()
-    found = pairs.join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item")))
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"))
+    """Benchmark items that occur word for word in documents."""
+    return dedup.contained_items(read_table(spark, sf_dir, "benchmark"), documents(spark, sf_dir)).groupBy("item_id").agg(F.count("*").alias("documents"))

@@ -167,12 +167,12 @@ def q32d(spark, sf_dir):
     return responses(spark, sf_dir).select("conv_id", "turn", decisions.curation_decision(F.col("response")).alias("d")).select("conv_id", "turn", "d.decision", "d.reason")
 
 
-FENCED_SQL = "'Intro ```python' || chr(10) || 'def f(x):' || chr(10) || left(text, 60) || '  ' || chr(10) || '```' || CASE WHEN doc_id % 2 = 0 THEN ' and ```' || chr(10) || text || chr(10) || '```' ELSE ' and ```sql' || chr(10) || 'select 1' || chr(10) || '``` end' END"
+FENCED_SQL = "'Intro ```python' || chr(10) || 'def f(x):' || chr(10) || text || '  ' || chr(10) || '```' || CASE WHEN doc_id % 2 = 0 THEN ' and ```' || chr(10) || text || chr(10) || '```' ELSE ' and ```sql' || chr(10) || 'select 1' || chr(10) || '``` end' END"
 
 
 def fenced(spark, sf_dir):
     second = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" and ```\n"), "text", F.lit("\n```"))).otherwise(" and ```sql\nselect 1\n``` end")
-    said = F.concat(F.lit("Intro ```python\ndef f(x):\n"), F.substring("text", 1, 60), F.lit("  \n```"), second)
+    said = F.concat(F.lit("Intro ```python\ndef f(x):\n"), "text", F.lit("  \n```"), second)
     return documents(spark, sf_dir).select("doc_id", "text", said.alias("t"))
 
 
@@ -268,19 +268,18 @@ def q37(spark, sf_dir):
 SNIPPETS = ["qc.c_if (1)", "from qiskit.opflow import X", "res.quasi_dists", "import numpy", "x = eval ('1') # eval", "os.system('ls')", "'''import socket'''", "print(circuit)", "q.index.x", "qc.qasm ()"]
 
 
-def with_snippet(spark, sf_dir, said=None):
-    """Texts (``said``, or their first 200 characters as in ``SNIPPET_SQL``) with a line of code."""
-    said = F.substring("text", 1, 200) if said is None else said
-    return documents(spark, sf_dir).withColumn("t", F.concat(said, F.lit("\n"), F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % 10).cast("int") + 1)))
+def with_snippet(spark, sf_dir):
+    """Texts with a line of code after them, as in ``SNIPPET_SQL``."""
+    return documents(spark, sf_dir).withColumn("t", F.concat("text", F.lit("\n"), F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % 10).cast("int") + 1)))
 
 
-SNIPPET_SQL = "SELECT doc_id, text, left(text, 200) || chr(10) || [" + ", ".join(map(quoted, SNIPPETS)) + "][CAST(doc_id % 10 AS INTEGER) + 1] AS t FROM documents"
+SNIPPET_SQL = "SELECT doc_id, text, text || chr(10) || [" + ", ".join(map(quoted, SNIPPETS)) + "][CAST(doc_id % 10 AS INTEGER) + 1] AS t FROM documents"
 
 
 @query("q38_outdated_calls")
 def q38(spark, sf_dir):
     t = F.col("t")
-    return with_snippet(spark, sf_dir, F.col("text")).select("doc_id", rules.first_message(t, rules.OUTDATED).alias("message"), rules.first_message(t, rules.OUTDATED_IN_TESTS).alias("in_tests"))
+    return with_snippet(spark, sf_dir).select("doc_id", rules.first_message(t, rules.OUTDATED).alias("message"), rules.first_message(t, rules.OUTDATED_IN_TESTS).alias("in_tests"))
 
 
 def any_sql(column: str, patterns: list[str]) -> str:
@@ -333,9 +332,9 @@ def q38f(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", code.test_error_class(F.concat(F.element_at(leads, (F.col("doc_id") % 6).cast("int") + 1), "text")).alias("error_class"))
 
 
-@query("q39_fence_parity", "SELECT doc_id, ((length(t) - length(replace(t, '```', ''))) // 3) % 2 = 1 AS open FROM (SELECT doc_id, replace(left(text, CAST(doc_id % 97 AS INTEGER)), ' ', ' ``` ') AS t FROM documents)")
+@query("q39_fence_parity", "SELECT doc_id, ((length(t) - length(replace(t, '```', ''))) // 3) % 2 = 1 AS open FROM (SELECT doc_id, replace(text, ' ', ' ``` ') AS t FROM documents)")
 def q39(spark, sf_dir):
-    cut = F.replace(F.substr("text", F.lit(1), (F.col("doc_id") % 97).cast("int")), F.lit(" "), F.lit(" ``` "))
+    cut = F.replace("text", F.lit(" "), F.lit(" ``` "))
     return documents(spark, sf_dir).select("doc_id", code.open_fence(cut).alias("open"))
 
 
@@ -385,20 +384,22 @@ def q80(spark, sf_dir):
 
 @query(
     "q85_layout_ladders",
-    """SELECT doc_id, CASE WHEN n = 0 THEN 0 WHEN size > 18 AND n < 100 THEN 1 WHEN (size > 14 AND n < 100) OR (bold AND slides AND n < 80) THEN 2 ELSE 0 END AS header_level,
+    """SELECT doc_id, CAST(len(list_filter(sizes, lambda n: n > 0 AND size > 18 AND n < 100)) AS BIGINT) AS first_headers,
+  CAST(len(list_filter(sizes, lambda n: n > 0 AND NOT (size > 18 AND n < 100) AND ((size > 14 AND n < 100) OR (bold AND slides AND n < 80)))) AS BIGINT) AS second_headers,
   CASE WHEN chars < 800 AND images > 0.3 THEN 'slides' WHEN chars > 2000 AND blocks > 10 THEN 'paper' WHEN blocks > 5 THEN 'wiki' ELSE 'unknown' END AS kind,
   CASE WHEN contains(l, 'circuit') AND contains(l, 'draw') THEN 'Quantum circuit diagram' WHEN contains(l, 'plot') OR contains(l, 'draw') THEN 'Visualization output ' || (doc_id % 3 + 1)
    WHEN contains(l, 'histogram') THEN 'Histogram plot' WHEN contains(l, 'bloch') THEN 'Bloch sphere representation' ELSE 'Cell output visualization ' || (doc_id % 3 + 1) END AS alt_text
-  FROM (SELECT doc_id, length(trim(left(text, CAST(doc_id % 120 AS INTEGER)))) AS n, doc_id % 25 AS size, doc_id % 2 = 0 AS bold, doc_id % 3 = 0 AS slides, n_chars AS chars, len(string_split(text, chr(10))) AS blocks, (doc_id % 10) / 10 AS images,
+  FROM (SELECT doc_id, [length(trim(x)) FOR x IN string_split(text, chr(10))] AS sizes, doc_id % 25 AS size, doc_id % 2 = 0 AS bold, doc_id % 3 = 0 AS slides, n_chars AS chars, len(string_split(text, chr(10))) AS blocks, (doc_id % 10) / 10 AS images,
   lower(text || ['', ' Circuit.draw()', ' histogram', ' bloch', ' plot'][CAST(doc_id % 5 AS INTEGER) + 1]) AS l FROM documents)""",
 )
 def q85(spark, sf_dir):
     i = F.col("doc_id")
     code_ = F.concat("text", F.element_at(F.array(*map(F.lit, ["", " Circuit.draw()", " histogram", " bloch", " plot"])), (i % 5).cast("int") + 1))
     blocks = F.size(F.split("text", "\n"))
+    levels = F.transform(F.split("text", "\n"), lambda x: text.header_level(i % 25, i % 2 == 0, x, i % 3 == 0))
+    headers = lambda n: F.size(F.filter(levels, lambda x: x == n)).cast("long")
     return read_table(spark, sf_dir, "documents").select(
-        "doc_id", text.header_level(i % 25, i % 2 == 0, F.substr("text", F.lit(1), (i % 120).cast("int")), i % 3 == 0).alias("header_level"),
-        text.document_kind(F.col("n_chars"), blocks, (i % 10) / 10).alias("kind"), text.output_alt_text(code_, i % 3).alias("alt_text"),
+        "doc_id", headers(1).alias("first_headers"), headers(2).alias("second_headers"), text.document_kind(F.col("n_chars"), blocks, (i % 10) / 10).alias("kind"), text.output_alt_text(code_, i % 3).alias("alt_text"),
     )
 
 
@@ -425,10 +426,10 @@ CODE_SHARE_SQL = f"len(list_filter(string_split(t, chr(10)), lambda x: regexp_ma
 @query(
     "q90_auto_fence",
     f"""SELECT doc_id, python, md5(CASE WHEN {CODE_SHARE_SQL} AND python THEN '```python' || chr(10) || {strip_sql('t')} || chr(10) || '```' ELSE t END) AS digest FROM (SELECT doc_id, t, {any_sql('t', code.PYTHON_SIGNS)} AS python
-  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'import numpy' || chr(10) || 'x = 1' || chr(10) || chr(10) || 'return x' || chr(10) || left(text, 20) ELSE text END AS t FROM documents))""",
+  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'import numpy' || chr(10) || 'x = 1' || chr(10) || chr(10) || 'return x' || chr(10) || text ELSE text END AS t FROM documents))""",
 )
 def q90(spark, sf_dir):
-    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("import numpy\nx = 1\n\nreturn x\n"), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("import numpy\nx = 1\n\nreturn x\n"), "text")).otherwise(F.col("text"))
     return documents(spark, sf_dir).select("doc_id", code.looks_like_python(said).alias("python"), F.md5(code.auto_fenced(said)).alias("digest"))
 
 

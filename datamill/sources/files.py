@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datamill.functions import code, text
+from datamill.tables import materialize
 
 
 def discovered(spark: SparkSession, folder: str, include: list[str], exclude: list[str] = (), most: int | None = None) -> DataFrame:
@@ -131,17 +134,18 @@ def result_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", F.explode("m").alias("metric", "value")).select("path", "metric", F.expr("try_cast(value as double)").alias("value")).where("value is not null")
 
 
-def toc_paths(nodes: DataFrame, most_deep: int = 32) -> DataFrame:
+def toc_paths(nodes: DataFrame) -> DataFrame:
     """(id, depth, path) of a tree of (id, parent, ord, title) in pre-order of ``path``; roots have no parent.
 
-    One join a level, on the level's nodes; the tree's depth bounds the rounds.
+    One join a level, on the level's nodes, each written; the tree's depth bounds the rounds. Nodes that no root
+    leads to have no path.
     """
     level = nodes.where("parent is null").select("id", F.lit(0).alias("depth"), F.format_string("%06d", "ord").alias("path"))
-    out = level
-    for depth in range(1, most_deep):
+    level = out = materialize(level, "level")
+    for depth in count(1):
         below = nodes.alias("n").join(level.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent")
         level = below.select("id", F.lit(depth).alias("depth"), F.concat("above", F.lit("/"), F.format_string("%06d", "ord")).alias("path"))
+        level = materialize(level, "level")
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
-    return out

@@ -22,23 +22,42 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (tests on one machine), a temporary folder.
+    Where the setting is missing, a temporary folder serves a session on one machine; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _FALLBACK_DIR:
         _FALLBACK_DIR.append(tempfile.mkdtemp(prefix="datamill-"))
     return _FALLBACK_DIR[0]
 
 
+def written_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are."""
+    return f"{shared_dir(spark)}/datamill/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a read of a file, not the work that
     led to it, and Spark knows the size of what it reads when it picks a join.
+    The files stay until ``remove_written``, since results read them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/datamill/{name}-{uuid.uuid4().hex}"
+    path = f"{written_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder of whatever store Spark can write to. Was it there?"""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remove_written(spark: SparkSession) -> bool:
+    """Remove the intermediate tables of this application, when its results are used or written elsewhere."""
+    return remove_folder(spark, written_dir(spark))

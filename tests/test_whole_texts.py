@@ -21,3 +21,23 @@ def test_functions_and_structure_behind_a_long_lead(spark, tmp_path):
     assert function["docstring"] == text
     (checked,) = results(spark, tmp_path / "b", "q62_syntax_check", text)
     assert checked["error"] is None
+
+
+def test_items_of_any_length_are_found(spark):
+    from datamill.operators.dedup import contained_items
+
+    text = "one two three\nfour five six seven eight nine ten eleven twelve thirteen"
+    items = ["o three\nfo", "ee\nfour five six seven eight nine ten elev", "two", "wo thr", "hree", "two  three", "three four", "", "twelve thirteen", text, "ne two three\nfour five six seven eight nine", None]
+    docs = spark.createDataFrame([(1, text), (2, "x " + text + " y"), (3, ""), (4, None), (5, "three")], "doc_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = sorted((d["doc_id"], i) for d in docs.collect() for i, x in enumerate(items) if x and d["text"] and x in d["text"])
+    assert sorted(map(tuple, contained_items(rows, docs).collect())) == want
+    assert contained_items(rows.where("item_id < 0"), docs).count() == 0
+
+
+def test_deep_tables_of_contents_keep_all_levels(spark):
+    from datamill.sources import files
+
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, 0) for i in range(40)], "id long, parent long, ord long")
+    got = {r["id"]: r["depth"] for r in files.toc_paths(nodes).collect()}
+    assert got == {i: i for i in range(40)}
