@@ -68,6 +68,27 @@ def pool_order(sizes: dict[tuple[str, bool], int], goals: dict[tuple[str, bool],
     return sorted((p for p in goals if goals[p] > 0), key=lambda p: sizes.get(p, 0) / max(goals[p], 1))
 
 
+#: Rows that one task may sort for a pool.
+SORTED_ROWS = 100_000
+
+
+def first_rows(df: DataFrame, order: list, n: int, sorted_rows: int = SORTED_ROWS) -> DataFrame:
+    """The first ``n`` rows in ``order``. Many are found by ranges: whole ones as long as they fit, the last one sorted by itself."""
+    if n <= sorted_rows:
+        return df.orderBy(*order).limit(n)
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
+    cut, before = None, 0
+    for r in ranged.groupBy("_p").count().orderBy("_p").collect():  # one row for each range
+        if before + r["count"] > n:
+            cut = r["_p"]
+            break
+        before += r["count"]
+    if cut is None:
+        return ranged.drop("_p")
+    part = ranged.where(F.col("_p") == cut).orderBy(*order).limit(n - before)
+    return ranged.where(F.col("_p") < cut).unionByName(part).drop("_p")
+
+
 def allocate(scored: DataFrame, goals: dict[tuple[str, bool], int], weight: float = 0.5) -> DataFrame:
     """The chosen candidates with ``adjusted`` scores. At most six passes, one for each pool; only six sizes reach the driver."""
     counted = scored.groupBy("question_type", F.col("image_id").isNotNull().alias("with_image")).count().collect()
@@ -85,7 +106,7 @@ def allocate(scored: DataFrame, goals: dict[tuple[str, bool], int], weight: floa
             penalty = 0.5 * zero("type_uses") + 0.3 * zero("chunk_uses") + 0.2 * zero("image_uses")
         adjusted = F.col("score") * F.greatest(F.lit(0.1), 1 - penalty * weight)
         columns = [*scored.columns, "adjusted"]
-        best = pool.withColumn("adjusted", adjusted).select(*columns).orderBy(F.desc("adjusted"), "ord", "type_ord", "image_ord").limit(goals[kind, with_image])
+        best = first_rows(pool.withColumn("adjusted", adjusted).select(*columns), [F.desc("adjusted"), "ord", "type_ord", "image_ord"], goals[kind, with_image])
         chosen = materialize(best if chosen is None else chosen.unionByName(best), "chosen")
     return chosen if chosen is not None else scored.withColumn("adjusted", F.col("score")).limit(0)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datamill.functions.binding import let
 from datamill.operators.decisions import strip
-from datamill.operators.stats import ratio
+from datamill.operators.stats import ordered_values, ratio
 
 #: Fixed value: the base that the brevity penalty uses.
 E = 2.718281828
@@ -81,34 +82,33 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def gram_list(words: Column, n: int) -> Column:
-    """All runs of n words, joined by a separator that no word holds."""
+def bleu_score(prediction: list, reference: list, n: int) -> float:
+    """Geometric mean of clipped n-gram precisions with brevity penalty; any zero: 0, no smoothing."""
+    most = min(n, len(prediction), len(reference))
+    logs = 0.0
+    for k in range(1, most + 1):
+        said, meant = (Counter(zip(*(words[i:] for i in range(k)))) for words in (prediction, reference))
+        hits = sum((said & meant).values())
+        if not hits:
+            return 0.0
+        logs += math.log(hits / (len(prediction) - k + 1))
+    if not most:
+        return 0.0
+    penalty = 1.0 if len(prediction) > len(reference) else E ** (1 - 1 / (len(prediction) / len(reference)))
+    return penalty * math.exp(logs / most)
 
-    def runs(w: Column) -> Column:
-        count = F.size(w) - (n - 1)
-        joined = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), "\x1f"))
-        return F.when(count > 0, joined).otherwise(F.array().cast("array<string>"))
 
-    return let(words, runs)
+def bleu(df: DataFrame, key: list[str], prediction: str, reference: str, n: int = 4) -> DataFrame:
+    """(key, bleu) of each pair. N-grams are counted inside the row, so nothing is shuffled."""
 
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for p, r in batches:
+            yield pd.Series([bleu_score(list(a), list(b), n) for a, b in zip(p, r)], dtype="float64")
 
-def bleu(df: DataFrame, key: list[str], prediction: str, reference: str, n: int = 4) -> DataFrame:
-    """(key, bleu): geometric mean of clipped n-gram precisions with brevity penalty; any zero: 0, no smoothing.
-
-    N-grams are counted by grouping, so a long text costs rows, not squares.
-    """
-    words = df.select(*key, tokens(F.col(prediction)).alias("p"), tokens(F.col(reference)).alias("r"))
-    sized = words.withColumns({"np": F.size("p").cast("long"), "nr": F.size("r").cast("long")}).withColumn("m", F.least(F.lit(n).cast("long"), "np", "nr"))
-    marked = lambda side, k: F.transform(gram_list(F.col(side), k), lambda g: F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), g.alias("gram")))
-    every = F.concat(*[marked(side, k) for k in range(1, n + 1) for side in ("p", "r")])
-    grams = sized.select(*key, "m", F.explode(every).alias("g")).where(F.col("g.k") <= F.col("m")).select(*key, "g.*")
-    counts = grams.groupBy(*key, "k", "gram").agg(F.count_if(F.col("side") == "p").alias("cp"), F.count_if(F.col("side") == "r").alias("cr"))
-    hits = counts.groupBy(*key, "k").agg(F.sum(F.least("cp", "cr")).alias("hit"), F.sum("cp").alias("all"))
-    score = hits.groupBy(*key).agg(F.min("hit").alias("least"), F.sum(F.log(F.col("hit") / F.col("all"))).alias("logs"))
-    ratio_ = F.col("np") / F.col("nr")
-    penalty = F.when(F.col("np") > F.col("nr"), 1.0).otherwise(F.pow(F.lit(E), 1 - F.try_divide(F.lit(1.0), ratio_)))
-    value = F.when((F.col("m") > 0) & (F.col("least") > 0), penalty * F.exp(F.col("logs") / F.col("m"))).otherwise(0.0)
-    return sized.select(*key, "np", "nr", "m").join(score, key, "left").select(*key, F.round(F.coalesce(value, F.lit(0.0)), 6).alias("bleu"))
+    none = F.array().cast("array<string>")
+    words = [F.coalesce(tokens(F.col(c)), none) for c in (prediction, reference)]
+    return df.select(*key, F.round(score(*words), 6).alias("bleu"))
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -143,27 +143,6 @@ def rouge_l(prediction: Column, reference: Column) -> Column:
     return rouge_l_udf(F.coalesce(tokens(prediction), none), F.coalesce(tokens(reference), none))
 
 
-def ordered_values(df: DataFrame, group: str, value: str, places: dict[str, tuple[float, Column]], slack: float = 0.002) -> DataFrame:
-    """For each group the values at given places of its sorted values; exact without sorting a whole group.
-
-    ``places``: name to (share of the rows at about which the place is, 0-based place in terms of ``n``).
-    Approximate quantiles below and above bracket each place; only what lies between them is sorted.
-    """
-    brackets = [
-        F.percentile_approx(value, F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), 10000).alias(f"_{name}") for name, (q, _) in places.items()
-    ]
-    bounds = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), *brackets)
-    rows = df.where(F.col(value).isNotNull()).select(group, value).join(bounds, group)
-    out = bounds.select(group)
-    for name, (_, place) in places.items():
-        low, high = F.col(f"_{name}")[0], F.col(f"_{name}")[1]
-        below = rows.groupBy(group).agg(F.count_if(F.col(value) < low).alias("below"))
-        inside = rows.where(F.col(value).between(low, high)).join(below, group)
-        placed = inside.withColumn("i", F.col("below") + F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1)
-        out = out.join(placed.where(F.col("i") == place).select(group, F.col(value).alias(name)), group, "left")
-    return out
-
-
 def latency_stats(df: DataFrame, group: str, latency: str, ok: str) -> DataFrame:
     """Latency figures of each group; a quantile q is the element at floor(n * q) of the sorted values, without interpolation."""
     n = F.col("n")
@@ -209,7 +188,11 @@ def winning_attempt(attempts: DataFrame) -> DataFrame:
     """The validation loop as data: for each task its first passing attempt, attempts used, and what failed before."""
     first = attempts.groupBy("task_id").agg(F.min(F.when(F.col("success"), F.col("attempt"))).alias("won"), F.count("*").alias("tried"))
     used = attempts.join(first, "task_id").where(F.col("won").isNull() | (F.col("attempt") <= F.col("won")))
-    history = F.transform(F.sort_array(F.collect_list(F.when(~F.col("success"), F.struct("attempt", "error")))), lambda x: x["error"])
-    return used.groupBy("task_id").agg(
-        F.max(F.col("won").isNotNull()).alias("passed"), F.count("*").alias("iterations_used"), F.array_join(F.slice(history, 1, 5), ",").alias("first_errors")
+    # Tasks keep five of each group before the shuffle, so a task with very many attempts isn't gathered.
+    place = F.row_number().over(Window.partitionBy("task_id").orderBy("attempt"))
+    failed = used.where(~F.col("success")).select("task_id", "attempt", "error").withColumn("_n", place).where(F.col("_n") <= 5)
+    history = failed.groupBy("task_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("attempt", "error"))), lambda x: x["error"]).alias("_errors"))
+    counts = used.groupBy("task_id").agg(F.max(F.col("won").isNotNull()).alias("passed"), F.count("*").alias("iterations_used"))
+    return counts.join(history, "task_id", "left").select(
+        "task_id", "passed", "iterations_used", F.array_join(F.coalesce("_errors", F.array().cast("array<string>")), ",").alias("first_errors")
     )

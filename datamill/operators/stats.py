@@ -89,10 +89,36 @@ def size_bucket(n: Column) -> Column:
     return out
 
 
+def ordered_values(df: DataFrame, group: str, value: str, places: dict[str, tuple[float, Column]], slack: float = 0.002) -> DataFrame:
+    """For each group the values at given places of its sorted values; exact without sorting a whole group.
+
+    ``places``: name to (share of the rows at about which the place is, 0-based place in terms of ``n``).
+    Approximate quantiles below and above bracket each place; only what lies between them is sorted.
+    """
+    brackets = [
+        F.percentile_approx(value, F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), 10000).alias(f"_{name}") for name, (q, _) in places.items()
+    ]
+    bounds = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), *brackets)
+    rows = df.where(F.col(value).isNotNull()).select(group, value).join(bounds, group)
+    out = bounds.select(group)
+    for name, (_, place) in places.items():
+        low, high = F.col(f"_{name}")[0], F.col(f"_{name}")[1]
+        below = rows.groupBy(group).agg(F.count_if(F.col(value) < low).alias("below"))
+        inside = rows.where(F.col(value).between(low, high)).join(below, group)
+        placed = inside.withColumn("i", F.col("below") + F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1)
+        out = out.join(placed.where(F.col("i") == place).select(group, F.col(value).alias(name)), group, "left")
+    return out
+
+
 def clipped_distribution(df: DataFrame, value: str, share: float = 0.99) -> DataFrame:
-    """Mean and median of all values, and count and largest of those clipped at a quantile."""
-    all_of = (F.avg(value).alias("mean"), F.median(value).alias("median"), F.count(value).alias("n"), F.max(value).alias("largest"))
-    return df.agg(*all_of, F.percentile(value, share).alias("cut")).select(
+    """Mean and median of all values, and count and largest of those clipped at a quantile (between two values: in proportion)."""
+    rows = df.where(F.col(value).isNotNull()).select(F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v"))
+    at = lambda q: (F.col("n") - 1) * F.lit(q)
+    places = {f"_{name}{end}": (q, cut(at(q)).cast("long")) for name, q in (("m", 0.5), ("c", share)) for end, cut in (("low", F.floor), ("high", F.ceil))}
+    plain = rows.groupBy("_all").agg(F.avg("_v").alias("mean"), F.count("*").alias("n"), F.max("_v").alias("largest"))
+    found = plain.join(ordered_values(rows, "_all", "_v", places), "_all")
+    between = lambda name, q: F.col(f"_{name}low") + (F.col(f"_{name}high") - F.col(f"_{name}low")) * (at(q) - F.floor(at(q)))
+    return found.withColumn("median", between("m", 0.5)).withColumn("cut", between("c", share)).select(
         F.round("mean", 6).alias("mean"), "median", "n", F.round("cut", 6).alias("clip"), F.least("largest", "cut").alias("largest_clipped")
     )
 

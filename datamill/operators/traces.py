@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from datamill.tables import materialize
+
 
 def conversations(turns: DataFrame) -> DataFrame:
     """One row for each conversation of (conv_id, turn, role, stage): iterations, and success where the assistant has the last word."""
@@ -29,6 +31,15 @@ def filtered(traces: DataFrame, stage: str | None = None, success: bool | None =
 
 
 def numbered(traces: DataFrame, order: str) -> DataFrame:
-    """Ids conv_000001, ... within each stage, in order."""
-    place = F.row_number().over(Window.partitionBy("stage").orderBy(order))
-    return traces.withColumn("trace_id", F.format_string("conv_%06d", place))
+    """Ids conv_000001, ... within each stage, in order.
+
+    Few stages hold all rows, so none is sorted as a whole: rows are numbered inside ranges of (stage, order), and the
+    ranges' counts give where each begins.
+    """
+    ranged = materialize(traces.repartitionByRange("stage", order).withColumn("_p", F.spark_partition_id()), "ranged")
+    before = Window.partitionBy("_stage").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(F.col("stage").alias("_stage"), F.col("_p").alias("_range")).agg(F.count("*").alias("_c"))
+    begins = counts.select("_stage", "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    place = F.row_number().over(Window.partitionBy("stage", "_p").orderBy(order))
+    rows = ranged.join(begins, F.col("stage").eqNullSafe(F.col("_stage")) & (F.col("_p") == F.col("_range"))).withColumn("_r", F.col("_b") + place)
+    return rows.withColumn("trace_id", F.format_string("conv_%06d", "_r")).select(*traces.columns, "trace_id")

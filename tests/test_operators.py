@@ -218,3 +218,14 @@ def test_images_that_stay(spark):
     decided = spark.createDataFrame([("a", "yes"), ("b", "no"), ("d", None)], "image_id string, decision string")
     got = {r["id"]: [i["image_id"] for i in r["images"]] for r in decisions.image_filter(docs, decided, "id").collect()}
     assert got == {1: ["a", "d"], 2: []}
+
+
+def test_first_rows_by_ranges(spark):
+    from datamill.operators.allocation import first_rows
+
+    df = spark.range(5000).selectExpr("id", "id % 7 as score").repartition(6)
+    order = [F.desc("score"), "id"]
+    for n in (0, 1, 999, 2500, 4999, 5000, 9000):
+        want = [r["id"] for r in df.orderBy(*order).limit(n).collect()]
+        assert {r["id"] for r in first_rows(df, order, n, sorted_rows=0).collect()} == set(want)
+    assert first_rows(df.limit(0), order, 5, sorted_rows=0).count() == 0
