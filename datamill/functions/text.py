@@ -229,6 +229,12 @@ def keyword_category(text: Column, categories: dict[str, str]) -> Column:
     return F.array_max(keyword_scores(text, categories))["name"]
 
 
+def category_label(label: Column, text: Column, categories: dict[str, str]) -> Column:
+    """A label as it is normalised where that is a category, else the text's category by keywords."""
+    normal = normal_label(label)
+    return F.when(normal.isin(list(categories)), normal).otherwise(keyword_category(text, categories))
+
+
 def model_file_name(model: Column, samples: Column, ks: str, stamp: Column) -> Column:
     """Name of a result file: a tidy model name, numbers, time."""
     tidy = F.regexp_replace(F.regexp_replace(F.translate(model, "/\\", "--"), r"[^\p{L}\p{N}_\-.]", "_"), r"[-_]+", "-")

@@ -7,7 +7,9 @@ by the highest scores after a penalty for chunks and images that earlier pools u
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datamill.operators.stats import ratio
@@ -37,17 +39,28 @@ def qa_score(text: Column, image_type: Column, has_neighbours: Column) -> Column
     return F.least(base + image + F.when(has_neighbours, 0.1).otherwise(0.0), F.lit(1.0))
 
 
-def candidates(chunks: DataFrame) -> DataFrame:
+#: A scorer gives the suitability of (text, code, image type, has neighbours).
+Scorer = Callable[[Column, Column, Column, Column], Column]
+SCORERS: dict[str, Scorer] = {
+    "function_completion": lambda text, code, image, near: code_score(text, code, image),
+    "code_generation": lambda text, code, image, near: code_score(text, code, image),
+    "qa": lambda text, code, image, near: qa_score(text, image, near),
+}
+
+
+def candidates(chunks: DataFrame, scorers: dict[str, Scorer] | None = None) -> DataFrame:
     """Scored candidates of ``chunks`` (chunk_key, ord, text, code, images: array of (image_id, image_type), has_neighbours).
 
-    ``ord`` numbers chunks; the order of candidates is that of (chunk, type, images then none).
+    ``ord`` numbers chunks; the order of candidates is that of (chunk, type, images then none). ``scorers`` replaces
+    those of some kinds of questions.
     """
+    rules = SCORERS | (scorers or {})
     kinds = F.explode(F.transform(F.array(*map(F.lit, TYPES)), lambda t, i: F.struct(t.alias("question_type"), i.alias("type_ord"))))
     none = F.lit(None).cast(chunks.schema["images"].dataType.elementType)
     rows = chunks.withColumn("k", kinds).select("*", F.posexplode(F.array_append("images", none)).alias("image_ord", "image"))
-    score = F.when(F.col("k.question_type") == "qa", qa_score(F.col("text"), F.col("image.image_type"), F.col("has_neighbours"))).otherwise(
-        code_score(F.col("text"), F.col("code"), F.col("image.image_type"))
-    )
+    score = F.lit(0.0)
+    for kind in TYPES:
+        score = F.when(F.col("k.question_type") == kind, rules[kind](F.col("text"), F.col("code"), F.col("image.image_type"), F.col("has_neighbours"))).otherwise(score)
     return rows.select(
         "chunk_key", "ord", "k.question_type", "k.type_ord", "image_ord", F.col("image.image_id").alias("image_id"), F.col("image.image_type").alias("image_type"), score.alias("score")
     ).where(F.col("score") >= LEAST_SCORE)
@@ -120,14 +133,29 @@ def allocation_metrics(chosen: DataFrame, total_chunks: int, total_images: int)
     )
 
 
-def diversity_sweep(scored: DataFrame, goals: dict[tuple[str, bool], int], weights: list[float]) -> DataFrame:
-    """One row for each weight of the penalty: what the allocation covers."""
+def sweep(scored: DataFrame, runs: list[tuple[str, dict[tuple[str, bool], int], float]]) -> DataFrame:
+    """One row for each run (name, goals, weight): what the allocation covers."""
     out = None
-    for w in weights:
-        row = allocate(scored, goals, w).agg(F.count("*").alias("selected"), F.count_distinct("chunk_key").alias("chunks"), F.count_distinct("image_id").alias("images")).withColumn("weight", F.lit(w))
+    for name, goals, weight in runs:
+        row = allocate(scored, goals, weight).agg(F.count("*").alias("selected"), F.count_distinct("chunk_key").alias("chunks"), F.count_distinct("image_id").alias("images")).withColumn("name", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def diversity_sweep(scored: DataFrame, goals: dict[tuple[str, bool], int], weights: list[float]) -> DataFrame:
+    """One row for each weight of the penalty."""
+    return sweep(scored, [(str(w), goals, w) for w in weights]).withColumn("weight", F.col("name").cast("double")).drop("name")
+
+
+def over_allocation_sweep(scored: DataFrame, total: int, shares: dict[str, float], image_shares: dict[str, float], factors: list[float], weight: float = 0.5) -> DataFrame:
+    """One row for each factor by which pools get more than is needed."""
+    return sweep(scored, [(f"alloc_{f:.1f}x", targets(total, shares, image_shares, f), weight) for f in factors])
+
+
+def target_sweep(scored: DataFrame, totals: list[int], shares: dict[str, float], image_shares: dict[str, float], weight: float = 0.5) -> DataFrame:
+    """One row for each number of samples that are wanted."""
+    return sweep(scored, [(f"target_{t}", targets(t, shares, image_shares), weight) for t in totals])
+
+
 def suitability(score: Column) -> Column:
     return F.when(score >= SUITABLE, "high").when(score >= FAIR, "medium").otherwise("low")

@@ -64,3 +64,12 @@ def enriched(metadata: Column, added: dict[str, Column]) -> Column:
 
 def has_test(test: Column) -> Column:
     return F.coalesce(F.trim(test), F.lit("")) != ""
+
+
+#: Fixed value: bytes beyond which a vector image isn't converted.
+VECTOR_BYTES = 10 * 1024 * 1024
+
+
+def image_union(a: Column, b: Column) -> Column:
+    """The images of two lists, each once, in the order of the first list and then of the second."""
+    return F.array_union(F.coalesce(a, F.array()), F.coalesce(b, F.array()))

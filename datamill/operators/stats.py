@@ -80,6 +80,13 @@ def estimated_cross(df: DataFrame, outer: str, a: str, b: str) -> DataFrame:
     return of_a.join(of_b, outer).join(total, outer).select(outer, a, b, F.floor(F.col("na") * F.col("nb") / F.col("total")).cast("long").alias("estimate"))
 
 
+def top_modality(df: DataFrame, key: str, flag: str, order: str, top: int) -> DataFrame:
+    """The ``top`` values of ``key`` by rows (the first seen of equal ones): rows with and without ``flag``, and per cent with it."""
+    counts = df.groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias("with_image"), F.min(order).alias("_first"))
+    best = counts.orderBy(F.desc("n"), "_first").limit(top)
+    return best.select(key, "n", "with_image", (F.col("n") - F.col("with_image")).alias("text_only"), F.bround(F.col("with_image").cast("double") / F.col("n") * 100, 4).alias("pct_with_image"))
+
+
 def size_bucket(n: Column) -> Column:
     """The size class of a dataset card."""
     steps = [(1_000, "n<1K"), (10_000, "1K<n<10K"), (100_000, "10K<n<100K"), (1_000_000, "100K<n<1M")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from datamill.functions import text
+from datamill.functions import prompts, text
 from datamill.operators import allocation, context, formats, traces
 from datamill.plans import views
 from datamill.plans.core import SPLIT_SQL, split_samples
@@ -166,7 +166,7 @@ def chosen(spark, sf_dir, scored):
     return allocation.allocate(scored, allocation.targets(n // 2, SHARES, IMAGE_SHARES))
 
 
-def allocation_sql(part: int, weight: float, tag: str = "") -> str:
+def allocation_sql(part: int, weight: float, tag: str = "", factor: float = 1.0) -> str:
     """CTEs that end in v_sel6: six passes over the pools in order of scarcity, each after the usage of those before."""
     rows = "(VALUES " + ", ".join(f"('{t}', {i}, {SHARES[t]}::DOUBLE, {IMAGE_SHARES[t]}::DOUBLE)" for i, t in enumerate(allocation.TYPES)) + ") v(question_type, type_ord, share, image_share)"
     code_base = "CASE WHEN code IS NOT NULL THEN 0.5::DOUBLE + least(length(code) / 400, 0.3::DOUBLE) WHEN length(text) >= 200 THEN 0.2::DOUBLE ELSE 0::DOUBLE END"
@@ -177,7 +177,7 @@ def allocation_sql(part: int, weight: float, tag: str = "") -> str:
     WHEN image_id IS NOT NULL AND image_type <> 'circuit' THEN 0::DOUBLE ELSE least({code_base} + CASE WHEN image_id IS NOT NULL THEN 0.3::DOUBLE ELSE 0::DOUBLE END, 1.0::DOUBLE) END AS score
     FROM (SELECT doc_id, chunk_id, text, code, 0 AS image_ord, image_id, image_type, n FROM v_counted WHERE image_id IS NOT NULL UNION ALL
       SELECT doc_id, chunk_id, text, code, CASE WHEN image_id IS NULL THEN 0 ELSE 1 END, NULL, NULL, n FROM v_counted), {rows}) WHERE score >= 0.05::DOUBLE),
-  v_goal{tag} AS (SELECT question_type, type_ord, CAST(floor(t * share) AS BIGINT) AS of_type, CAST(floor(floor(t * share) * image_share) AS BIGINT) AS with_image FROM (SELECT count(*) // {part} AS t FROM documents), {rows}),
+  v_goal{tag} AS (SELECT question_type, type_ord, CAST(floor(floor(t * share) * {factor}::DOUBLE) AS BIGINT) AS of_type, CAST(floor(floor(floor(t * share) * image_share) * {factor}::DOUBLE) AS BIGINT) AS with_image FROM (SELECT count(*) // {part} AS t FROM documents), {rows}),
   v_pool{tag} AS (SELECT *, row_number() OVER (ORDER BY size / target, type_ord, NOT mm) AS place FROM (SELECT g.question_type, g.type_ord, mm, CASE WHEN mm THEN g.with_image ELSE g.of_type - g.with_image END AS target,
     (SELECT count(*) FROM v_cand{tag} c WHERE c.question_type = g.question_type AND (c.image_id IS NOT NULL) = mm) AS size FROM v_goal{tag} g, (VALUES (true), (false)) b(mm)) WHERE target > 0),
   v_sel{tag}0 AS (SELECT *, score AS adjusted FROM v_cand{tag} WHERE false)"""
@@ -231,6 +231,76 @@ def q49(spark, sf_dir):
     return allocation.diversity_sweep(scored_candidates(spark, sf_dir), allocation.targets(n // 4, SHARES, IMAGE_SHARES), SWEEP)
 
 
+FACTORS, PARTS = [1.0, 1.8], [8, 4]
+
+
+def swept_sql(names: list[str], ctes: list[str], tags: list[str]) -> str:
+    rows = [f"SELECT '{n}' AS name, count(*) AS selected, count(DISTINCT chunk_key) AS chunks, count(DISTINCT image_id) AS images FROM v_sel{t}6" for n, t in zip(names, tags)]
+    return f"WITH {COUNTED_SQL}, " + ", ".join(ctes) + " " + " UNION ALL ".join(rows)
+
+
+@query("q49b_over_allocation_sweep", swept_sql([f"alloc_{f:.1f}x" for f in FACTORS], [allocation_sql(6, 0.5, f"_f{i}_", f) for i, f in enumerate(FACTORS)], [f"_f{i}_" for i in range(len(FACTORS))]))
+def q49b(spark, sf_dir):
+    n = read_table(spark, sf_dir, "documents").count()
+    return allocation.over_allocation_sweep(scored_candidates(spark, sf_dir), n // 6, SHARES, IMAGE_SHARES, FACTORS)
+
+
+@query("q49c_target_sweep", swept_sql([f"part_{p}" for p in PARTS], [allocation_sql(p, 0.5, f"_t{i}_") for i, p in enumerate(PARTS)], [f"_t{i}_" for i in range(len(PARTS))]))
+def q49c(spark, sf_dir):
+    n = read_table(spark, sf_dir, "documents").count()
+    rows = allocation.target_sweep(scored_candidates(spark, sf_dir), [n // p for p in PARTS], SHARES, IMAGE_SHARES)
+    named = F.create_map(*[F.lit(x) for p in PARTS for x in (f"target_{n // p}", f"part_{p}")])
+    return rows.withColumn("name", named[F.col("name")])
+
+
+@query(
+    "q44b_custom_scorer",
+    f"""WITH {CHUNKS_SQL} SELECT question_type, count(*) AS n, round(sum(score), 6) AS total FROM (SELECT question_type, CASE question_type WHEN 'qa' THEN least(length(text) / 500, 1.0::DOUBLE) WHEN 'code_generation'
+  THEN CASE WHEN code IS NOT NULL THEN 0.7::DOUBLE ELSE 0::DOUBLE END ELSE CASE WHEN image IS NULL THEN 0.04::DOUBLE ELSE 0.4::DOUBLE END END AS score
+  FROM (SELECT *, NULL AS image FROM v_rich WHERE length(text) > 0 UNION ALL SELECT *, image_id FROM v_rich WHERE length(text) > 0 AND image_id IS NOT NULL), (VALUES ('qa'), ('code_generation'), ('function_completion')) k(question_type)) WHERE score >= 0.05::DOUBLE GROUP BY question_type""",
+)
+def q44b(spark, sf_dir):
+    """Candidates by scorers of the user's own."""
+    rows = chunks(spark, sf_dir).where("length(text) > 0").withColumn("chunk_key", F.concat_ws("#", "doc_id", "chunk_id")).withColumn("ord", F.struct("doc_id", "chunk_id")).withColumn("has_neighbours", F.lit(True))
+    own = {
+        "qa": lambda text, code, image, near: F.least(F.length(text) / 500, F.lit(1.0)),
+        "code_generation": lambda text, code, image, near: F.when(F.size(code) > 0, 0.7).otherwise(0.0),
+        "function_completion": lambda text, code, image, near: F.when(image.isNull(), 0.04).otherwise(0.4),
+    }
+    return allocation.candidates(rows, own).groupBy("question_type").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
+
+
+NEAR_SQL = f"""WITH {CHUNKS_SQL}, v_near AS (SELECT *, right(coalesce(lag(text) OVER w, ''), 800) AS before, left(coalesce(lead(text) OVER w, ''), 800) AS after FROM v_rich WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_id))"""
+
+
+@query(
+    "q87b_bounded_context",
+    NEAR_SQL + """ SELECT doc_id, chunk_id, length(c) AS n_chars, md5(c) AS digest FROM (SELECT doc_id, chunk_id, CASE WHEN length(whole) > 4096 THEN left(essential, 4096) ELSE whole END AS c FROM (SELECT *,
+  concat_ws(repeat(chr(10), 2), '[Target Image]' || chr(10) || image_id, '[Main Content]' || chr(10) || text) AS essential,
+  concat_ws(repeat(chr(10), 2), '[Target Image]' || chr(10) || image_id, CASE WHEN before <> '' THEN '[Previous Context]' || chr(10) || before END, '[Main Content]' || chr(10) || text,
+    CASE WHEN after <> '' THEN '[Next Context]' || chr(10) || after END, CASE WHEN code <> '' THEN '[Code from Document]' || chr(10) || '```python' || chr(10) || code || chr(10) || '```' END) AS whole FROM v_near))""",
+)
+def q87b(spark, sf_dir):
+    rows = context.with_neighbours(chunks(spark, sf_dir), "doc_id", "chunk_id", "text")
+    built = prompts.bounded_context(F.col("text"), F.col("previous_text"), F.col("next_text"), F.get("code", F.lit(0)), F.get("images", F.lit(0))["image_id"])
+    return rows.select("doc_id", "chunk_id", built.alias("c")).select("doc_id", "chunk_id", F.length("c").cast("long").alias("n_chars"), F.md5("c").alias("digest"))
+
+
+@query(
+    "q87c_prompts",
+    """SELECT doc_id, md5('Q: ' || text || ' (' || source || ') image=' || CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END || ' test=' || CASE WHEN doc_id % 3 = 0 THEN 'yes' ELSE 'no' END || chr(10)
+    || CASE WHEN length(text) > 2200 THEN left(text, 2200) || '...' ELSE text END || ' {x}') AS filter_prompt,
+  md5('Describe:' || chr(10) || CASE WHEN doc_id % 5 = 0 THEN 'No additional context available' ELSE concat_ws(chr(10), CASE WHEN doc_id % 2 = 0 THEN 'Alt text: ' || source END, 'Caption: ' || lang,
+    CASE WHEN text <> '' THEN 'Surrounding text: ' || left(text, 600) END, CASE WHEN text <> '' THEN 'Code that may have generated this image:' || chr(10) || '```python' || chr(10) || left(text, 2000) || chr(10) || '```' END) END) AS image_prompt FROM documents""",
+)
+def q87c(spark, sf_dir):
+    known = lambda x: F.when(F.col("doc_id") % 5 != 0, x)
+    said, even = F.col("text"), F.col("doc_id") % 2 == 0
+    asked = prompts.filter_prompt("Q: {question} ({question_type}) image={has_image} test={has_test}\n{context_preview} {x}", said, F.col("source"), even, F.col("doc_id") % 3 == 0, said)
+    image = prompts.transcription_prompt("Describe:\n{context}", known(F.when(even, F.col("source"))), known(F.col("lang")), known(said), known(said))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(asked).alias("filter_prompt"), F.md5(image).alias("image_prompt"))
+
+
 @query(
     "q50_block_merge",
     """SELECT doc_id, md5(string_agg(content, '|' ORDER BY page, y, kind, ord)) AS digest, count(*) AS n FROM (SELECT doc_id, chunk_id % 3 AS page, length(text) % 50 AS y, 0 AS kind, chunk_id AS ord, text AS content FROM v_chunks

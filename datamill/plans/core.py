@@ -282,3 +282,12 @@ def q95(spark, sf_dir):
     rows = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_tax") == 0).alias("zero_tax"), key.alias("k"))
     done = split.stratified_split(rows, "k", ("l_returnflag", "l_linestatus", "zero_tax"))
     return done.groupBy("l_returnflag", "l_linestatus", "split").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q31c_top_modality",
+    """SELECT category, n, with_image, n - with_image AS text_only, round_even(with_image::DOUBLE / n * 100, 4) AS pct_with_image FROM (SELECT category, count(*) AS n, count(*) FILTER (is_multimodal) AS with_image, row_number() OVER (ORDER BY count(*) DESC, min(doc_id)) AS place
+  FROM v_samples GROUP BY category) WHERE place <= 7""",
+)
+def q31c(spark, sf_dir):
+    return stats.top_modality(views.samples(spark, sf_dir), "category", "is_multimodal", "doc_id", 7)

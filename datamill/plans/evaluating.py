@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from datamill.operators import evaluation as ev
+from datamill.operators import metrics
 from datamill.plans import views
 from datamill.plans.registry import query
 from datamill.tables import read_table
@@ -199,3 +200,15 @@ def q75(spark, sf_dir):
 )
 def q94(spark, sf_dir):
     return ev.winning_attempt(with_errors(spark, sf_dir))
+
+
+@query(
+    "q98_metric_surface",
+    r"""WITH v_scored AS (SELECT turn, (regexp_replace(prediction, '^\s+|\s+$', '', 'g') = regexp_replace(reference, '^\s+|\s+$', '', 'g'))::INT::DOUBLE AS exact, least(length(prediction), length(reference))::DOUBLE / greatest(length(prediction), length(reference), 1) AS ratio FROM v_qa_pairs)
+  SELECT turn, count(*) AS n, round(avg(exact), 6) AS exact_match, round(max(ratio), 6) AS length_ratio FROM v_scored GROUP BY GROUPING SETS ((), (turn))""",
+)
+def q98(spark, sf_dir):
+    """A metric of the user's own beside one that is there."""
+    lengths = metrics.Metric("length_ratio", lambda p, r: F.least(F.length(p), F.length(r)).cast("double") / F.greatest(F.length(p), F.length(r), F.lit(1)), F.max)
+    evaluator = metrics.Evaluator(["exact_match", lengths])
+    return evaluator.results(evaluator.samples(views.qa_pairs(spark, sf_dir)), ["turn"]).select("turn", "n", "exact_match", "length_ratio")

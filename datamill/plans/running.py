@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from datamill.functions import code, text
-from datamill.operators import chunking, dedup, formats
+from datamill.operators import chunking, decisions, dedup, formats, stages
 from datamill.plans import views
 from datamill.plans.registry import query
 from datamill.plans.texts import quoted
 from datamill.sources import files
 from datamill.streaming import incremental
-from datamill.tables import read_table, shared_dir
+from datamill.tables import read_table, shared_dir, written_dir
 
 
 def documents(spark, sf_dir):
@@ -227,7 +227,7 @@ def q69(spark, sf_dir):
 
 @query(
     "q70_size_predicates",
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (w < 160 AND h < 160) OR w * h < 17000 AS too_small, w * h > 30000000 AS too_large, CASE WHEN greatest(w, h) > 640 THEN CAST(floor(w / (greatest(w, h) / 640)) AS BIGINT) ELSE w END AS new_width
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (w < 160 AND h < 160) OR w * h < 17000 AS too_small, w * h > 30000000 AS too_large, CASE WHEN greatest(w, h) > 640 THEN CAST(floor(w / (greatest(w, h) / 640)) AS BIGINT) ELSE w END AS new_width, l_extendedprice * 200 > 10485760 AS vector_too_large
   FROM (SELECT *, l_partkey % 700 + 1 AS w, l_suppkey * 7 % 900 + 1 AS h FROM lineitem)""",
 )
 def q70(spark, sf_dir):
@@ -235,7 +235,7 @@ def q70(spark, sf_dir):
     longest = F.greatest(w, h)
     return read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", ((w < 160) & (h < 160) | (w * h < 17000)).alias("too_small"), (w * h > 30_000_000).alias("too_large"),
-        F.when(longest > 640, F.floor(w / (longest / 640)).cast("long")).otherwise(w).alias("new_width"),
+        F.when(longest > 640, F.floor(w / (longest / 640)).cast("long")).otherwise(w).alias("new_width"), (F.col("l_extendedprice") * 200 > formats.VECTOR_BYTES).alias("vector_too_large"),
     )
 
 
@@ -264,3 +264,64 @@ def q91(spark, sf_dir):
 def ext_contamination(spark, sf_dir):
     """Benchmark items that occur word for word in documents."""
     return dedup.contained_items(read_table(spark, sf_dir, "benchmark"), documents(spark, sf_dir)).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+@query("q96_stage_checkpoint", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
+def q96(spark, sf_dir):
+    """A stage that is made once, loaded the second time, and one that is resumed after a third of its rows."""
+    base = f"{written_dir(spark)}/stages-{uuid.uuid4().hex}"
+    make = lambda df: df.select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    rows = documents(spark, sf_dir)
+    stages.run(spark, base, "tokens", lambda: make(rows), {"from": "documents"})
+    again = stages.run(spark, base, "tokens", lambda: make(rows.where("1 / 0 = 1")))
+    stages.resume(rows.where("lang = 'en'"), base, "resumed", ["doc_id"], make)
+    return again.intersectAll(stages.resume(rows, base, "resumed", ["doc_id"], make))
+
+
+FILES_SQL = """SELECT doc_id, 'd/' || doc_id || ['.md', '.ipynb', '.txt', '.xyz', '.ipynb'][CAST(doc_id % 5 AS INTEGER) + 1] AS path, text FROM documents"""
+
+
+@query(
+    "q97_parser_dispatch",
+    f"""SELECT path AS source_path, CASE doc_id % 5 WHEN 3 THEN NULL WHEN 0 THEN 'text' WHEN 2 THEN 'text' ELSE 'notebook' END AS parser, CASE doc_id % 5 WHEN 3 THEN NULL WHEN 4 THEN md5('') ELSE md5(text) END AS digest,
+  CASE doc_id % 5 WHEN 3 THEN 'no parser for this file' WHEN 4 THEN 'not a notebook' END AS error FROM ({FILES_SQL})""",
+)
+def q97(spark, sf_dir):
+    """Files of several kinds made of whole texts: each goes to the parser of its suffix; some are of no kind, some broken."""
+    i = F.col("doc_id")
+    suffix = F.element_at(F.array(*map(F.lit, [".md", ".ipynb", ".txt", ".xyz", ".ipynb"])), (i % 5).cast("int") + 1)
+    notebook = F.concat(F.lit('{"cells":[{"cell_type":"markdown","source":'), F.get(F.split(F.to_json(F.struct(F.col("text").alias("t"))), '^\\{"t":'), F.lit(1)), F.lit("]}"))
+    value = F.when(i % 5 == 1, notebook).when(i % 5 == 4, F.concat(F.lit("broken "), "text")).otherwise(F.col("text"))
+    listed = documents(spark, sf_dir).select(F.concat(F.lit("d/"), i.cast("string"), suffix).alias("source_path"), value.alias("value"))
+    return files.parsed(listed).select("source_path", "parser", F.md5("content").alias("digest"), F.col("_error").alias("error"))
+
+
+@query(
+    "q99_image_filter",
+    """WITH v_images AS (SELECT doc_id, i AS place, doc_id || '-' || i AS image_id, CASE WHEN i % 3 = 0 THEN '' ELSE parts[i] END AS transcription, CASE WHEN i % 4 <> 0 THEN 'p' END AS resolved_path FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), unnest(generate_series(1, len(parts))) AS u(i)),
+  v_decided AS (SELECT *, CASE WHEN place % 5 = 0 THEN NULL WHEN place % 2 = 0 THEN 'no' ELSE 'yes' END AS decision FROM v_images)
+  SELECT doc_id, md5(coalesce(string_agg(image_id, ',' ORDER BY place) FILTER (coalesce(transcription, '') <> '' AND coalesce(resolved_path, '') <> '' AND coalesce(decision = 'yes', true)), '')) AS kept FROM v_decided GROUP BY doc_id""",
+)
+def q99(spark, sf_dir):
+    """Lines as transcriptions of images; images without one, without a path, or decided against go."""
+    image = lambda x, i: F.struct(
+        F.concat_ws("-", "doc_id", i + 1).alias("image_id"), F.when((i + 1) % 3 == 0, "").otherwise(x).alias("transcription"), F.when((i + 1) % 4 != 0, "p").alias("resolved_path")
+    )
+    rows = documents(spark, sf_dir).select("doc_id", F.transform(F.split("text", "\n"), image).alias("images"))
+    at = F.col("at") + 1
+    voted = rows.select("doc_id", F.posexplode("images").alias("at", "image")).select(
+        F.col("image.image_id").alias("image_id"), F.when(at % 5 == 0, None).when(at % 2 == 0, "no").otherwise("yes").alias("decision")
+    )
+    kept = decisions.image_filter(rows, voted, "doc_id")
+    return kept.select("doc_id", F.md5(F.array_join(F.transform("images", lambda x: x["image_id"]), ",")).alias("kept"))
+
+
+@query(
+    "q81b_image_union",
+    """SELECT doc_id, array_to_string(list_filter(merged, lambda x, i: list_position(merged, x) = i), ',') AS images FROM (SELECT doc_id, ['a', 'i' || doc_id % 3, source] || ['i' || doc_id % 2, lang, 'a'] AS merged FROM documents)""",
+)
+def q81b(spark, sf_dir):
+    """Lists of images of two chunks that are merged: the first's, then what the second's adds, in order."""
+    number = lambda n: F.concat(F.lit("i"), (F.col("doc_id") % n).cast("string"))
+    both = formats.image_union(F.array(F.lit("a"), number(3), "source"), F.array(number(2), "lang", F.lit("a")))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(both, ",").alias("images"))

@@ -74,6 +74,16 @@ def q30b(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("url", text.normal_label(F.col("url")).alias("label"))
 
 
+@query(
+    "q30c_category_label",
+    "SELECT doc_id, CASE WHEN normal IN (" + ", ".join(map(quoted, CATEGORIES)) + f") THEN normal ELSE k.category END AS category FROM (SELECT doc_id, translate(lower({strip_sql('label')}), '- ', '__') AS normal FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' Arts ' WHEN 1 THEN 'HISTORY' ELSE source END AS label FROM documents)) JOIN ("
+    + keyword_sql() + ") k USING (doc_id)",
+)
+def q30c(spark, sf_dir):
+    label = F.when(F.col("doc_id") % 4 == 0, " Arts ").when(F.col("doc_id") % 4 == 1, "HISTORY").otherwise(F.col("source"))
+    return documents(spark, sf_dir).select("doc_id", text.category_label(label, F.col("text"), CATEGORIES).alias("category"))
+
+
 HINTS = ["a bar chart", "the Bloch sphere", "matrix", "a data table", "console", "logo", "wire", "nothing", "diagram"]
 
 

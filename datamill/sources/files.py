@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -82,6 +83,44 @@ def markdown_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parsed_texts(raw: DataFrame) -> DataFrame:
+    """Plain and Markdown files as they are."""
+    body = F.col("value")
+    return raw.select("source_path", body.alias("content"), code.language_blocks(body).alias("code_blocks"), text.title(body).alias("title"), F.lit(None).cast("string").alias("_error"))
+
+
+def parsed_pages(raw: DataFrame) -> DataFrame:
+    """Markdown with components: cleaned."""
+    clean = text.clean_jsx(F.col("value"))
+    return raw.select("source_path", clean.alias("content"), code.language_blocks(clean).alias("code_blocks"), text.title(F.col("value")).alias("title"), F.lit(None).cast("string").alias("_error"))
+
+
+Parser = Callable[[DataFrame], DataFrame]
+#: name, suffixes, parser; the first whose suffix a path has reads it.
+PARSERS: list[tuple[str, tuple[str, ...], Parser]] = [("notebook", (".ipynb",), parsed_notebooks), ("pages", (".mdx",), parsed_pages), ("text", (".md", ".txt"), parsed_texts)]
+
+
+def register_parser(name: str, suffixes: tuple[str, ...], parser: Parser, first: bool = True) -> None:
+    """Add a parser: (source_path, value) to (source_path, content, code_blocks, title, _error)."""
+    PARSERS.insert(0 if first else len(PARSERS), (name, suffixes, parser))
+
+
+def parsed(raw: DataFrame, parsers: list[tuple[str, tuple[str, ...], Parser]] | None = None) -> DataFrame:
+    """Files (source_path, value) by the parser of their suffix, whose name is in ``parser``; the others have _error."""
+    path, columns, out, before = F.lower("source_path"), ["source_path", "content", "code_blocks", "title", "_error"], None, F.lit(False)
+    for name, suffixes, parser in PARSERS if parsers is None else parsers:
+        here = F.lit(False)
+        for suffix in suffixes:
+            here = here | F.endswith(path, F.lit(suffix))
+        rows = parser(raw.where(here & ~before)).select(*columns).withColumn("parser", F.lit(name))
+        out, before = rows if out is None else out.unionByName(rows), before | here
+    none = lambda kind: F.lit(None).cast(kind)
+    others = raw.where(~before).select(
+        "source_path", none("string").alias("content"), none("array<string>").alias("code_blocks"), none("string").alias("title"), F.lit("no parser for this file").alias("_error"), none("string").alias("parser")
+    )
+    return others if out is None else out.unionByName(others)
+
+
 SAMPLES = "task_id string, question string, prompt string, answer string, canonical_solution string, question_type string, type string, test_code string, test string, entry_point string, image string"
 
 

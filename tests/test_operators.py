@@ -229,3 +229,44 @@ def test_first_rows_by_ranges(spark):
         want = [r["id"] for r in df.orderBy(*order).limit(n).collect()]
         assert {r["id"] for r in first_rows(df, order, n, sorted_rows=0).collect()} == set(want)
     assert first_rows(df.limit(0), order, 5, sorted_rows=0).count() == 0
+
+
+def test_stages_are_saved_loaded_resumed_and_cleared(spark, tmp_path):
+    from datamill.operators import stages
+
+    base, rows, made = f"{tmp_path}/run", spark.range(10), []
+
+    def make():
+        made.append(1)
+        return rows
+
+    assert stages.load(spark, base, "a") is None and stages.about(spark, base, "a") is None
+    for _ in range(2):
+        assert stages.run(spark, base, "a", make, {"seed": 4}).count() == 10
+    assert made == [1] and stages.about(spark, base, "a") == {"seed": 4, "stage": "a"}
+    seen = []
+
+    def process(df):
+        seen.append(df.count())
+        return df
+
+    stages.resume(rows.where("id < 4"), base, "b", ["id"], process)
+    assert sorted(r["id"] for r in stages.resume(rows, base, "b", ["id"], process).collect()) == list(range(10)) and seen == [4, 6]
+    assert stages.clear(spark, base, "a") and stages.load(spark, base, "a") is None and not stages.clear(spark, base, "a")
+    assert stages.clear(spark, base)
+
+
+
+
+def test_filled_templates_do_not_look_at_values_again(spark):
+    from datamill.functions import prompts
+
+    row = spark.createDataFrame([("{b}", None)], "a string, b string").select(prompts.filled("x {a} {b} {a} {c}", {"a": F.col("a"), "b": F.col("b")}).alias("t")).first()
+    assert row["t"] == "x {b}  {b} {c}"
+
+
+def test_registered_parsers_come_first(spark):
+    raw = spark.createDataFrame([("a.MD", "# T\nx"), ("b.csv", "1"), ("c.ipynb", "no"), ("d.bin", None)], "source_path string, value string")
+    own = ("csv", (".csv", ".md"), lambda df: files.parsed_texts(df).withColumn("title", F.lit("own")))
+    got = {r["source_path"]: (r["parser"], r["title"], r["_error"] is not None) for r in files.parsed(raw, [own, *files.PARSERS]).collect()}
+    assert got["a.MD"] == ("csv", "own", False) and got["b.csv"][0] == "csv" and got["c.ipynb"][0] == "notebook" and got["c.ipynb"][2] and got["d.bin"] == (None, None, True)
