@@ -256,3 +256,28 @@ def stub(function: Column) -> Column:
     doc = F.when(function["docstring"].isNotNull(), F.concat(F.lit('\n    """'), function["docstring"], F.lit('"""'))).otherwise("")
     head = F.when(F.size(function["imports"]) > 0, F.concat(F.array_join(function["imports"], "\n"), F.lit("\n\n"))).otherwise("")
     return F.concat(head, function["signature"], doc, F.lit("\n    pass"))
+
+
+def argument_description(signature: Column) -> Column:
+    """What a task says about a function's arguments: their names, without annotations, defaults and starred ones."""
+    given = strip(F.regexp_extract(signature, r"def \w+\((.*?)\):", 1))
+    before = lambda x, mark: F.get(F.split(x, mark), F.lit(0))
+    names = F.transform(F.split(given, ","), lambda x: strip(before(before(strip(x), ":"), "=")))
+    names = F.filter(names, lambda x: (x != "") & ~F.startswith(x, F.lit("*")))
+    return F.when(F.size(names) > 0, F.concat(F.lit("with the following arguments: "), F.array_join(names, ", "))).otherwise("with no arguments")
+
+
+def benchmark_task(functions: Column, code: Column, task: Column, name: Column) -> Column:
+    """struct(prompt, canonical_solution, entry_point, imports): the function of that name (else the first; null: the longest) as a task.
+
+    Code without functions is the solution as a whole.
+    """
+    longer = F.array_max(F.transform(functions, lambda f, i: F.struct(F.length(f["body"]).alias("n"), (-i).alias("at"), f.alias("f"))))["f"]
+    named = F.coalesce(F.get(F.filter(functions, lambda f: f["name"] == name), F.lit(0)), F.get(functions, F.lit(0)))
+    chosen = F.when(name.isNull(), longer).otherwise(named)
+    asked = F.concat(task, F.lit("\nYou must implement this using a function named `"), chosen["name"], F.lit("` "), argument_description(chosen["signature"]), F.lit("."))
+    lines = F.slice(F.split(code, "\n"), chosen["first_line"], chosen["last_line"] - chosen["first_line"] + 1)
+    return F.struct(
+        F.coalesce(asked, task).alias("prompt"), F.coalesce(F.array_join(lines, "\n"), code).alias("canonical_solution"), chosen["name"].alias("entry_point"),
+        F.coalesce(chosen["imports"], F.array().cast("array<string>")).alias("imports"),
+    )

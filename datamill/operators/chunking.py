@@ -168,21 +168,21 @@ def merged(pieces: list[Piece], limits: Limits) -> list[Piece]:
     def fits(a: Piece, b: Piece, force: bool) -> bool:
         return force or len(a.text) + len(b.text) + 2 <= limits.longest and a.images + b.images <= limits.images and len(a.code) + len(b.code) <= limits.code
 
+    pieces = list(pieces)
     for floor, force in ((limits.shortest, False), (limits.shortest // 2, True)):
-        changed = True
-        while changed and len(pieces) > 1:
-            changed = False
-            for i, p in enumerate(pieces):
-                if len(p.text) >= floor:
-                    continue
-                if i + 1 < len(pieces) and fits(p, pieces[i + 1], force):
-                    pieces = [*pieces[:i], joined(p, pieces[i + 1]), *pieces[i + 2 :]]
-                elif i and fits(pieces[i - 1], p, force):
-                    pieces = [*pieces[: i - 1], joined(pieces[i - 1], p), *pieces[i + 1 :]]
-                else:
-                    continue
-                changed = True
-                break
+        i = 0
+        while i < len(pieces) and len(pieces) > 1:
+            p = pieces[i]
+            if len(p.text) >= floor:
+                i += 1
+            elif i + 1 < len(pieces) and fits(p, pieces[i + 1], force):
+                pieces[i : i + 2] = [joined(p, pieces[i + 1])]
+            elif i and fits(pieces[i - 1], p, force):
+                # What stood before couldn't be joined with a shorter neighbour, so it can't now.
+                pieces[i - 1 : i + 1] = [joined(pieces[i - 1], p)]
+                i -= 1
+            else:
+                i += 1
     return pieces
 
 

@@ -49,6 +49,21 @@ def q61(spark, sf_dir):
     return rows.select("doc_id", "f.name", "f.signature", "f.docstring", "f.body", F.array_join("f.imports", ";").alias("imports"), "f.first_line", "f.last_line", F.md5(code.stub(F.col("f"))).alias("stub"))
 
 
+@query(
+    "q61b_benchmark_format",
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Task ' || doc_id ELSE 'Task ' || doc_id || chr(10) || 'You must implement this using a function named `f_' || doc_id || '` with the following arguments: x, y.' END AS prompt,
+  md5(CASE WHEN doc_id % 5 = 0 THEN text ELSE 'def f_' || doc_id || '(x, y=1):' || chr(10) || repeat(' ', 4) || '\"\"\"' || translate(text, '"\\' || chr(10), '   ') || '\"\"\"' || chr(10) || '    return x + y' END) AS solution,
+  CASE WHEN doc_id % 5 > 0 THEN 'f_' || doc_id END AS entry_point, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END::BIGINT AS n_imports FROM documents""".replace('\\"', '"'),
+)
+def q61b(spark, sf_dir):
+    """Programs around whole texts as benchmark tasks; prose has no function and is its own solution."""
+    i = F.col("doc_id").cast("string")
+    rows = programs(spark, sf_dir).withColumn("functions", code.extract_functions("program"))
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("f_"), i))
+    task = rows.select("doc_id", code.benchmark_task(F.col("functions"), F.col("program"), F.concat(F.lit("Task "), i), name).alias("t"))
+    return task.select("doc_id", "t.prompt", F.md5("t.canonical_solution").alias("solution"), "t.entry_point", F.size("t.imports").cast("long").alias("n_imports"))
+
+
 @query("q62_syntax_check")
 def q62(spark, sf_dir):
     rows = programs(spark, sf_dir).withColumn("name", F.concat(F.lit("f_"), F.col("doc_id").cast("string")))

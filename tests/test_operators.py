@@ -270,3 +270,57 @@ def test_registered_parsers_come_first(spark):
     own = ("csv", (".csv", ".md"), lambda df: files.parsed_texts(df).withColumn("title", F.lit("own")))
     got = {r["source_path"]: (r["parser"], r["title"], r["_error"] is not None) for r in files.parsed(raw, [own, *files.PARSERS]).collect()}
     assert got["a.MD"] == ("csv", "own", False) and got["b.csv"][0] == "csv" and got["c.ipynb"][0] == "notebook" and got["c.ipynb"][2] and got["d.bin"] == (None, None, True)
+
+
+def test_progress_is_told(spark, tmp_path):
+    import time
+
+    from datamill.operators.progress import observed, on_progress
+
+    df, measures = observed(spark.range(7), n=F.count("*"), most=F.max("id"))
+    df.collect()
+    assert measures() == {"n": 7, "most": 6}
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    told = []
+    listener = on_progress(spark, lambda query, batch, rows: told.append(rows))
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    for _ in range(50):
+        if sum(told) == 5:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert sum(told) == 5
+
+
+def test_arguments_are_described(spark):
+    given = ["def f():", "def f(a, b: int = 2, *rest, **more):", "def f(x) -> int:", "def f(*a):", ""]
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in given], "s string").select(code.argument_description(F.col("s"))).collect()]
+    assert got == ["with no arguments", "with the following arguments: a, b", "with no arguments", "with no arguments", "with no arguments"]
+
+
+def test_merging_chunks_from_where_it_stopped_equals_starting_again():
+    from datamill.operators.chunking import Limits, Piece, merged
+
+    def again(pieces, limits):
+        join = lambda a, b: Piece(f"{a.text}\n\n{b.text}", a.code + b.code)
+        fits = lambda a, b, f: f or len(a.text) + len(b.text) + 2 <= limits.longest and a.images + b.images <= limits.images and len(a.code) + len(b.code) <= limits.code
+        for floor, force in ((limits.shortest, False), (limits.shortest // 2, True)):
+            while True:
+                for i, p in enumerate(pieces):
+                    if len(pieces) > 1 and len(p.text) < floor:
+                        if i + 1 < len(pieces) and fits(p, pieces[i + 1], force):
+                            pieces = [*pieces[:i], join(p, pieces[i + 1]), *pieces[i + 2 :]]
+                            break
+                        if i and fits(pieces[i - 1], p, force):
+                            pieces = [*pieces[: i - 1], join(pieces[i - 1], p), *pieces[i + 1 :]]
+                            break
+                else:
+                    break
+        return pieces
+
+    rnd, limits = random.Random(5), Limits()
+    for _ in range(300):
+        sizes = [int(limits.longest * rnd.choice([0.01, 0.05, 0.2, 0.5, 0.9]) * rnd.random()) for _ in range(rnd.randint(0, 40))]
+        pieces = [Piece("x" * n, ["c"] * rnd.choice([0, 0, 1, 2])) for n in sizes]
+        assert [(p.text, p.code) for p in merged(pieces, limits)] == [(p.text, p.code) for p in again(pieces, limits)]
