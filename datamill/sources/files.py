@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datamill.functions import code, text
+from datamill.operators.decisions import strip
 from datamill.tables import materialize
 
 
@@ -54,23 +55,47 @@ def notebooks(spark: SparkSession, path: str) -> DataFrame:
     return parsed_notebooks(raw)
 
 
-def parsed_notebooks(raw: DataFrame) -> DataFrame:
-    parsed = raw.withColumn("nb", F.from_json("value", CELLS))
-    shown = lambda o: joined_source(F.coalesce(o["text"], F.try_element_at(o["data"], F.lit("text/plain"))))
+#: Kinds of output that are images, and how components name one.
+IMAGE_KINDS = ("image/png", "image/jpeg", "image/svg+xml")
+COMPONENT_IMAGE = r'<Image\s+src="([^"]+)"'
+
 
-    def cell(c: Column) -> Column:
-        body = joined_source(c["source"])
-        outputs = F.filter(F.transform(F.coalesce(c["outputs"], F.array()), shown), lambda x: F.trim(x) != "")
-        result = F.when(F.size(outputs) > 0, F.concat(F.lit("\n\nOutput:\n"), F.array_join(outputs, "\n"))).otherwise("")
-        return F.when(c["cell_type"] == "code", F.concat(F.lit("```python\n"), body, F.lit("\n```"), result)).otherwise(body)
+def parsed_notebooks(raw: DataFrame) -> DataFrame:
+    """Notebooks (source_path, value): Markdown with image markers, fenced code, its text output and markers of its images.
 
-    cells = F.coalesce(F.col("nb.cells"), F.array().cast("array<struct<cell_type:string,source:string,outputs:array<struct<output_type:string,text:string,data:map<string,string>>>>>"))
-    content = F.array_join(F.filter(F.transform(cells, cell), lambda x: F.trim(x) != ""), "\n\n")
-    blocks = F.transform(F.filter(cells, lambda c: c["cell_type"] == "code"), lambda c: joined_source(c["source"]))
-    out = parsed.select("source_path", content.alias("content"), blocks.alias("code_blocks"), F.size(cells).cast("long").alias("cell_count"),
-                        F.col("nb.metadata.kernelspec.name").alias("kernel"), F.col("nb.metadata.language_info.name").alias("language"),
-                        F.when(F.col("nb.cells").isNull(), "not a notebook").alias("_error"))
-    return out.withColumn("title", text.title(F.col("content")))
+    An output that is an image has the path ``notebook_output:cell:output``; its plain text isn't shown.
+    """
+    parsed = raw.withColumn("nb", F.from_json("value", CELLS)).withColumn("file", F.regexp_extract("source_path", r"([^/]*)$", 1))
+    name = F.col("file")
+    marker = lambda path: F.concat(F.lit("[IMAGE:"), text.image_id(name, path), F.lit("]"))
+    plain = lambda o: strip(joined_source(F.coalesce(o["text"], F.try_element_at(o["data"], F.lit("text/plain")))))
+    is_image = lambda o: F.exists(F.array(*map(F.lit, IMAGE_KINDS)), lambda k: F.coalesce(F.map_contains_key(o["data"], k), F.lit(False)))
+
+    def paths_of(o: Column, i: Column, j: Column) -> Column:
+        own = F.array(F.concat(F.lit("notebook_output:"), i.cast("string"), F.lit(":"), j.cast("string")))
+        return F.when(is_image(o), own).otherwise(F.regexp_extract_all(plain(o), F.lit(COMPONENT_IMAGE), F.lit(1)))
+
+    def cell(c: Column, i: Column) -> Column:
+        body, outputs = joined_source(c["source"]), F.coalesce(c["outputs"], F.array().cast("array<struct<output_type:string,text:string,data:map<string,string>>>"))
+        said = F.transform(F.filter(outputs, lambda o: ~is_image(o) & (plain(o) != "") & ~F.rlike(plain(o), F.lit(COMPONENT_IMAGE))), plain)
+        marks = F.transform(F.flatten(F.transform(outputs, lambda o, j: paths_of(o, i, j))), marker)
+        parts = F.concat_ws(
+            "\n\n", F.concat(F.lit("```python\n"), strip(body), F.lit("\n```")), F.when(F.size(said) > 0, F.concat(F.lit("Output:\n"), F.array_join(said, "\n"))),
+            F.when(F.size(marks) > 0, F.array_join(marks, "\n")),
+        )
+        return F.when((c["cell_type"] == "code") & (strip(body) != ""), parts).when(c["cell_type"] == "markdown", text.replace_images(body, name)).otherwise("")
+
+    none = F.array().cast("array<struct<cell_type:string,source:string,outputs:array<struct<output_type:string,text:string,data:map<string,string>>>>>")
+    cells = F.coalesce(F.col("nb.cells"), none)
+    content = F.array_join(F.filter(F.transform(cells, cell), lambda x: strip(x) != ""), "\n\n")
+    blocks = F.filter(F.transform(F.filter(cells, lambda c: c["cell_type"] == "code"), lambda c: strip(joined_source(c["source"]))), lambda x: x != "")
+    written = F.array_join(F.transform(F.filter(cells, lambda c: c["cell_type"] == "markdown"), lambda c: joined_source(c["source"])), "\n")
+    shown = F.flatten(F.transform(cells, lambda c: F.filter(F.coalesce(c["outputs"], F.array().cast("array<struct<output_type:string,text:string,data:map<string,string>>>")), is_image)))
+    return parsed.select(
+        "source_path", content.alias("content"), blocks.alias("code_blocks"), F.size(cells).cast("long").alias("cell_count"), F.size(shown).cast("long").alias("output_images"),
+        F.coalesce("nb.metadata.kernelspec.name", F.lit("")).alias("kernel"), F.coalesce("nb.metadata.language_info.name", F.lit("python")).alias("language"),
+        text.title(written).alias("title"), F.when(F.col("nb.cells").isNull(), "not a notebook").alias("_error"),
+    )
 
 
 def markdown_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -188,3 +213,38 @@ def toc_paths(nodes: DataFrame) -> DataFrame:
         if level.isEmpty():
             return out
         out = out.unionByName(level)
+
+
+TOC_ENTRY = "struct<title:string,path:string,children:array<string>>"
+TOC_SUFFIXES = ("", ".ipynb", ".mdx", ".md")
+
+
+def toc_documents(tables: DataFrame, listed: DataFrame) -> DataFrame:
+    """(toc, place, title, path) of the documents that tables of contents (toc, value: JSON) name, in pre-order of ``place``.
+
+    An entry has a title, a path and children, which may be plain paths. A path without a suffix is tried with those that
+    documents have; paths that ``listed`` (path) doesn't hold are left out. One round a level of the deepest table.
+    """
+    level = tables.select("toc", F.lit("").alias("place"), F.col("value").alias("entry"))
+    entries = None
+    while True:
+        read = F.from_json("entry", TOC_ENTRY)
+        plain = ~F.startswith(F.ltrim("entry"), F.lit("{"))
+        here = materialize(level.select(
+            "toc", "place", F.when(plain, "").otherwise(F.coalesce(read["title"], F.lit(""))).alias("title"),
+            F.when(plain, F.regexp_replace("entry", '^\\s*"|"\\s*$', "")).otherwise(read["path"]).alias("path"), F.when(~plain, read["children"]).alias("children"),
+        ), "toc")
+        if here.isEmpty():
+            break
+        rows = here.drop("children")
+        entries = rows if entries is None else entries.unionByName(rows)
+        level = here.select("toc", "place", F.posexplode("children").alias("at", "entry")).select(
+            "toc", F.concat("place", F.lit("/"), F.format_string("%06d", "at")).alias("place"), "entry"
+        ).where("entry is not null")
+    if entries is None:
+        return tables.select("toc", F.lit("").alias("place"), F.lit("").alias("title"), F.lit("").alias("path")).limit(0)
+    bare = ~F.rlike("path", F.lit(r"\.[^./]+$"))
+    tries = F.when(bare, F.array(*map(F.lit, TOC_SUFFIXES[1:]))).otherwise(F.array(F.lit("")))
+    tried = entries.where("path is not null and path <> ''").select("toc", "place", "title", "path", F.posexplode(tries).alias("prio", "suffix"))
+    found = tried.withColumn("path", F.concat("path", "suffix")).join(listed.select("path").distinct(), "path")
+    return found.groupBy("toc", "place").agg(F.min_by("title", "prio").alias("title"), F.min_by("path", "prio").alias("path"))

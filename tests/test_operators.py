@@ -324,3 +324,32 @@ def test_merging_chunks_from_where_it_stopped_equals_starting_again():
         sizes = [int(limits.longest * rnd.choice([0.01, 0.05, 0.2, 0.5, 0.9]) * rnd.random()) for _ in range(rnd.randint(0, 40))]
         pieces = [Piece("x" * n, ["c"] * rnd.choice([0, 0, 1, 2])) for n in sizes]
         assert [(p.text, p.code) for p in merged(pieces, limits)] == [(p.text, p.code) for p in again(pieces, limits)]
+
+
+def test_notebook_images_and_outputs(spark):
+    cells = [
+        {"cell_type": "markdown", "source": "intro\n# Title\n![alt](pic.png)"},
+        {"cell_type": "code", "source": "# not a title\nplot()", "outputs": [
+            {"output_type": "stream", "text": ["a\n", "b\n"]}, {"output_type": "display_data", "data": {"image/png": "AAAA", "text/plain": "<Figure>"}},
+            {"output_type": "execute_result", "data": {"text/plain": '<Image src="/docs/x.svg" />'}}, {"output_type": "execute_result", "data": {"text/plain": ["4", "2"]}},
+        ]},
+        {"cell_type": "code", "source": "  ", "outputs": []}, {"cell_type": "raw", "source": "raw"},
+    ]
+    raw = spark.createDataFrame([("d/n.ipynb", json.dumps({"cells": cells, "metadata": {}})), ("d/bad.ipynb", "{"), ("d/null.ipynb", None)], "source_path string, value string")
+    got = {r["source_path"]: r for r in files.parsed_notebooks(raw).collect()}
+    import hashlib
+
+    mark = lambda path: "[IMAGE:img_" + hashlib.md5(f"n.ipynb:{path}".encode()).hexdigest()[:12] + "]"
+    r = got["d/n.ipynb"]
+    assert r["content"] == f"intro\n# Title\n{mark('pic.png')}\n\n```python\n# not a title\nplot()\n```\n\nOutput:\na\nb\n42\n\n{mark('notebook_output:1:1')}\n{mark('/docs/x.svg')}"
+    assert (r["title"], r["cell_count"], r["output_images"], r["language"], r["kernel"], r["code_blocks"]) == ("Title", 4, 1, "python", "", ["# not a title\nplot()"])
+    assert got["d/bad.ipynb"]["_error"] and got["d/null.ipynb"]["_error"] and r["_error"] is None
+
+
+def test_tables_of_contents(spark):
+    toc = {"title": "Root", "children": [{"title": "B", "path": "b"}, "a.md", {"title": "D", "children": [{"title": "Deep", "path": "deep", "children": ["gone.md"]}]}, {"title": "None"}]}
+    listed = spark.createDataFrame([("b.md",), ("b.mdx",), ("a.md",), ("deep.ipynb",), ("other.md",)], "path string")
+    tables = spark.createDataFrame([(1, json.dumps(toc)), (2, '"a.md"'), (3, None)], "toc long, value string")
+    got = [(r["toc"], r["title"], r["path"]) for r in files.toc_documents(tables, listed).orderBy("toc", "place").collect()]
+    assert got == [(1, "B", "b.mdx"), (1, "", "a.md"), (1, "Deep", "deep.ipynb"), (2, "", "a.md")]
+    assert files.toc_documents(tables.where("toc > 9"), listed).count() == 0
