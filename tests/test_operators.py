@@ -175,7 +175,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "p.mdx").write_text('---\ntitle: "Q"\n---\nimport X from "y"\n# Head\n![alt](/i.png "t") <Tab>in</Tab>\n```python\ny = 2\n```\n```\nnot\n```\n')
     got = {r["source_path"].rsplit("/", 1)[1]: r for r in files.notebooks(spark, f"{tmp_path}/*.ipynb").collect()}
-    assert got["a.ipynb"]["title"] == "T" and got["a.ipynb"]["content"] == "# T\nhello\n\n```python\nx = 1\n```\n\nOutput:\n1\n" and got["a.ipynb"]["code_blocks"] == ["x = 1"]
+    assert got["a.ipynb"]["title"] == "T" and got["a.ipynb"]["content"] == "# T\nhello\n\n```python\nx = 1\n```\n\nOutput:\n1" and got["a.ipynb"]["code_blocks"] == ["x = 1"]
     assert got["broken.ipynb"]["_error"] and got["broken.ipynb"]["content"] == ""
     page = files.markdown_pages(spark, f"{tmp_path}/sub/*.mdx").first()
     assert page["title"] == "Head" and page["code_blocks"] == ["y = 2"] and page["metadata"] == {"title": "Q"} and "[IMAGE:img_" in page["content"] and "<Tab>" not in page["content"]
