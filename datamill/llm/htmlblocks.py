@@ -46,7 +46,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+))?+")
-SPACE, PARTS = re.compile(r"\s+"), re.compile(r"[-_]+")
+PARTS = re.compile(r"[-_]+")
 #: Tags that stay within a line, and tags without an end.
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,22 +79,27 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], int]] = []
     held: list[str] = []
-    path: tuple[str, ...] = ()
-    linked = depth = at = box = 0
+    linked = anchors = at = 0
 
-    def flush():
+    def flush() -> None:
         nonlocal held, linked
-        if held:
-            text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
-            if text:
-                out.append((text, path, min(linked, len(text)), box))
+        text = " ".join(entities.unescape("".join(held)).split()) if held else ""
+        if text:
+            path = tuple(w for s in stack if s[0] not in INLINE for w in s[1])
+            box = next((s[2] for s in reversed(stack) if s[0] not in INLINE and s[0] not in TEXTUAL), -1)
+            out.append((text, path, min(linked, len(text)), box))
         held, linked = [], 0
 
+    def close(k: int) -> None:
+        nonlocal anchors
+        anchors -= sum(s[0] == "a" for s in stack[k:])
+        del stack[k:]
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
             held.append(piece)
-            if depth:
+            if anchors:
                 linked += len(piece)
         at = m.end()
         tag = m[3]
@@ -106,25 +111,25 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if m[2]:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if k is not None and tag in INLINE:
+                # Blocks that began inside stay open.
+                anchors -= tag == "a"
+                del stack[k]
+            elif k is not None:
+                close(k)
+            continue
+        if tag not in INLINE:
+            # A new block ends an open paragraph; a list item or cell ends the one before it.
+            ends = ("p", tag) if tag in ("li", "td", "th", "tr", "dt", "dd", "option") else ("p",)
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+                if stack[k][0] in ends:
+                    close(k)
                     break
-        else:
-            if tag not in INLINE:
-                # A new block ends an open paragraph; a list item or cell ends the one before it.
-                ends = ("p", tag) if tag in ("li", "td", "th", "tr", "dt", "dd", "option") else ("p",)
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            stack.append((tag, (tag, *names_of(m[4])), m.start()))
-        depth = sum(s[0] == "a" for s in stack)
-        if tag not in INLINE:
-            path = tuple(w for s in stack if s[0] not in INLINE for w in s[1])
-            box = next((s[2] for s in reversed(stack) if s[0] not in INLINE and s[0] not in TEXTUAL), -1)
+                if stack[k][0] not in INLINE:
+                    break
+        stack.append((tag, (tag, *names_of(m[4])), m.start()))
+        anchors += tag == "a"
     if at < len(page):
         held.append(page[at:])
     flush()
@@ -144,39 +149,52 @@ def names_of(attributes: str) -> list[str]:
     return [x for w in words for x in dict.fromkeys((w, *filter(None, PARTS.split(w))))]
 
 
-_HASHED: dict[str, int] = {}
+class Hashed(dict):
+    """Words to numbers below ``size``; keeps those it saw first, up to a bound."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: str) -> int:
+        code = zlib.crc32(word.encode("utf-8", "replace")) % self.size
+        if len(self) < 200_000:
+            self[word] = code
+        return code
 
 
-def hashed(word: str, size: int) -> int:
-    code = _HASHED.get(word)
-    if code is None:
-        code = zlib.crc32(word.encode("utf-8", "replace"))
-        if len(_HASHED) < 100_000:
-            _HASHED[word] = code
-    return code % size
+PATH_CODES, WORD_CODES = Hashed(PATH_BITS), Hashed(WORD_BITS)
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
     """One row for each block."""
-    x = np.zeros((len(blocks), INPUT), np.float32)
+    if not blocks:
+        return np.zeros((0, INPUT), np.float32)
     sizes, counts, heads = {}, {}, set()
     for text, path, linked, box in blocks:
         sizes[box] = sizes.get(box, 0) + len(text) - linked
         counts[box] = counts.get(box, 0) + 1
         if path and path[-1] == "h1":
             heads.add(box)
-    whole = max(1, sum(sizes.values()))
+    whole, last = max(1, sum(sizes.values())), max(1, len(blocks) - 1)
+    names, words, n_names, n_words, measures = [], [], [], [], []
     for i, (text, path, linked, box) in enumerate(blocks):
-        for w in path:
-            x[i, hashed(w, PATH_BITS)] = NAME
-        words = text.split()
-        codes = np.bincount([hashed(w, WORD_BITS) for w in words], minlength=WORD_BITS)
-        x[i, PATH_BITS : PATH_BITS + WORD_BITS] = np.sqrt(codes / len(words))
-        x[i, PATH_BITS + WORD_BITS :] = (
-            min(len(words), 400) ** 0.5 / 10, linked / len(text), sum(text.count(c) for c in ".,;!?") / len(words),
-            i / max(1, len(blocks) - 1), 1.0, sizes[box] / whole, min(counts[box], 50) ** 0.5 / 5, box in heads,
+        said = text.split()
+        names += map(PATH_CODES.__getitem__, path)
+        words += map(WORD_CODES.__getitem__, said)
+        n_names.append(len(path))
+        n_words.append(len(said))
+        measures.append((
+            min(len(said), 400) ** 0.5 / 10, linked / len(text), sum(map(text.count, ".,;!?")) / len(said),
+            i / last, 1.0, sizes[box] / whole, min(counts[box], 50) ** 0.5 / 5, box in heads,
             i > 0 and blocks[i - 1][3] == box, i + 1 < len(blocks) and blocks[i + 1][3] == box, len(path) > 0 and path[-1] in TEXTUAL,
-        )
+        ))
+    n = len(blocks)
+    x = np.zeros((n, INPUT), np.float32)
+    x[np.repeat(np.arange(n), n_names), np.array(names, np.int64)] = NAME
+    codes = np.bincount(np.repeat(np.arange(n), n_words) * WORD_BITS + np.array(words, np.int64), minlength=n * WORD_BITS).reshape(n, WORD_BITS)
+    x[:, PATH_BITS : PATH_BITS + WORD_BITS] = np.sqrt(codes / np.array(n_words)[:, None])
+    x[:, PATH_BITS + WORD_BITS :] = np.array(measures, np.float32)
     return x
 
 

@@ -44,6 +44,15 @@ def test_markup_is_read_as_browsers_do(page, blocks):
     assert [b[0] for b in h.blocks_of(page)] == blocks
 
 
+def test_inline_ends_leave_blocks_open():
+    blocks = h.blocks_of("<article><b>x<div id=d>one</b> two<p>three</div><p>four</article>five")
+    assert [(b[0], b[1]) for b in blocks] == [
+        ("x", ("article",)), ("one two", ("article", "div", "d")), ("three", ("article", "div", "d", "p")), ("four", ("article", "p")), ("five", ())
+    ]
+    assert [b[2] for b in h.blocks_of("<a href=x><div>in</a> out</div>")] == [2]
+    assert h.blocks_of("<div>" * 100_000 + "deep")[0][0] == "deep"
+
+
 def test_names():
     assert h.names_of(" class='A b' data-x=\"class=no\" id=c role class=again") == ["a", "b", "c"]
     assert h.names_of("") == []
