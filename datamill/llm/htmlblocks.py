@@ -167,9 +167,9 @@ PATH_CODES, WORD_CODES = Hashed(PATH_BITS), Hashed(WORD_BITS)
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
-    """One row for each block."""
+    """One row for each block; half precision, for pages of very many blocks."""
     if not blocks:
-        return np.zeros((0, INPUT), np.float32)
+        return np.zeros((0, INPUT), np.float16)
     sizes, counts, heads = {}, {}, set()
     for text, path, linked, box in blocks:
         sizes[box] = sizes.get(box, 0) + len(text) - linked
@@ -190,7 +190,7 @@ def features_of(blocks: list[Block]) -> np.ndarray:
             i > 0 and blocks[i - 1][3] == box, i + 1 < len(blocks) and blocks[i + 1][3] == box, len(path) > 0 and path[-1] in TEXTUAL,
         ))
     n = len(blocks)
-    x = np.zeros((n, INPUT), np.float32)
+    x = np.zeros((n, INPUT), np.float16)
     x[np.repeat(np.arange(n), n_names), np.array(names, np.int64)] = NAME
     codes = np.bincount(np.repeat(np.arange(n), n_words) * WORD_BITS + np.array(words, np.int64), minlength=n * WORD_BITS).reshape(n, WORD_BITS)
     x[:, PATH_BITS : PATH_BITS + WORD_BITS] = np.sqrt(codes / np.array(n_words)[:, None])
@@ -215,11 +215,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w in single precision, some rows at a time."""
+    flat = x.reshape(-1, INPUT)
+    parts = [np.asarray(flat[a : a + 8192], w.dtype) @ w for a in range(0, len(flat), 8192)]
+    return np.concatenate(parts).reshape(*x.shape[:-1], *w.shape[1:])
+
+
 def run_way(p: dict, way: str, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
     """Hidden states (time, page, HIDDEN) of one direction, and what its gradient needs (``keep``). x: (time, page, INPUT)."""
     steps, pages = x.shape[:2]
-    z_x = x.reshape(-1, INPUT) @ p[way + "x"] + p[way + "c"]
-    z_x = z_x.reshape(steps, pages, 4 * HIDDEN)
+    z_x = product(x, p[way + "x"]) + p[way + "c"]
     h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
     out, kept = np.zeros((steps, pages, HIDDEN), np.float32), []
     for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
@@ -255,8 +261,11 @@ def back_way(p: dict, way: str, x: np.ndarray, kept: list, d_out: np.ndarray) ->
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pages side by side as (time, page, INPUT), and which of that is no filling."""
     steps = max(len(x) for x in pages)
-    x, mask = np.zeros((steps, len(pages), INPUT), np.float32), np.zeros((steps, len(pages)), bool)
+    if len(pages) == 1:
+        return pages[0][:, None], np.ones((steps, 1), bool)
+    x, mask = np.zeros((steps, len(pages), INPUT), np.float16), np.zeros((steps, len(pages)), bool)
     for k, one in enumerate(pages):
         x[: len(one), k], mask[: len(one), k] = one, True
     return x, mask
@@ -272,7 +281,7 @@ def label_pages(p: dict, pages: list[np.ndarray], at_once: int = BLOCKS_AT_ONCE)
             ids.append(some.pop())
         x, mask = padded([pages[k] for k in ids])
         both = np.concatenate([run_way(p, way, x, mask, keep=False)[0] for way in ("f", "b")], axis=2)
-        prob = sigmoid(both @ p["out"] + x @ p["own"] + p["bias"][0])
+        prob = sigmoid(both @ p["out"] + product(x, p["own"]) + p["bias"][0])
         for n, k in enumerate(ids):
             out[k] = prob[: len(pages[k]), n]
     return out
@@ -378,6 +387,7 @@ def fit(pages: list[str], epochs: int = EPOCHS, seed: int = 5) -> dict[str, np.n
         for a in range(0, len(order), PAGES_A_STEP):
             chosen = [varied(read[k], read, rng) for k in order[a : a + PAGES_A_STEP]]
             x, mask = padded([features_of([b for b, _ in page]) for page in chosen])
+            x = x.astype(np.float32)
             y = np.zeros(mask.shape, np.float32)
             for k, page in enumerate(chosen):
                 y[: len(page), k] = [label for _, label in page]
@@ -395,7 +405,7 @@ def gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray, counts: n
     """Gradients of the mean log loss over the blocks that count."""
     (f, kept_f), (b, kept_b) = run_way(p, "f", x, mask), run_way(p, "b", x, mask)
     both = np.concatenate([f, b], axis=2)
-    d = ((sigmoid(both @ p["out"] + x @ p["own"] + p["bias"][0]) - y) * counts / max(1, counts.sum())).astype(np.float32)
+    d = ((sigmoid(both @ p["out"] + product(x, p["own"]) + p["bias"][0]) - y) * counts / max(1, counts.sum())).astype(np.float32)
     d_both = d[:, :, None] * p["out"]
     out = back_way(p, "f", x, kept_f, d_both[:, :, :HIDDEN]) | back_way(p, "b", x, kept_b, d_both[:, :, HIDDEN:])
     return out | {"out": np.einsum("tph,tp->h", both, d), "own": np.einsum("tpi,tp->i", x, d), "bias": d.sum(keepdims=True).reshape(1)}
