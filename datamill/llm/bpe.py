@@ -9,9 +9,9 @@ encoded by itself, so all tokens outside the window are those of the whole text.
 Joining is associative, with the empty text as its unit. Decoding concatenates
 the bytes of the tokens up the same kind of tree.
 
-Null texts count as empty (no tokens). Repeated rows give repeated results;
-an empty table gives an empty table; columns other than those named are passed
-through unless their name is that of a result.
+Null texts count as empty (no tokens). Texts of any length are encoded in whole.
+Equal texts and repeated rows give equal results; an empty table gives an empty table;
+columns other than those named are passed through unless their name is that of a result.
 """
 
 from __future__ import annotations
