@@ -13,6 +13,7 @@ from datamill.llm.q08_html import op8_html
 from datamill.llm.q09_repeats import op9_repeats
 from datamill.llm.q10_mixing import SQL as MIXING_SQL
 from datamill.llm.q10_mixing import op10_mixing
+from datamill.llm.q12_pieces import op12_pieces
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
+    "op12_pieces": op12_pieces,
 }
 ORACLE_SQL = {"op10_mixing": MIXING_SQL}
