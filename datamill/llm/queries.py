@@ -14,6 +14,7 @@ from datamill.llm.q09_repeats import op9_repeats
 from datamill.llm.q10_mixing import SQL as MIXING_SQL
 from datamill.llm.q10_mixing import op10_mixing
 from datamill.llm.q12_pieces import op12_pieces
+from datamill.llm.q13_alignment import op13_alignment
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -27,5 +28,6 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
     "op12_pieces": op12_pieces,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL = {"op10_mixing": MIXING_SQL}
