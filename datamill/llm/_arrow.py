@@ -54,6 +54,13 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def lists_of(column: pa.Array) -> Iterator[list]:
+    """Python lists of a list column of numbers; null is the empty list."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    missing = column.is_null().to_pylist()
+    return ([] if gone else values[a:b].tolist() for a, b, gone in zip(ends[:-1].tolist(), ends[1:].tolist(), missing))
+
+
 def slices(texts: list[str], chars: int = CHARS_PER_SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts that hold about ``chars`` characters each."""
     start, held = 0, 0

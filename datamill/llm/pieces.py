@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 A text is marked as the library does it: a marker in front, and markers for blanks.
-No piece of the vocabulary has a marker after another character, and a character that
-is in no longer piece is always a token (or its bytes) by itself. So a marked text falls
-into chunks that no piece crosses: markers with the characters after them, runs of
-characters that can be joined, and single characters that can't. Merges in one chunk
-never depend on another, so the ids of a text are the ids of its chunks in order.
+No piece of the vocabulary has a marker after another character, so a marked text falls
+into marked words, markers with what follows up to the next ones, that no piece crosses.
+Merges in one never depend on another: the ids of a text are the ids of its marked words
+in order. (They are called chunks here, and are written without their first marker.)
+A chunk that has to be segmented falls further, at characters that are in no longer piece
+and are always a token, or its bytes, by themselves.
 
 Tasks count their chunks; the frequent ones of all tasks (at most ``TABLE_ROWS``) are
 segmented once, each by one task, and become a table that is sent to all. Encoding joins
@@ -34,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datamill.llm._arrow import append_columns, list_array, slices, small_batches, texts_of
+from datamill.llm._arrow import append_columns, list_array, lists_of, slices, small_batches, texts_of
 from datamill.llm.frequent import count_class, least_class
 
 MARKER = "▁"
+CHUNK = re.compile(f"{MARKER}({MARKER}*[^{MARKER}]*)")
 #: Chunks in the table that is sent to all tasks, and characters of the longest one in it.
 TABLE_ROWS = 1 << 18
 TABLE_CHARS = 64
@@ -63,7 +65,7 @@ class PieceModel:
             raise ValueError("a piece has a marker after another character: chunks are not independent")
         joined = "".join(map(re.escape, sorted(set("".join(p for p in pieces if len(p) > 1)) - {MARKER})))
         run = f"[{joined}]" if joined else "(?!)"
-        self.pattern = re.compile(f"{MARKER}+{run}*|{run}+|[^{joined}{MARKER}]")
+        self.finer = re.compile(f"{MARKER}+{run}*|{run}+|[^{joined}{MARKER}]")
         #: Bytes of each id; None where only the library knows.
         self.bytes_of = [bytes([int(p[3:5], 16)]) if self.whole.is_byte(i) else None if special(i) else p.replace(MARKER, " ").encode() for i, p in zip(ids, names)]
         self.starts_marked = [p.startswith(MARKER) for p in names]
@@ -71,12 +73,21 @@ class PieceModel:
             if self.ids_of(self.segment(self.chunks(probe))).tolist() != self.whole.encode(probe):
                 raise ValueError("the model changes texts before it segments them")
 
-    def chunks(self, text: str) -> list[str]:
-        return self.pattern.findall((MARKER + text).replace(" ", MARKER)) if text else []
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """The marked words, each without its first marker."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or MARKER in text:
+            return CHUNK.findall((MARKER + text).replace(" ", MARKER))
+        return text.split(" ")
 
     def segment(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk as little-endian 32-bit numbers."""
-        return [np.array(ids, "<i4").tobytes() for ids in self.parts.encode(chunks, num_threads=1)]
+        parts = [self.finer.findall(MARKER + c) for c in chunks]
+        names = list({p for part in parts for p in part})
+        known = dict(zip(names, (np.array(ids, "<i4").tobytes() for ids in self.parts.encode(names, num_threads=1))))
+        return [known[part[0]] if len(part) == 1 else b"".join(map(known.__getitem__, part)) for part in parts]
 
     @staticmethod
     def ids_of(parts: list[bytes]) -> np.ndarray:
@@ -84,13 +95,10 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``, as the library's ``decode`` gives it."""
-        parts = [self.bytes_of[i] for i in ids]
-        if None in parts:
-            return self.whole.decode(ids)
-        data = b"".join(parts)
         try:
+            data = b"".join(map(self.bytes_of.__getitem__, ids))
             return data[bool(ids) and self.starts_marked[ids[0]] :].decode()
-        except UnicodeDecodeError:
+        except (TypeError, UnicodeDecodeError):  # ids without bytes of their own; bytes that are no text
             return self.whole.decode(ids)
 
 
@@ -210,7 +218,7 @@ def decode_pieces(df: DataFrame, pieces: SharedPieces, ids: str = "token_ids", o
         decode = pieces.get().decode
 
         def work(columns: list[pa.Array]) -> list[pa.Array]:
-            return [pa.array([decode(x or []) for x in columns[0].to_pylist()], pa.string())]
+            return [pa.array([decode(ids) for ids in lists_of(columns[0])], pa.string())]
 
         return work
 

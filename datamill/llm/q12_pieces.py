@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from datamill.llm._arrow import append_columns
+from datamill.llm._arrow import append_columns, lists_of
 from datamill.llm.pieces import SharedChunks, SharedPieces, encode_pieces
 from datamill.tables import read_table
 
@@ -30,12 +30,8 @@ def digests(encoded: DataFrame, pieces: SharedPieces) -> DataFrame:
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
         def work(columns):
-            rows = columns[0].to_pylist()
-            return [
-                pa.array([len(ids) for ids in rows], pa.int64()),
-                pa.array([sha(",".join(map(decimal.__getitem__, ids))) for ids in rows], pa.string()),
-                pa.array([sha(model.decode(ids)) for ids in rows], pa.string()),
-            ]
+            rows = [(len(ids), sha(",".join(map(decimal.__getitem__, ids))), sha(model.decode(ids))) for ids in lists_of(columns[0])]
+            return [pa.array([row[i] for row in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
 
         return work
 

@@ -13,6 +13,7 @@ from datamill.llm.q08_html import op8_html
 from datamill.llm.q09_repeats import op9_repeats
 from datamill.llm.q10_mixing import SQL as MIXING_SQL
 from datamill.llm.q10_mixing import op10_mixing
+from datamill.llm.q11_runs import op11_runs
 from datamill.llm.q12_pieces import op12_pieces
 from datamill.llm.q13_alignment import op13_alignment
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_repeats": op9_repeats,
     "op10_mixing": op10_mixing,
+    "op11_runs": op11_runs,
     "op12_pieces": op12_pieces,
     "op13_alignment": op13_alignment,
 }
