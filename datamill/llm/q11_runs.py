@@ -17,7 +17,7 @@ def made_periodic(text: Column, doc_id: Column) -> Column:
 
     def repeated(words: Column) -> Column:
         n = F.size(words)
-        a = F.pmod(g, n)
+        a = F.pmod(g, F.greatest(n, F.lit(1)))
         p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
         return let(F.struct(words.alias("w"), a.cast("int").alias("a"), p.cast("int").alias("p")), lambda s: F.when(n > 0, F.array_join(
             F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(s["w"], F.when(i < s["a"], i).otherwise(s["a"] + F.pmod(i - s["a"], s["p"])))), " "
