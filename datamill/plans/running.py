@@ -12,8 +12,8 @@ from datamill.plans import views
 from datamill.plans.registry import query
 from datamill.plans.texts import quoted
 from datamill.sources import files
-from datamill.streaming import incremental
-from datamill.tables import read_table, shared_dir, written_dir
+from datamill.streaming import incremental, tokens
+from datamill.tables import materialize, read_table, written_dir
 
 
 def documents(spark, sf_dir):
@@ -186,7 +186,7 @@ def q82(spark, sf_dir):
 @query("q65_resumable_batch", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")
 def q65(spark, sf_dir):
     """Two runs over the table as a stream; the second finds all of it done."""
-    path, base = f"{sf_dir}/documents.parquet", f"{shared_dir(spark)}/datamill/resume-{uuid.uuid4().hex}"
+    path, base = f"{sf_dir}/documents.parquet", f"{written_dir(spark)}/resume-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     for _ in range(2):
         stream = incremental.stream_of(spark, path, schema)
@@ -201,6 +201,33 @@ def q66(spark, sf_dir):
     return incremental.run_to_end(incremental.running_summary(stream))
 
 
+BATCHES = 3
+
+
+@query("q102_token_stream", "SELECT conv_id, md5(coalesce(string_agg(text, '' ORDER BY turn), '')) AS digest FROM conversations GROUP BY conv_id")
+def q102(spark, sf_dir):
+    """All conversations as streams of events, cut anywhere, dealt over batches; each batch is a run of its own that goes on from the last one's state."""
+    base, turns = f"{written_dir(spark)}/tokens-{uuid.uuid4().hex}", read_table(spark, sf_dir, "conversations")
+    event = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    said = F.concat(F.lit(": ping\n\ndata: "), event, F.lit("\n\ndata: {broken\n"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", said.alias("said")))), lambda x: x["said"]), "")
+    sent = turns.groupBy("conv_id").agg(F.concat(whole, F.lit('data: [DONE]\ndata: {"choices":[{"delta":{"content":"late"}}]}\n')).alias("sent"))
+    step = (5 + F.crc32(F.col("conv_id").cast("string")) % 60).cast("int")
+    n = F.ceil(F.length("sent") / step).cast("int")
+    parts = sent.select("conv_id", "sent", step.alias("step"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select(
+        "conv_id", F.col("i").cast("long").alias("at"), F.substr("sent", F.col("i") * F.col("step") + 1, F.col("step")).alias("part"), F.floor(F.col("i") * BATCHES / F.col("n")).alias("batch")
+    )
+    rows = materialize(parts, "parts")
+    for batch in range(BATCHES):
+        rows.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(rows.drop("batch").schema).parquet(f"{base}/in")
+        with tokens.keyed_state(spark):
+            incremental.process_new(stream, lambda df: tokens.token_lines(df, "conv_id"), f"{base}/out", f"{base}/state")
+    lines = spark.read.schema(tokens.lines_schema(rows, "conv_id")).parquet(f"{base}/out")
+    found = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "content"))), lambda x: x["content"]), "").alias("found"))
+    return turns.select("conv_id").distinct().join(found, "conv_id", "left").select("conv_id", F.md5(F.coalesce("found", F.lit(""))).alias("digest"))
+
+
 @query("ext_windowed_events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def ext_windows(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datamill.tables import shared_dir
+from datamill.tables import written_dir
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_a_batch: int = 100) -> DataFrame:
@@ -30,7 +30,7 @@ def process_new(stream: DataFrame, process: Callable[[DataFrame], DataFrame], ou
 def run_to_end(aggregate: DataFrame, mode: str = "complete") -> DataFrame:
     """The last state of a streaming aggregate once its input is used up, written by its last batch."""
     spark = aggregate.sparkSession
-    base = f"{shared_dir(spark)}/datamill/stream-{uuid.uuid4().hex}"
+    base = f"{written_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
