@@ -32,7 +32,10 @@ def q59(spark, sf_dir):
 
 @query("q60_chunk_documents")
 def q60(spark, sf_dir):
-    said = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    """Whole texts whose lines are, by their place, code, its output, headings, rules, images and text."""
+    led = lambda i: F.when(i % 9 == 2, "```python\n").when(i % 9 == 3, "Output:\n").when(i % 9 == 5, "## Slide ").when(i % 9 == 7, "---\n[IMAGE:a] ").otherwise("")
+    line = lambda x, i: F.concat(led(i), x, F.when(i % 9 == 2, "\n```").otherwise("\n"))
+    said = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
     kind = F.when(F.col("doc_id") % 3 == 0, "notebook").when(F.col("doc_id") % 3 == 1, "slides").otherwise("page")
     rows = chunking.chunk_documents(documents(spark, sf_dir).select("doc_id", said.alias("content"), kind.alias("kind")))
     return rows.select("doc_id", "chunk_id", F.md5("text").alias("digest"), F.size("code").alias("n_code"), "n_images")

@@ -7,7 +7,9 @@ import random
 from pyspark.sql import functions as F
 
 from datamill.functions import code, rules, text
-from datamill.operators import allocation, chunking, decisions, dedup, evaluation, split
+import plain_chunking as chunking
+
+from datamill.operators import allocation, decisions, dedup, evaluation, split
 from datamill.sources import files, writers
 
 
@@ -300,7 +302,7 @@ def test_arguments_are_described(spark):
 
 
 def test_merging_chunks_from_where_it_stopped_equals_starting_again():
-    from datamill.operators.chunking import Limits, Piece, merged
+    from plain_chunking import Limits, Piece, merged
 
     def again(pieces, limits):
         join = lambda a, b: Piece(f"{a.text}\n\n{b.text}", a.code + b.code)
