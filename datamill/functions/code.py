@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,59 +195,80 @@ def test_error_class(message: Column) -> Column:
     )
 
 
-def parse_error(code: str | None) -> str | None:
+def parsed(code: str | None) -> tuple[ast.Module | None, tuple[str, int | None, int | None] | None]:
+    """The syntax tree of a program, or what is wrong with it: message, line and column, as far as the parser says."""
     try:
-        ast.parse(code or "")
+        return ast.parse(code or ""), None
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return f"Syntax error: {getattr(e, 'msg', str(e))}"
-    return None
+        return None, (f"Syntax error: {getattr(e, 'msg', str(e))}", getattr(e, "lineno", None), getattr(e, "offset", None))
 
 
-@F.pandas_udf(T.StringType())
-def syntax_error(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """What the parser says against a text as Python code; null for nothing."""
-    for codes in batches:
-        yield codes.map(parse_error)
+@F.udtf(returnType="message string, line int, column int", useArrow=True)
+class SyntaxErrors:
+    """One row for each program: message, line and column of the error, nulls where it parses."""
 
+    def eval(self, code: str):
+        yield parsed(code)[1] or (None, None, None)
 
-def test_structure_error(test: Column, name: Column, deprecated: Column) -> Column:
-    """What is wrong with a test's structure, in the order in which it is checked."""
+
+def test_structure_error(test: Column, syntax_error: Column, name: Column, deprecated: Column) -> Column:
+    """What is wrong with a test's structure, in the order in which it is checked; ``syntax_error`` is what the parser says."""
     shaped = F.rlike(test, F.lit(r"def\s+check\s*\(")) | F.rlike(test, F.lit(r"def\s+test_"))
     return F.coalesce(
-        syntax_error(test), F.when(~shaped, "Test must contain check(candidate) or test_ function"),
+        syntax_error, F.when(~shaped, "Test must contain check(candidate) or test_ function"),
         F.when(~F.rlike(test, F.lit(r"assert\s+")), "Test must contain assertions"),
         F.when(~F.contains(test, name), F.concat(F.lit("Test must call '"), name, F.lit("'"))), F.concat(F.lit("Deprecated API: "), deprecated),
     )
 
 
-FUNCTIONS = T.ArrayType(T.StructType([
-    T.StructField("name", T.StringType()), T.StructField("signature", T.StringType()), T.StructField("docstring", T.StringType()),
-    T.StructField("body", T.StringType()), T.StructField("imports", T.ArrayType(T.StringType())), T.StructField("first_line", T.IntegerType()), T.StructField("last_line", T.IntegerType()),
-]))
+TEXT, TEXTS = (T.StringType(), pa.string()), (T.ArrayType(T.StringType()), pa.list_(pa.string()))
+YES, NUMBER = (T.BooleanType(), pa.bool_()), (T.IntegerType(), pa.int32())
+#: Fields of a function, with their types in Spark and in Arrow.
+FUNCTION = {
+    "name": TEXT, "path": TEXT, "signature": TEXT, "is_async": YES, "decorators": TEXTS, "docstring": TEXT, "body": TEXT, "imports": TEXTS, "first_line": NUMBER, "last_line": NUMBER,
+}
+FUNCTION_TYPE = T.StructType([T.StructField(n, t) for n, (t, _) in FUNCTION.items()])
 
 
-def functions_in(code: str | None) -> list[dict]:
-    """Functions of a piece of code by its syntax tree; what doesn't parse has none."""
-    try:
-        tree = ast.parse(code or "")
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+def functions_in(tree: ast.Module) -> list[tuple]:
+    """Functions of a program, also inside classes and functions, in order of their lines. ``path`` leads to a function by names."""
     imports = [ast.unparse(n) for n in ast.walk(tree) if isinstance(n, ast.Import | ast.ImportFrom)]
-    out = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-            doc = ast.get_docstring(node)
-            out.append({
-                "name": node.name, "signature": f"def {node.name}({ast.unparse(node.args)}){returns}:", "docstring": doc,
-                "body": "\n".join(ast.unparse(n) for n in node.body[bool(doc) :]), "imports": imports, "first_line": node.lineno, "last_line": node.end_lineno,
-            })
-    return sorted(out, key=lambda f: f["first_line"])
-
-
-@F.udf(FUNCTIONS, useArrow=True)
-def extract_functions(code):
-    return functions_in(code)
+    out, open_ = [], [((), tree)]
+    while open_:
+        path, above = open_.pop()
+        for node in ast.iter_child_nodes(above):
+            named = isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)
+            open_.append(((*path, node.name) if named else path, node))
+            if named and not isinstance(node, ast.ClassDef):
+                returns = f" -> {ast.unparse(node.returns)}" if node.returns else ""
+                doc = ast.get_docstring(node)
+                body = "\n".join(ast.unparse(n) for n in node.body[bool(doc) :])
+                signature = f"def {node.name}({ast.unparse(node.args)}){returns}:"
+                out.append((
+                    node.name, ".".join((*path, node.name)), signature, isinstance(node, ast.AsyncFunctionDef), [ast.unparse(d) for d in node.decorator_list], doc, body, imports, node.lineno, node.end_lineno,
+                ))
+    return sorted(out, key=lambda f: (f[8], f[1]))
+
+
+@F.udtf(returnType=T.StructType([*FUNCTION_TYPE, T.StructField("message", T.StringType()), T.StructField("column", T.IntegerType())]), useArrow=True)
+class FunctionsOf:
+    """A row for each function of a program; for one that doesn't parse a row with the message, line and column of the error."""
+
+    def eval(self, code: str):
+        tree, error = parsed(code)
+        if error:
+            yield None, None, None, None, None, None, None, None, error[1], None, error[0], error[2]
+        else:
+            for function in functions_in(tree):
+                yield *function, None, None
+
+
+@F.arrow_udf(T.ArrayType(FUNCTION_TYPE))
+def extract_functions(codes: pa.Array) -> pa.Array:
+    """The functions of each program; none of one that doesn't parse."""
+    trees = (parsed(c)[0] for c in codes.to_pylist())
+    found = [[dict(zip(FUNCTION, f)) for f in functions_in(t)] if t else [] for t in trees]
+    return pa.array(found, pa.list_(pa.struct([(n, t) for n, (_, t) in FUNCTION.items()])))
 
 
 def stub(function: Column) -> Column:

@@ -46,10 +46,35 @@ def programs(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(body).alias("program"))
 
 
+def shapes(spark, sf_dir):
+    """Programs of many shapes, with whole texts as strings, comments and code; some don't parse."""
+    i, bare = F.col("doc_id").cast("string"), F.translate("text", '"\\\n', "   ")
+    comment = F.concat(F.lit("# "), F.regexp_replace("text", r"[\n\r\x0b\x0c\x85\u2028\u2029]", "\n# "))
+    kinds = [
+        F.col("text"),
+        F.concat(F.lit('@cache\n@app.route("/x", methods=["GET"])\ndef shown_'), i, F.lit('(a: int, *rest, b="q", **more) -> str:\n    """'), bare, F.lit('"""\n    return str(a)\n')),
+        F.concat(F.lit("import asyncio\nasync def outer(x):\n    async def inner(y=(1, 2)):\n        def innermost(): pass\n        await asyncio.sleep(y[0])\n"), F.replace(comment, F.lit("# "), F.lit("    # ")), F.lit("\n    return inner\n")),
+        F.concat(F.lit('class C_'), i, F.lit(':\n    text = """'), bare, F.lit('"""\n    def __init__(self, *, k=None): self.k = k\n    @staticmethod\n    def made(x, /): return C(x)\n    class D:\n        @property\n        def p(self): return 1\n')),
+        F.concat(F.lit("from os import path as p, sep\nimport sys\n"), comment, F.lit("\ndef one(): return 1\ndef two(): return one() + 1\nif True:\n    def three(): return lambda: 3\nelse:\n    def three(): pass\n")),
+        F.concat(F.lit('said = """'), bare, F.lit('"""\nprint(said)\n')),
+        F.concat(F.lit("def fine(): pass\n"), comment, F.lit("\ndef broken(:\n    pass\n")),
+        F.concat(F.lit("def half():\n"), comment, F.lit("\n  return 1\n    return 2\n")),
+    ]
+    program = kinds[0]
+    for k, kind in enumerate(kinds):
+        program = F.when(F.col("doc_id") % len(kinds) == k, kind).otherwise(program)
+    return documents(spark, sf_dir).select("doc_id", program.alias("program"))
+
+
 @query("q61_function_extract")
 def q61(spark, sf_dir):
-    rows = programs(spark, sf_dir).select("doc_id", F.explode(code.extract_functions("program")).alias("f"))
-    return rows.select("doc_id", "f.name", "f.signature", "f.docstring", "f.body", F.array_join("f.imports", ";").alias("imports"), "f.first_line", "f.last_line", F.md5(code.stub(F.col("f"))).alias("stub"))
+    """A row for each function, also nested and asynchronous ones, and one for each program that doesn't parse."""
+    rows = shapes(spark, sf_dir).lateralJoin(code.FunctionsOf(F.col("program").outer()))
+    made = F.when(F.col("name").isNotNull(), code.stub(F.struct("imports", "signature", "docstring")))
+    return rows.select(
+        "doc_id", "path", "signature", "is_async", F.array_join("decorators", ";").alias("decorators"), F.md5("docstring").alias("docstring"), F.md5("body").alias("body"),
+        F.array_join("imports", ";").alias("imports"), "first_line", "last_line", F.md5(made).alias("stub"), "message", "column",
+    )
 
 
 @query(
@@ -69,9 +94,10 @@ def q61b(spark, sf_dir):
 
 @query("q62_syntax_check")
 def q62(spark, sf_dir):
-    rows = programs(spark, sf_dir).withColumn("name", F.concat(F.lit("f_"), F.col("doc_id").cast("string")))
-    error = code.test_structure_error(F.col("program"), F.col("name"), F.lit(None).cast("string"))
-    return rows.select("doc_id", error.alias("error"))
+    """What is wrong with each program, and where, as a program and as a test."""
+    rows = shapes(spark, sf_dir).lateralJoin(code.SyntaxErrors(F.col("program").outer()))
+    error = code.test_structure_error(F.col("program"), F.col("message"), F.lit("made"), F.lit(None).cast("string"))
+    return rows.select("doc_id", "message", "line", "column", error.alias("error"))
 
 
 @query(
