@@ -150,13 +150,12 @@ def latency_stats(df: DataFrame, group: str, latency: str, ok: str) -> DataFrame
         "_lower": (0.5, F.floor((n - 1) / 2)), "_upper": (0.5, F.floor(n / 2)),
         "p95": (0.95, F.least(F.floor(n * 0.95), n - 1)), "p99": (0.99, F.least(F.floor(n * 0.99), n - 1)),
     }
-    found = ordered_values(df, group, latency, places)
-    plain = df.where(F.col(latency).isNotNull()).groupBy(group).agg(
-        F.count("*").alias("n"), F.round(F.avg(latency), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(latency), F.lit(0.0)), 6).alias("stdev"),
-        F.min(latency).alias("least"), F.max(latency).alias("most"), F.round(F.count("*") / F.sum(latency), 6).alias("throughput"),
-        F.round(F.avg(F.col(ok).cast("double")), 6).alias("success_rate"),
-    )
-    return plain.join(found, group).withColumn("median", (F.col("_lower") + F.col("_upper")) / 2).drop("_lower", "_upper")
+    figures = {
+        "mean": F.round(F.avg(latency), 6), "stdev": F.round(F.coalesce(F.stddev_samp(latency), F.lit(0.0)), 6), "least": F.min(latency), "most": F.max(latency),
+        "throughput": F.round(F.count("*") / F.sum(latency), 6), "success_rate": F.round(F.avg(F.col(ok).cast("double")), 6),
+    }
+    found = ordered_values(df, group, latency, places, figures)
+    return found.withColumn("median", (F.col("_lower") + F.col("_upper")) / 2).drop("_lower", "_upper")
 
 
 def ranked_configs(stats: DataFrame, metric: str = "throughput") -> DataFrame:

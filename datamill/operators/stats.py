@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datamill.tables import materialize
+
 
 def ratio(part: Column, whole: Column, digits: int | None = 4) -> Column:
     """part / whole, 0 for an empty whole, rounded half to even."""
@@ -96,25 +100,27 @@ def size_bucket(n: Column) -> Column:
     return out
 
 
-def ordered_values(df: DataFrame, group: str, value: str, places: dict[str, tuple[float, Column]], slack: float = 0.002) -> DataFrame:
-    """For each group the values at given places of its sorted values; exact without sorting a whole group.
+def ordered_values(df: DataFrame, group: str, value: str, places: dict[str, tuple[float, Column]], figures: dict[str, Column] | None = None, slack: float = 0.002) -> DataFrame:
+    """For each group the values at given places of its sorted values, and ``figures`` (aggregates) of its rows with a value.
 
     ``places``: name to (share of the rows at about which the place is, 0-based place in terms of ``n``).
-    Approximate quantiles below and above bracket each place; only what lies between them is sorted.
+    The table is read twice, whatever the number of places. The first time approximate quantiles, whose error is bounded,
+    bracket every place. The second time equal values inside a bracket are counted, and what lies between brackets is
+    counted as a whole, before anything is shuffled; running counts over those values give the places exactly.
     """
-    brackets = [
-        F.percentile_approx(value, F.array(F.lit(max(0.0, q - slack)), F.lit(min(1.0, q + slack))), 10000).alias(f"_{name}") for name, (q, _) in places.items()
-    ]
-    bounds = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), *brackets)
-    rows = df.where(F.col(value).isNotNull()).select(group, value).join(bounds, group)
-    out = bounds.select(group)
-    for name, (_, place) in places.items():
-        low, high = F.col(f"_{name}")[0], F.col(f"_{name}")[1]
-        below = rows.groupBy(group).agg(F.count_if(F.col(value) < low).alias("below"))
-        inside = rows.where(F.col(value).between(low, high)).join(below, group)
-        placed = inside.withColumn("i", F.col("below") + F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1)
-        out = out.join(placed.where(F.col("i") == place).select(group, F.col(value).alias(name)), group, "left")
-    return out
+    known = df.where(F.col(value).isNotNull())
+    shares = F.array(*[F.lit(min(max(q + d, 0.0), 1.0)) for q, _ in places.values() for d in (-slack, slack)])
+    bounds = materialize(known.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx(value, shares, 10000).alias("_cuts"), *[c.alias(n) for n, c in (figures or {}).items()]), "bounds")
+    rows = known.select(F.col(group).alias("_group"), F.col(value).alias("_value")).join(bounds.select(F.col(group).alias("_group"), "_cuts"), "_group")
+    ends = [(F.col("_cuts")[2 * k], F.col("_cuts")[2 * k + 1]) for k in range(len(places))]
+    inside = reduce(lambda x, y: x | y, [F.col("_value").between(low, high) for low, high in ends])
+    passed = reduce(lambda x, y: x + y, [(F.col("_value") > high).cast("int") for _, high in ends])
+    counted = rows.groupBy("_group", F.when(inside, F.col("_value")).alias("_at"), F.when(~inside, passed).alias("_gap")).agg(F.count("*").alias("_count"), F.min("_value").alias("_first"))
+    upto = F.sum("_count").over(Window.partitionBy("_group").orderBy("_first"))
+    placed = counted.withColumn("_upto", upto).where("_at is not null").join(bounds.select(F.col(group).alias("_group"), "n"), "_group")
+    at = lambda place: (F.col("_upto") > place) & (F.col("_upto") - F.col("_count") <= place)
+    found = placed.groupBy("_group").agg(*[F.max(F.when(at(place), F.col("_at"))).alias(name) for name, (_, place) in places.items()])
+    return bounds.drop("_cuts").join(found.withColumnRenamed("_group", group), group)
 
 
 def clipped_distribution(df: DataFrame, value: str, share: float = 0.99) -> DataFrame:
@@ -122,8 +128,7 @@ def clipped_distribution(df: DataFrame, value: str, share: float = 0.99) -> Data
     rows = df.where(F.col(value).isNotNull()).select(F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v"))
     at = lambda q: (F.col("n") - 1) * F.lit(q)
     places = {f"_{name}{end}": (q, cut(at(q)).cast("long")) for name, q in (("m", 0.5), ("c", share)) for end, cut in (("low", F.floor), ("high", F.ceil))}
-    plain = rows.groupBy("_all").agg(F.avg("_v").alias("mean"), F.count("*").alias("n"), F.max("_v").alias("largest"))
-    found = plain.join(ordered_values(rows, "_all", "_v", places), "_all")
+    found = ordered_values(rows, "_all", "_v", places, {"mean": F.avg("_v"), "largest": F.max("_v")})
     between = lambda name, q: F.col(f"_{name}low") + (F.col(f"_{name}high") - F.col(f"_{name}low")) * (at(q) - F.floor(at(q)))
     return found.withColumn("median", between("m", 0.5)).withColumn("cut", between("c", share)).select(
         F.round("mean", 6).alias("mean"), "median", "n", F.round("cut", 6).alias("clip"), F.least("largest", "cut").alias("largest_clipped")
