@@ -195,9 +195,9 @@ def chunk_quality(text: Column, code: Column, n_images: Column) -> Column:
 
 
 def chunk_context(text: Column, before: Column, after: Column, code: Column) -> Column:
-    """The prompt context of a chunk: sections for what precedes it, itself, what follows, and earlier code."""
+    """The prompt context of a chunk: sections for what precedes it, itself, what follows, and earlier code (null: none)."""
     section = lambda head, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"[{head}]\n"), body))
-    joined = F.when(F.size(code) > 0, F.concat(F.lit("```python\n"), F.array_join(code, "\n\n"), F.lit("\n```")))
+    joined = F.concat(F.lit("```python\n"), code, F.lit("\n```"))
     main = strip(F.regexp_replace(F.regexp_replace(text, r"\[IMAGE:[^\]]*\]", ""), r"\n{3,}", "\n\n"))
     return F.concat_ws(
         "\n\n", section("Previous Context", without_code(before)), F.concat(F.lit("[Main Content]\n"), main), section("Next Context", without_code(after)), section("Prior Code Context", joined)

@@ -21,10 +21,25 @@ def with_neighbours(chunks: DataFrame, doc: str, order: str, text: str, chars: i
     })
 
 
-def with_accumulated_code(chunks: DataFrame, doc: str, order: str, code: str) -> DataFrame:
-    """All code of a document's earlier chunks."""
+def with_code_range(chunks: DataFrame, doc: str, order: str, code: str, between: str = "\n\n") -> DataFrame:
+    """``chunks`` with n_earlier and earlier_end: how many pieces of code (``code``: array) a document's earlier chunks have, and where they end in its store."""
     before = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("accumulated_code", F.flatten(F.collect_list(code).over(before)))
+    size = F.aggregate(code, F.lit(0).cast("long"), lambda n, c: n + F.length(c) + len(between))
+    return chunks.withColumns({
+        "n_earlier": F.coalesce(F.sum(F.size(code)).over(before), F.lit(0).cast("long")), "earlier_end": F.greatest(F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")) - len(between), F.lit(0)),
+    })
+
+
+def code_store(chunks: DataFrame, doc: str, order: str, code: str, between: str = "\n\n") -> DataFrame:
+    """(doc, code_store): all code of each document, once, in order."""
+    with_code = chunks.where(F.size(code) > 0).groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(code).alias("code")))).alias("_all"))
+    return with_code.select(doc, F.array_join(F.flatten(F.transform("_all", lambda x: x["code"])), between).alias("code_store"))
+
+
+def with_earlier_code(ranged: DataFrame, store: DataFrame, doc: str) -> DataFrame:
+    """The code of earlier chunks, read from the store of their document; null where there is none."""
+    text = F.when(F.col("n_earlier") > 0, F.substr("code_store", F.lit(1), F.col("earlier_end").cast("int")))
+    return ranged.join(store, doc, "left").withColumn("earlier_code", text).drop("code_store")
 
 
 def renumbered(chunks: DataFrame, doc: str, order: str) -> DataFrame:

@@ -39,8 +39,10 @@ def q41(spark, sf_dir):
     f"""WITH {CHUNKS_SQL} SELECT doc_id, chunk_id, count(code) OVER w AS n, md5(coalesce(string_agg(code, '|') OVER w, '')) AS digest FROM v_rich WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def q42(spark, sf_dir):
-    rows = context.with_accumulated_code(chunks(spark, sf_dir), "doc_id", "chunk_id", "code")
-    return rows.select("doc_id", "chunk_id", F.size("accumulated_code").cast("long").alias("n"), F.md5(F.array_join("accumulated_code", "|")).alias("digest"))
+    rows, key = chunks(spark, sf_dir), ("doc_id", "chunk_id", "code", "|")
+    ranged = context.with_code_range(rows, *key).select("doc_id", "chunk_id", "n_earlier", "earlier_end")
+    opened = context.with_earlier_code(ranged, context.code_store(rows, *key), "doc_id")
+    return opened.select("doc_id", "chunk_id", F.col("n_earlier").alias("n"), F.md5(F.coalesce("earlier_code", F.lit(""))).alias("digest"))
 
 
 @query("q77_renumber", "SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id DESC) - 1 AS new_id FROM v_chunks")
@@ -101,8 +103,10 @@ def without_code_sql(x: str) -> str:
   SELECT doc_id, chunk_id, length(c) AS n_chars, md5(c) AS digest FROM v_built""",
 )
 def q87(spark, sf_dir):
-    rows = context.with_accumulated_code(context.with_neighbours(chunks(spark, sf_dir), "doc_id", "chunk_id", "text"), "doc_id", "chunk_id", "code")
-    built = text.chunk_context(F.col("text"), F.col("previous_text"), F.col("next_text"), F.col("accumulated_code"))
+    given, key = chunks(spark, sf_dir), ("doc_id", "chunk_id", "code")
+    ranged = context.with_code_range(context.with_neighbours(given, "doc_id", "chunk_id", "text"), *key)
+    rows = context.with_earlier_code(ranged, context.code_store(given, *key), "doc_id")
+    built = text.chunk_context(F.col("text"), F.col("previous_text"), F.col("next_text"), F.col("earlier_code"))
     return rows.select("doc_id", "chunk_id", built.alias("c")).select("doc_id", "chunk_id", F.length("c").cast("long").alias("n_chars"), F.md5("c").alias("digest"))
 
 

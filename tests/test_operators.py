@@ -163,7 +163,7 @@ def test_quality_and_context(spark):
     q = lambda t, c, n: one(spark, text.chunk_quality(F.lit(t), F.array(*map(F.lit, c)).cast("array<string>"), F.lit(n)))
     assert q("x", ["import a\nfrom b import c\n# d"], 0) == "low" and q("Table of Contents", [], 1) == "low" and q("Setup guide", ["a"], 0) == "low"
     assert q("x", ["y = 1"], 1) == "high" and q("x" * 1000, ["y = 1"], 0) == "high" and q("x", [], 0) == "medium"
-    built = one(spark, text.chunk_context(F.lit("a [IMAGE:i] b"), F.lit("before ```x``` it"), F.lit(""), F.array(F.lit("c = 1"))))
+    built = one(spark, text.chunk_context(F.lit("a [IMAGE:i] b"), F.lit("before ```x``` it"), F.lit(""), F.lit("c = 1")))
     assert built == "[Previous Context]\nbefore  it\n\n[Main Content]\na  b\n\n[Prior Code Context]\n```python\nc = 1\n```"
 
 
