@@ -7,20 +7,28 @@ numpy reads, for each block, the hashed path, hashed words and a few measures, a
 its box, and says of every block in the light of the whole page whether it belongs to
 the article.
 
-No table has labels for blocks, so the network learns from pages of the table itself
-that speak for themselves: blocks are labelled by the names in their paths (``CONTENT``,
-``OTHER``), and blocks whose paths say nothing are left out of the loss. Training pages
-are varied: most lose their telling names (containers become neutral elements with
-random names, the labels stay), so that the network has to tell an article by its
-blocks, their boxes and their neighbours; others have names exchanged for others of
-their kind; boilerplate blocks of other pages are put in. A page in neutral containers
-is read the same way.
+No table has labels for blocks, so the network learns from pages of the table itself.
+Pages that speak for themselves are labelled by the names in their paths (``CONTENT``,
+``OTHER``). Outside an article any such name speaks against a block; inside one only those
+of comments, forms, adverts and menus do (``WITHIN``), and others (``related``, ``tags``) only
+with a second sign, that the block is mostly links. Compound names count as a whole; their
+parts speak outside an article only. Pages without such names are labelled by what their
+blocks are: the box of the first main heading, or else the one with most text outside links,
+is the article, but for lists of links; menus, short lines and lines that other pages have
+as well are not, elsewhere; the rest is left out of the loss, as are blocks whose names say
+nothing.
+
+Training pages are varied: most lose their telling names (containers become neutral
+elements with random names, the labels stay), so that the network has to tell an article by
+its blocks, their boxes and their neighbours; others have names exchanged for others of
+their kind; boilerplate blocks of other pages are put in, and parts of articles get boxes
+under names that say nothing there. A page in neutral containers is read the same way.
 
 Null and empty pages have no blocks and an empty text. Unclosed tags, comments, stray
 closing tags and odd quotes are read as browsers read them, near enough. Pages of any
 length are read in whole; memory follows the longest page alone. Repeated rows and ties
 give repeated results, a column of the output's name gives way, and a table without
-rows, or without a page that speaks for itself, gives empty results.
+rows, or without a page that has any text, gives empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +66,18 @@ OTHER = frozenset(
     "widget cookie cookies notice alert popup modal newsletter subscribe login search comment comments reply replies respond discussion disqus share "
     "social related recommended pagination pager tags copyright legal noscript".split()
 )
+#: Names that speak for an article itself, not for a frame that may hold more.
+ARTICLE = CONTENT - {"main", "content", "main-content"}
+#: Names that also speak against a block inside an article, and those whose parts of compound names do.
+WITHIN = frozenset(
+    "form button noscript ad ads advert advertisement banner sponsor promo nav menu navbar breadcrumb breadcrumbs pagination pager aside sidebar footer cookie cookies notice alert popup modal "
+    "newsletter subscribe login search comment comments reply replies respond discussion disqus".split()
+)
+REMARKS = frozenset("comment comments disqus ad ads advert advertisement".split())
+#: What goes before the parts of a compound name in a path.
+PART = "~"
+#: Share of a block's characters in links from which a name that says little inside an article speaks against it.
+MOSTLY_LINKS = 0.5
 #: Elements that are blocks of text and not boxes of such, and telling names that are elements.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd pre blockquote figure figcaption table thead tbody tfoot tr td th caption address details summary".split())
 ELEMENTS = frozenset("article main nav header footer aside".split())
@@ -68,10 +89,15 @@ INPUT, HIDDEN = PATH_BITS + WORD_BITS + MEASURES, 16
 NAME = 3.0
 #: Training: pages sampled, passes, pages a step, step size.
 PAGES, EPOCHS, PAGES_A_STEP, RATE = 200, 32, 8, 0.015
+#: Pages that do not speak for themselves, and characters of the longest page, that are taken to fit the network.
+SILENT_PAGES, LONGEST_PAGE = 120, 200_000
+#: Pages of the sample that must have a line for it to be a common one; words of a line that is short.
+COMMON_PAGES, SHORT_LINE = 3, 8
 #: Blocks (with filling) that are labelled at a time, but at least one page.
 BLOCKS_AT_ONCE = 1 << 15
 
 Block = tuple[str, tuple[str, ...], int, int]  # text, path, characters inside links, box
+Labelled = tuple[Block, int]
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -137,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def names_of(attributes: str) -> list[str]:
-    """The words of a tag's class, id and role, in lower case; of compound ones (``cookie-notice``) the parts too."""
+    """The words of a tag's class, id and role, in lower case; of compound ones (``cookie-notice``) the parts too, marked as such."""
     if not attributes or attributes.isspace():
         return []
     found = {}
@@ -146,24 +172,24 @@ def names_of(attributes: str) -> list[str]:
         if name in ("class", "id", "role") and m[2]:
             found.setdefault(name, m[2].strip("\"'").lower())  # the first of a name counts
     words = [w for value in found.values() for w in value.split()]
-    return [x for w in words for x in dict.fromkeys((w, *filter(None, PARTS.split(w))))]
+    return [x for w in words for x in dict.fromkeys((w, *(PART + part for part in PARTS.split(w) if part and part != w)))]
 
 
 class Hashed(dict):
-    """Words to numbers below ``size``; keeps those it saw first, up to a bound."""
+    """Words to numbers below ``size``, known ones to a number of their own; keeps those it saw first, up to a bound."""
 
-    def __init__(self, size: int):
-        super().__init__()
-        self.size = size
+    def __init__(self, size: int, known: list[str] = ()):
+        super().__init__({w: k for k, w in enumerate(known)})
+        self.size, self.known = size, len(known)
 
     def __missing__(self, word: str) -> int:
-        code = zlib.crc32(word.encode("utf-8", "replace")) % self.size
+        code = self.known + zlib.crc32(word.encode("utf-8", "replace")) % (self.size - self.known)
         if len(self) < 200_000:
             self[word] = code
         return code
 
 
-PATH_CODES, WORD_CODES = Hashed(PATH_BITS), Hashed(WORD_BITS)
+PATH_CODES, WORD_CODES = Hashed(PATH_BITS, sorted(CONTENT | OTHER | TEXTUAL | {PART + w for w in OTHER} | {"html", "body", "div", "section"})), Hashed(WORD_BITS)
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
@@ -207,6 +233,9 @@ def new_params(seed: int = 5) -> dict[str, np.ndarray]:
         p[way + "c"] = np.concatenate([np.zeros(HIDDEN), np.ones(HIDDEN), np.zeros(2 * HIDDEN)]).astype(np.float32)
     p["out"] = (rng.standard_normal(2 * HIDDEN) * 0.2).astype(np.float32)
     p["own"] = np.zeros(INPUT, np.float32)
+    # What names say before the pages do.
+    for names, weight in ((ARTICLE, 0.5), (OTHER - WITHIN, -0.5), (WITHIN, -3.0), ({PART + w for w in OTHER - REMARKS}, -0.5), ({PART + w for w in REMARKS}, -3.0)):
+        p["own"][[PATH_CODES[w] for w in names]] = weight
     p["bias"] = np.zeros(1, np.float32)
     return p
 
@@ -287,14 +316,58 @@ def label_pages(p: dict, pages: list[np.ndarray], at_once: int = BLOCKS_AT_ONCE)
     return out
 
 
-def spoken_label(path: tuple[str, ...]) -> int:
-    """1 where a path speaks for the article, 0 where it speaks against it (as comments or forms in it do), else -1."""
-    if any(w in OTHER for w in path):
+def spoken_label(block: Block) -> int:
+    """1 where a block's path speaks for the article, 0 where it speaks against it (as comments or forms in it do), else -1."""
+    text, path, linked, _ = block
+    whole = [w for w in path if not w.startswith(PART)]
+    inside = next((k for k in range(len(path) - 1, -1, -1) if path[k] in ARTICLE), None)
+    if inside is not None:
+        after = path[inside + 1 :]
+        if any(w in OTHER for w in path[:inside]) or any(w in WITHIN or w[: len(PART)] == PART and w[len(PART) :] in REMARKS for w in after):
+            return 0
+        return 0 if linked >= MOSTLY_LINKS * len(text) and any(w in OTHER for w in after) else 1
+    if any(w in OTHER for w in whole):
         return 0
-    return 1 if any(w in CONTENT for w in path) else -1
+    said = any(w.removeprefix(PART) in OTHER for w in path)
+    return (-1 if said else 1) if any(w in CONTENT for w in whole) else 0 if said else -1
 
 
-Labelled = tuple[Block, int]
+def seeded_labels(blocks: list[Block], common: set[str]) -> list[int]:
+    """Labels of a page without telling names by what its blocks are; ``common``: lines that several pages have. All -1 where nothing tells."""
+    free: dict[int, int] = {}
+    for text, path, linked, box in blocks:
+        if "head" not in path and text not in common:
+            free[box] = free.get(box, 0) + len(text) - linked
+    first = next((box for text, path, _, box in blocks if path and path[-1] == "h1" and box in free), None)
+    most = max(free, key=free.get, default=None)
+    # A heading's box may hold the heading alone.
+    main = first if first is not None and 4 * free[first] >= free[most] else most
+    if main is None or first is None and free[main] < 40 * SHORT_LINE:
+        return [-1] * len(blocks)
+    out = []
+    for text, path, linked, box in blocks:
+        links = linked >= MOSTLY_LINKS * len(text)
+        if "head" in path or links:
+            out.append(0)
+        elif box == main:
+            out.append(1)
+        else:
+            out.append(0 if text in common or len(text.split()) < SHORT_LINE or len(text) < free[main] / 20 else -1)
+    return out
+
+
+def labelled_pages(pages: list[list[Block]]) -> list[list[Labelled]]:
+    """Pages with labels of their blocks: by names where those speak for an article, else by what blocks are. Pages that neither tells are left out."""
+    met = Counter(text for page in pages for text in {b[0] for b in page})
+    common = {text for text, n in met.items() if n >= COMMON_PAGES}
+    out = []
+    for page in pages:
+        labels = [spoken_label(b) for b in page]
+        if 1 not in labels:
+            labels = seeded_labels(page, common)
+        if 1 in labels:
+            out.append(list(zip(page, labels)))
+    return out
 
 
 def neutral(page: list[Labelled], rng: np.random.Generator, hidden: frozenset[str]) -> list[Labelled]:
@@ -302,7 +375,7 @@ def neutral(page: list[Labelled], rng: np.random.Generator, hidden: frozenset[st
     names: dict[str, tuple[str, ...]] = {}
 
     def other(w: str) -> tuple[str, ...]:
-        if w in KEPT_NAMES or w not in hidden:
+        if w in KEPT_NAMES or w.removeprefix(PART) not in hidden:
             return (w,)
         if w not in names:
             drawn = (f"k{rng.integers(1 << 30)}",) if rng.random() < 0.6 else ()
@@ -333,11 +406,13 @@ def with_boilerplate(page: list[Labelled], pages: list[list[Block]], rng: np.ran
 
     Where the name will not be seen (``named``), the box stands outside the article and mostly holds links or short lines.
     """
-    name = sorted(OTHER)[rng.integers(len(OTHER))]
-    inside = next((p[: p.index(w) + 1] for (_, p, _, _), _ in page for w in p if w in CONTENT), ("html", "body"))
-    outer = ("html", "body") if not named or rng.random() < 0.6 else inside
+    inside = next((p[: p.index(w) + 1] for (_, p, _, _), _ in page for w in p if w in CONTENT), None)
+    outer = ("html", "body") if not named or inside is None or rng.random() < 0.6 else inside
+    names = sorted(OTHER if outer != inside else WITHIN)
+    name = names[rng.integers(len(names))]
     tag = () if name in ELEMENTS or name in KEPT_NAMES else ("div",) if rng.random() < 0.7 else ("section",)
-    path, leaf = (*outer, *tag, name), [("p",), (), ("ul", "li"), ("div",)][rng.integers(4)]
+    compound = tag and rng.random() < 0.4 and (outer != inside or name in REMARKS)
+    path, leaf = (*outer, *tag, *((f"{name}-k{rng.integers(1 << 20)}", PART + name) if compound else (name,))), [("p",), (), ("ul", "li"), ("div",)][rng.integers(4)]
     linked = rng.random() < (0.3 if named else 0.5)
     brief = not named and rng.random() < 0.8
     box = -2 - int(rng.integers(1 << 30))
@@ -354,10 +429,26 @@ def with_boilerplate(page: list[Labelled], pages: list[list[Block]], rng: np.ran
     return page[:at] + added + page[at:]
 
 
-def varied(blocks: list[Block], pages: list[list[Block]], rng: np.random.Generator) -> list[Labelled]:
+def with_section(page: list[Labelled], rng: np.random.Generator) -> list[Labelled]:
+    """The page with some consecutive blocks of its article in a box of their own, under a name that says nothing there."""
+    article = [k for k, (_, label) in enumerate(page) if label == 1]
+    a, n = article[rng.integers(len(article))], int(rng.integers(1, 6))
+    vague = sorted(OTHER - WITHIN - ELEMENTS - KEPT_NAMES)
+    name = vague[rng.integers(len(vague))]
+    names = (f"{name}-k{rng.integers(1 << 20)}", PART + name) if rng.random() < 0.5 else (name,)
+    box = -2 - int(rng.integers(1 << 30))
+    out = list(page)
+    for k in range(a, min(a + n, len(page))):
+        (text, path, linked, _), label = page[k]
+        if label != 1:
+            break
+        out[k] = ((text, (*path[:-1], "section", *names, *path[-1:]), linked, box), 1)
+    return out
+
+
+def varied(labelled: list[Labelled], pages: list[list[Block]], rng: np.random.Generator) -> list[Labelled]:
     """A page like this one, with labels."""
-    page = [(b, spoken_label(b[1])) for b in blocks]
-    way = rng.random()
+    page, way = labelled, rng.random()
     named = way < 0.7
     if rng.random() < 0.4:
         # Articles also hold short lines, and the same line many times over.
@@ -365,6 +456,8 @@ def varied(blocks: list[Block], pages: list[list[Block]], rng: np.random.Generat
     if rng.random() < 0.3:
         # Some articles are in several boxes.
         page = [((*b[:3], b[3] * 8 + int(rng.integers(2)) + 1) if label == 1 else b, label) for b, label in page]
+    for _ in range(rng.choice([0, 0, 0, 1, 2])):
+        page = with_section(page, rng)
     if rng.random() < 0.8:
         for _ in range(rng.choice([1, 1, 2, 3, 4])):
             page = with_boilerplate(page, pages, rng, named)
@@ -374,9 +467,10 @@ def varied(blocks: list[Block], pages: list[list[Block]], rng: np.random.Generat
 
 
 def fit(pages: list[str], epochs: int = EPOCHS, seed: int = 5) -> dict[str, np.ndarray]:
-    """Fit the labeller on variations of those of the sampled pages that speak for themselves, by Adam."""
+    """Fit the labeller on variations of the sampled pages, by Adam."""
     p, rng = new_params(seed), np.random.default_rng(seed)
-    read = [b for b in map(blocks_of, pages) if any(spoken_label(x[1]) == 1 for x in b)]
+    labelled = labelled_pages([b for b in map(blocks_of, pages) if b])
+    read = [[b for b, _ in page] for page in labelled]
     if not read:
         return p | {"out": p["out"] * 0, "bias": p["bias"] - 1}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
@@ -385,7 +479,7 @@ def fit(pages: list[str], epochs: int = EPOCHS, seed: int = 5) -> dict[str, np.n
         rate = RATE * (1 - epoch / epochs) + 5e-4
         order = rng.permutation(len(read))
         for a in range(0, len(order), PAGES_A_STEP):
-            chosen = [varied(read[k], read, rng) for k in order[a : a + PAGES_A_STEP]]
+            chosen = [varied(labelled[k], read, rng) for k in order[a : a + PAGES_A_STEP]]
             x, mask = padded([features_of([b for b, _ in page]) for page in chosen])
             x = x.astype(np.float32)
             y = np.zeros(mask.shape, np.float32)
@@ -411,12 +505,16 @@ def gradients(p: dict, x: np.ndarray, mask: np.ndarray, y: np.ndarray, counts: n
     return out | {"out": np.einsum("tph,tp->h", both, d), "own": np.einsum("tpi,tp->i", x, d), "bias": d.sum(keepdims=True).reshape(1)}
 
 
-def sample_pages(pages: DataFrame, rows: int = PAGES) -> list[str]:
-    """``rows`` pages at most that may speak for themselves: those with the smallest hashes of their page_id, one of each."""
-    speaks = "(?i)(<(article|main)[\\s>/])|((class|id|role)\\s*=[^>]*(" + "|".join(sorted(CONTENT)) + "))"
-    usable = pages.where(F.col("page_id").isNotNull() & F.col("html").rlike(speaks))
-    chosen = usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(rows)
-    got = usable.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").toArrow()
+def sample_pages(pages: DataFrame, rows: int = PAGES, silent: int = SILENT_PAGES) -> list[str]:
+    """Pages to fit on: ``rows`` at most that may speak for themselves and ``silent`` of the others, of ``LONGEST_PAGE`` characters at most.
+
+    Those with the smallest hashes of their page_id, one of each.
+    """
+    speaks = F.col("html").rlike("(?i)(<(article|main)[\\s>/])|((class|id|role)\\s*=[^>]*(" + "|".join(sorted(CONTENT)) + "))")
+    usable = pages.where(F.col("page_id").isNotNull() & (F.length("html") <= LONGEST_PAGE) & (F.length("html") > 0)).select("page_id", "html", speaks.alias("speaks"))
+    chosen = [usable.where(F.col("speaks") == kind).select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(n) for kind, n in ((True, rows), (False, silent))]
+    listed = F.broadcast(chosen[0].union(chosen[1]).distinct())
+    got = usable.join(listed, "page_id").groupBy("page_id").agg(F.min("html").alias("html")).orderBy("page_id").toArrow()
     return texts_of(got["html"].combine_chunks())
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 import tracemalloc
@@ -6,6 +7,9 @@ import numpy as np
 import pytest
 
 from datamill.llm import htmlblocks as h
+from datamill.llm.q08_html import op8_html
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <!-- ad --><div class="ad">Buy &amp; win</div><article><h1>Big  news</h1><p><b>First &lt;line&gt;,
@@ -69,7 +73,7 @@ def text_of(params, page):
 
 
 def word_list(page):
-    return [b[0] for b in h.blocks_of(page) if h.spoken_label(b[1]) == 1]
+    return [b[0] for b in h.blocks_of(page) if h.spoken_label(b) == 1]
 
 
 def test_articles_in_elements_without_names(params):
@@ -90,6 +94,40 @@ def test_what_is_not_the_article(params):
         assert text_of(params, page.replace("</article>", '<div class="comments"><p>nice post</p></div></article>')) == word_list(page)
 
 
+def test_names_inside_an_article_that_say_nothing_there(params):
+    prose = "A paragraph of prose, number %d, that says a few things more, with commas, so that it reads like a text."
+    for i, page in enumerate(pages(20)):
+        for box in ('<section class="related-work"><p>%s</p></section>', '<p class="tags intro">%s</p>', '<div class="notice-board"><p>%s</p></div>'):
+            assert text_of(params, page.replace("</article>", box % (prose % i) + "</article>")) == [*word_list(page), prose % i]
+
+
+def test_labels_by_names():
+    label = lambda path, text="some words", linked=0: h.spoken_label((text, tuple(path.split()), linked, 0))
+    assert [label(p) for p in ("html body article p", "html body div", "html body nav li", "html body div ad")] == [1, -1, 0, 0]
+    assert [label(p) for p in ("article section related-work ~related ~work p", "article p tags intro", "article header h1", "article div comments p", "article div comment-list ~comment ~list")] == [1, 1, 1, 0, 0]
+    assert label("article div related a", linked=10) == 0 and label("aside article p") == 0 and label("main div site-header ~site ~header") == -1 and label("div site-header ~site ~header") == 0
+
+
+def silent(page, rnd):
+    """The page without any telling name."""
+    page = re.sub(r"<(/?)(article|main|nav|header|footer|aside)\b[^>]*>", lambda m: f"<{m[1]}div>", page)
+    return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_a_table_without_telling_names(spark, tmp_path):
+    """Through the query: no page of the table names its article."""
+    given = spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()
+    rnd, want, rows = random.Random(1), {}, []
+    for r in given:
+        marked = re.search(r"<article>(.*?)</article>", r["html"], re.S)
+        want[r["page_id"]] = "\n".join(b[0] for b in h.blocks_of(marked[1]))
+        rows.append((r["page_id"], r["url"], silent(r["html"], rnd)))
+    assert all("article" not in html and "class=" not in html for *_, html in rows)
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in op8_html(spark, str(tmp_path)).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
+
+
 def test_tables(spark, params):
     rows = [(1, PAGE % "", "x"), (2, None, "x"), (3, "", "x"), (None, PAGE % "", "x"), (1, PAGE % "", "x")]
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
@@ -98,8 +136,10 @@ def test_tables(spark, params):
     assert {r["text"] for r in got if r["page_id"] in (2, 3)} == {""}
     assert h.extract(df.where("page_id < 0"), params).count() == 0
     assert h.sample_pages(df) == [PAGE % ""] and h.sample_pages(df.where("page_id = 2")) == []
-    silent = h.fit([])
-    assert [r["text"] for r in h.extract(df.where("page_id = 3 or page_id = 1"), silent).collect()] == ["", "", ""]
+    quiet = spark.createDataFrame([(i, "<p>x</p>") for i in range(9)] + [(9, "x" * (h.LONGEST_PAGE + 1))], "page_id long, html string")
+    assert h.sample_pages(quiet, silent=4) == ["<p>x</p>"] * 4
+    unfit = h.fit([])  # names alone speak
+    assert {r["text"] for r in h.extract(df.where("page_id = 3 or page_id = 1"), unfit).collect()} == {"", "Big news\nFirst <line>, of text\nSecond one"}
 
 
 def test_a_very_long_page_takes_little_memory(params):
