@@ -8,10 +8,14 @@ corpus, without a bound. Lower orders use continuation counts. Discounts, interp
 weights and probabilities are joins and sums over those tables, from whole-number
 counts, so that reruns agree.
 
-The result is one row for each n-gram that occurs: (lang, gram, log_p). Every n-gram of
-a document that was counted is in it, so scoring needs no back-off. Tasks hold it as
-arrays sorted by hash, read by binary search. A model of at most ``BROADCAST_ROWS``
-rows is broadcast; beyond that each block of documents is sent just the rows it needs.
+No document is scored by a model that has counted it: the documents of a language are two
+halves by a hash of their text (so copies are in one), and each is scored by the model of
+the other. The result is one row for each n-gram that occurs in a half, (lang, gram, log_p),
+with its probability by the other half, backed off as far as that half knows its contexts;
+where it knows none a byte has one chance in 256. So scoring itself only looks up. Tasks hold
+the rows as arrays sorted by hash, read by binary search. A model of at most
+``BROADCAST_ROWS`` rows is broadcast; beyond that each block of documents is sent just the
+rows it needs.
 
 A null language is a language of its own; a null text is the empty one, which has no
 bytes and perplexity 1 (log 0).
@@ -43,6 +47,19 @@ def language(lang: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit(""))
 
 
+def half_of_language(lang: Column, text: Column) -> Column:
+    """The key of a document: its half, 0 or 1, and its language."""
+    return F.concat(F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2)).cast("string"), language(lang))
+
+
+def language_of(key: Column) -> Column:
+    return F.substr(key, F.lit(2))
+
+
+def other_half(key: Column) -> Column:
+    return F.concat(F.when(F.startswith(key, F.lit("0")), "1").otherwise("0"), language_of(key))
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The number of the n-gram that ends at each byte of the texts, one text after another; bytes of each text."""
     lead = b" " * (ORDER - 1)
@@ -85,7 +102,7 @@ def task_counts(batches: Iterator[tuple[list[str], list[str]]]) -> Iterator[tupl
 
 
 def gram_counts(documents: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each n-gram occurs in each language of ``documents`` (lang, text)."""
+    """(lang, gram, n): how often each n-gram occurs in each half of each language of ``documents`` (lang, text)."""
     small_batches(documents)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +111,7 @@ def gram_counts(documents: DataFrame) -> DataFrame:
                 part = slice(k, k + (1 << 18))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram[part]), pa.string()), pa.array(gram[part]), pa.array(n[part])], names=["lang", "gram", "n"])
 
-    rows = documents.select(language(F.col("lang")).alias("lang"), "text").mapInArrow(count, "lang string, gram long, n long")
+    rows = documents.select(half_of_language(F.col("lang"), F.col("text")).alias("lang"), "text").mapInArrow(count, "lang string, gram long, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -104,7 +121,7 @@ def suffix(gram: Column, k: int) -> Column:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(lang, gram, log_p) of every n-gram of ``counts`` (lang, gram, n)."""
+    """(lang, gram, log_p) of every n-gram of ``counts`` (lang, gram, n; halves of languages), by the counts of the other half."""
     gram = F.col("gram")
     # Continuation counts: an n-gram of k bytes counts once for each different byte before it.
     longer = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), suffix(gram, k + 1).alias("longer"), suffix(gram, k).alias("gram")) for k in range(1, ORDER)]))
@@ -118,17 +135,21 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     context = levels.withColumn("context", F.shiftright("gram", BYTE))
     totals = context.groupBy("k", "lang", "context").agg(F.sum("n").alias("total"), *[F.count_if(x).alias(f"c{i}") for i, x in enumerate(kinds, 1)])
     spare = sum((F.col(f"c{i}") * F.col(f"d{i}") for i in (2, 3)), F.col("c1") * F.col("d1"))
-    weights = totals.join(discounts, ["k", "lang"]).select("k", "lang", "context", "total", "d1", "d2", "d3", (spare / F.col("total")).alias("back"))
+    serves = other_half(F.col("lang")).alias("lang")
+    weights = materialize(totals.join(discounts, ["k", "lang"]).select("k", "lang", "context", "total", "d1", "d2", "d3", (spare / F.col("total")).alias("back")), "weights")
     own = (F.col("n") - F.when(kinds[0], F.col("d1")).when(kinds[1], F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
-    terms = materialize(context.join(weights, ["k", "lang", "context"]).select("k", "lang", "gram", own.alias("own"), "back"), "terms")
-    of = lambda k: terms.where(F.col("k") == k).select("lang", F.col("gram").alias(f"gram{k}"), F.col("own").alias(f"own{k}"), F.col("back").alias(f"back{k}"))
-    rows = of(ORDER).withColumnRenamed(f"gram{ORDER}", "gram")
-    p = F.lit(1.0 / (1 << BYTE))
-    for k in range(1, ORDER):
-        rows = rows.withColumn(f"gram{k}", suffix(F.col("gram"), k)).join(of(k), ["lang", f"gram{k}"])
+    terms = materialize(context.join(weights, ["k", "lang", "context"]).select("k", serves, "gram", own.alias("own")), "terms")
+    backs = weights.select("k", serves, "context", "back")
+    # Shorter n-grams first, each once: the probability of k bytes needs that of its last k - 1.
+    p = counts.select("lang").distinct().select("lang", F.lit(0).cast("long").alias("gram"), F.lit(1.0 / (1 << BYTE)).alias("p"))
     for k in range(1, ORDER + 1):
-        p = F.col(f"own{k}") + F.col(f"back{k}") * p
-    return rows.select("lang", "gram", F.log(p).alias("log_p"))
+        asked = counts.select("lang", suffix(gram, k).alias("gram")).distinct() if k < ORDER else counts.select("lang", "gram")
+        asked = asked.withColumns({"context": F.shiftright("gram", BYTE), "shorter": suffix(F.col("gram"), k - 1)})
+        known = asked.join(terms.where(F.col("k") == k).drop("k"), ["lang", "gram"], "left").join(backs.where(F.col("k") == k).drop("k"), ["lang", "context"], "left")
+        shorter = p.withColumnRenamed("gram", "shorter").withColumnRenamed("p", "p_shorter")
+        found = F.coalesce("own", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p_shorter")
+        p = materialize(known.join(shorter, ["lang", "shorter"]).select("lang", "gram", found.alias("p")), "p")
+    return p.select("lang", "gram", F.log("p").alias("log_p"))
 
 
 def sorted_arrays(lang: list[str], gram: np.ndarray, log_p: np.ndarray) -> Arrays:
@@ -163,7 +184,7 @@ Score = Callable[[Arrays, pa.RecordBatch], pa.RecordBatch]
 
 
 def scored(documents: DataFrame, model: DataFrame, score: Score, schema: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``score(arrays, batch)`` over all ``documents`` (lang, text, ...; lang as ``language`` gives it)."""
+    """``score(arrays, batch)`` over all ``documents`` (lang, text, ...; lang as ``half_of_language`` gives it)."""
     small_batches(documents)
     if model.count() <= broadcast_rows:
         table = model.toArrow()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from datamill.llm._arrow import texts_of
 from datamill.llm.labelled import floats
-from datamill.llm.perplexity import BROADCAST_ROWS, Arrays, gram_counts, kneser_ney, language, log_perplexities, scored
+from datamill.llm.perplexity import BROADCAST_ROWS, Arrays, gram_counts, half_of_language, kneser_ney, language_of, log_perplexities, scored
 from datamill.tables import materialize
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -34,7 +34,7 @@ WINDOW = 5
 #: Fewest words, and most words in repeated windows of each hundred.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 #: Interquartile ranges between a quartile and its fence, and the least range.
-FENCE, LEAST_SPREAD = 1.5, 0.5
+FENCE, LEAST_SPREAD = 2.0, 0.5
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -114,10 +114,10 @@ def quantiles(rows: DataFrame, narrow: Column, wide, shares: dict[str, float]) -
 
 def judged(documents: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, log_ppl, distance of each row of ``documents`` (doc_id, lang, text)."""
-    table = documents.select("doc_id", language(F.col("lang")).alias("lang"), "text")
+    table = documents.select("doc_id", half_of_language(F.col("lang"), F.col("text")).alias("lang"), "text")
     model = materialize(kneser_ney(materialize(gram_counts(documents.select("lang", "text")), "grams")), "model")
     schema = MEASURED.format(id=documents.schema["doc_id"].dataType.simpleString())
-    rows = materialize(scored(table, model, measured_batch, schema, broadcast_rows), "measured").withColumn(
+    rows = materialize(scored(table, model, measured_batch, schema, broadcast_rows), "measured").withColumn("lang", language_of(F.col("lang"))).withColumn(
         "base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     )
     good = rows.where("not base_failed")

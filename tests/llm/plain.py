@@ -25,7 +25,17 @@ def network_score(params, text):
 
 
 def kneser_ney_logs(texts, order=5):
-    """Mean -log p of each byte of each text, by a model of these texts: dictionaries, straight from the formulas."""
+    """Mean -log p of each byte of each text, by a model of the texts of the other half: dictionaries, straight from the formulas."""
+    half = [xxhash.xxh64_intdigest((t or "").encode(), 42) & 1 for t in texts]
+    models = [kneser_ney_model([t for t, h in zip(texts, half) if h == k], order) for k in (0, 1)]
+    out = []
+    for t, h in zip(texts, half):
+        d = b" " * (order - 1) + (t or "").encode("utf-8", "replace")
+        out.append(sum(-np.log(models[1 - h](d[i : i + order])) for i in range(len(d) - order + 1)) / max(1, len(d) - order + 1))
+    return out
+
+
+def kneser_ney_model(texts, order):
     led = [b" " * (order - 1) + (t or "").encode("utf-8", "replace") for t in texts]
     counts = {k: {} for k in range(1, order + 1)}
     for data in led:
@@ -48,10 +58,13 @@ def kneser_ney_logs(texts, order=5):
         k = len(g)
         if not k:
             return 1 / 256
-        c = counts[k][g]
-        return (c - discount[k][min(c, 3) - 1]) / totals[g[:-1], k] + spare[g[:-1], k] / totals[g[:-1], k] * p(g[1:])
+        if (g[:-1], k) not in totals:
+            return p(g[1:])
+        c, total = counts[k].get(g, 0), totals[g[:-1], k]
+        own = (c - discount[k][min(c, 3) - 1]) / total if c else 0.0
+        return own + spare[g[:-1], k] / total * p(g[1:])
 
-    return [sum(-np.log(p(d[i : i + order])) for i in range(len(d) - order + 1)) / max(1, len(d) - order + 1) for d in led]
+    return p
 
 
 def shingle_fingerprint(text):

@@ -61,7 +61,7 @@ def test_perplexity_equals_a_plain_model(spark):
         assert first in (None, plain)
         first = plain
     model = perplexity.kneser_ney(perplexity.gram_counts(df))
-    blocks = perplexity.scored_in_blocks(df.selectExpr("doc_id", "coalesce('=' || lang, '') as lang", "text"), model, rules.measured_batch, rules.MEASURED.format(id="bigint"), block_chars=500)
+    blocks = perplexity.scored_in_blocks(df.select("doc_id", perplexity.half_of_language(df["lang"], df["text"]).alias("lang"), "text"), model, rules.measured_batch, rules.MEASURED.format(id="bigint"), block_chars=500)
     assert {r["doc_id"]: r["log_ppl"] for r in blocks.collect()} == {r["doc_id"]: r["log_ppl"] for r in got}
 
 
