@@ -1,10 +1,12 @@
 """Queries without SQL take whole texts: what stands behind a long lead is seen."""
 
+import hashlib
+
 from datamill.plans.catalogue import QUERIES
 
 
-def results(spark, folder, name, text):
-    rows = [(3, text, "en", "web")]
+def results(spark, folder, name, text, doc_id=3):
+    rows = [(doc_id, text, "en", "web")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     return QUERIES[name](spark, str(folder)).collect()
 
@@ -17,8 +19,8 @@ def test_outdated_calls_behind_a_long_lead(spark, tmp_path):
 
 def test_functions_and_structure_behind_a_long_lead(spark, tmp_path):
     text = "word " * 400 + "def test_it assert the end"
-    (function,) = results(spark, tmp_path / "a", "q61_function_extract", text)
-    assert function["docstring"] == text
+    (function,) = results(spark, tmp_path / "a", "q61_function_extract", text, doc_id=1)
+    assert function["path"] == "shown_1" and function["docstring"] == hashlib.md5(text.encode()).hexdigest()
     (checked,) = results(spark, tmp_path / "b", "q62_syntax_check", text)
     assert checked["error"] is None
 
