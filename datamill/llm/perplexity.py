@@ -37,7 +37,7 @@ from datamill.tables import materialize
 
 ORDER, BYTE = 5, 8
 #: Rows of a model (12 bytes each) that may be broadcast; different n-grams that a task holds; characters in a block.
-BROADCAST_ROWS, GRAMS_HELD, BLOCK_CHARS = 1 << 22, 1 << 22, 1 << 24
+BROADCAST_ROWS, GRAMS_HELD, BLOCK_CHARS = 1 << 22, 1 << 20, 1 << 24
 
 Arrays = dict[str, tuple[np.ndarray, np.ndarray]]
 
