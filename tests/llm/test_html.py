@@ -162,7 +162,7 @@ def test_gradients():
 
     def loss(q):
         both = np.concatenate([h.run_way(q, "f", x, mask)[0], h.run_way(q, "b", x, mask)[0]], axis=2)
-        z = both @ q["out"] + q["bias"][0]
+        z = both @ q["out"] + x @ q["own"] + q["bias"][0]
         return (np.log1p(np.exp(-z * (2 * y - 1))) * counts).sum() / counts.sum()
 
     g = h.gradients(p, x, mask, y, counts)
