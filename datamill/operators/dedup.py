@@ -9,8 +9,9 @@ which is approximate.
 and every block holds a character that is rare in the earlier text (from 200 characters
 on the matcher starts from those only). So there are few blocks, and of all stretches of
 ``s`` characters of the earlier text only so many lie outside of them. A stretch is
-named by its rarest gram; the rarest names that stand for more stretches than can be
-lost include one that the later text has too. Earlier texts for which that says nothing
+named by its rarest gram. The rarest names that stand for more stretches than can be lost
+are sought, and some more (``MORE``): the later text has as many of them as are beyond that
+number, which texts that share a phrase by chance do not. Earlier texts for which that says nothing
 (short ones, mainly) meet all later ones that lengths and character counts allow.
 """
 
@@ -34,6 +35,8 @@ THETA = 0.85
 GRAM, SAMPLED = 12, 16
 #: Characters of a stretch and of the grams in it; an earlier text takes the longest that its bounds allow.
 STRETCHES = ((16, 12), (8, 6))
+#: Share of an earlier text's stretches by which more is sought than can be lost.
+MORE = 0.15
 #: The matcher drops popular characters of earlier texts from this length on.
 AUTOJUNK = 200
 #: Texts that tell which grams are rare, and counters for them. Any counts give the same pairs, good ones fewer candidates.
@@ -142,7 +145,10 @@ def rarity(rows: DataFrame) -> list[np.ndarray]:
 
 
 def named(rows: DataFrame, counts, kinds: list[int], theta: float, earlier: bool) -> DataFrame:
-    """(i, n, kind, name) of texts as the later ones, or as the earlier ones with the names that they are sought by."""
+    """(i, n, kind, name, stands, need) of texts as the later ones, or as the earlier ones with the names that they are sought by.
+
+    A similar later text has names that stand for at least ``need`` of the earlier one's stretches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarities = counts.value
@@ -152,16 +158,21 @@ def named(rows: DataFrame, counts, kinds: list[int], theta: float, earlier: bool
                 for kind in [own.as_py()] if earlier else kinds:
                     stretch, gram = STRETCHES[kind]
                     names, stands = stretch_names(text, stretch, gram, rarities[kind])
-                    if earlier:
-                        lost = most_lost(len(text), blocks.as_py(), stretch, theta) + 1e-6
-                        names = names[: int(np.searchsorted(np.cumsum(stands), lost, "right")) + 1]
+                    need = 0.0
+                    if earlier and len(names):
+                        lost, upto = most_lost(len(text), blocks.as_py(), stretch, theta) + 1e-6, np.cumsum(stands)
+                        taken = min(int(np.searchsorted(upto, lost + MORE * upto[-1], "right")) + 1, len(names))
+                        names, stands, need = names[:taken], stands[:taken], max(upto[taken - 1] - lost, 0.0)
                     if len(names):
                         m = len(names)
-                        columns = [pa.array([i.as_py()] * m, batch.column("i").type), pa.array(np.full(m, len(text), np.int32)), pa.array(np.full(m, kind, np.int32)), pa.array(names.view(np.int64))]
-                        yield pa.RecordBatch.from_arrays(columns, names=["i", "n", "kind", "name"])
+                        columns = [
+                            pa.array([i.as_py()] * m, batch.column("i").type), pa.array(np.full(m, len(text), np.int32)), pa.array(np.full(m, kind, np.int32)), pa.array(names.view(np.int64)),
+                            pa.array(stands.astype(np.int32)), pa.array(np.full(m, need)),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, names=["i", "n", "kind", "name", "stands", "need"])
 
     chosen = rows.where("kind >= 0") if earlier else rows
-    schema = T.StructType([rows.schema["i"], T.StructField("n", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("name", T.LongType())])
+    schema = T.StructType([rows.schema["i"], T.StructField("n", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("name", T.LongType()), T.StructField("stands", T.IntegerType()), T.StructField("need", T.DoubleType())])
     return chosen.select("i", "t", "kind", "blocks").mapInArrow(run, schema)
 
 
@@ -170,12 +181,13 @@ def alike_in_length(theta: float) -> Column:
 
 
 def named_pairs(rows: DataFrame, theta: float) -> DataFrame:
-    """Pairs (i < j) of an earlier text with those later ones that have one of the names that it is sought by."""
+    """Pairs (i < j) of an earlier text with those later ones that have enough of the names that it is sought by."""
     kinds = [r["kind"] for r in rows.where("kind >= 0").select("kind").distinct().collect()]
     counts = rows.sparkSession.sparkContext.broadcast(rarity(rows))
     a, b = named(rows, counts, kinds, theta, True).alias("a"), named(rows, counts, kinds, theta, False).alias("b")
     met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.i") < F.col("b.i")) & alike_in_length(theta))
-    return met.select(F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct()
+    shared = met.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum("a.stands").alias("stands"), F.min("a.need").alias("need"))
+    return shared.where(F.col("stands") >= F.col("need")).select("i", "j")
 
 
 def bounded_pairs(rows: DataFrame, theta: float) -> DataFrame:
