@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datamill.functions.binding import let
 from datamill.tables import materialize
 
 THETA = 0.85
@@ -282,33 +281,91 @@ def drop_similar(df: DataFrame, key: str, text: str, theta: float = THETA, mode:
     return df.join(greedy_kept(rows, hits).withColumnRenamed("i", key), key, "left_semi")
 
 
-def contained_items(items: DataFrame, documents: DataFrame, run: int = 8) -> DataFrame:
-    """(doc_id, item_id) where a document's text (doc_id, text) contains an item's (item_id, text) word for word.
+#: Words, or bytes of items of one or two words, by which items and documents meet; slots of a filter on their hashes.
+RUN, BYTES, SLOTS = 8, 16, 1 << 20
+BASE = 0x9E3779B97F4A7C15
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** n, modulo 2 ** 64."""
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base % (1 << 64), np.uint64)]))
+
+
+def stretches(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the stretches of ``n`` words between blanks or line feeds begin and end in bytes; negative: all stretches of ``-n`` bytes."""
+    if n < 0:
+        first = np.arange(max(len(data) + n + 1, 0))
+        return first, first - n
+    apart = np.flatnonzero((data == 32) | (data == 10))
+    return apart[:-n] + 1, apart[n:]
+
+
+def stretch_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes, whatever stands around them; ``up`` and ``down``: powers of ``BASE`` and its inverse."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * up[: len(data)], dtype=np.uint64)])
+    h = (sums[end] - sums[first]) * down[first]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def met_by(item: np.ndarray) -> int:
+    """Which stretch of an item is sought: its first inner words, ``RUN`` at most, or its first bytes (negative), ``BYTES`` at most."""
+    inner = min(int(((item == 32) | (item == 10)).sum()) - 1, RUN)
+    return inner if inner > 0 else -min(len(item), BYTES)
+
+
+def hashed_stretches(df: DataFrame, key: str, slots=None, kinds: list[int] | None = None) -> DataFrame:
+    """(key, n, h) of column ``text``: for an item the stretch that is sought, for a document all that have one of ``kinds`` and a set slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = powers(BASE, 0), powers(BASE, 0)
+        for batch in batches:
+            at, ns, hs = [], [], []
+            for i, text in enumerate(batch.column("text")):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                if len(data) >= len(up):
+                    up, down = powers(BASE, 2 * len(data)), powers(pow(BASE, -1, 1 << 64), 2 * len(data))
+                for n in [met_by(data)] if kinds is None else kinds:
+                    first, end = stretches(data, n)
+                    if kinds is None:
+                        first, end = first[:1], end[:1]
+                    h = stretch_hashes(data, first, end, up, down)
+                    if slots is not None:
+                        h = np.unique(h[slots.value[(h % np.uint64(SLOTS)).astype(np.int64)]])
+                    if len(h):
+                        at.append(np.full(len(h), i)), ns.append(np.full(len(h), n, np.int32)), hs.append(h.view(np.int64))
+            if at:
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(ns)), pa.array(np.concatenate(hs))], names=[key, "n", "h"])
+
+    return df.select(key, "text").mapInArrow(run, T.StructType([df.schema[key], T.StructField("n", T.IntegerType()), T.StructField("h", T.LongType())]))
+
+
+def item_matches(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, item) where a document's text (doc_id, text) contains an item's text word for word; items of equal texts are one.
 
     The words inside an item, all but its first and last, stand in the document between blanks or line feeds. They meet
-    by a hash of the first of those, ``run`` at most; lengths that no item has are not looked at. Items of one or two
-    words meet by all substrings of their length. What meets is verified. Empty items are in no document.
+    by a hash of the first of those; numbers of words that no item has are not looked at. Items of one or two words meet
+    by their first bytes. Hashes come from sums over a text's bytes, so the work grows with its length; a filter of
+    ``SLOTS`` bits drops most that no item has. What meets is verified. Empty items are in no document.
     """
-    apart = "[ \n]"
-    listed = items.where("text <> ''").select("item_id", F.col("text").alias("item"), F.split("text", apart).alias("w"))
-    inner = F.least(F.size("w") - 2, F.lit(run))
-    keyed = listed.withColumn("n", F.when(inner > 0, inner).otherwise(-F.length("item"))).withColumn(
-        "h", F.when(inner > 0, F.xxhash64(F.array_join(F.expr(f"slice(w, 2, greatest(least(size(w) - 2, {run}), 0))"), " "))).otherwise(F.xxhash64("item"))
-    ).drop("w")
-    # At most ``run`` numbers of words, and the lengths of items of one or two words.
-    lengths = [r["n"] for r in keyed.select("n").distinct().collect()]
-    texts = documents.select("doc_id", "text")
-    words, chars = [n for n in lengths if n > 0], [-n for n in lengths if n < 0]
-    none = F.array().cast("array<struct<n:int,h:bigint>>")
-
-    def runs_of(size: Column, n: int, label: int, piece) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
-        return F.when(size >= n, F.transform(starts, lambda i: F.struct(F.lit(label).alias("n"), F.xxhash64(piece(i)).alias("h")))).otherwise(none)
-
-    found = let(F.split("text", apart), lambda w: F.flatten(F.array(
-        none, *[runs_of(F.size(w), n, n, lambda i, n=n: F.array_join(F.slice(w, i, n), " ")) for n in words],
-        *[runs_of(F.length("text"), n, -n, lambda i, n=n: F.substr("text", i, F.lit(n))) for n in chars],
-    )))
-    rows = texts.select("doc_id", F.explode(F.array_distinct(found)).alias("x")).select("doc_id", "x.n", "x.h")
-    pairs = rows.join(keyed, ["n", "h"]).select("doc_id", "item_id", "item").distinct()
-    return pairs.join(texts, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id").distinct()
+    keyed = hashed_stretches(items.where("text <> ''").select(F.col("text").alias("item"), "text").distinct(), "item")
+    # At most RUN + BYTES kinds and SLOTS slots.
+    kinds = [r["n"] for r in keyed.select("n").distinct().collect()]
+    set_ = np.zeros(SLOTS, bool)
+    set_[keyed.select(F.expr(f"pmod(h, {SLOTS})").cast("int").alias("s")).distinct().toArrow().column("s").to_numpy()] = True
+    texts = documents.select("doc_id", "text").where("text IS NOT NULL")
+    rows = hashed_stretches(texts, "doc_id", items.sparkSession.sparkContext.broadcast(set_), kinds)
+    pairs = rows.join(keyed, ["n", "h"]).select("doc_id", "item")
+    return pairs.join(texts, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item").distinct()
+
+
+def contained_items(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where a document's text (doc_id, text) contains an item's (item_id, text) word for word."""
+    named = items.select("item_id", F.col("text").alias("item"))
+    return item_matches(items, documents).join(named, "item").select("doc_id", "item_id").distinct()
+
+
+def documents_of_items(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """(item_id, documents): how many documents contain an item; counted once for items of equal texts, those in none are left out."""
+    counts = item_matches(items, documents).groupBy("item").agg(F.count("*").alias("documents"))
+    return items.select("item_id", F.col("text").alias("item")).join(counts, "item").groupBy("item_id").agg(F.sum("documents").alias("documents"))

@@ -334,7 +334,7 @@ def q91(spark, sf_dir):
 @query("ext_contamination", "SELECT b.item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def ext_contamination(spark, sf_dir):
     """Benchmark items that occur word for word in documents."""
-    return dedup.contained_items(read_table(spark, sf_dir, "benchmark"), documents(spark, sf_dir)).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return dedup.documents_of_items(read_table(spark, sf_dir, "benchmark"), documents(spark, sf_dir))
 
 
 @query("q96_stage_checkpoint", "SELECT doc_id, length(text) // 4 AS tokens FROM documents")

@@ -37,6 +37,23 @@ def test_items_of_any_length_are_found(spark):
     assert contained_items(rows.where("item_id < 0"), docs).count() == 0
 
 
+def test_items_in_very_long_documents(spark):
+    """Work grows with the length of a text, by words as by characters (once with its square: some minutes for these)."""
+    import time
+
+    from datamill.operators.dedup import contained_items, documents_of_items
+
+    text = " ".join(f"w{i}\U0001f600" for i in range(60_000))
+    items = ["w59990\U0001f600 w59991\U0001f600 w59992\U0001f600", "w5999\U0001f600 w6000\U0001f600 w6001\U0001f600 w6002\U0001f600 w6004\U0001f600", "\U0001f600 w41", "w7\U0001f600", "w7\U0001f600", "\U0001f600w"]
+    docs = spark.createDataFrame([(1, text), (2, "w7\U0001f600"), (3, None)], "doc_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    begin = time.monotonic()
+    want = [(d["doc_id"], i) for d in docs.collect() for i, x in enumerate(items) if x in (d["text"] or "")]
+    assert sorted(map(tuple, contained_items(rows, docs).collect())) == want
+    assert {r["item_id"]: r["documents"] for r in documents_of_items(rows, docs).collect()} == {0: 1, 2: 1, 3: 2, 4: 2}
+    assert time.monotonic() - begin < 60
+
+
 def test_deep_tables_of_contents_keep_all_levels(spark):
     from datamill.sources import files
 
