@@ -18,6 +18,7 @@ number, which texts that share a phrase by chance do not. Earlier texts for whic
 from __future__ import annotations
 
 import difflib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,11 +50,95 @@ def drop_copies(df: DataFrame, content: str, order: str) -> DataFrame:
     return df.withColumn("_digest", key).join(first, ["_digest", order], "left_semi").drop("_digest")
 
 
-@F.pandas_udf(T.DoubleType())
-def match_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """2 M / T of the standard library's sequence matcher."""
-    for a, b in batches:
-        yield pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+class RareRuns:
+    """The matcher's seeds in an earlier text of ``AUTOJUNK`` characters or more: stretches of characters that aren't popular in it."""
+
+    def __init__(self, b: str):
+        counts = Counter(b)
+        self.b, self.rare = b, {c for c, k in counts.items() if k <= len(b) // 100 + 1}
+        self.runs = self.runs_in(b)
+        self.places: dict[int, dict[str, list[int]]] = {}
+
+    def runs_in(self, text: str) -> list[tuple[int, int]]:
+        out, begin = [], None
+        for i, c in enumerate(text):
+            if c in self.rare:
+                begin = i if begin is None else begin
+            elif begin is not None:
+                out.append((begin, i))
+                begin = None
+        return out if begin is None else [*out, (begin, len(text))]
+
+    def places_of(self, length: int) -> dict[str, list[int]]:
+        """Places of each seed of one length, in order."""
+        if length not in self.places:
+            found = self.places[length] = {}
+            for begin, end in self.runs:
+                for j in range(begin, end - length + 1):
+                    found.setdefault(self.b[j : j + length], []).append(j)
+        return self.places[length]
+
+
+#: Seeds of all lengths beyond which the standard library's matcher is taken: texts of mostly rare characters.
+MOST_SEEDS = 1 << 20
+
+
+def similar(a: str, b: str, theta: float, runs: RareRuns | None = None) -> bool:
+    """Is the ratio of ``difflib.SequenceMatcher(None, a, b)`` at least ``theta``?
+
+    The same blocks, found from seeds of each length instead of all pairs of places: the longest seed that both parts
+    hold, the first in ``a`` of equal ones, then the first in ``b``, as far as equal characters reach. It ends when what
+    is open can't change the answer.
+    """
+    total = len(a) + len(b)
+    enough = lambda m: (2.0 * m / total if total else 1.0) >= theta
+    if len(b) >= AUTOJUNK:
+        runs = runs or RareRuns(b)
+        mine = runs.runs_in(a)
+    if len(b) < AUTOJUNK or sum((e - s) ** 2 for s, e in mine + runs.runs) > MOST_SEEDS + 8 * total:
+        return difflib.SequenceMatcher(None, a, b).ratio() >= theta
+    longest = min(max((e - s for s, e in x), default=0) for x in (mine, runs.runs))
+    seeds = []  # longest first: places in a, and those in b of each
+    for length in range(longest, 0, -1):
+        held = runs.places_of(length)
+        found = [(i, held[x]) for s, e in mine for i in range(s, e - length + 1) if (x := a[i : i + length]) in held]
+        if found:
+            seeds.append((length, [i for i, _ in found], [x for _, x in found]))
+    matched, open_, parts = 0, min(len(a), len(b)), [(0, len(a), 0, len(b), 0)]
+    while parts and not enough(matched) and enough(matched + open_):
+        alo, ahi, blo, bhi, level = parts.pop()
+        open_ -= min(ahi - alo, bhi - blo)
+        best, at = None, level
+        for at in range(level, len(seeds)):  # what a part lacks, its parts lack
+            length, places, others = seeds[at]
+            for k in range(bisect_left(places, alo), bisect_right(places, ahi - length)):
+                js = others[k]
+                n = bisect_left(js, blo)
+                if n < len(js) and js[n] + length <= bhi:
+                    best = places[k], js[n], length
+                    break
+            if best:
+                break
+        i, j, size = best or (alo, blo, 0)  # without a seed the matcher still looks how the parts begin
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        matched += size
+        if not size:
+            continue
+        for part in ((alo, i, blo, j, at), (i + size, ahi, j + size, bhi, at)):
+            if part[0] < part[1] and part[2] < part[3]:
+                parts.append(part)
+                open_ += min(part[1] - part[0], part[3] - part[2])
+    return enough(matched)
+
+
+@F.pandas_udf(T.BooleanType())
+def are_similar(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether 2 M / T of the standard library's sequence matcher is at least theta (third)."""
+    for a, b, thetas in batches:
+        yield pd.Series([similar(x, y, t) for x, y, t in zip(a, b, thetas)], dtype="bool")
 
 
 def character_overlap(a: Column, b: Column) -> Column:
@@ -277,7 +362,7 @@ def drop_similar(df: DataFrame, key: str, text: str, theta: float = THETA, mode:
     texts = df.join(first, key, "left_semi")
     rows = materialize(profiled(texts, key, text, theta) if mode == "exact" else lowered(texts, key, text), "profiles")
     pairs = exact_pairs(rows, theta).where(may_match("ti", "tj", F.lit(theta))) if mode == "exact" else blocked_pairs(rows)
-    hits = pairs.repartition(F.col("i"), F.col("j")).where(match_ratio(F.col("tj"), F.col("ti")) >= theta).select("i", "j")
+    hits = pairs.repartition(F.col("i"), F.col("j")).where(are_similar("tj", "ti", F.lit(theta))).select("i", "j")
     return df.join(greedy_kept(rows, hits).withColumnRenamed("i", key), key, "left_semi")
 
 

@@ -68,3 +68,36 @@ def test_no_pair_is_lost_by_the_bounds():
             for stretch, _ in dedup.STRETCHES:
                 inside = sum(max(0, x.size - stretch + 1) for x in blocks)
                 assert n - stretch + 1 - inside <= dedup.most_lost(n, most, stretch, dedup.THETA) + 1e-6
+
+
+def test_the_matcher_s_answer_is_the_standard_library_s():
+    rnd = random.Random(13)
+    for k in range(400):
+        base = prose(rnd, rnd.choice((150, 199, 200, 210, 400, 900))) if k % 3 else "".join(chr(0x4E00 + rnd.randrange(200)) if rnd.random() < 0.2 else rnd.choice("abc \n") for _ in range(300))
+        later = "".join(c if rnd.random() > 0.02 * (k % 9) else rnd.choice("etqZ .") for c in base)
+        if k % 4 == 0:
+            at = rnd.randrange(len(later))
+            later = later[at:] + later[:at]
+        if k % 5 == 0:
+            later = (later + base[: rnd.randrange(100)]).upper()
+            base = base.title()
+        ratio = difflib.SequenceMatcher(None, later, base).ratio()
+        for theta in (0.3, 0.5, 0.7, 0.85, 0.95, ratio, ratio + 1e-9):
+            assert dedup.similar(later, base, theta) == (ratio >= theta)
+    assert dedup.similar("", "", 0.85) and not dedup.similar("", "a", 0.85)
+
+
+def test_long_texts_are_compared_quickly():
+    """As the standard library's matcher does, which takes minutes for the longer ones."""
+    import time
+
+    rnd = random.Random(14)
+    for sentences, edits in ((100, 0.003), (100, 0.03), (2000, 0.003)):
+        base = ". ".join(prose(rnd, 60).capitalize() for _ in range(sentences))
+        later = "".join(c if rnd.random() > edits else rnd.choice("etqZ .") for c in base)
+        for a in (later, base[len(base) // 3 :] + base[: len(base) // 3]):
+            ratio = difflib.SequenceMatcher(None, a, base).ratio() if sentences == 100 else None
+            begin = time.monotonic()
+            found = [dedup.similar(a, base, theta) for theta in (0.1, 0.5, 0.85, ratio or 0.9)]
+            assert time.monotonic() - begin < 20
+            assert ratio is None or found == [ratio >= 0.1, ratio >= 0.5, ratio >= 0.85, True]
