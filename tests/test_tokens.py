@@ -65,3 +65,62 @@ def test_parts_over_several_runs(spark, tmp_path):
         assert at == len(got.setdefault(stream, []))
         got[stream].append(content)
     assert {s: "".join(got.get(s, [])) for s in STREAMS} == {s: plain(t) for s, t in STREAMS.items()}
+
+
+def test_parts_in_order_need_no_look_into_the_store():
+    """The state of a stream is read and written once a batch; the map of early parts only where parts wait."""
+    import pandas as pd
+
+    class Place:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    class Early(dict):
+        calls = 0
+
+        def counted(self):
+            self.calls += 1
+
+        def iterator(self):
+            self.counted()
+            return iter([((k,), (v,)) for k, v in self.items()])
+
+        def updateValue(self, key, value):
+            self.counted()
+            self[key[0]] = value[0]
+
+        def clear(self):
+            self.counted()
+            super().clear()
+
+        def removeKey(self, key):
+            self.counted()
+            del self[key[0]]
+
+    class Handle:
+        def getValueState(self, *_):
+            return Place()
+
+        def getMapState(self, *_):
+            return Early()
+
+    reader = tokens.TokenLines(["stream"])
+    reader.init(Handle())
+    text = event("a") + event("b") + event("c")
+    rows = [(i, text[7 * i : 7 * i + 7]) for i in range(-(-len(text) // 7))]
+    say = lambda some: [c for f in reader.handleInputRows((1,), iter([pd.DataFrame(some, columns=["at", "part"])]), None) for c in f["content"]]
+    half = len(rows) // 2
+    said = say(rows[:half])
+    assert reader.early.calls == 0
+    said += say(rows[half + 1 :])
+    assert len(reader.early) == len(rows) - half - 1
+    said += say(rows[half : half + 1])
+    assert said == ["a", "b", "c"] and reader.place.value[4] == 0
