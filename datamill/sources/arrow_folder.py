@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from datamill.sources import stores
+from datamill.tables import small_batches
 
 FORMAT = "datamill_arrow"
 SUFFIXES = (".arrow", ".feather")
@@ -160,6 +161,7 @@ def read_arrow(spark: SparkSession, folder: str, columns: list[str] | None = Non
 
 
 def write_arrow(df: DataFrame, folder: str) -> None:
+    small_batches(df.sparkSession)  # as written, so are they read
     df.sparkSession.dataSource.register(ArrowFolder)
     df.write.format(FORMAT).mode("append").save(folder)
 

@@ -124,3 +124,18 @@ def test_arrow_round_trip_and_splits(spark, tmp_path):
     with pytest.raises(ValueError, match="no Arrow files"):
         arrow_folder.arrow_splits(spark, str(tmp_path), ["test"])
     assert arrow_folder.read_arrow(spark, f"{tmp_path}/train").agg(F.sum("id")).first()[0] == 4950
+
+
+def test_whole_texts_are_written_in_small_batches(spark, tmp_path):
+    """A batch is what a task's Python holds at a time."""
+    import pyarrow as pa
+
+    from datamill.sources import arrow_folder
+    from datamill.tables import ROWS_PER_BATCH
+
+    arrow_folder.write_arrow(spark.range(2500).selectExpr("id", "repeat('word ', 20) AS text").coalesce(1), str(tmp_path / "small"))
+    (path,) = (tmp_path / "small").glob("*.arrow")
+    with pa.ipc.open_file(str(path)) as file:
+        sizes = [file.get_batch(i).num_rows for i in range(file.num_record_batches)]
+    assert sum(sizes) == 2500 and max(sizes) <= ROWS_PER_BATCH
+    assert arrow_folder.read_arrow(spark, str(tmp_path / "small"), ["id"]).count() == 2500
