@@ -13,7 +13,7 @@ from datamill.plans.registry import query
 from datamill.plans.texts import quoted
 from datamill.sources import files
 from datamill.streaming import incremental, tokens
-from datamill.tables import materialize, read_table, written_dir
+from datamill.tables import materialize, read_table, small_batches, written_dir
 
 
 def documents(spark, sf_dir):
@@ -42,12 +42,14 @@ def q60(spark, sf_dir):
 
 
 def programs(spark, sf_dir):
+    small_batches(spark)
     body = F.concat(F.lit("import os\n\ndef f_"), F.col("doc_id").cast("string"), F.lit('(x, y=1):\n    """'), F.translate("text", '"\\\n', "   "), F.lit('"""\n    return x + y\n'))
     return documents(spark, sf_dir).select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(body).alias("program"))
 
 
 def shapes(spark, sf_dir):
     """Programs of many shapes, with whole texts as strings, comments and code; some don't parse."""
+    small_batches(spark)
     i, bare = F.col("doc_id").cast("string"), F.translate("text", '"\\\n', "   ")
     comment = F.concat(F.lit("# "), F.regexp_replace("text", r"[\n\r\x0b\x0c\x85\u2028\u2029]", "\n# "))
     kinds = [

@@ -99,3 +99,15 @@ def test_structure(spark):
 def test_shapes_parse_or_not_as_meant(spark, shape):
     programs = [r["program"] for r in running.shapes(spark, SF_DIR).where(F.col("doc_id") % 8 == shape).limit(3).collect()]
     assert all(any(f[6] for f in plain(p)) == (shape in (0, 6, 7)) for p in programs if p)
+
+
+def test_programs_reach_python_in_small_batches(spark, tmp_path):
+    from datamill.tables import ROWS_PER_BATCH
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for query in ("q61_function_extract", "q61b_benchmark_format", "q62_syntax_check"):
+        spark.conf.set(name, "10000")
+        QUERIES[query](spark, SF_DIR)
+        assert int(spark.conf.get(name)) == ROWS_PER_BATCH
+    spark.conf.set(name, before)
