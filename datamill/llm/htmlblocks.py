@@ -37,6 +37,7 @@ import html as entities
 import re
 import zlib
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -192,10 +193,30 @@ class Hashed(dict):
 PATH_CODES, WORD_CODES = Hashed(PATH_BITS, sorted(CONTENT | OTHER | TEXTUAL | {PART + w for w in OTHER} | {"html", "body", "div", "section"})), Hashed(WORD_BITS)
 
 
-def features_of(blocks: list[Block]) -> np.ndarray:
-    """One row for each block; half precision, for pages of very many blocks."""
+class Paths(dict):
+    """Paths to the different numbers of their names; keeps those it saw first, up to a bound."""
+
+    def __missing__(self, path: tuple[str, ...]) -> tuple[int, ...]:
+        codes = tuple(dict.fromkeys(map(PATH_CODES.__getitem__, path)))
+        if len(self) < 20_000 and len(path) < 100:
+            self[path] = codes
+        return codes
+
+
+CODES_OF_PATHS = Paths()
+
+
+class Features(NamedTuple):
+    """What is known of a page's blocks: the numbers of the names on each one's path, and a row of words and measures in half precision."""
+
+    paths: list[tuple[int, ...]]
+    rest: np.ndarray
+
+
+def features_of(blocks: list[Block]) -> Features:
+    """One entry for each block."""
     if not blocks:
-        return np.zeros((0, INPUT), np.float16)
+        return Features([], np.zeros((0, INPUT - PATH_BITS), np.float16))
     sizes, counts, heads = {}, {}, set()
     for text, path, linked, box in blocks:
         sizes[box] = sizes.get(box, 0) + len(text) - linked
@@ -203,12 +224,10 @@ def features_of(blocks: list[Block]) -> np.ndarray:
         if path and path[-1] == "h1":
             heads.add(box)
     whole, last = max(1, sum(sizes.values())), max(1, len(blocks) - 1)
-    names, words, n_names, n_words, measures = [], [], [], [], []
+    words, n_words, measures = [], [], []
     for i, (text, path, linked, box) in enumerate(blocks):
         said = text.split()
-        names += map(PATH_CODES.__getitem__, path)
         words += map(WORD_CODES.__getitem__, said)
-        n_names.append(len(path))
         n_words.append(len(said))
         measures.append((
             min(len(said), 400) ** 0.5 / 10, linked / len(text), sum(map(text.count, ".,;!?")) / len(said),
@@ -216,11 +235,17 @@ def features_of(blocks: list[Block]) -> np.ndarray:
             i > 0 and blocks[i - 1][3] == box, i + 1 < len(blocks) and blocks[i + 1][3] == box, len(path) > 0 and path[-1] in TEXTUAL,
         ))
     n = len(blocks)
-    x = np.zeros((n, INPUT), np.float16)
-    x[np.repeat(np.arange(n), n_names), np.array(names, np.int64)] = NAME
+    rest = np.empty((n, WORD_BITS + MEASURES), np.float16)
     codes = np.bincount(np.repeat(np.arange(n), n_words) * WORD_BITS + np.array(words, np.int64), minlength=n * WORD_BITS).reshape(n, WORD_BITS)
-    x[:, PATH_BITS : PATH_BITS + WORD_BITS] = np.sqrt(codes / np.array(n_words)[:, None])
-    x[:, PATH_BITS + WORD_BITS :] = np.array(measures, np.float32)
+    rest[:, :WORD_BITS] = np.sqrt(codes / np.array(n_words)[:, None])
+    rest[:, WORD_BITS:] = np.array(measures, np.float32)
+    return Features([CODES_OF_PATHS[b[1]] for b in blocks], rest)
+
+
+def marked(paths: list[tuple[int, ...]]) -> np.ndarray:
+    """A row for each path, with ``NAME`` at the numbers of its names."""
+    x = np.zeros((len(paths), PATH_BITS), np.float32)
+    x[np.repeat(np.arange(len(paths)), [len(c) for c in paths]), np.array([k for c in paths for k in c], np.int64)] = NAME
     return x
 
 
@@ -251,10 +276,15 @@ def product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate(parts).reshape(*x.shape[:-1], *w.shape[1:])
 
 
-def run_way(p: dict, way: str, x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
-    """Hidden states (time, page, HIDDEN) of one direction, and what its gradient needs (``keep``). x: (time, page, INPUT)."""
-    steps, pages = x.shape[:2]
-    z_x = product(x, p[way + "x"]) + p[way + "c"]
+def run_way(p: dict, way: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    """Hidden states (time, page, HIDDEN) of one direction, and what its gradient needs. x: (time, page, INPUT)."""
+    return run_steps(p, way, product(x, p[way + "x"]), mask)
+
+
+def run_steps(p: dict, way: str, z_x: np.ndarray, mask: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+    """As ``run_way``, from products of blocks and weights (time, page, 4 * HIDDEN); without ``keep`` nothing for a gradient."""
+    steps, pages = z_x.shape[:2]
+    z_x = z_x + p[way + "c"]
     h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
     out, kept = np.zeros((steps, pages, HIDDEN), np.float32), []
     for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
@@ -290,29 +320,43 @@ def back_way(p: dict, way: str, x: np.ndarray, kept: list, d_out: np.ndarray) ->
 
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Pages side by side as (time, page, INPUT), and which of that is no filling."""
+    """Rows of pages side by side as (time, page, columns), and which of that is no filling."""
     steps = max(len(x) for x in pages)
     if len(pages) == 1:
         return pages[0][:, None], np.ones((steps, 1), bool)
-    x, mask = np.zeros((steps, len(pages), INPUT), np.float16), np.zeros((steps, len(pages)), bool)
+    x, mask = np.zeros((steps, len(pages), pages[0].shape[1]), pages[0].dtype), np.zeros((steps, len(pages)), bool)
     for k, one in enumerate(pages):
         x[: len(one), k], mask[: len(one), k] = one, True
     return x, mask
 
 
-def label_pages(p: dict, pages: list[np.ndarray], at_once: int = BLOCKS_AT_ONCE) -> list[np.ndarray]:
+def products(weights: np.ndarray, pages: list[Features]) -> list[np.ndarray]:
+    """Blocks of pages times the weights of their features; a path is multiplied once, whatever the number of blocks on it."""
+    met: dict[tuple[int, ...], int] = {}
+    at = np.array([met.setdefault(c, len(met)) for page in pages for c in page.paths], np.int64)
+    paths = list(met)
+    of_paths = np.concatenate([marked(paths[a : a + 1024]) @ weights[:PATH_BITS] for a in range(0, len(paths), 1024)])
+    out = np.concatenate([x.rest for x in pages]).astype(np.float32) @ weights[PATH_BITS:]
+    for a in range(0, len(at), 8192):
+        out[a : a + 8192] += of_paths[at[a : a + 8192]]
+    return np.split(out, np.cumsum([len(x.paths) for x in pages])[:-1])
+
+
+def label_pages(p: dict, pages: list[Features], at_once: int = BLOCKS_AT_ONCE) -> list[np.ndarray]:
     """The probability of each block of each page to belong to the article."""
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-    some = sorted((k for k, x in enumerate(pages) if len(x)), key=lambda k: len(pages[k]))
+    sizes = [len(x.paths) for x in pages]
+    some = sorted((k for k, n in enumerate(sizes) if n), key=sizes.__getitem__)
+    weights = np.column_stack([p["fx"], p["bx"], p["own"]])
     while some:
         ids = [some.pop()]
-        while some and (len(ids) + 1) * len(pages[ids[0]]) <= at_once:
+        while some and (len(ids) + 1) * sizes[ids[0]] <= at_once:
             ids.append(some.pop())
-        x, mask = padded([pages[k] for k in ids])
-        both = np.concatenate([run_way(p, way, x, mask, keep=False)[0] for way in ("f", "b")], axis=2)
-        prob = sigmoid(both @ p["out"] + product(x, p["own"]) + p["bias"][0])
+        z, mask = padded(products(weights, [pages[k] for k in ids]))
+        both = np.concatenate([run_steps(p, way, z[:, :, a : a + 4 * HIDDEN], mask, keep=False)[0] for way, a in (("f", 0), ("b", 4 * HIDDEN))], axis=2)
+        prob = sigmoid(both @ p["out"] + z[:, :, -1] + p["bias"][0])
         for n, k in enumerate(ids):
-            out[k] = prob[: len(pages[k]), n]
+            out[k] = prob[: sizes[k], n]
     return out
 
 
@@ -480,8 +524,8 @@ def fit(pages: list[str], epochs: int = EPOCHS, seed: int = 5) -> dict[str, np.n
         order = rng.permutation(len(read))
         for a in range(0, len(order), PAGES_A_STEP):
             chosen = [varied(labelled[k], read, rng) for k in order[a : a + PAGES_A_STEP]]
-            x, mask = padded([features_of([b for b, _ in page]) for page in chosen])
-            x = x.astype(np.float32)
+            known = [features_of([b for b, _ in page]) for page in chosen]
+            x, mask = padded([np.column_stack([marked(one.paths), one.rest]) for one in known])
             y = np.zeros(mask.shape, np.float32)
             for k, page in enumerate(chosen):
                 y[: len(page), k] = [label for _, label in page]

@@ -171,3 +171,16 @@ def test_gradients():
         up[name][at] += 1e-4
         down[name][at] -= 1e-4
         assert abs((loss(up) - loss(down)) / 2e-4 - g[name][at]) < 1e-3
+
+
+def test_a_path_is_multiplied_once(params, monkeypatch):
+    """Labels are those of whole rows of features, and paths that many blocks are on make one row each."""
+    some = [h.features_of(h.blocks_of(p)) for p in pages(30)]
+    x, mask = h.padded([np.column_stack([h.marked(one.paths), one.rest]) for one in some])
+    both = np.concatenate([h.run_way(params, way, x, mask)[0] for way in ("f", "b")], axis=2)
+    want = h.sigmoid(both @ params["out"] + x @ params["own"] + params["bias"][0])
+    rows, marked = [], h.marked
+    monkeypatch.setattr(h, "marked", lambda paths: rows.append(len(paths)) or marked(paths))
+    got = h.label_pages(params, some)
+    assert all(np.allclose(found, want[: len(found), k], atol=1e-5) for k, found in enumerate(got))
+    assert sum(rows) == len({c for one in some for c in one.paths}) < 20
