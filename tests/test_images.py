@@ -116,3 +116,36 @@ def test_column(spark):
     assert (got[1]["width"], got[1]["height"], got[1]["new_width"], got[1]["new_height"], got[1]["blank"]) == (90, 30, 45, 15, False)
     assert images.decoded(bytes(got[1]["png"])).shape == (15, 45, 3)
     assert got[2]["error"] == "not a PNG file" and got[3] is None
+
+
+def test_lines_that_refer_to_several_neighbours(monkeypatch):
+    """Byte by byte and by diagonals they are the same, in images of any shape; a narrow one takes no work for each diagonal."""
+    r = np.random.default_rng(8)
+    for h, w in ((1, 1), (1, 9), (9, 1), (5, 8), (8, 5), (7, 7)):
+        for c in (1, 2, 3, 4, 6, 8):
+            rows, kinds = r.integers(0, 256, (h, w, c)).astype(np.uint8), r.integers(0, 5, h)
+            want = plain_unfiltered(rows, kinds)
+            assert (images.by_diagonals(rows, kinds) == want).all()
+            assert (images.unfiltered(rows, kinds) == want).all() and (images.filtered(want, kinds) == rows).all()
+    wide, tall = (r.integers(0, 256, shape).astype(np.uint8) for shape in ((200, 300, 3), (300, 200, 3)))
+    for pixels in (wide, tall):
+        assert (images.unfiltered(images.filtered(pixels, np.full(len(pixels), 4)), np.full(len(pixels), 4)) == pixels).all()
+    rows, kinds, calls, plain = r.integers(0, 256, (400, 60, 1)).astype(np.uint8), np.arange(400) % 5, [], np.abs
+    monkeypatch.setattr(np, "abs", lambda x: calls.append(1) or plain(x))
+    images.unfiltered(rows, kinds)
+    assert len(calls) < 400
+
+
+def test_weights_within_reach(monkeypatch):
+    """The windowed sinc is computed where it isn't zero, six old pixels times the scale for a new one, not for all pairs."""
+    def everywhere(old, new):
+        x = (np.arange(old)[None, :] + 0.5 - (np.arange(new)[:, None] + 0.5) * (old / new)) / max(old / new, 1.0)
+        weights = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        return weights / weights.sum(axis=1, keepdims=True)
+
+    for old, new in ((1, 1), (2, 1), (1, 5), (7, 3), (64, 63), (40, 9), (5, 40), (1999, 64)):
+        assert (images.resampling(old, new) == everywhere(old, new)).all()
+    sizes, plain = [], np.sinc
+    monkeypatch.setattr(np, "sinc", lambda x: sizes.append(x.size) or plain(x))
+    images.resampling(2000, 64)
+    assert sum(sizes) < 2 * 7 * 2000
