@@ -175,7 +175,7 @@ CODE_LINE = r"^(?:from |import |def |class |@|#|\w+\s*=|\w+\.\w+\(|return\s|if\s
 
 
 def looks_like_python(text: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, PYTHON_SIGNS)), lambda p: F.rlike(text, p))
+    return let(text, lambda t: F.exists(F.array(*map(F.lit, PYTHON_SIGNS)), lambda p: F.rlike(t, p)))
 
 
 def auto_fenced(text: Column) -> Column:
@@ -188,7 +188,7 @@ def auto_fenced(text: Column) -> Column:
 
 def test_error_class(message: Column) -> Column:
     low = F.lower(message)
-    has = lambda *w: F.exists(F.array(*map(F.lit, w)), lambda x: F.contains(low, x))
+    has = lambda *w: let(low, lambda t: F.exists(F.array(*map(F.lit, w)), lambda x: F.contains(t, x)))
     return (
         F.when(has("syntax"), "SyntaxError").when(has("import", "module"), "ImportError").when(has("deprecated"), "DeprecatedAPI")
         .when(has("check", "test"), "StructureError").when(has("assert"), "AssertionError").otherwise("ValidationError")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from datamill.functions.binding import let
 from datamill.operators.decisions import strip
 
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -34,7 +35,7 @@ def tokens(text: Column) -> Column:
 
 
 def any_of(text: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return let(text, lambda t: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w)))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -134,20 +135,37 @@ def output_alt_text(code: Column, index: Column) -> Column:
     )
 
 
+def image_kinds(response: Column) -> Column:
+    """struct(by_words, kind): the kind whose words are found first in the fixed order, and the first kind named, else the former.
+
+    The text is lowered once and searched once for each word; names of kinds hold no white space, so none need be stripped.
+    """
+
+    def both(low: Column, by_words: Column) -> Column:
+        out = by_words
+        for kind in reversed(IMAGE_KINDS):
+            out = F.when(F.contains(low, F.lit(kind)), kind).otherwise(out)
+        return F.struct(by_words.alias("by_words"), out.alias("kind"))
+
+    def of_words(low: Column) -> Column:
+        out, tried = F.lit("unknown"), [w for words in IMAGE_WORDS.values() for w in words]
+        for kind, words in reversed(IMAGE_WORDS.items()):
+            # A word that holds another one of its kind or of a kind before says no more than that one.
+            out = F.when(any_of(low, [w for w in words if not any(x in w for x in tried if x != w)]), kind).otherwise(out)
+            tried = tried[: -len(words)]
+        return out
+
+    return let(F.lower(response), lambda low: let(of_words(low), lambda by_words: both(low, by_words)))
+
+
 def image_kind_of_words(text: Column) -> Column:
     """The kind whose words are found first in the fixed order."""
-    low, out = F.lower(text), F.lit("unknown")
-    for kind, words in reversed(IMAGE_WORDS.items()):
-        out = F.when(any_of(low, words), kind).otherwise(out)
-    return out
+    return image_kinds(text)["by_words"]
 
 
 def image_kind(response: Column) -> Column:
     """The first kind named in a response, else the one its words tell."""
-    low, out = F.lower(strip(response)), image_kind_of_words(response)
-    for kind in reversed(IMAGE_KINDS):
-        out = F.when(F.contains(low, F.lit(kind)), kind).otherwise(out)
-    return out
+    return image_kinds(response)["kind"]
 
 
 def relative_path(path: Column) -> Column:

@@ -98,7 +98,7 @@ def kind_sql(column: str) -> str:
 )
 def q31(spark, sf_dir):
     said = F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, HINTS)), (F.col("doc_id") % 9).cast("int") + 1))
-    return documents(spark, sf_dir).select("doc_id", text.image_kind_of_words(said).alias("by_words"), text.image_kind(said).alias("kind"))
+    return documents(spark, sf_dir).select("doc_id", text.image_kinds(said).alias("k")).select("doc_id", "k.by_words", "k.kind")
 
 
 RESPONSES_SQL = """v_responses AS (SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN 'DECISION: yes' || chr(10) || 'REASON: ' || text WHEN 1 THEN 'dec: NO' WHEN 2 THEN 'Yes ' || text WHEN 3 THEN text

@@ -352,3 +352,22 @@ def test_tables_of_contents(spark):
     got = [(r["toc"], r["title"], r["path"]) for r in files.toc_documents(tables, listed).orderBy("toc", "place").collect()]
     assert got == [(1, "B", "b.mdx"), (1, "", "a.md"), (1, "Deep", "deep.ipynb"), (2, "", "a.md")]
     assert files.toc_documents(tables.where("toc > 9"), listed).count() == 0
+
+
+def test_kinds_of_images(spark):
+    """Each word alone, in capitals, in pairs and in no text, against a plain version; the text is lowered once, not for each word."""
+    def plain(said):
+        low = (said or "").lower()
+        by_words = next((k for k, words in text.IMAGE_WORDS.items() if any(w in low for w in words)), "unknown")
+        return by_words, next((k for k in text.IMAGE_KINDS if k in low), by_words)
+
+    rnd = random.Random(4)
+    words = [w for ws in text.IMAGE_WORDS.values() for w in ws] + text.IMAGE_KINDS
+    said = [*words, *(f"  Über {w.upper()}\n" for w in words), *(" ".join(rnd.sample(words, 2)) for _ in range(100)), "", "nothing", None]
+    df = spark.createDataFrame(list(enumerate(said)), "i int, said string")
+    kinds = df.select("i", text.image_kinds(F.col("said")).alias("k"), text.image_kind_of_words(F.col("said")).alias("by_words"), text.image_kind(F.col("said")).alias("kind"))
+    for r in kinds.collect():
+        assert (r["k"]["by_words"], r["k"]["kind"]) == (r["by_words"], r["kind"]) == plain(said[r["i"]]), said[r["i"]]
+    for column, lowered in ((text.image_kind(F.col("said")), 1), (text.any_of(F.lower("said"), words), 1), (code.test_error_class(F.col("said")), 5)):
+        plan = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("lower(") == lowered and "lambdafunction(contains(lower(" not in plan
