@@ -2,24 +2,17 @@
 
 Fuzzy removal scans in order and drops a row when some kept earlier row is similar
 enough by the standard library's matcher, on lower-case text. Pairs come from exact
-upper bounds in ``exact`` mode, or from shared sampled 12-grams in ``blocked`` mode,
-which is approximate.
-
-``exact`` loses no pair. The matcher's blocks cover theta / 2 of both texts together,
-and every block holds a character that is rare in the earlier text (from 200 characters
-on the matcher starts from those only). So there are few blocks, and of all stretches of
-``s`` characters of the earlier text only so many lie outside of them. A stretch is
-named by its rarest gram. The rarest names that stand for more stretches than can be lost
-are sought, and some more (``MORE``): the later text has as many of them as are beyond that
-number, which texts that share a phrase by chance do not. Earlier texts for which that says nothing
-(short ones, mainly) meet all later ones that lengths and character counts allow.
+upper bounds in ``exact`` mode (``alike``), or from shared sampled 12-grams in ``blocked``
+mode, which is approximate. A row's pairs are compared few at a time, the earliest first:
+most rows of a group of near copies go by one of these, and none of their other pairs is looked at.
 """
 
 from __future__ import annotations
 
 import difflib
+import re
+import uuid
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datamill.tables import materialize
+from datamill.operators.alike import AUTOJUNK, STRETCHES, candidate_pairs, character_counts, length_step, most_blocks, most_lost, profiled  # noqa: F401
+from datamill.tables import materialize, written_dir
 
 THETA = 0.85
 GRAM, SAMPLED = 12, 16
-#: Characters of a stretch and of the grams in it; an earlier text takes the longest that its bounds allow.
-STRETCHES = ((16, 12), (8, 6))
-#: Share of an earlier text's stretches by which more is sought than can be lost.
-MORE = 0.15
-#: The matcher drops popular characters of earlier texts from this length on.
-AUTOJUNK = 200
-#: Texts that tell which grams are rare, and counters for them. Any counts give the same pairs, good ones fewer candidates.
-RARITY_ROWS, COUNTERS = 1000, 1 << 20
 
 
 def drop_copies(df: DataFrame, content: str, order: str) -> DataFrame:
@@ -54,20 +40,14 @@ class RareRuns:
     """The matcher's seeds in an earlier text of ``AUTOJUNK`` characters or more: stretches of characters that aren't popular in it."""
 
     def __init__(self, b: str):
-        counts = Counter(b)
-        self.b, self.rare = b, {c for c, k in counts.items() if k <= len(b) // 100 + 1}
+        self.b = b
+        rare = "".join(c for c, k in character_counts(b).items() if k <= len(b) // 100 + 1)
+        self.pattern = re.compile(f"[{re.escape(rare)}]+") if rare else None
         self.runs = self.runs_in(b)
         self.places: dict[int, dict[str, list[int]]] = {}
 
     def runs_in(self, text: str) -> list[tuple[int, int]]:
-        out, begin = [], None
-        for i, c in enumerate(text):
-            if c in self.rare:
-                begin = i if begin is None else begin
-            elif begin is not None:
-                out.append((begin, i))
-                begin = None
-        return out if begin is None else [*out, (begin, len(text))]
+        return [m.span() for m in self.pattern.finditer(text)] if self.pattern else []
 
     def places_of(self, length: int) -> dict[str, list[int]]:
         """Places of each seed of one length, in order."""
@@ -79,6 +59,36 @@ class RareRuns:
         return self.places[length]
 
 
+def equal_from(a: str, i: int, b: str, j: int, most: int) -> int:
+    """How many characters from ``i`` in ``a`` and from ``j`` in ``b`` on are equal, up to ``most``."""
+    n, step = 0, 16
+    while n < most:
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+            step *= 2
+        elif step == 1:
+            break
+        else:
+            step = max(step // 4, 1)
+    return n
+
+
+def equal_before(a: str, i: int, b: str, j: int, most: int) -> int:
+    """How many characters before ``i`` in ``a`` and before ``j`` in ``b`` are equal, up to ``most``."""
+    n, step = 0, 16
+    while n < most:
+        step = min(step, most - n)
+        if a[i - n - step : i - n] == b[j - n - step : j - n]:
+            n += step
+            step *= 2
+        elif step == 1:
+            break
+        else:
+            step = max(step // 4, 1)
+    return n
+
+
 #: Seeds of all lengths beyond which the standard library's matcher is taken: texts of mostly rare characters.
 MOST_SEEDS = 1 << 20
 
@@ -98,32 +108,35 @@ def similar(a: str, b: str, theta: float, runs: RareRuns | None = None) -> bool:
     if len(b) < AUTOJUNK or sum((e - s) ** 2 for s, e in mine + runs.runs) > MOST_SEEDS + 8 * total:
         return difflib.SequenceMatcher(None, a, b).ratio() >= theta
     longest = min(max((e - s for s, e in x), default=0) for x in (mine, runs.runs))
-    seeds = []  # longest first: places in a, and those in b of each
-    for length in range(longest, 0, -1):
-        held = runs.places_of(length)
-        found = [(i, held[x]) for s, e in mine for i in range(s, e - length + 1) if (x := a[i : i + length]) in held]
-        if found:
-            seeds.append((length, [i for i, _ in found], [x for _, x in found]))
+    seeds = []  # longest first: places in a, and those in b of each; shorter ones are sought when they are needed
+    left = iter(range(longest, 0, -1))
+
+    def seed(at: int) -> tuple[int, list[int], list[list[int]]] | None:
+        while at == len(seeds) and (length := next(left, 0)):
+            held = runs.places_of(length)
+            found = [(i, held[x]) for s, e in mine for i in range(s, e - length + 1) if (x := a[i : i + length]) in held]
+            if found:
+                seeds.append((length, [i for i, _ in found], [x for _, x in found]))
+        return seeds[at] if at < len(seeds) else None
+
     matched, open_, parts = 0, min(len(a), len(b)), [(0, len(a), 0, len(b), 0)]
     while parts and not enough(matched) and enough(matched + open_):
         alo, ahi, blo, bhi, level = parts.pop()
         open_ -= min(ahi - alo, bhi - blo)
         best, at = None, level
-        for at in range(level, len(seeds)):  # what a part lacks, its parts lack
-            length, places, others = seeds[at]
+        while not best and (some := seed(at)):  # what a part lacks, its parts lack
+            length, places, others = some
             for k in range(bisect_left(places, alo), bisect_right(places, ahi - length)):
                 js = others[k]
                 n = bisect_left(js, blo)
                 if n < len(js) and js[n] + length <= bhi:
                     best = places[k], js[n], length
                     break
-            if best:
-                break
+            at += not best
         i, j, size = best or (alo, blo, 0)  # without a seed the matcher still looks how the parts begin
-        while i > alo and j > blo and a[i - 1] == b[j - 1]:
-            i, j, size = i - 1, j - 1, size + 1
-        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
-            size += 1
+        before = equal_before(a, i, b, j, min(i - alo, j - blo))
+        i, j, size = i - before, j - before, size + before
+        size += equal_from(a, i + size, b, j + size, min(ahi - i, bhi - j) - size)
         matched += size
         if not size:
             continue
@@ -137,183 +150,24 @@ def similar(a: str, b: str, theta: float, runs: RareRuns | None = None) -> bool:
 @F.pandas_udf(T.BooleanType())
 def are_similar(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether 2 M / T of the standard library's sequence matcher is at least theta (third)."""
+    earlier, runs = None, None
     for a, b, thetas in batches:
-        yield pd.Series([similar(x, y, t) for x, y, t in zip(a, b, thetas)], dtype="bool")
-
-
-def character_overlap(a: Column, b: Column) -> Column:
-    """How many characters two maps of character counts have in common."""
-    return F.aggregate(F.map_keys(a), F.lit(0), lambda s, c: s + F.least(a[c], F.coalesce(F.try_element_at(b, c), F.lit(0))))
+        out = []
+        for x, y, theta in zip(a, b, thetas):
+            if y != earlier:
+                earlier, runs = y, RareRuns(y) if len(y) >= AUTOJUNK else None
+            out.append(similar(x, y, theta, runs))
+        yield pd.Series(out, dtype="bool")
 
 
 def lowered(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("i"), F.lower(F.coalesce(text, F.lit(""))).alias("t")).withColumn("n", F.length("t"))
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
-def character_counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([dict(Counter(t)) for t in texts], dtype="object")
-
-
-def most_blocks(text: str, theta: float) -> float:
-    """How many blocks the matcher can find at most between this text and a later one that is similar.
-
-    Between two blocks a character of one text is left over, at most (1 - theta) of both texts together;
-    from ``AUTOJUNK`` characters on, each block also holds one that isn't popular in this text.
-    """
-    n = len(text)
-    left = 1 + (1 - theta) * 2 * n / theta
-    if n < AUTOJUNK:
-        return left
-    return min(left, sum(k for k in Counter(text).values() if k <= n // 100 + 1))
-
-
-def gram_hashes(text: str, gram: int) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(len(codes) - gram + 1, 0)
-    h = np.zeros(n, np.uint64)
-    for k in range(gram):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + codes[k : n + k]
-    return h ^ (h >> np.uint64(32))
-
-
-def counter_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
-
-
-def stretch_names(text: str, stretch: int, gram: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different names of a text's stretches, rarest first, and how many stretches each stands for."""
-    h = gram_hashes(text, gram)
-    n = len(text) - stretch + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rank = (counts[counter_of(h)].astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
-    names = rank[:n].copy()
-    for k in range(1, stretch - gram + 1):
-        np.minimum(names, rank[k : n + k], out=names)
-    return np.unique(names, return_counts=True)
-
-
-def most_lost(n: int, blocks: float, stretch: int, theta: float) -> float:
-    """How many stretches of an earlier text of ``n`` characters lie in no block, at most; all of them where nothing is sure."""
-    all_ = n - stretch + 1
-    inside = n * theta / (2 - theta) - (stretch - 1) * blocks  # a later text has theta / (2 - theta) of its length at least
-    return all_ - max(inside, 0)
-
-
-def stretch_of(n: int, blocks: float, theta: float) -> int:
-    """Which of ``STRETCHES`` an earlier text goes by, or -1."""
-    return next((k for k, (s, _) in enumerate(STRETCHES) if most_lost(n, blocks, s, theta) < n - s), -1)
-
-
-def profiled(df: DataFrame, key: str, text: str, theta: float) -> DataFrame:
-    """(i, t, n, kind, blocks): lower-case text, its length, which stretches it goes by as the earlier one, blocks at most."""
-
-    @F.pandas_udf(T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("blocks", T.DoubleType())]))
-    def bounds(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            blocks = [float(most_blocks(t, theta)) for t in texts]
-            yield pd.DataFrame({"kind": pd.Series([stretch_of(len(t), b, theta) for t, b in zip(texts, blocks)], dtype="int32"), "blocks": pd.Series(blocks, dtype="float64")})
-
-    return lowered(df, key, text).withColumn("_p", bounds("t")).select("i", "t", "n", "_p.kind", "_p.blocks")
-
-
-def rarity(rows: DataFrame) -> list[np.ndarray]:
-    """For each of ``STRETCHES``, in how many of some texts each gram occurs, by hash."""
-    out = [np.zeros(COUNTERS, np.uint32) for _ in STRETCHES]
-    for row in rows.select("t").limit(RARITY_ROWS).toLocalIterator():
-        for counts, (_, gram) in zip(out, STRETCHES):
-            counts[np.unique(counter_of(gram_hashes(row["t"], gram)))] += 1
-    return out
-
-
-def named(rows: DataFrame, counts, kinds: list[int], theta: float, earlier: bool) -> DataFrame:
-    """(i, n, kind, name, stands, need) of texts as the later ones, or as the earlier ones with the names that they are sought by.
-
-    A similar later text has names that stand for at least ``need`` of the earlier one's stretches.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarities = counts.value
-        for batch in batches:
-            for i, t, own, blocks in zip(*(batch.column(c) for c in ("i", "t", "kind", "blocks"))):
-                text = t.as_py()
-                for kind in [own.as_py()] if earlier else kinds:
-                    stretch, gram = STRETCHES[kind]
-                    names, stands = stretch_names(text, stretch, gram, rarities[kind])
-                    need = 0.0
-                    if earlier and len(names):
-                        lost, upto = most_lost(len(text), blocks.as_py(), stretch, theta) + 1e-6, np.cumsum(stands)
-                        taken = min(int(np.searchsorted(upto, lost + MORE * upto[-1], "right")) + 1, len(names))
-                        names, stands, need = names[:taken], stands[:taken], max(upto[taken - 1] - lost, 0.0)
-                    if len(names):
-                        m = len(names)
-                        columns = [
-                            pa.array([i.as_py()] * m, batch.column("i").type), pa.array(np.full(m, len(text), np.int32)), pa.array(np.full(m, kind, np.int32)), pa.array(names.view(np.int64)),
-                            pa.array(stands.astype(np.int32)), pa.array(np.full(m, need)),
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, names=["i", "n", "kind", "name", "stands", "need"])
-
-    chosen = rows.where("kind >= 0") if earlier else rows
-    schema = T.StructType([rows.schema["i"], T.StructField("n", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("name", T.LongType()), T.StructField("stands", T.IntegerType()), T.StructField("need", T.DoubleType())])
-    return chosen.select("i", "t", "kind", "blocks").mapInArrow(run, schema)
-
-
-def alike_in_length(theta: float) -> Column:
-    return 2 * F.least("a.n", "b.n") >= theta * (F.col("a.n") + F.col("b.n"))
-
-
-def named_pairs(rows: DataFrame, theta: float) -> DataFrame:
-    """Pairs (i < j) of an earlier text with those later ones that have enough of the names that it is sought by."""
-    kinds = [r["kind"] for r in rows.where("kind >= 0").select("kind").distinct().collect()]
-    counts = rows.sparkSession.sparkContext.broadcast(rarity(rows))
-    a, b = named(rows, counts, kinds, theta, True).alias("a"), named(rows, counts, kinds, theta, False).alias("b")
-    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.name") == F.col("b.name")) & (F.col("a.i") < F.col("b.i")) & alike_in_length(theta))
-    shared = met.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum("a.stands").alias("stands"), F.min("a.need").alias("need"))
-    return shared.where(F.col("stands") >= F.col("need")).select("i", "j")
-
-
-def bounded_pairs(rows: DataFrame, theta: float) -> DataFrame:
-    """Pairs (i < j) that lengths and character counts allow, for earlier texts without names; lengths are joined by bands of a geometric scale."""
-    step = 2 / theta - 1  # the longer of two similar texts is at most so many times as long
-    nameless = rows.where("kind < 0")
-    longest = nameless.agg(F.max("n")).first()[0]
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(step))).cast("int")
-    banded = lambda df: df.select("i", "n", character_counts("t").alias("counts"), band.alias("band"))
-    later = rows.where(F.col("n") <= step * (longest or 0) + 1)
-    near = banded(later).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    a, b = banded(nameless).alias("a"), near.alias("b")
-    joined = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.i") < F.col("b.i")) & alike_in_length(theta))
-    common = 2 * character_overlap(F.col("a.counts"), F.col("b.counts")) >= theta * (F.col("a.n") + F.col("b.n"))
-    return joined.where(common).select(F.col("a.i").alias("i"), F.col("b.i").alias("j"))
-
-
 def with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(rows.select("i", F.col("t").alias("ti")), "i").join(rows.select(F.col("i").alias("j"), F.col("t").alias("tj")), "j").select("i", "j", "ti", "tj")
 
 
-def exact_pairs(rows: DataFrame, theta: float) -> DataFrame:
-    """Pairs (i < j) that the bounds don't exclude, with their texts."""
-    return with_texts(named_pairs(rows, theta).unionByName(bounded_pairs(rows, theta)), rows)
-
-
-@F.pandas_udf(T.BooleanType())
-def may_match(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Whether enough grams of the earlier text (first) occur in the later one for a ratio of theta (third)."""
-    for earlier, later, thetas in batches:
-        held, blocks, out = {}, {}, []
-        for a, b, theta in zip(earlier, later, thetas):
-            for t in (a, b):
-                if t not in held:
-                    held[t] = np.unique(gram_hashes(t, 6), return_counts=True)
-            if a not in blocks:
-                blocks[a] = most_blocks(a, theta)
-            (x, k), (y, _) = held[a], held[b]
-            out.append(int(k[np.isin(x, y, assume_unique=True)].sum()) >= theta * (len(a) + len(b)) / 2 - 5 * blocks[a] - 1e-6)
-        yield pd.Series(out, dtype="bool")
-
-
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def sampled_grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Hashes of the different 12-grams of a text whose hash falls into one class of sixteen."""
@@ -356,14 +210,55 @@ def greedy_kept(nodes: DataFrame, hits: DataFrame) -> DataFrame:
         edges = materialize(edges.join(open_, "i", "left_semi").join(open_.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j"), "hits")
 
 
+def by_parts(texts: DataFrame, key: str, text: str, theta: float) -> tuple[DataFrame, str]:
+    """Profiles of the texts, written by parts of similar lengths, and the folder that holds them."""
+    rows = lowered(texts, key, text)
+    length = F.length(F.coalesce(text, F.lit("")))
+    lengths = sorted(tuple(r) for r in texts.select(length.alias("n")).groupBy(length_step(F.col("n")).alias("step")).agg(F.count("*"), F.sum("n")).collect())
+    found = profiled(rows, lengths, theta)
+    folder = f"{written_dir(texts.sparkSession)}/profiles-{uuid.uuid4().hex}"
+    found.write.partitionBy("part").parquet(folder)
+    return texts.sparkSession.read.schema(found.schema).parquet(folder), folder
+
+
+def scan_drops(rows: DataFrame, pairs: DataFrame, theta: float) -> DataFrame:
+    """Keys that a scan in order drops, by pairs (i < j) that may be similar.
+
+    Each round compares the first pairs of each later text that has no similar one yet, twice as many as the round before.
+    A text that no open pair can drop any more stays, and those similar to it go with all their pairs.
+    """
+    gone = None
+    open_ = materialize(pairs.withColumn("hit", F.lit(False)), "pairs")
+    met = open_.select(F.explode(F.array("i", "j")).alias("i")).distinct()
+    texts = materialize(rows.select("i", "t").join(met, "i", "left_semi"), "texts")
+    width = 1
+    while not open_.isEmpty():
+        later = Window.partitionBy("j")
+        ranked = open_.withColumns({"_has": F.max("hit").over(later), "_k": F.row_number().over(later.orderBy("i"))})
+        now = ~F.col("_has") & (F.col("_k") <= width)
+        compared = with_texts(ranked.where(now).select("i", "j"), texts).sortWithinPartitions("i").where(are_similar("tj", "ti", F.lit(theta)))
+        edges = materialize(ranked.where(~now).select("i", "j", "hit").unionByName(compared.select("i", "j", F.lit(True).alias("hit"))), "pairs")
+        stay = edges.select("i").distinct().join(edges.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
+        new = materialize(edges.where("hit").join(stay, "i", "left_semi").select(F.col("j").alias("i")).distinct(), "gone")
+        gone = new if gone is None else gone.unionByName(new)
+        open_ = materialize(edges.join(new, "i", "left_anti").join(new.withColumnRenamed("i", "j"), "j", "left_anti").select("i", "j", "hit"), "pairs")
+        width *= 2
+    return met.limit(0) if gone is None else gone
+
+
 def drop_similar(df: DataFrame, key: str, text: str, theta: float = THETA, mode: str = "exact") -> DataFrame:
     """``df`` without rows that are similar to a kept earlier one; order and identity are ``key``."""
     first = df.withColumn("_t", F.lower(F.coalesce(text, F.lit("")))).groupBy(F.sha2("_t", 256).alias("_d")).agg(F.min(key).alias(key)).select(key)
     texts = df.join(first, key, "left_semi")
-    rows = materialize(profiled(texts, key, text, theta) if mode == "exact" else lowered(texts, key, text), "profiles")
-    pairs = exact_pairs(rows, theta).where(may_match("ti", "tj", F.lit(theta))) if mode == "exact" else blocked_pairs(rows)
-    hits = pairs.repartition(F.col("i"), F.col("j")).where(are_similar("tj", "ti", F.lit(theta))).select("i", "j")
-    return df.join(greedy_kept(rows, hits).withColumnRenamed("i", key), key, "left_semi")
+    if mode == "exact":
+        rows, folder = by_parts(texts, key, text, theta)
+        gone = scan_drops(rows, candidate_pairs(rows, folder, theta), theta)
+        kept = rows.select("i").join(gone, "i", "left_anti")
+    else:
+        rows = materialize(lowered(texts, key, text), "profiles")
+        hits = blocked_pairs(rows).repartition(F.col("i"), F.col("j")).where(are_similar("tj", "ti", F.lit(theta))).select("i", "j")
+        kept = greedy_kept(rows, hits)
+    return df.join(kept.withColumnRenamed("i", key), key, "left_semi")
 
 
 #: Words, or bytes of items of one or two words, by which items and documents meet; slots of a filter on their hashes.
