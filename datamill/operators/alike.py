@@ -40,8 +40,8 @@ AUTOJUNK = 200
 LEAST_PART, MOST_PART, TEXT = 20_000_000, 32_000_000, 1000
 #: Lengths by whose logarithm parts are cut: steps for each factor of e.
 STEPS = 64
-#: Characters whose names are looked up at once, and counters that are held at once.
-BATCH_CHARS, BATCH_COUNTERS = 4_000_000, 4_000_000
+#: Characters of earlier texts that are gathered, characters whose names are looked up at once, and counters held at once.
+GATHERED_CHARS, BATCH_CHARS, BATCH_COUNTERS = 4_000_000, 1_000_000, 4_000_000
 
 
 def character_counts(text: str) -> dict[str, int]:
@@ -145,7 +145,7 @@ class Index:
         del keys
         new = np.ones(len(names), bool)
         np.not_equal(names[1:], names[:-1], out=new[1:])
-        self.first = np.append(np.flatnonzero(new), len(names))
+        self.first = np.append(np.flatnonzero(new), len(names)).astype(np.int32)
         self.names = names[new]
         self.slots = np.zeros(1 << 25, bool)
         self.slots[self.names >> np.uint32(7)] = True
@@ -256,7 +256,7 @@ class GramCounts:
 
     def counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self.kept:
-            if self.size > BATCH_CHARS:
+            if self.size > GATHERED_CHARS:
                 self.kept, self.size = {}, 0
             self.kept[k] = np.unique(self.slots(self.later[k].as_py()), return_counts=True)
             self.size += len(self.kept[k][0])
@@ -286,17 +286,24 @@ def common_subsequence(a: str, b: str) -> int:
     return len(b) - v.bit_count()
 
 
-def plain_pairs(later: pa.ChunkedArray, n_later: np.ndarray, earlier: list[str], n: np.ndarray, blocks: np.ndarray, from_: np.ndarray, theta: float) -> Iterator[tuple[int, int]]:
-    """(earlier, later) by number that counts of grams and the longest common subsequence leave."""
-    near = np.flatnonzero((n_later * (2 - theta) >= theta * n.min() - 1e-6) & (n_later * theta <= n.max() * (2 - theta) + 1e-6))
-    rows, m = later.take(pa.array(near)), n_later[near]
-    theirs, grams = counts_by(rows.to_pylist()), GramCounts(rows, 4)
-    for b, text in enumerate(earlier):
-        ok = np.flatnonzero((near >= from_[b]) & (2 * np.minimum(m, n[b]) >= theta * (m + n[b])))
-        ok = ok[np.minimum(theirs[ok], counts_by([text])).sum(axis=1) >= theta * (m[ok] + n[b]) / 2 - 1e-6]
-        for k in grams.enough(text, ok, m, blocks[b], theta):
-            if common_subsequence(rows[int(k)].as_py(), text) >= theta * (n[b] + m[k]) / 2 - 1e-6:
-                yield b, int(near[k])
+class Plain:
+    """Later texts of a part by counts of their characters and grams, for earlier texts without sure names."""
+
+    def __init__(self, later: pa.ChunkedArray, n_later: np.ndarray):
+        self.later, self.n = later, n_later
+        self.characters = np.concatenate([counts_by(later[s.start : s.stop].to_pylist()) for s in sliced(n_later)])
+        self.grams = [GramCounts(later, 2), GramCounts(later, 4)]
+
+    def pairs(self, earlier: list[str], n: np.ndarray, blocks: np.ndarray, from_: np.ndarray, theta: float) -> Iterator[tuple[int, int]]:
+        """(earlier, later) by number that counts and the longest common subsequence leave."""
+        for b, text in enumerate(earlier):
+            ok = np.flatnonzero((np.arange(len(self.n)) >= from_[b]) & (2 * np.minimum(self.n, n[b]) >= theta * (self.n + n[b])))
+            ok = ok[np.minimum(self.characters[ok], counts_by([text])).sum(axis=1) >= theta * (self.n[ok] + n[b]) / 2 - 1e-6]
+            for grams in self.grams:
+                ok = grams.enough(text, ok, self.n, blocks[b], theta)
+            for k in ok.tolist():
+                if common_subsequence(self.later[k].as_py(), text) >= theta * (n[b] + self.n[k]) / 2 - 1e-6:
+                    yield b, k
 
 
 # --- parts ---
@@ -323,7 +330,7 @@ def length_step(n):
 
 
 def profiled(rows: DataFrame, lengths: list[tuple[int, int, int]], theta: float) -> DataFrame:
-    """(i, t, n, blocks, part) of (i, t, n): blocks at most of the text as the earlier one, and the part that it belongs to."""
+    """(i, t, n, blocks, part, kind) of (i, t, n): blocks at most of the text as the earlier one, the part that it belongs to, and the last kind that it may go by."""
     starts, numbers, shared = part_starts(lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,20 +338,24 @@ def profiled(rows: DataFrame, lengths: list[tuple[int, int, int]], theta: float)
             texts = batch.column("t").to_pylist()
             at = [max(bisect_right(starts, s) - 1, 0) for s in batch.column("step").to_pylist()]
             parts = [numbers[k] + (zlib.crc32(t.encode("utf-8", "surrogatepass")) % shared[k] if shared[k] > 1 else 0) for k, t in zip(at, texts)]
-            blocks = [float(most_blocks(t, theta)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("t"), batch.column("n"), pa.array(blocks, pa.float64()), pa.array(parts, pa.int32())], names=["i", "t", "n", "blocks", "part"])
+            blocks, n = np.array([most_blocks(t, theta) for t in texts], np.float64), batch.column("n").to_numpy().astype(np.int64)
+            kinds = kinds_of(n, blocks, n * theta / (2 - theta), theta)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("i"), batch.column("t"), batch.column("n"), pa.array(blocks), pa.array(parts, pa.int32()), pa.array(kinds, pa.int32())], names=["i", "t", "n", "blocks", "part", "kind"]
+            )
 
-    schema = T.StructType([rows.schema["i"], rows.schema["t"], rows.schema["n"], T.StructField("blocks", T.DoubleType()), T.StructField("part", T.IntegerType())])
+    schema = T.StructType([rows.schema["i"], rows.schema["t"], rows.schema["n"], T.StructField("blocks", T.DoubleType()), T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType())])
     return rows.withColumn("step", length_step(F.col("n"))).mapInArrow(run, schema)
 
 
-def read_part(folder: str, part: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of a part, some at a time, from the shared folder."""
+def read_part(folder: str, part: int, columns: list[str], kind: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of a part that may go by one kind or a later one, some at a time, from the shared folder."""
     store, root = opened(folder)
-    files = store.get_file_info(fs.FileSelector(f"{root}/part={part}"))
-    for path in sorted(f.path for f in files if f.path.endswith(".parquet")):
-        with store.open_input_file(path) as file:
-            yield from pq.ParquetFile(file).iter_batches(256, columns=columns)
+    for k in range(kind, len(STRETCHES) + 1):
+        files = store.get_file_info(fs.FileSelector(f"{root}/part={part}/kind={k}", allow_not_found=True))
+        for path in sorted(f.path for f in files if f.path.endswith(".parquet")):
+            with store.open_input_file(path) as file:
+                yield from pq.ParquetFile(file).iter_batches(256, columns=columns)
 
 
 def sliced(n: np.ndarray) -> Iterator[slice]:
@@ -367,7 +378,7 @@ def kinds_of(n: np.ndarray, blocks: np.ndarray, later: np.ndarray, theta: float)
 def earlier_texts(folder: str, others: list[int], kind: int, ids: np.ndarray, n_later: np.ndarray, theta: float) -> Iterator[tuple]:
     """(keys, texts, lengths, blocks, first later text by number) of earlier texts of one kind that lengths and order allow, some at a time."""
     held, size = [], 0
-    for batch in (b for other in others for b in read_part(folder, other, ["i", "t", "n", "blocks"])):
+    for batch in (b for other in others for b in read_part(folder, other, ["i", "t", "n", "blocks"], kind)):
         n, blocks = batch.column("n").to_numpy().astype(np.int64), batch.column("blocks").to_numpy()
         from_ = np.searchsorted(ids, batch.column("i").to_numpy(zero_copy_only=False), "right")
         shortest = np.maximum(n * theta / (2 - theta), n_later.min())
@@ -376,7 +387,7 @@ def earlier_texts(folder: str, others: list[int], kind: int, ids: np.ndarray, n_
         if len(mine):
             held.append((batch.column("i").take(pa.array(mine)), batch.column("t").take(pa.array(mine)).to_pylist(), n[mine], blocks[mine], from_[mine]))
             size += int(n[mine].sum())
-        if size >= BATCH_CHARS:
+        if size >= GATHERED_CHARS:
             yield joined(held)
             held, size = [], 0
     if held:
@@ -395,12 +406,13 @@ def pairs_of_part(folder: str, part: int, others: list[int], theta: float) -> It
     order = np.argsort(ids, kind="stable")
     rows, ids = rows.take(pa.array(order)).combine_chunks(), ids[order]
     n_later, text, later_keys = rows.column("n").to_numpy().astype(np.int64), rows.column("t"), rows.column("i").combine_chunks()
-    grams = GramCounts(text, 6)
+    grams, plain = GramCounts(text, 6), None
     for kind in range(len(STRETCHES) + 1):
         index = None
         for keys, earlier, n, blocks, from_ in earlier_texts(folder, others, kind, ids, n_later, theta):
             if kind == len(STRETCHES):
-                found = iter([np.array(list(plain_pairs(text, n_later, earlier, n, blocks, from_, theta)), np.int64).reshape(-1, 2).T])
+                plain = plain or Plain(text, n_later)
+                found = iter([np.array(list(plain.pairs(earlier, n, blocks, from_, theta)), np.int64).reshape(-1, 2).T])
             else:
                 index = index or Index((text[s.start : s.stop].to_pylist() for s in sliced(n_later)), *STRETCHES[kind])
                 found = ((s.start + x, y) for s in sliced(n) for x, y in meet(index, n_later, earlier[s], n[s], blocks[s], from_[s], *STRETCHES[kind], theta))

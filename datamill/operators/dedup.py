@@ -44,6 +44,8 @@ class RareRuns:
         rare = "".join(c for c, k in character_counts(b).items() if k <= len(b) // 100 + 1)
         self.pattern = re.compile(f"[{re.escape(rare)}]+") if rare else None
         self.runs = self.runs_in(b)
+        self.seeds = sum((e - s) ** 2 for s, e in self.runs)
+        self.longest = max((e - s for s, e in self.runs), default=0)
         self.places: dict[int, dict[str, list[int]]] = {}
 
     def runs_in(self, text: str) -> list[tuple[int, int]]:
@@ -105,9 +107,9 @@ def similar(a: str, b: str, theta: float, runs: RareRuns | None = None) -> bool:
     if len(b) >= AUTOJUNK:
         runs = runs or RareRuns(b)
         mine = runs.runs_in(a)
-    if len(b) < AUTOJUNK or sum((e - s) ** 2 for s, e in mine + runs.runs) > MOST_SEEDS + 8 * total:
+    if len(b) < AUTOJUNK or sum((e - s) ** 2 for s, e in mine) + runs.seeds > MOST_SEEDS + 8 * total:
         return difflib.SequenceMatcher(None, a, b).ratio() >= theta
-    longest = min(max((e - s for s, e in x), default=0) for x in (mine, runs.runs))
+    longest = min(max((e - s for s, e in mine), default=0), runs.longest)
     seeds = []  # longest first: places in a, and those in b of each; shorter ones are sought when they are needed
     left = iter(range(longest, 0, -1))
 
@@ -165,7 +167,7 @@ def lowered(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    return pairs.join(rows.select("i", F.col("t").alias("ti")), "i").join(rows.select(F.col("i").alias("j"), F.col("t").alias("tj")), "j").select("i", "j", "ti", "tj")
+    return pairs.join(rows.select(F.col("i").alias("j"), F.col("t").alias("tj")), "j").join(rows.select("i", F.col("t").alias("ti")), "i").select("i", "j", "ti", "tj")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -217,7 +219,7 @@ def by_parts(texts: DataFrame, key: str, text: str, theta: float) -> tuple[DataF
     lengths = sorted(tuple(r) for r in texts.select(length.alias("n")).groupBy(length_step(F.col("n")).alias("step")).agg(F.count("*"), F.sum("n")).collect())
     found = profiled(rows, lengths, theta)
     folder = f"{written_dir(texts.sparkSession)}/profiles-{uuid.uuid4().hex}"
-    found.write.partitionBy("part").parquet(folder)
+    found.write.partitionBy("part", "kind").parquet(folder)
     return texts.sparkSession.read.schema(found.schema).parquet(folder), folder
 
 

@@ -21,7 +21,7 @@ def edited(rnd, text, every):
 
 @pytest.fixture
 def small_parts(monkeypatch):
-    for name, value in {"LEAST_PART": 30_000, "MOST_PART": 30_000, "TEXT": 0, "BATCH_CHARS": 5_000, "BATCH_COUNTERS": 300}.items():
+    for name, value in {"LEAST_PART": 30_000, "MOST_PART": 30_000, "TEXT": 0, "GATHERED_CHARS": 8_000, "BATCH_CHARS": 5_000, "BATCH_COUNTERS": 300}.items():
         monkeypatch.setattr(alike, name, value)
 
 
