@@ -226,7 +226,7 @@ def by_parts(texts: DataFrame, key: str, text: str, theta: float) -> tuple[DataF
 def scan_drops(rows: DataFrame, pairs: DataFrame, theta: float) -> DataFrame:
     """Keys that a scan in order drops, by pairs (i < j) that may be similar.
 
-    Each round compares the first pairs of each later text that has no similar one yet, twice as many as the round before.
+    Each round compares the first pairs of each later text that has no similar one yet, four times as many as the round before.
     A text that no open pair can drop any more stays, and those similar to it go with all their pairs.
     """
     gone = None
@@ -244,7 +244,7 @@ def scan_drops(rows: DataFrame, pairs: DataFrame, theta: float) -> DataFrame:
         new = materialize(edges.where("hit").join(stay, "i", "left_semi").select(F.col("j").alias("i")).distinct(), "gone")
         gone = new if gone is None else gone.unionByName(new)
         open_ = materialize(edges.join(new, "i", "left_anti").join(new.withColumnRenamed("i", "j"), "j", "left_anti").select("i", "j", "hit"), "pairs")
-        width *= 2
+        width *= 4
     return met.limit(0) if gone is None else gone
 
 
